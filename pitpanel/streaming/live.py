@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from pitpanel.operators.pointintime import Gate, gate_allows, latest_per_key
 
 
+def event_time(clock: Column) -> Column:
+    """UTC wall clock as the TIMESTAMP a watermark needs, whatever the session time zone."""
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, clock.cast("timestamp_ntz")))
+
+
 def live_gate(publications: DataFrame, *, day: str, unit: str, published: str, value: str, tie_break: str,
               gate: Gate = Gate.LAST_BEFORE_DAY, horizon: str = "2 days", open_hour: int = 5) -> DataFrame:
     """The gated publication per (day, unit), emitted once when its gate has closed.
@@ -19,7 +25,7 @@ def live_gate(publications: DataFrame, *, day: str, unit: str, published: str, v
     gates beyond it have closed.  Later publications are filtered or find no state.
     """
     hours = open_hour if gate is Gate.LAST_BEFORE_OPEN else 0
-    closing = F.col(day).cast("timestamp") + F.make_dt_interval(hours=F.lit(hours))
+    closing = F.timestamp_seconds(F.unix_date(F.col(day)).cast("bigint") * 86400 + hours * 3600)
     legal = publications.filter(gate_allows(gate, F.col(day), F.col(published), open_hour=open_hour)).select(
         closing.alias("gate_closes"), F.col(day), F.col(unit), F.col(value), F.col(published), F.col(tie_break)
     )
@@ -38,11 +44,11 @@ def live_business_days(events: DataFrame, *, time: str, keys: Sequence[str], agg
     """Tumbling business-day totals, final once ``lateness`` has passed."""
     opened = F.window(time, "1 day", "1 day", f"{start_hour} hours")
     return (
-        events.withColumn(time, F.col(time).cast("timestamp"))
+        events.withColumn(time, event_time(F.col(time)))
         .withWatermark(time, lateness)
         .groupBy(opened.alias("w"), *keys)
         .agg(*aggregates)
-        .withColumn("business_day", F.col("w.start").cast("date"))
+        .withColumn("business_day", F.date_from_unix_date(F.floor(F.unix_seconds("w.start") / 86400).cast("int")))
         .drop("w")
     )
 
