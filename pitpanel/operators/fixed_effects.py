@@ -60,7 +60,7 @@ def absorb_sweeps(df: DataFrame, columns: Sequence[str], *, unit: str, period: s
 
     Iterates the two effect tables against the (unit, period) counts; the values
     themselves are read twice, for the first means and for the final subtraction.
-    Each sweep's effects go to reliable checkpoint storage.
+    Each sweep's effects are stored, so the plan stays one sweep deep.
     """
     keys = list(keys)
     by_unit, by_period = [*keys, unit], [*keys, period]
@@ -87,14 +87,18 @@ def absorb_sweeps(df: DataFrame, columns: Sequence[str], *, unit: str, period: s
             *[F.col(f"_old_{c}") for c in columns],
         ))
 
-    def moved(table: DataFrame, side: str) -> float:
-        change = F.greatest(F.lit(0.0), *[F.abs(F.col(f"_{side}_{c}") - F.col(f"_old_{c}")) for c in columns])
-        return table.agg(F.max(change)).first()[0] or 0.0
+    def moved() -> float:
+        """Largest change of any effect in this sweep; bounds the change of any residual by twice itself."""
+        changes = [
+            table.agg(F.max(F.greatest(F.lit(0.0), *[F.abs(F.col(f"_{side}_{c}") - F.col(f"_old_{c}")) for c in columns])))
+            for table, side in ((units, "u"), (periods, "p"))
+        ]
+        return 2.0 * max(row[0] or 0.0 for row in changes[0].union(changes[1]).collect())
 
     for _ in range(max_sweeps):
         units = update(periods, by_period, by_unit, unit_base, "u", "p", units)
         periods = update(units.drop(*[f"_old_{c}" for c in columns]), by_unit, by_period, period_base, "p", "u", periods)
-        change = moved(units, "u") + moved(periods, "p")
+        change = moved()
         units = units.drop(*[f"_old_{c}" for c in columns])
         periods = periods.drop(*[f"_old_{c}" for c in columns])
         if change < tolerance:
