@@ -11,6 +11,7 @@ from pitpanel.catalog.base import Query, day, i, r, shape, stamp, table
 from pitpanel.functions import timecal
 from pitpanel.operators import folds as fo
 from pitpanel.operators import models as mo
+from pitpanel.session import cut_lineage
 
 FIRST_CUT = dt.datetime(1996, 12, 25)
 PLAN = fo.FoldPlan(initial_train_end=FIRST_CUT, span_months=3, embargo=dt.timedelta(days=7))
@@ -59,7 +60,14 @@ SELECT {i('o_orderkey')} AS o_orderkey, fold FROM orders LEFT JOIN folds ON o_or
 
 
 def shipments(spark: SparkSession, sf: str) -> DataFrame:
-    """(supplier, day): shipped quantity, mean price per unit, and its log as a second view."""
+    """(supplier, day): shipped quantity, mean gross price and mean net price.
+
+    Folds, sums and predictions each read the panel, so it is stored once.
+    """
+    return cut_lineage(_shipments(spark, sf))
+
+
+def _shipments(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").groupBy("l_suppkey", "l_shipdate").agg(
         F.sum("l_quantity").alias("qty"), (F.avg("l_extendedprice") / 10000).alias("price"),
         (F.avg(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 10000).alias("net_price"),

@@ -114,12 +114,21 @@ def _stamp(value: dt.datetime) -> Column:
 
 
 def edge_count(time: Column, edges: Sequence[dt.datetime], *, inclusive: bool) -> Column:
-    """How many sorted edges lie at or before (``inclusive``) or strictly before ``time``."""
-    if not edges:
-        return F.lit(0)
+    """How many sorted edges lie at or before (``inclusive``) or strictly before ``time``.
+
+    A balanced tree of comparisons: log2(edges) of them per row, inside code generation.
+    """
     stamp = time.cast("timestamp_ntz")
-    points = F.array(*[_stamp(e) for e in edges])
-    return F.size(F.filter(points, (lambda e: e <= stamp) if inclusive else (lambda e: e < stamp)))
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        middle = (lo + hi) // 2
+        edge = _stamp(edges[middle])
+        passed = (edge <= stamp) if inclusive else (edge < stamp)
+        return F.when(passed, search(middle + 1, hi)).otherwise(search(lo, middle))
+
+    return F.when(stamp.isNotNull(), search(0, len(edges)))
 
 
 def train_bucket(time: Column, cuts: Sequence[dt.datetime]) -> Column:

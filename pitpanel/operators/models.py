@@ -99,86 +99,116 @@ def running_sums(df: DataFrame, model: CalendarModel, table: FoldTable) -> DataF
     )
 
 
-def _solver(k_full: int, k: int, ridge: float):
+@dataclass(frozen=True)
+class Variant:
+    """One solution read off shared sums: fewer waves use a leading sub-matrix."""
+
+    column: str
+    size: int
+    ridge: float
+    min_rows: int
+
+
+def _solver(k_full: int, variants: Sequence[Variant]):
     upper = np.triu_indices(k_full)
-    penalty = ridge * np.eye(k)
-    penalty[0, 0] = 0.0  # the intercept is never shrunk
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            solved = []
-            for gram, moment in zip(pdf["gram"], pdf["moment"]):
-                full = np.zeros((k_full, k_full))
-                full[upper] = gram
-                full = full + np.triu(full, 1).T
-                solved.append(np.linalg.lstsq(full[:k, :k] + penalty, np.asarray(moment)[:k], rcond=None)[0].tolist())
             out = pdf.drop(columns=["gram", "moment"])
-            out["coefficients"] = solved
+            grams = np.zeros((len(pdf), k_full, k_full))
+            if len(pdf):
+                grams[:, upper[0], upper[1]] = np.stack(pdf["gram"].to_numpy())
+            for v in variants:
+                penalty = v.ridge * np.eye(v.size)
+                penalty[0, 0] = 0.0  # the intercept is never shrunk
+                solved: list = []
+                for gram, moment, n in zip(grams, pdf["moment"], pdf["n"]):
+                    if n < v.min_rows:
+                        solved.append(None)
+                        continue
+                    square = gram[: v.size, : v.size]
+                    square = square + np.triu(square, 1).T + penalty
+                    solved.append(np.linalg.lstsq(square, np.asarray(moment)[: v.size], rcond=None)[0].tolist())
+                out[v.column] = pd.Series(solved, index=out.index, dtype=object)
             yield out
 
     return solve
 
 
-def solve_coefficients(sums: DataFrame, model: CalendarModel, *, harmonics: int | None = None) -> DataFrame:
-    """Ridge solution per (group, fold); groups below ``min_rows`` get no model."""
-    used = replace(model, harmonics=model.harmonics if harmonics is None else harmonics)
+def solve_variants(sums: DataFrame, model: CalendarModel, variants: Sequence[Variant]) -> DataFrame:
+    """Ridge solutions per (group, fold), one array column per variant, in one Python pass.
+
+    Groups below a variant's ``min_rows`` get no model.
+    """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.schema.fields
                        if f.name not in ("gram", "moment"))
-    return sums.filter(F.col("n") >= model.min_rows).mapInPandas(
-        _solver(model.size, used.size, model.ridge), schema=f"{fields}, coefficients array<double>"
+    arrays = ", ".join(f"`{v.column}` array<double>" for v in variants)
+    return sums.filter(F.col("n") >= min(v.min_rows for v in variants)).mapInPandas(
+        _solver(model.size, variants), schema=f"{fields}, {arrays}"
     )
 
 
-def predict(df: DataFrame, coefficients: DataFrame, model: CalendarModel, table: FoldTable, *, output: str) -> DataFrame:
-    """Out-of-sample predictions; NULL outside test windows, without a model, or without input.
+def solve_coefficients(sums: DataFrame, model: CalendarModel, *, harmonics: int | None = None) -> DataFrame:
+    used = replace(model, harmonics=model.harmonics if harmonics is None else harmonics)
+    return solve_variants(sums, model, [Variant("coefficients", used.size, model.ridge, model.min_rows)])
+
 
-    Never falls back to another group's or fold's model.
+def predict(df: DataFrame, coefficients: DataFrame, table: FoldTable, outputs: Mapping[str, tuple[CalendarModel, str]]) -> DataFrame:
+    """Out-of-sample predictions; ``outputs`` maps a new column to (model, coefficient column).
+
+    NULL outside test windows, without a model, or without input: never another group's
+    or fold's model.  One join serves all outputs.
     """
-    group = list(model.group)
+    group = list(next(iter(outputs.values()))[0].group)
+    time = next(iter(outputs.values()))[0].time
+    columns = list(dict.fromkeys(c for _, c in outputs.values()))
     named = coefficients.select(*[F.col(g).alias(f"_k_{g}") for g in group], F.col("fold").alias("_k_fold"),
-                                F.col("coefficients").alias("_beta"))
+                                *[F.col(c).alias(f"_beta_{c}") for c in columns])
     on = F.col("_fold") == F.col("_k_fold")
     for g in group:
         on = on & (F.col(g) == F.col(f"_k_{g}"))
-    terms = model.terms(model.serve, table.first_time.date())
-    fitted = terms[0][1] * F.get("_beta", F.lit(0))
-    for i, (_, expr) in enumerate(terms[1:], start=1):
-        fitted = fitted + expr * F.get("_beta", F.lit(i))
+    fitted = {}
+    for output, (model, column) in outputs.items():
+        # An array dot product keeps the generated code small enough to be compiled.
+        row = F.array(*[expr for _, expr in model.terms(model.serve, table.first_time.date())])
+        products = F.zip_with(row, F.col(f"_beta_{column}"), lambda x, b: x * b)
+        fitted[output] = F.aggregate(products, F.lit(0.0), lambda total, p: total + p)
     return (
-        df.withColumn("_fold", test_fold(F.col(model.time), table))
+        df.withColumn("_fold", test_fold(F.col(time), table))
         .join(named, on, "left")
-        .withColumn(output, fitted)
-        .select(*df.columns, output)
+        .select(*df.columns, *[expr.alias(name) for name, expr in fitted.items()])
     )
 
 
+def _sums_key(model: CalendarModel) -> tuple:
+    return model.target, model.fit_on, tuple(model.group), model.holiday, model.year_end, model.calendar
+
+
 def walk_forward(df: DataFrame, models: Mapping[str, CalendarModel], plan: FoldPlan | FoldTable, *,
                  time: str | None = None) -> tuple[DataFrame, FoldTable, DataFrame]:
     """Predict with several specifications: ``models`` maps output column to model.
 
-    Specifications that share target, regressor and groups share one pass; fewer
-    harmonics use a sub-matrix of it, another served column only its coefficients.
+    Specifications that share target, regressor and groups share one pass over the
+    panel, one solve and one join; those with fewer waves or another served column
+    differ only in what they read off it.  The panel is read once for the folds, once
+    per pass and once to predict, so store an expensive one first.
     Returns the panel with predictions, the folds, and the audit of the first model.
     """
-    any_model = next(iter(models.values()))
-    table = plan if isinstance(plan, FoldTable) else build_folds(df, time or any_model.time, plan)
-    sums: dict[tuple, tuple[CalendarModel, DataFrame]] = {}
-    for model in models.values():
-        key = (model.target, model.fit_on, tuple(model.group), model.holiday, model.year_end, model.calendar)
-        widest = max((m for m in models.values() if (m.target, m.fit_on, tuple(m.group), m.holiday, m.year_end,
-                                                     m.calendar) == key), key=lambda m: m.harmonics)
-        if key not in sums:
-            sums[key] = (widest, running_sums(df, widest, table))
-    out, audit = df, None
-    solved: dict[tuple, DataFrame] = {}
+    first = next(iter(models.values()))
+    table = plan if isinstance(plan, FoldTable) else build_folds(df, time or first.time, plan)
+    families: dict[tuple, dict[str, CalendarModel]] = {}
     for output, model in models.items():
-        key = (model.target, model.fit_on, tuple(model.group), model.holiday, model.year_end, model.calendar)
-        widest, gram = sums[key]
-        beta_key = (*key, model.harmonics, model.ridge, model.min_rows)
-        if beta_key not in solved:
-            base = replace(widest, ridge=model.ridge, min_rows=model.min_rows)
-            solved[beta_key] = solve_coefficients(gram, base, harmonics=model.harmonics)
-        out = predict(out, solved[beta_key], model, table, output=output)
+        families.setdefault(_sums_key(model), {})[output] = model
+    out, audit = df, None
+    for family in families.values():
+        widest = max(family.values(), key=lambda m: m.harmonics)
+        variants = {
+            output: Variant(f"beta_{m.harmonics}_{m.ridge!r}_{m.min_rows}".replace(".", "_").replace("-", "m"), m.size, m.ridge, m.min_rows)
+            for output, m in family.items()
+        }
+        solved = solve_variants(running_sums(df, widest, table), widest, list(dict.fromkeys(variants.values())))
+        out = predict(out, solved, table, {o: (m, variants[o].column) for o, m in family.items()})
         if audit is None:
-            audit = with_fitted(table.as_rows(df.sparkSession), solved[beta_key])
+            fitted = solved.filter(F.col(next(iter(variants.values())).column).isNotNull())
+            audit = with_fitted(table.as_rows(df.sparkSession), fitted)
     return out, table, audit
