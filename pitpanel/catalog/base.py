@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitpanel.session import cut_lineage
+
 ZONES = 13
 
 # Means of amounts in cents often end exactly half way between two rounded values,
@@ -89,12 +91,16 @@ def dense_months(cells: DataFrame) -> DataFrame:
 
 
 def zone_months(spark: SparkSession, sf: str) -> DataFrame:
-    """(unit, month, y, x): y from orders, x the mean quantity shipped by the zone's suppliers."""
-    y = order_months(table(spark, sf, "orders"))
+    """(unit, month, y, x): y from orders, x the mean quantity shipped by the zone's suppliers.
+
+    Lags, means and scores read the panel many times, so its cells (a row per zone and
+    month) are stored: each big table is scanned once.
+    """
+    y = cut_lineage(order_months(table(spark, sf, "orders")))
     lines = table(spark, sf, "lineitem")
-    x = lines.groupBy(
+    x = cut_lineage(lines.groupBy(
         (F.col("l_suppkey") % ZONES).alias("unit"), F.trunc("l_shipdate", "month").alias("month")
-    ).agg(F.avg("l_quantity").alias("x"))
+    ).agg(F.avg("l_quantity").alias("x")))
     return (
         dense_months(y)
         .join(y, ["unit", "month"], "left")

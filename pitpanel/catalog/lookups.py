@@ -12,11 +12,15 @@ from pitpanel.operators import guards
 from pitpanel.operators import lookup as lk
 
 
+def part_key(column: str):
+    return F.concat(F.lit("P"), F.lpad(F.col(column).cast("string"), 7, "0"))
+
+
 def part_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Small parts form the lookup: fine key P + number, zone by runs of 1500 parts."""
     return table(spark, sf, "part").filter(F.col("p_size") <= 25).select(
-        F.format_string("P%07d", "p_partkey").alias("postcode"),
-        parsing.outward_key(F.format_string("P%07d", "p_partkey")).alias("outcode"),
+        part_key("p_partkey").alias("postcode"),
+        parsing.outward_key(part_key("p_partkey")).alias("outcode"),
         F.concat(F.lit("Z"), F.floor(F.col("p_partkey") / 1500).cast("string")).alias("ldz"),
         (F.col("p_size") > 5).alias("is_nts"),
     )
@@ -34,7 +38,7 @@ ua AS (SELECT coarse, min(zone) AS zone, arg_min(flag, fine) AS flag FROM lk GRO
 def assigned_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Line items with a carelessly written part key."""
     lines = table(spark, sf, "lineitem")
-    key = F.format_string("P%07d", "l_partkey")
+    key = part_key("l_partkey")
     messy = F.concat(F.lit(" "), F.lower(F.substring(key, 1, 5)), F.lit("  "), F.substring(key, 6, 3))
     return lk.two_tier_lookup(lines.select("l_quantity", messy.alias("raw")), key="raw", lookup=part_lookup(spark, sf))
 

@@ -25,6 +25,9 @@ WALL_CLASSES = (
 NOT_INSULATED = "no insulation|as built"
 INSULATED = "insulat|filled cavity"
 
+# White space in the Unicode sense.
+WHITESPACE = " \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 # Efficiency ratings counted as poor.
 POOR_RATINGS = ("poor", "very poor")
 
@@ -68,8 +71,8 @@ def within(value: Column | str, low: float, high: float) -> Column:
 
 
 def normalise_key(value: Column | str) -> Column:
-    """Upper case, all whitespace removed."""
-    return F.upper(F.regexp_replace(_col(value), r"\s+", ""))
+    """Upper case, all whitespace removed (character by character; no pattern matching)."""
+    return F.upper(F.translate(_col(value), WHITESPACE, ""))
 
 
 def outward_key(value: Column | str, *, tail: int = 3) -> Column:
