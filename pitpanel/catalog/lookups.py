@@ -143,21 +143,24 @@ FROM base LEFT JOIN a USING (nation, month) LEFT JOIN b USING (nation, month) LE
 def text_class_shares(spark: SparkSession, sf: str) -> DataFrame:
     """Keyword classes, first year and phrase flags over whole documents, shares per language."""
     classes = (("ation", "first"), ("lich|ment", "second"), ("tion|que", "third"))
-    kind = parsing.keyword_class("text", classes)
-    flag = parsing.phrase_flag("text", "license|licence", "the|der")
-    band = parsing.age_band("text")
+    prepared = {
+        "_kind": parsing.keyword_class("text", classes),
+        "_flag": parsing.phrase_flag("text", "license|licence", "the|der"),
+        "_year": parsing.first_year("text"),
+    }
+    kind, band = F.col("_kind"), parsing.year_band(F.col("_year"))
     measures = {
         "mean_chars": F.avg(parsing.within("n_chars", 100, 50000)),
         "share_first": feat.share(kind == "first"),
         "share_second": feat.share(kind == "second"),
         "share_third": feat.share(kind == "third"),
-        "share_flag": feat.share(flag),
+        "share_flag": feat.share(F.col("_flag")),
         "share_pre_1930": feat.share(band == "pre_1930"),
         "share_post_1996": feat.share(band == "post_1996"),
-        "mean_year": F.avg(parsing.first_year("text")),
+        "mean_year": F.avg("_year"),
     }
     out = feat.group_features(table(spark, sf, "documents"), by="lang", measures=measures, count="n", min_count=50,
-                              covered="covered")
+                              covered="covered", prepared=prepared)
     return shape(out, lang="text", n="int", covered="int", **{name: "double:6" for name in measures})
 
 

@@ -87,7 +87,11 @@ def first_year(value: Column | str) -> Column:
 
 
 def age_band(value: Column | str) -> Column:
-    year = first_year(value)
+    """Band of the first year in a text, NULL without one."""
+    return year_band(first_year(value))
+
+
+def year_band(year: Column) -> Column:
     label = F.when(year.isNotNull(), F.lit(LAST_AGE_BAND))
     for limit, name in reversed(AGE_BANDS):
         label = F.when(year <= limit, F.lit(name)).otherwise(label)

@@ -26,27 +26,45 @@ def share(condition: Column) -> Column:
 
 
 def group_features(df: DataFrame, *, by: str, measures: Mapping[str, Column], count: str = "n_dwellings",
-                   min_count: int = 50_000, covered: str = "has_stock_coverage") -> DataFrame:
-    """All features of a group in one hash aggregate, with a coverage flag."""
+                   min_count: int = 50_000, covered: str = "has_stock_coverage",
+                   prepared: Mapping[str, Column] | None = None) -> DataFrame:
+    """All features of a group in one hash aggregate, with a coverage flag.
+
+    ``prepared`` columns are worked out once per row below the aggregate, so that a text
+    class used by several measures is matched once.
+    """
+    rows = df.withColumns(dict(prepared)) if prepared else df
     return (
-        df.groupBy(by)
+        rows.groupBy(by)
         .agg(F.count(F.lit(1)).alias(count), *[expr.alias(name) for name, expr in measures.items()])
         .withColumn(covered, F.col(count) >= min_count)
     )
 
 
+def stock_columns() -> dict[str, Column]:
+    """Typed columns from the building register's text columns."""
+    return {
+        "_sap": parsing.number("current_energy_efficiency"),
+        "_area": parsing.within(parsing.number("total_floor_area"), 10, 1000),
+        "_gas": parsing.is_yes("mains_gas_flag"),
+        "_wall": parsing.keyword_class("walls_description"),
+        "_insulated": parsing.phrase_flag("walls_description"),
+        "_poor": parsing.rated_poor("walls_energy_eff"),
+        "_band": parsing.age_band("construction_age_band"),
+    }
+
+
 def stock_measures() -> dict[str, Column]:
-    """Building-register features as aggregate expressions over the register's text columns."""
-    wall = parsing.keyword_class("walls_description")
-    band = parsing.age_band("construction_age_band")
+    """Building features as aggregates over ``stock_columns``."""
+    wall, band = F.col("_wall"), F.col("_band")
     return {
-        "mean_sap": F.avg(parsing.number("current_energy_efficiency")),
-        "mean_floor_area": F.avg(parsing.within(parsing.number("total_floor_area"), 10, 1000)),
-        "share_mains_gas": share(parsing.is_yes("mains_gas_flag")),
+        "mean_sap": F.avg("_sap"),
+        "mean_floor_area": F.avg("_area"),
+        "share_mains_gas": share(F.col("_gas")),
         "share_solid_wall": share(wall == "solid"),
         "share_cavity_wall": share(wall == "cavity"),
-        "share_wall_insulated": share(parsing.phrase_flag("walls_description")),
-        "share_wall_eff_poor": share(parsing.rated_poor("walls_energy_eff")),
+        "share_wall_insulated": share(F.col("_insulated")),
+        "share_wall_eff_poor": share(F.col("_poor")),
         "share_pre_1930": share(band == "pre_1930"),
         "share_1930_1975": share(band == "1930_1975"),
         "share_1976_1995": share(band == "1976_1995"),
@@ -57,7 +75,8 @@ def stock_measures() -> dict[str, Column]:
 def stock_features(dwellings: DataFrame, *, zone: str, expected: DataFrame | None = None,
                    min_dwellings: int = 50_000) -> DataFrame:
     """One row per zone; every expected zone must be there."""
-    features = group_features(dwellings, by=zone, measures=stock_measures(), min_count=min_dwellings)
+    features = group_features(dwellings, by=zone, measures=stock_measures(), min_count=min_dwellings,
+                              prepared=stock_columns())
     if expected is not None:
         require_units(features, zone, expected)
     return features

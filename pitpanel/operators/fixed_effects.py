@@ -44,14 +44,16 @@ def absorb_balanced(df: DataFrame, columns: Sequence[str], *, unit: str, period:
     ])
 
 
-def is_balanced(df: DataFrame, *, unit: str, period: str) -> bool:
-    """Every unit observed equally often in every period (one aggregate of cell counts)."""
+def is_balanced(df: DataFrame, *, unit: str, period: str, single: bool = False) -> bool:
+    """Every unit observed equally often (``single``: exactly once) in every period; one aggregate of cell counts."""
     cells = df.groupBy(unit, period).agg(F.count(F.lit(1)).alias("n"))
     row = cells.agg(
         F.count(F.lit(1)).alias("cells"), F.min("n").alias("lo"), F.max("n").alias("hi"),
         F.count_distinct(unit).alias("units"), F.count_distinct(period).alias("periods"),
     ).first()
-    return bool(row["cells"]) and row["lo"] == row["hi"] and row["cells"] == row["units"] * row["periods"]
+    if not row["cells"] or (single and row["hi"] > 1):
+        return False
+    return row["lo"] == row["hi"] and row["cells"] == row["units"] * row["periods"]
 
 
 def absorb_sweeps(df: DataFrame, columns: Sequence[str], *, unit: str, period: str, keys: Sequence[str] = (),

@@ -3,6 +3,7 @@
 With few units on a balanced panel one pass builds G x G moment matrices and every
 replication is algebra on them.  Otherwise the replication becomes a group key and
 the same fixed-effects operators run on rows; the unit count is measured first.
+``balanced=True`` promises exactly one row per (unit, period) and saves that check.
 """
 
 from __future__ import annotations
@@ -137,7 +138,7 @@ def placebo(df: DataFrame, *, outcome: str, severity: str, unit: str, period: st
     usable = df.dropna(subset=[outcome, severity, unit, period]).select(unit, period, outcome, severity)
     scores = unit_scores(df, unit, replications=replications, seed=seed)
     if balanced is None:
-        balanced = is_balanced(usable, unit=unit, period=period)
+        balanced = is_balanced(usable, unit=unit, period=period, single=True)
     units = _unit_list(usable, unit) if balanced and method != "rows" else None
     if units:
         blocks = _placebo_blocks_matrix(usable, unit=unit, period=period, outcome=outcome, severity=severity,
@@ -244,7 +245,7 @@ def power_curve(df: DataFrame, *, outcome: str, unit: str, period: str, severity
     usable = df.dropna(subset=[outcome, unit, period, severity]).select(unit, period, outcome, severity)
     with_x = simulated_interaction(usable, unit=unit, severity=severity, seed=seed, output="raw")
     if balanced is None:
-        balanced = is_balanced(usable, unit=unit, period=period)
+        balanced = is_balanced(usable, unit=unit, period=period, single=True)
     within = absorb(with_x, [outcome, "raw"], unit=unit, period=period, balanced=balanced)
     rows = cut_lineage(within.select(unit, period, F.col(outcome).alias("level"), "raw",
                                      F.col("raw_within").alias("x"), F.col(f"{outcome}_within").alias("r")))
@@ -289,7 +290,7 @@ def leave_one_unit_out(df: DataFrame, *, outcome: str, regressor: str, unit: str
     """
     usable = df.dropna(subset=[outcome, regressor, unit, period]).select(unit, period, outcome, regressor)
     if balanced is None:
-        balanced = is_balanced(usable, unit=unit, period=period)
+        balanced = is_balanced(usable, unit=unit, period=period, single=True)
     if not balanced:
         listed = usable.agg(F.collect_set(unit)).scalar()
         rows = usable.withColumn("left_out", F.explode(F.array_except(listed, F.array(unit))))

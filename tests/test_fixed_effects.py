@@ -215,3 +215,12 @@ def test_linear_fit_and_components(spark):
     shares = [r["variance_share"] for r in sim.component_shares(spark.createDataFrame(d), ["x", "x2", "y"]).collect()]
     want = np.linalg.eigvalsh(d[["x", "x2", "y"]].corr().to_numpy())[::-1] / 3
     assert shares == pytest.approx(list(want))
+
+
+def test_repeated_cells_do_not_take_the_matrix_path(spark):
+    d = pd.concat([panel(units=5, periods=8, seed=1), panel(units=5, periods=8, seed=2)])
+    df = spark.createDataFrame(d)
+    assert fe.is_balanced(df, unit="unit", period="t") and not fe.is_balanced(df, unit="unit", period="t", single=True)
+    got = {r["left_out"]: r["estimate"] for r in sim.leave_one_unit_out(df, outcome="y", regressor="x", unit="unit", period="t").collect()}
+    for u in d.unit.unique():
+        assert got[u] == pytest.approx(plain_fit(d[d.unit != u], ["x"])[3][0], rel=1e-6)
