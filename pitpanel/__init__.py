@@ -4,4 +4,12 @@ Every operator takes and returns a lazy ``DataFrame`` (or ``Column``); column
 names are parameters.  See ``README.md`` for the map from task to module.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# The few functions that run in Python workers travel with the job, so executors
+# need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
