@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: table access, text batches, Unicode white space."""
+"""Helpers shared by the operators: table access, text batches."""
 
 from __future__ import annotations
 
@@ -33,3 +33,28 @@ def map_rows(df: DataFrame, columns: list[str], schema: str,
                 [pa.array(values, type=field.type) for values, field in zip(found, arrow, strict=True)], schema=arrow)
 
     return df.select(*columns).mapInArrow(run, out)
+
+
+def append_columns(df: DataFrame, inputs: list[str], schema: str,
+                   start: Callable[[], Callable[[list[list[Any]]], list[list[Any]]]]) -> DataFrame:
+    """As ``map_rows``, but keeps every column of ``df``; one whose name ``schema`` takes again is replaced."""
+    from pyspark.sql.types import StructType
+
+    new = df.sparkSession.createDataFrame([], schema).schema
+    names = {field.name for field in new}
+    kept = [name for name in df.columns if name not in names]
+    extra = [name for name in inputs if name in names]
+    out = StructType([df.schema[name] for name in kept] + list(new))
+
+    def run(batches: Iterator) -> Iterable:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow, step = to_arrow_schema(out), start()
+        for batch in batches:
+            found = step([batch.column(name).to_pylist() for name in inputs])
+            columns = [batch.column(name) for name in kept]
+            columns += [pa.array(values, type=arrow.field(len(kept) + k).type) for k, values in enumerate(found)]
+            yield pa.RecordBatch.from_arrays(columns, names=arrow.names)
+
+    return df.select(*kept, *extra).mapInArrow(run, out)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitpanel.llm import packing, token_counts
+from pitpanel.llm import packing, quality_classifier, quality_rules, secrets, token_counts
 from pitpanel.llm.common import table
 
 #: Tokenizer files by name in the public tokenizer folder; another folder is a parameter of the operators.
@@ -27,9 +27,25 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_MODEL))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1")
+    judged = quality_rules.apply_rules(table(spark, sf_dir, "documents"), trusted)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                         "ratio", "kept")
+
+
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.classify(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op3_token_counts, op4_best_fit_packing,
+        op3_token_counts, op4_best_fit_packing, op5_quality_rules, op6_secret_scans, op9_quality_classifier,
     )
 }
 
