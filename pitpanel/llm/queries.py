@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitpanel.llm import packing, quality_classifier, quality_rules, secrets, token_counts
+from pitpanel.llm import decontamination, packing, quality_classifier, quality_rules, secrets, token_counts
 from pitpanel.llm.common import table
 
 #: Tokenizer files by name in the public tokenizer folder; another folder is a parameter of the operators.
@@ -19,6 +19,32 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+        FROM documents),
+b AS (SELECT item_id, w, least(10, len(w)) AS l FROM (SELECT item_id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM benchmark) WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, l, array_to_string(w[i + 1:i + l], ' ') AS s
+       FROM (SELECT item_id, w, l, unnest(range(len(w) - l + 1)) AS i FROM b)),
+dw AS (SELECT k, l, i, array_to_string(w[i + 1:i + l], ' ') AS s
+       FROM (SELECT k, w, l, unnest(range(len(w) - l + 1)) AS i FROM d, (SELECT DISTINCT l FROM iw) WHERE len(w) >= l)),
+hits AS (SELECT k, l, i, s FROM dw WHERE s IN (SELECT s FROM iw)),
+nh AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest(range(i, i + l)) AS p FROM hits) GROUP BY k),
+ni AS (SELECT k, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS items
+       FROM (SELECT k, CAST(item_id AS VARCHAR) AS item FROM hits JOIN iw USING (s)) GROUP BY k)
+SELECT doc_id, len(w) AS n_words, coalesce(nh.n, 0) AS n_hit, coalesce(ni.n, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(nh.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN nh USING (k) LEFT JOIN ni USING (k)
+"""
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file(PIECE_MODEL))
 
@@ -45,11 +71,11 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op3_token_counts, op4_best_fit_packing, op5_quality_rules, op6_secret_scans, op9_quality_classifier,
+        op1_winnowing_decontamination, op3_token_counts, op4_best_fit_packing, op5_quality_rules, op6_secret_scans, op9_quality_classifier,
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_winnowing_decontamination": OP1_SQL}
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
