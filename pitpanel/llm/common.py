@@ -7,9 +7,6 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Unicode White_Space as the tokenizers' regular expressions understand it (fixed values).
-WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

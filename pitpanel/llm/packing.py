@@ -20,53 +20,44 @@ table gives no rows. Equal pieces may swap places between runs.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitpanel.llm.common import WHITE_SPACE, map_rows
+from pitpanel.llm.common import map_rows
 from pitpanel.session import cut_lineage
 
-#: Words that remember their ids, a task at a time.
-REMEMBERED = 300_000
+#: Longer texts go to the tokenizers library itself, whose regular expressions don't recurse.
+LONG_TEXT = 200_000
 #: Tasks whose totals are added up in one window group.
 BLOCK = 1024
 
 
-def word_chunks() -> re.Pattern:
-    """Where byte-level BPE splits at white space anyway; a chunk's ids don't depend on its neighbours."""
-    return re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+")
+class Encoder:
+    """Texts to little-endian unsigned 32-bit ids of a byte-level BPE file of the tokenizers library.
 
+    The file's vocabulary and pattern go to tiktoken, which gives the same ids in a quarter of the time.
+    """
 
-class Encoder:
-    """Texts to little-endian unsigned 32-bit ids. A chunk's ids are computed once and remembered."""
+    #: The pattern of byte-level BPE, one end of text token kind aside (fixed value).
+    PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
     def __init__(self, tokenizer_file: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.chunks = word_chunks()
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [None if any(s in text for s in self.special) else self.chunks.findall(text) for text in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({chunk for chunks in plain if chunks for chunk in chunks if chunk not in known})
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(found.ids, "<u4").tobytes()
-        get = known.__getitem__
-        return [self.whole(text) if chunks is None else b"".join(map(get, chunks))
-                for text, chunks in zip(texts, plain, strict=True)]
+        special = {t.content: k for k, t in self.tokenizer.get_added_tokens_decoder().items()}
+        printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        byte = {chr(b): b for b in printable}
+        byte |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printable)}
+        ranks = {bytes(byte[c] for c in token): k for token, k in self.tokenizer.get_vocab().items() if token not in special}
+        self.fast = tiktoken.Encoding("bytes", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def encode(self, text: str) -> bytes:
+        if len(text) > LONG_TEXT:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
 
 
 def cut_into_pieces(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -90,15 +81,13 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: in
 
         def step(columns):
             out = [[] for _ in range(7)]
-            ids, texts = columns[0], [text or "" for text in columns[1]]
-            for at in range(0, len(texts), 256):
-                for doc, found in zip(ids[at:at + 256], encoder.encode(texts[at:at + 256]), strict=True):
-                    found += end
-                    for k, (begin, length) in enumerate(cut_into_pieces(len(found) // 4, capacity)):
-                        crc = zlib.crc32(found[4 * begin:4 * (begin + length)])
-                        for values, value in zip(out, (doc, k, begin, length, crc, task, numbers[length]), strict=True):
-                            values.append(value)
-                        numbers[length] += 1
+            for doc, text in zip(*columns, strict=True):
+                found = encoder.encode(text or "") + end
+                for k, (begin, length) in enumerate(cut_into_pieces(len(found) // 4, capacity)):
+                    crc = zlib.crc32(found[4 * begin:4 * (begin + length)])
+                    for values, value in zip(out, (doc, k, begin, length, crc, task, numbers[length]), strict=True):
+                        values.append(value)
+                    numbers[length] += 1
             return out
 
         return step
@@ -205,7 +194,7 @@ def pack(docs: DataFrame, tokenizer_file: str, *, capacity: int = 2048, end_id:
 
         return step
 
-    numbered = pieces.join(numbers_before(counts), ["task", "length"])
+    numbered = pieces.join(numbers_before(counts).hint("merge"), ["task", "length"])
     return map_rows(numbered, [id_col, "piece", "start", "length", "ids_crc32", "number", "before"],
                     f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, "
                     "offset bigint", start)
