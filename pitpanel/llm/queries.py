@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitpanel.llm import decontamination, packing, quality_classifier, quality_rules, secrets, token_counts
+from pitpanel.llm import decontamination, html_text, packing, quality_classifier, quality_rules, secrets, token_counts
 from pitpanel.llm.common import table
 
 #: Tokenizer files by name in the public tokenizer folder; another folder is a parameter of the operators.
@@ -64,6 +64,10 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_classifier.classify(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
@@ -71,7 +75,8 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_winnowing_decontamination, op3_token_counts, op4_best_fit_packing, op5_quality_rules, op6_secret_scans, op9_quality_classifier,
+        op1_winnowing_decontamination, op3_token_counts, op4_best_fit_packing, op5_quality_rules, op6_secret_scans,
+        op8_html_extraction, op9_quality_classifier,
     )
 }
 
