@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitpanel.llm import decontamination, html_text, packing, quality_classifier, quality_rules, secrets, token_counts
+from pitpanel.llm import (decontamination, html_text, packing, personal_data, quality_classifier, quality_rules, secrets,
+                          token_counts)
 from pitpanel.llm.common import table
 
 #: Tokenizer files by name in the public tokenizer folder; another folder is a parameter of the operators.
@@ -45,6 +46,11 @@ FROM d LEFT JOIN nh USING (k) LEFT JOIN ni USING (k)
 """
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return personal_data.find_personal_data(docs, personal_data.fit(docs))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file(PIECE_MODEL))
 
@@ -75,8 +81,8 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_winnowing_decontamination, op3_token_counts, op4_best_fit_packing, op5_quality_rules, op6_secret_scans,
-        op8_html_extraction, op9_quality_classifier,
+        op1_winnowing_decontamination, op2_personal_data, op3_token_counts, op4_best_fit_packing, op5_quality_rules,
+        op6_secret_scans, op8_html_extraction, op9_quality_classifier,
     )
 }
 
