@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pitpanel.llm import (decontamination, html_text, packing, personal_data, quality_classifier, quality_rules, secrets,
-                          token_counts)
+                          set_join, token_counts)
 from pitpanel.llm.common import table
 
 #: Tokenizer files by name in the public tokenizer folder; another folder is a parameter of the operators.
@@ -70,6 +70,24 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + least(5, len(w))], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(len(w) - least(5, len(w)) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * m >= 75 * (a.n + b.n - m)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(y) FROM r WHERE r.x = d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id)
+"""
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -82,11 +100,11 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_winnowing_decontamination, op2_personal_data, op3_token_counts, op4_best_fit_packing, op5_quality_rules,
-        op6_secret_scans, op8_html_extraction, op9_quality_classifier,
+        op6_secret_scans, op7_signature_tree_join, op8_html_extraction, op9_quality_classifier,
     )
 }
 
-SQL: dict[str, str] = {"op1_winnowing_decontamination": OP1_SQL}
+SQL: dict[str, str] = {"op1_winnowing_decontamination": OP1_SQL, "op7_signature_tree_join": OP7_SQL}
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
