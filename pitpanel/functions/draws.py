@@ -12,6 +12,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Default seed of every operator that draws.
+SEED = 7_310_429
+
+
 def _hash(seed: int, *keys: Column) -> Column:
     return F.xxhash64(F.lit(seed).cast("bigint"), *keys)
 

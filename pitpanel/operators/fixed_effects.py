@@ -262,7 +262,7 @@ MAX_ENUMERATED_CLUSTERS = 20
 
 
 def bootstrap_t(blocks: DataFrame, k: int, *, keys: Sequence[str] = (), count: int | None = 999,
-                seed: int | None = 20260815, small_sample: bool = False) -> DataFrame:
+                seed: int | None = draws.SEED, small_sample: bool = False) -> DataFrame:
     """Restricted wild cluster bootstrap: ``t_star`` per (keys, target, draw).
 
     The null fit and residual enter as per-cluster vectors, so a draw is a signed sum
@@ -329,7 +329,7 @@ def bootstrap_p(fits: DataFrame, stars: DataFrame, *, keys: Sequence[str] = ())
 
 
 def infer(blocks: DataFrame, names: Sequence[str], *, keys: Sequence[str] = (), bootstrap_draws: int = 999,
-          seed: int | None = 20260815, small_sample_bootstrap: bool = False) -> DataFrame:
+          seed: int | None = draws.SEED, small_sample_bootstrap: bool = False) -> DataFrame:
     """Estimates with bootstrap p-values from cluster blocks."""
     fits = fit_from_blocks(blocks, names, keys=keys)
     stars = bootstrap_t(blocks, len(names), keys=keys, count=bootstrap_draws, seed=seed,
@@ -338,7 +338,7 @@ def infer(blocks: DataFrame, names: Sequence[str], *, keys: Sequence[str] = (),
 
 
 def two_way_regression(df: DataFrame, *, outcome: str, regressors: Sequence[str], unit: str, period: str,
-                       bootstrap_draws: int = 999, seed: int | None = 20260815, unit_effects: bool = True,
+                       bootstrap_draws: int = 999, seed: int | None = draws.SEED, unit_effects: bool = True,
                        period_effects: bool = True, balanced: bool | None = None,
                        small_sample_bootstrap: bool = False) -> DataFrame:
     """Two-way fixed effects regression clustered by unit, one row per regressor.

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitpanel.functions import draws
 from pitpanel.operators.features import STOCK_FEATURES, interactions, join_without_clashes, standardised
 from pitpanel.operators.fixed_effects import two_way_regression
 
@@ -25,7 +26,7 @@ def interaction_panel(panel: DataFrame, features: DataFrame, *, unit: str, forec
 
 
 def interaction_test(panel: DataFrame, *, feature: str, role: str, mde: float, unit: str, period: str,
-                     bootstrap_draws: int = 999, seed: int = 20260815, unit_effects: bool = True,
+                     bootstrap_draws: int = 999, seed: int = draws.SEED, unit_effects: bool = True,
                      period_effects: bool = True, balanced: bool | None = None) -> DataFrame:
     """One estimate row.  Units without the feature leave the regression altogether."""
     regressor = f"{feature}_x_severity"

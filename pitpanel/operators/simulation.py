@@ -1,27 +1,30 @@
 """Placebo runs, power by whole-cluster resampling, and leave-one-unit-out.
 
-With few units on a balanced panel one pass builds G x G moment matrices and every
-replication is algebra on them.  Otherwise the replication becomes a group key and
-the same fixed-effects operators run on rows; the unit count is measured first.
-``balanced=True`` promises exactly one row per (unit, period) and saves that check.
+Placebo replications are columns of the panel, some at a time, so that one pass of the
+fixed-effects operators serves many and the panel is never copied. Power draws clusters
+once and shares the draws over all effects, which enter the cluster sums linearly. The
+same path serves every number of units, balanced or not. ``balanced=True`` promises exactly
+one row per (unit, period) and saves that check.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitpanel.functions import draws
 from pitpanel.operators.features import standardised
-from pitpanel.operators.fixed_effects import absorb, absorb_balanced, bootstrap_p, bootstrap_t, cluster_blocks
-from pitpanel.operators.fixed_effects import fit_from_blocks, infer, is_balanced
+from pitpanel.operators.fixed_effects import absorb, bootstrap_p, bootstrap_t, fit_from_blocks
+from pitpanel.operators.fixed_effects import infer, is_balanced
 from pitpanel.session import cut_lineage
 
-MATRIX_UNITS = 256
+#: Replications that share one pass, and hash buckets by which units are numbered.
+COLUMNS = 25
+NUMBER_BUCKETS = 1024
 
 # Effect sizes of a power curve, as multiples of the residual sd.
 EFFECT_MULTIPLES = (0.0, 0.005, 0.01, 0.02, 0.03, 0.05, 0.075, 0.10, 0.15, 0.20, 0.30, 0.50)
@@ -53,101 +56,56 @@ def simulated_interaction(df: DataFrame, *, unit: str, severity: str, seed: int,
     )
 
 
-def unit_moments(df: DataFrame, *, unit: str, period: str, left: str, right: str, units: list) -> DataFrame:
-    """``value[g, h] = sum over periods of left[g] * right[h]`` for a bounded unit list.
+def _score_columns(units: DataFrame, unit: str, replications: int, seed: int) -> list[Column]:
+    """The scores of ``unit_scores`` as one expression of the unit for each replication.
 
-    A period's values form one vector of at most ``MATRIX_UNITS`` entries; each task
-    multiplies its periods' vectors and hands on one G x G partial sum.
+    What reaches the driver is a mean and a deviation for each replication.
     """
-    index = {u: i for i, u in enumerate(units)}
-    size = len(units)
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((size, size))
-        for pdf in batches:
-            a, b = np.zeros((len(pdf), size)), np.zeros((len(pdf), size))
-            for row, (names, xs, ys) in enumerate(zip(pdf["names"], pdf["xs"], pdf["ys"])):
-                at = [index[n] for n in names]
-                a[row, at], b[row, at] = xs, ys
-            total += a.T @ b
-        g, h = np.nonzero(total)
-        yield pd.DataFrame({"gi": g, "hi": h, "value": total[g, h]})
-
-    vectors = df.groupBy(period).agg(
-        F.collect_list(F.struct(F.col(unit).alias("name"), F.col(left).alias("x"), F.col(right).alias("y"))).alias("v")
-    ).select(F.col("v.name").alias("names"), F.col("v.x").alias("xs"), F.col("v.y").alias("ys"))
-    sums = vectors.mapInPandas(partial, schema="gi bigint, hi bigint, value double")
-    return sums.groupBy("gi", "hi").agg(F.sum("value").alias("value"))
-
-
-def _unit_list(df: DataFrame, unit: str) -> list | None:
-    """Sorted units when there are few enough for matrices, else None."""
-    found = df.select(unit).distinct().limit(MATRIX_UNITS + 1).collect()
-    return sorted(r[0] for r in found) if len(found) <= MATRIX_UNITS else None
-
-
-def _placebo_blocks_matrix(df: DataFrame, *, unit: str, period: str, outcome: str, severity: str, units: list,
-                           scores: DataFrame) -> DataFrame:
-    """Cluster rows of every replication from two moment matrices.
-
-    The regressor s[g] v[g,t] demeans to s[g] w[g,t] - mean_h(s[h] w[h,t]), w being
-    severity less its unit mean.
-    """
-    size = float(len(units))
-    outcome_within = absorb_balanced(df, [outcome], unit=unit, period=period).select(unit, period, f"{outcome}_within", severity)
-    means = df.groupBy(unit).agg(F.avg(severity).alias("_v"))
-    rows = cut_lineage(outcome_within.join(means, unit).select(
-        unit, period, (F.col(severity) - F.col("_v")).alias("w"), F.col(f"{outcome}_within").alias("y")
-    ))
-    ww = unit_moments(rows, unit=unit, period=period, left="w", right="w", units=units)
-    wy = unit_moments(rows, unit=unit, period=period, left="w", right="y", units=units)
-    own = rows.groupBy(F.col(unit).alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"),
-                                                        F.sum(F.col("y") * F.col("y")).alias("yy"))
-    name = F.create_map(*[F.lit(x) for u, i in ((u, i) for i, u in enumerate(units)) for x in (u, i)])
-    s = scores.select("replication", F.col(unit).alias("cluster"), name[F.col(unit)].cast("bigint").alias("gi"), "score")
-    other = s.select("replication", F.col("gi").alias("hi"), F.col("score").alias("score_h"))
-    pulled_w = ww.join(other, "hi").groupBy("replication", "gi").agg(
-        F.sum(F.col("score_h") * F.col("value")).alias("sw"),
-        F.sum(F.when(F.col("gi") == F.col("hi"), F.col("value"))).alias("w_own"),
-    )
-    # value[h, g] of w times y: sum over the first index.
-    pulled_y = wy.select(F.col("gi").alias("hi"), F.col("hi").alias("gi"), "value").join(other, "hi").groupBy(
-        "replication", "gi"
-    ).agg(
-        F.sum(F.col("score_h") * F.col("value")).alias("sp"),
-        F.sum(F.when(F.col("gi") == F.col("hi"), F.col("value"))).alias("p_own"),
-    )
-    parts = s.join(pulled_w, ["replication", "gi"]).join(pulled_y, ["replication", "gi"])
-    whole = parts.groupBy("replication").agg(F.sum(F.col("score") * F.col("sw")).alias("sws"))
-    return parts.join(whole, "replication").join(own, "cluster").select(
-        "replication", "cluster", "n", "sy", "yy",
-        F.lit(0.0).alias("sx_0"),
-        (F.col("score") * F.col("p_own") - F.col("sp") / size).alias("xy_0"),
-        (F.col("score") * F.col("score") * F.col("w_own") - 2.0 * F.col("score") * F.col("sw") / size
-         + F.col("sws") / (size * size)).alias("xx_0_0"),
-    )
+    raw = [draws.normal(seed, F.lit(k).cast("bigint"), F.col(unit)) for k in range(replications)]
+    moments = []
+    for at in range(0, replications, COLUMNS):
+        part = raw[at:at + COLUMNS]
+        row = units.agg(*[f(c).alias(f"{n}{k}") for k, c in enumerate(part) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+        moments += [(row[f"m{k}"], row[f"s{k}"]) for k in range(len(part))]
+    return [F.try_divide(c - F.lit(m), F.lit(d)) for c, (m, d) in zip(raw, moments)]
+
+
+def _placebo_blocks(usable: DataFrame, *, unit: str, period: str, outcome: str, severity: str, replications: int,
+                    seed: int, balanced: bool) -> DataFrame:
+    """Cluster rows of every replication: replications are columns of one panel, some at a time."""
+    units = cut_lineage(usable.select(unit).distinct())
+    scores, parts = _score_columns(units, unit, replications, seed), []
+    for at in range(0, replications, COLUMNS):
+        names = [f"_x{k}" for k in range(at, min(at + COLUMNS, replications))]
+        rows = usable.withColumns({c: scores[int(c[2:])] * F.col(severity) for c in names})
+        within = absorb(rows, [outcome, *names], unit=unit, period=period, balanced=balanced)
+        y = F.col(f"{outcome}_within")
+        sums = within.groupBy(F.col(unit).alias("cluster")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("yy"),
+            *[F.sum(e).alias(f"{c}{tag}") for c in names for tag, e in (
+                ("s", F.col(f"{c}_within")), ("p", F.col(f"{c}_within") * y), ("q", F.pow(F.col(f"{c}_within"), F.lit(2))))],
+        )
+        stacked = F.explode(F.array(*[
+            F.struct(F.lit(int(c[2:])).cast("bigint").alias("replication"), F.col(f"{c}s").alias("sx_0"),
+                     F.col(f"{c}p").alias("xy_0"), F.col(f"{c}q").alias("xx_0_0")) for c in names]))
+        parts.append(sums.select("cluster", "n", "sy", "yy", stacked.alias("_r")).select(
+            "_r.replication", "cluster", "n", "sy", "yy", "_r.sx_0", "_r.xy_0", "_r.xx_0_0"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def placebo(df: DataFrame, *, outcome: str, severity: str, unit: str, period: str, mde: float,
-            replications: int = 200, bootstrap_draws: int = 199, seed: int = 20260815,
-            balanced: bool | None = None, method: str = "auto") -> DataFrame:
+            replications: int = 200, bootstrap_draws: int = 199, seed: int = draws.SEED,
+            balanced: bool | None = None) -> DataFrame:
     """Random per-unit scores through the interaction test, one row per replication.
 
-    Every unit takes part, covered or not.
+    Every unit takes part, covered or not. Eager: one pass over the panel for every ``COLUMNS``
+    replications.
     """
     usable = df.dropna(subset=[outcome, severity, unit, period]).select(unit, period, outcome, severity)
-    scores = unit_scores(df, unit, replications=replications, seed=seed)
     if balanced is None:
         balanced = is_balanced(usable, unit=unit, period=period, single=True)
-    units = _unit_list(usable, unit) if balanced and method != "rows" else None
-    if units:
-        blocks = _placebo_blocks_matrix(usable, unit=unit, period=period, outcome=outcome, severity=severity,
-                                        units=units, scores=scores)
-    else:
-        rows = usable.join(scores, unit).withColumn("_x", F.col("score") * F.col(severity))
-        within = absorb(rows, [outcome, "_x"], unit=unit, period=period, keys=["replication"], balanced=balanced)
-        blocks = cluster_blocks(within, outcome=f"{outcome}_within", regressors=["_x_within"], cluster=unit,
-                                keys=["replication"])
+    blocks = _placebo_blocks(usable, unit=unit, period=period, outcome=outcome, severity=severity,
+                             replications=replications, seed=seed, balanced=balanced)
     result = infer(cut_lineage(blocks), ["placebo"], keys=["replication"], bootstrap_draws=bootstrap_draws, seed=seed + 1)
     return result.select(
         "replication", "estimate", "wild_p_value", (F.abs("estimate") / F.lit(mde)).alias("abs_estimate_over_mde"),
@@ -155,88 +113,65 @@ def placebo(df: DataFrame, *, outcome: str, severity: str, unit: str, period: st
     )
 
 
-def _assignments(units: DataFrame, unit: str, *, effects: int, simulations: int, seed: int) -> DataFrame:
-    """(effect_id, simulation, target unit, source unit): clusters drawn with replacement.
+def _numbered(units: DataFrame, unit: str) -> DataFrame:
+    """(unit, _id from 0, _G): numbers within hash buckets plus the sizes of the buckets before."""
+    listed = units.select(unit).distinct().withColumn("_b", F.pmod(F.xxhash64(unit), F.lit(NUMBER_BUCKETS)))
+    sizes = listed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_from"),
+                          F.sum("_n").over(Window.partitionBy()).alias("_G"))
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy(unit)) - 1
+    return listed.withColumn("_in", inside).join(before, "_b").select(
+        unit, (F.col("_from") + F.col("_in")).cast("bigint").alias("_id"), "_G")
 
-    Units are numbered in one small window over the unit list.
-    """
-    listed = units.select(unit).distinct()
-    numbered = listed.select(
-        unit,
-        (F.row_number().over(Window.orderBy(unit)) - 1).cast("bigint").alias("_id"),
-        F.count(F.lit(1)).over(Window.partitionBy()).alias("_G"),
-    )
-    runs = numbered.withColumn("effect_id", F.explode(_upto(effects))).withColumn(
-        "simulation", F.explode(_upto(simulations))
-    )
-    source = draws.choice(seed, F.col("_G"), F.col("effect_id"), F.col("simulation"), F.col(unit))
+
+def _assignments(units: DataFrame, unit: str, *, simulations: int, seed: int) -> DataFrame:
+    """(simulation, target unit, source unit): clusters drawn with replacement."""
+    numbered = cut_lineage(_numbered(units, unit))
+    runs = numbered.withColumn("simulation", F.explode(_upto(simulations)))
+    source = draws.choice(seed, F.col("_G"), F.col("simulation"), F.col(unit))
     return runs.withColumn("_source", source).join(
         numbered.select(F.col("_id").alias("_source"), F.col(unit).alias("source")), "_source"
-    ).select("effect_id", "simulation", F.col(unit).alias("target_unit"), "source")
-
-
-def _power_blocks_matrix(rows: DataFrame, *, unit: str, period: str, units: list, grid: Sequence[float],
-                         simulations: int, seed: int) -> DataFrame:
-    """Cluster rows per (effect, simulation) from C[g,h] = sum_t x[g,t] r[h,t].
-
-    With x demeaned, demeaning the resampled panel again changes a score only by the
-    mean over targets of C.
-    """
-    size = float(len(units))
-    cross = unit_moments(rows, unit=unit, period=period, left="x", right="r", units=units)
-    own = rows.groupBy(F.col(unit).alias("cluster")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("x") * F.col("x")).alias("d"),
-    )
-    name = F.create_map(*[F.lit(x) for u, i in ((u, i) for i, u in enumerate(units)) for x in (u, i)])
-    drawn = _assignments(rows, unit, effects=len(grid), simulations=simulations, seed=seed).select(
-        "effect_id", "simulation", F.col("target_unit").alias("cluster"),
-        name[F.col("target_unit")].cast("bigint").alias("gi"), name[F.col("source")].cast("bigint").alias("hi"),
-    )
-    used = drawn.groupBy("effect_id", "simulation", "hi").agg(F.count(F.lit(1)).alias("times"))
-    mean_score = cross.join(used, "hi").groupBy("effect_id", "simulation", "gi").agg(
-        (F.sum(F.col("value") * F.col("times")) / size).alias("mean_c")
-    )
-    effect = F.get(F.array(*[F.lit(float(e)) for e in grid]), F.col("effect_id").cast("int"))
-    return (
-        drawn.join(cross, ["gi", "hi"], "left")
-        .join(mean_score, ["effect_id", "simulation", "gi"])
-        .join(own, "cluster")
-        .select(
-            "effect_id", "simulation", "cluster", "n", F.lit(0.0).alias("sy"), F.lit(0.0).alias("yy"),
-            F.lit(0.0).alias("sx_0"),
-            (F.coalesce(F.col("value"), F.lit(0.0)) - F.col("mean_c") + effect * F.col("d")).alias("xy_0"),
-            F.col("d").alias("xx_0_0"),
-        )
-    )
+    ).select("simulation", F.col(unit).alias("target_unit"), "source")
 
 
-def _power_blocks_rows(rows: DataFrame, *, unit: str, period: str, grid: Sequence[float], simulations: int, seed: int,
-                       balanced: bool) -> DataFrame:
-    """Cluster rows per (effect, simulation) by rebuilding the panel row by row.
+def _power_blocks(rows: DataFrame, *, unit: str, period: str, grid: Sequence[float], simulations: int, seed: int,
+                  balanced: bool) -> DataFrame:
+    """Cluster rows per (effect, simulation).
 
-    A source series is matched by position and repeated when it is the shorter one.
+    A simulation gives every unit the residuals of a drawn one, matched by position and repeated
+    when the source series is the shorter one. Draws are shared by all effects: an effect adds
+    itself times the regressor, so it enters the cluster sums of a simulation linearly, and only
+    the drawn (target, source) pairs are ever joined.
     """
     by_unit = Window.partitionBy(unit).orderBy(period)
     placed = rows.withColumn("_pos", F.row_number().over(by_unit) - 1)
     lengths = rows.groupBy(F.col(unit).alias("source")).agg(F.count(F.lit(1)).alias("_len"))
-    drawn = _assignments(rows, unit, effects=len(grid), simulations=simulations, seed=seed).join(lengths, "source")
+    drawn = _assignments(rows, unit, simulations=simulations, seed=seed).join(lengths, "source")
     source = placed.select(F.col(unit).alias("source"), F.col("_pos").alias("_at"), F.col("r").alias("_r"))
-    effect = F.get(F.array(*[F.lit(float(e)) for e in grid]), F.col("effect_id").cast("int"))
-    keys = ["effect_id", "simulation"]
     trial = (
-        placed.join(drawn.withColumnRenamed("target_unit", unit), unit)
+        placed.select(unit, period, "x", "_pos").join(drawn.withColumnRenamed("target_unit", unit), unit)
         .withColumn("_at", F.pmod(F.col("_pos"), F.col("_len")).cast("int"))
         .join(source, ["source", "_at"])
-        .select(*keys, unit, period, "x", (F.col("_r") + effect * F.col("raw")).alias("y"))
+        .select("simulation", unit, period, "x", "_r")
     )
-    within = absorb(trial, ["x", "y"], unit=unit, period=period, keys=keys, balanced=balanced)
-    return cluster_blocks(within, outcome="y_within", regressors=["x_within"], cluster=unit, keys=keys)
+    within = absorb(trial, ["_r"], unit=unit, period=period, keys=["simulation"], balanced=balanced)
+    x, y = F.col("x"), F.col("_r_within")
+    sums = cut_lineage(within.groupBy("simulation", F.col(unit).alias("cluster")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("yy"), F.sum(x).alias("sx_0"),
+        F.sum(x * y).alias("xy_0"), F.sum(x * x).alias("xx_0_0")))
+    effects = F.array(*[F.lit(float(e)) for e in grid])
+    e = F.col("_e")
+    return sums.select("*", F.posexplode(effects).alias("effect_id", "_e")).select(
+        F.col("effect_id").cast("bigint").alias("effect_id"), "simulation", "cluster", "n",
+        (F.col("sy") + e * F.col("sx_0")).alias("sy"),
+        (F.col("yy") + 2.0 * e * F.col("xy_0") + e * e * F.col("xx_0_0")).alias("yy"),
+        "sx_0", (F.col("xy_0") + e * F.col("xx_0_0")).alias("xy_0"), "xx_0_0")
 
 
 def power_curve(df: DataFrame, *, outcome: str, unit: str, period: str, severity: str,
                 effect_grid: Sequence[float] | None = None, simulations: int = 200, bootstrap_draws: int = 199,
-                target_power: float = 0.80, alpha: float = 0.05, seed: int = 20260815,
-                balanced: bool | None = None, method: str = "auto") -> tuple[DataFrame, DataFrame]:
+                target_power: float = 0.80, alpha: float = 0.05, seed: int = draws.SEED,
+                balanced: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """Rejection share per true effect, and the smallest effect that reaches target power.
 
     Residuals are resampled a whole unit at a time, which keeps their serial
@@ -255,13 +190,7 @@ def power_curve(df: DataFrame, *, outcome: str, unit: str, period: str, severity
         F.avg(F.abs("level")).alias("mean_abs_error"), F.stddev_pop("raw").alias("interaction_sd"),
     ).first()
     grid = list(effect_grid) if effect_grid is not None else [m * facts["residual_sd"] for m in EFFECT_MULTIPLES]
-    units = _unit_list(rows, unit) if balanced and method != "rows" else None
-    if units:
-        blocks = _power_blocks_matrix(rows, unit=unit, period=period, units=units, grid=grid,
-                                      simulations=simulations, seed=seed + 1)
-    else:
-        blocks = _power_blocks_rows(rows, unit=unit, period=period, grid=grid, simulations=simulations, seed=seed + 1,
-                                    balanced=balanced)
+    blocks = _power_blocks(rows, unit=unit, period=period, grid=grid, simulations=simulations, seed=seed + 1, balanced=balanced)
     keys = ["effect_id", "simulation"]
     blocks = cut_lineage(blocks)
     fits = fit_from_blocks(blocks, ["interaction"], keys=keys)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitpanel.functions import draws
 from pitpanel.operators import features as feat
 from pitpanel.operators import interaction as inter
 from pitpanel.operators import lookup as lk
@@ -40,7 +41,7 @@ def zone_features(slim: DataFrame, lookup: DataFrame, *, as_of: dt.date, expecte
 def register_test(panel: DataFrame, features: DataFrame, levels: DataFrame, *, mde: float, unit: str = "ldz",
                   period: str = "gas_day", forecast: str = "ng_forecast_mscm", outcome: str = "demand_mscm_d1",
                   severity_source: str = "cwv_forecast", replications: int = 200, bootstrap_draws: int = 999,
-                  seed: int = 20260815) -> RegisterResult:
+                  seed: int = draws.SEED) -> RegisterResult:
     """Placebo on all units, then the pre-specified feature, the others, and one-effect sensitivities."""
     merged = inter.interaction_panel(panel, features, unit=unit, forecast=forecast, outcome=outcome,
                                      severity_source=severity_source)

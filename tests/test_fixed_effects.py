@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from pitpanel.functions import draws
 from pitpanel.operators import fixed_effects as fe
 from pitpanel.operators import interaction as inter
 from pitpanel.operators import simulation as sim
@@ -137,32 +138,40 @@ def test_one_set_of_effects(spark, unit_effects, period_effects, by):
     assert np.allclose(out["y_within"].to_numpy(), want.to_numpy())
 
 
-def test_placebo_paths_agree(spark):
-    df = spark.createDataFrame(panel(units=7, periods=20))
-    run = dict(outcome="y", severity="severity", unit="unit", period="t", mde=0.1, replications=4, bootstrap_draws=49)
-    fast = sim.placebo(df, **run).orderBy("replication").toPandas()
-    slow = sim.placebo(df, method="rows", **run).orderBy("replication").toPandas()
-    general = sim.placebo(df, balanced=False, **run).orderBy("replication").toPandas()
-    for other in (slow, general):
-        assert np.allclose(fast["estimate"], other["estimate"], atol=1e-9)
-        assert np.allclose(fast["wild_p_value"], other["wild_p_value"])
-    assert np.allclose(fast["abs_estimate_over_mde"], fast["estimate"].abs() / 0.1)
-
-
-def test_power_paths_agree_and_power_rises(spark):
+@pytest.mark.parametrize("frac", [1.0, 0.85])
+def test_placebo_equals_a_direct_fit_also_with_constant_severity(spark, frac):
+    d = panel(units=6, periods=40)
+    d.loc[d.unit == d.unit.iloc[0], "severity"] = 1.5
+    d = d.sample(frac=frac, random_state=2)
+    df = spark.createDataFrame(d)
+    run = dict(outcome="y", severity="severity", unit="unit", period="t", mde=0.1, replications=30, bootstrap_draws=49)
+    got = sim.placebo(df, **run).orderBy("replication").toPandas()
+    scores = sim.unit_scores(df, "unit", replications=30, seed=draws.SEED).toPandas()
+    dummies = np.hstack([np.ones((len(d), 1)), *[np.eye(len(set(v)))[np.unique(v, return_inverse=True)[1]] for v in (d.unit, d.t)]])
+    residual = np.eye(len(d)) - dummies @ np.linalg.pinv(dummies)
+    y = residual @ d.y.to_numpy()
+    for k, row in got.iterrows():
+        s = scores[scores.replication == row.replication].set_index("unit").score
+        x = residual @ (d.unit.map(s).to_numpy() * d.severity.to_numpy())
+        assert np.isclose(row.estimate, x @ y / (x @ x), atol=1e-6)
+    assert set(got.n_obs) == {len(d)} and set(got.n_clusters) == {6} and len(got) == 30
+    assert np.allclose(got["abs_estimate_over_mde"], got["estimate"].abs() / 0.1)
+
+
+def test_power_rises_and_balance_does_not_matter(spark):
     df = spark.createDataFrame(panel(units=7, periods=20))
     run = dict(outcome="y", unit="unit", period="t", severity="severity", simulations=12, bootstrap_draws=39,
-               effect_grid=[0.0, 0.4, 1.5], target_power=0.7)
+               effect_grid=[0.0, 0.4, 3.0], target_power=0.7)
     curve, summary = sim.power_curve(df, **run)
     fast = curve.orderBy("effect_id").toPandas()
-    slow = sim.power_curve(df, method="rows", **run)[0].orderBy("effect_id").toPandas()
+    slow = sim.power_curve(df, balanced=False, **run)[0].orderBy("effect_id").toPandas()
     assert np.allclose(fast["power"], slow["power"])
     assert fast["power"].iloc[0] <= 0.4 and fast["power"].iloc[2] >= 0.8
     row = summary.first()
-    assert row["mde"] in (0.4, 1.5) and row["n_clusters"] == 7 and row["size_at_zero"] == fast["power"].iloc[0]
+    assert row["mde"] in (0.4, 3.0) and row["n_clusters"] == 7 and row["size_at_zero"] == fast["power"].iloc[0]
 
 
-def test_power_on_an_unbalanced_panel_runs_by_rows(spark):
+def test_power_on_an_unbalanced_panel(spark):
     d = panel(units=5, periods=15).sample(frac=0.9, random_state=3)
     curve, _ = sim.power_curve(spark.createDataFrame(d), outcome="y", unit="unit", period="t", severity="severity",
                                simulations=5, bootstrap_draws=19, effect_grid=[0.0, 3.0])
