@@ -76,14 +76,14 @@ FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-2
 def shared_key_check(spark: SparkSession, sf: str) -> DataFrame:
     """Customers on both sides of a date, the leak a split must not have."""
     orders = table(spark, sf, "orders")
-    train = orders.filter(F.col("o_orderdate") < "1995-06-01")
-    test = orders.filter(F.col("o_orderdate") >= "2001-06-01")
+    train = orders.filter(F.col("o_orderdate") < "1998-06-01")
+    test = orders.filter(F.col("o_orderdate") >= "1998-06-01")
     return shape(guards.shared_keys(train, test, ["o_custkey"]), o_custkey="int")
 
 
 SHARED_SQL = f"""
-SELECT {i('o_custkey')} AS o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1995-06-01'
-INTERSECT SELECT {i('o_custkey')} FROM orders WHERE o_orderdate >= TIMESTAMP '2001-06-01'
+SELECT {i('o_custkey')} AS o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1998-06-01'
+INTERSECT SELECT {i('o_custkey')} FROM orders WHERE o_orderdate >= TIMESTAMP '1998-06-01'
 """
 
 

@@ -105,6 +105,8 @@ def absorb_sweeps(df: DataFrame, columns: Sequence[str], *, unit: str, period: s
         periods = periods.drop(*[f"_old_{c}" for c in columns])
         if change < tolerance:
             break
+    else:
+        raise DataGuardError(f"effects still moved by {change:.3g} after {max_sweeps} sweeps (tolerance {tolerance:.3g})")
     return df.join(units, by_unit, "left").join(periods, by_period, "left").select(*df.columns, *[
         (F.col(c) - F.col(f"_u_{c}") - F.col(f"_p_{c}")).alias(c + suffix) for c in columns
     ])

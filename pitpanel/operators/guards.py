@@ -63,12 +63,17 @@ def assert_in_plan(value: Column, bad: Column, message: str) -> Column:
 def require_units(df: DataFrame, unit: str, expected: DataFrame) -> DataFrame:
     """Refuse a panel in which an expected unit has no row at all."""
     absent = missing_units(df, unit, expected)
-    some = [r[0] for r in absent.orderBy(unit).limit(20).collect()]
-    if some:
-        raise DataGuardError(f"units absent, refusing a partial panel: {some}")
+    count, some = _examples(absent, unit)
+    if count:
+        raise DataGuardError(f"{count} units absent, refusing a partial panel; first: {some}")
     return df
 
 
+def _examples(rows: DataFrame, column: str) -> tuple[int, list]:
+    """How many rows there are, and the first 20 values for the message."""
+    return rows.count(), [r[0] for r in rows.orderBy(column).limit(20).collect()]
+
+
 def missing_units(df: DataFrame, unit: str, expected: DataFrame) -> DataFrame:
     """Expected units without a row.
 
@@ -81,10 +86,9 @@ def missing_units(df: DataFrame, unit: str, expected: DataFrame) -> DataFrame:
 def require_same_codes(df: DataFrame, column: str, expected: DataFrame) -> DataFrame:
     """Refuse unless both sides hold the same set of codes."""
     extra = df.select(column).distinct().join(expected.select(column).distinct(), column, "left_anti")
-    unknown = [r[0] for r in extra.orderBy(column).limit(20).collect()]
-    absent = [r[0] for r in missing_units(df, column, expected).orderBy(column).limit(20).collect()]
-    if unknown or absent:
-        raise DataGuardError(f"codes differ: unknown {unknown}, absent {absent}")
+    (n_extra, unknown), (n_absent, absent) = _examples(extra, column), _examples(missing_units(df, column, expected), column)
+    if n_extra or n_absent:
+        raise DataGuardError(f"codes differ: unknown {unknown} ({n_extra} in all), absent {absent} ({n_absent} in all)")
     return df
 
 

@@ -28,16 +28,18 @@ def hourly_rows(responses: DataFrame, *, variable: str, value: str, body: str =
     schema = T.ArrayType(T.StructType([T.StructField("hourly", hourly)]))
     parsed = responses.select(F.from_json(body, schema, {"mode": "FAILFAST"}).alias("_locations"), F.col(points).alias("_ids"))
     matched = parsed.select(
-        assert_in_plan(F.col("_locations"), F.size("_locations") != F.size("_ids"), "locations and points differ in number").alias("_locations"),
+        assert_in_plan(F.col("_locations"), ~F.coalesce(F.size("_locations") == F.size("_ids"), F.lit(False)),
+                       "response empty, or locations and points differ in number").alias("_locations"),
         "_ids",
     )
     located = matched.select("_ids", F.posexplode("_locations").alias("_at", "_location"))
     times, values = F.col("_location.hourly.time"), F.col("_location.hourly").getField(variable)
     zipped = assert_in_plan(F.arrays_zip(times.alias("t"), values.alias("v")), F.size(times) != F.size(values),
                             "times and values differ in number")
-    return located.select(F.get("_ids", F.col("_at")).alias("point_id"), F.explode(zipped).alias("_h")).select(
+    hours = located.select(F.get("_ids", F.col("_at")).alias("point_id"), F.explode(zipped).alias("_h")).select(
         F.col("_h.t").try_cast("timestamp_ntz").alias("time_utc"), "point_id", parsing.number("_h.v").alias(value)
     )
+    return hours.withColumn("time_utc", assert_in_plan(F.col("time_utc"), F.col("time_utc").isNull(), "unreadable time"))
 
 
 def forecast_temperature(responses: DataFrame, *, lead_days: int, start: dt.date, end: dt.date, archive_start: dt.date,
@@ -76,13 +78,16 @@ def feature_rows(pages: DataFrame, attributes: Sequence[str], *, body: str = "bo
 
 
 def holiday_rows(bodies: DataFrame, divisions: Sequence[str], *, body: str = "body") -> DataFrame:
-    """(date, division, title) from a map of divisions to event lists."""
+    """(date, division, title) from a map of divisions to event lists; a lacking division or unreadable date fails the job."""
     event = T.StructType([T.StructField("title", T.StringType()), T.StructField("date", T.StringType())])
     schema = T.MapType(T.StringType(), T.StructType([T.StructField("events", T.ArrayType(event))]))
-    entries = bodies.select(F.explode(F.from_json(body, schema, {"mode": "FAILFAST"})).alias("division", "entry"))
-    return entries.filter(F.col("division").isin(*divisions)).select("division", F.inline("entry.events")).select(
+    parsed = bodies.select(F.from_json(body, schema, {"mode": "FAILFAST"}).alias("_map"))
+    complete = F.coalesce(F.size(F.array_except(F.array(*map(F.lit, divisions)), F.map_keys("_map"))) == 0, F.lit(False))
+    entries = parsed.select(F.explode(assert_in_plan(F.col("_map"), ~complete, "a division is absent")).alias("division", "entry"))
+    found = entries.filter(F.col("division").isin(*divisions)).select("division", F.inline("entry.events")).select(
         parsing.parse_date("date", ["yyyy-MM-dd"]).alias("date"), "division", "title"
     )
+    return found.withColumn("date", assert_in_plan(F.col("date"), F.col("date").isNull(), "unreadable holiday date"))
 
 
 def response_points(bodies: DataFrame, points_by_file: Mapping[str, Sequence[str]]) -> DataFrame:

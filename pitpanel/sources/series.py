@@ -1,6 +1,6 @@
 """Period series from CSV files: forecast beside outcome, and one file per year.
 
-Text first, then typed columns; a date that fits no layout stops the load.
+Text first, then typed columns; a date that fits no layout or an unreadable period stops the load.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitpanel.functions import parsing, timecal
-from pitpanel.operators.guards import refuse_rows, require_columns
+from pitpanel.operators.guards import assert_in_plan, refuse_rows, require_columns
 from pitpanel.operators.pointintime import latest_per_key
 
 
@@ -37,11 +37,15 @@ def period_series(raw: DataFrame, *, date: str, period: str, measures: Mapping[s
         *([timecal.local_clock_utc(F.col(published).try_cast("timestamp_ntz"), tz).alias(published_name)] if published else []),
     )
     refuse_rows(typed, F.col("settlement_date").isNull(), "_text", "dates match none of the known layouts")
+    number = F.col("settlement_period")
+    typed = typed.withColumn("settlement_period", assert_in_plan(number, number.isNull(), "unreadable settlement period"))
     if keep_periods:
         typed = typed.filter(F.col("settlement_period").between(*keep_periods))
     typed = typed.drop("_text").withColumn(
         "settlement_datetime", timecal.period_end_utc("settlement_date", "settlement_period", tz)
     )
+    instant = F.col("settlement_datetime")
+    typed = typed.withColumn("settlement_datetime", assert_in_plan(instant, instant.isNull(), "period outside its day"))
     rest = [c for c in typed.columns if c != "settlement_datetime"]
     order = ([published_name] if published else []) + [c for c in rest if c != published_name]
     return latest_per_key(typed, ["settlement_datetime"], order=order, keep=rest)

@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 from pitpanel.operators.pointintime import vintage_diff
 
 SCHEMA_VERSION = 1
-SHOWN_URLS = 20
 
 PROVENANCE = T.StructType([
     T.StructField("dataset", T.StringType()),
@@ -92,7 +91,7 @@ def snapshot(spark: SparkSession, root: str, *, dataset: str, vintage: str, pull
     stored = spark.read.parquet(path)
     facts = content_hash(stored).first()
     row = (
-        dataset, list(urls)[:SHOWN_URLS], len(urls), dt.datetime.now(tz=dt.timezone.utc).isoformat(timespec="seconds"),
+        dataset, list(urls), len(urls), dt.datetime.now(tz=dt.timezone.utc).isoformat(timespec="seconds"),
         licence, vintage, publication_lag, facts["rows"], facts["content_hash"], notes,
         {k: str(v) for k, v in (params or {}).items()}, SCHEMA_VERSION, revision,
     )

@@ -6,14 +6,16 @@ from pyspark.sql import functions as F
 from pitpanel.operators import pointintime as pit
 from pitpanel.operators.guards import DataGuardError, missing_units, require_units
 
+# Two publications on the calendar day before, one after midnight but before the business day
+# opens at five, three too late; the latest values are not the largest.
 HISTORY = [
-    ("2025-01-14 13:15", 16.10), ("2025-01-14 16:15", 15.80), ("2025-01-15 00:15", 15.95), ("2025-01-15 10:15", 14.90),
-    ("2025-01-15 13:15", 14.90), ("2025-01-15 16:15", 15.00), ("2025-01-15 21:15", 15.30), ("2025-01-16 00:15", 15.35),
+    ("2023-06-07 06:40", 41.5), ("2023-06-07 19:05", 39.25), ("2023-06-08 04:59", 40.0), ("2023-06-08 05:00", 43.5),
+    ("2023-06-08 12:30", 38.0), ("2023-06-09 01:00", 44.75),
 ]
 
 
-def history(spark, rows=HISTORY, unit="EA", shift=0, add=0.0):
-    day = dt.date(2025, 1, 15) + dt.timedelta(days=shift)
+def history(spark, rows=HISTORY, unit="u1", shift=0, add=0.0):
+    day = dt.date(2023, 6, 8) + dt.timedelta(days=shift)
     data = [(day, unit, dt.datetime.fromisoformat(t) + dt.timedelta(days=shift), v + add) for t, v in rows]
     return spark.createDataFrame(data, "gas_day date, ldz string, generated_at timestamp_ntz, value double")
 
@@ -23,16 +25,16 @@ def choose(df, gate):
 
 
 @pytest.mark.parametrize("gate, value", [
-    (pit.Gate.FIRST_BEFORE_DAY, 16.10), (pit.Gate.LAST_BEFORE_DAY, 15.80), (pit.Gate.LAST_BEFORE_OPEN, 15.95),
+    (pit.Gate.FIRST_BEFORE_DAY, 41.5), (pit.Gate.LAST_BEFORE_DAY, 39.25), (pit.Gate.LAST_BEFORE_OPEN, 40.0),
 ])
 def test_each_gate_sees_its_own_publication(spark, gate, value):
     rows = choose(history(spark), gate).collect()
     assert len(rows) == 1 and rows[0]["value"] == value
-    assert rows[0]["generated_at"] < dt.datetime(2025, 1, 15, 5)
+    assert rows[0]["generated_at"] < dt.datetime(2023, 6, 8, 5)
 
 
 def test_nothing_legal_is_an_error_not_a_late_value(spark):
-    late = history(spark, [r for r in HISTORY if r[0] >= "2025-01-15 10"])
+    late = history(spark, [r for r in HISTORY if r[0] >= "2023-06-08 05:00"])
     for gate in pit.Gate:
         chosen = choose(late, gate)
         assert chosen.count() == 0
@@ -41,18 +43,19 @@ def test_nothing_legal_is_an_error_not_a_late_value(spark):
 
 
 def test_units_and_days_are_independent(spark):
-    df = history(spark).union(history(spark, unit="SC", add=100.0))
-    for shift in range(1, 5):
-        df = df.union(history(spark, shift=shift))
+    parts = [history(spark), history(spark, unit="u2", add=-7.5), *(history(spark, shift=k) for k in (1, 2, 6))]
+    df = parts[0]
+    for part in parts[1:]:
+        df = df.unionByName(part)
     rows = choose(df, pit.Gate.LAST_BEFORE_DAY)
-    assert rows.count() == 6 == rows.select("gas_day", "ldz").distinct().count()
-    got = {r["ldz"]: r["value"] for r in rows.filter(F.col("gas_day") == "2025-01-15").collect()}
-    assert got == {"EA": 15.80, "SC": 115.80}
+    assert rows.count() == 5 == rows.select("gas_day", "ldz").distinct().count()
+    got = {r["ldz"]: r["value"] for r in rows.filter(F.col("gas_day") == "2023-06-08").collect()}
+    assert got == {"u1": 39.25, "u2": 31.75}
 
 
 def test_first_gate_admits_any_earlier_date(spark):
-    df = history(spark, [("2025-01-12 09:00", 1.0), *HISTORY])
-    assert choose(df, pit.Gate.FIRST_BEFORE_DAY).first()["value"] == 1.0
+    df = history(spark, [("2023-05-30 23:59", 2.5), *HISTORY])
+    assert choose(df, pit.Gate.FIRST_BEFORE_DAY).first()["value"] == 2.5
 
 
 def test_latest_as_of_ignores_later_records_and_falls_back_to_the_record_id(spark):

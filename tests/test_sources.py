@@ -183,3 +183,19 @@ def test_register_extract_resumes_prunes_and_dedupes(spark, tmp_path):
     assert set(out) == {"U:7", "C:c3"} and out["U:7"]["postcode"] == "M1 1AA"
     plan = slim._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(cert_year" in plan
+
+
+def test_unreadable_periods_times_and_holidays_fail_the_load(spark, tmp_path):
+    path = write(tmp_path / "bad.csv", "Date,SP,F,Pub\n2024-07-15,1,1,2024-07-14 09:45:00\n2024-07-15,x,2,2024-07-14 09:45:00\n")
+    with pytest.raises(Exception, match="unreadable settlement period"):
+        series.read_forecast_and_outcome(spark, path, date="Date", period="SP", measures={"f": "F"}, published="Pub", tz=TZ).collect()
+    hours = json.dumps([{"hourly": {"time": ["2024-01-01T00:00", "soon"], "temperature_2m": ["1", "2"]}}])
+    for body_text, message in ((hours, "unreadable time"), (None, "response empty")):
+        bodies = spark.createDataFrame([(body_text, ["a"])], "body string, point_ids array<string>")
+        with pytest.raises(Exception, match=message):
+            nested.hourly_rows(bodies, variable="temperature_2m", value="v").collect()
+    days = {"north": {"events": [{"title": "x", "date": "2024-13-01"}]}}
+    for text, wanted, message in ((json.dumps(days), ["north"], "unreadable holiday"), (json.dumps(days), ["south"], "division is absent"),
+                                  (None, ["north"], "division is absent")):
+        with pytest.raises(Exception, match=message):
+            nested.holiday_rows(spark.createDataFrame([(text,)], "body string"), wanted).collect()
