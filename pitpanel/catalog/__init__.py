@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pitpanel.catalog import calendars, evaluation, feeds, gates, inference, lookups, spatial, walkforward
+from pitpanel.catalog import calendars, checks, evaluation, feeds, gates, inference, lookups, spatial, walkforward
 from pitpanel.catalog.base import Query
 
-MODULES = (gates, calendars, lookups, spatial, evaluation, walkforward, inference, feeds)
+MODULES = (gates, calendars, lookups, spatial, evaluation, walkforward, inference, feeds, checks)
 
 
 def catalog() -> dict[str, Query]:

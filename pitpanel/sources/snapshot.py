@@ -115,8 +115,10 @@ def restated_rows(spark: SparkSession, root: str, dataset: str, vintage: str, *,
                         keys=keys, values=values)
 
 
-def write_table(df: DataFrame, path: str, *, fmt: str = "parquet") -> None:
-    """Result tables as Parquet, CSV with header, or JSON."""
+def write_table(df: DataFrame, path: str, *, fmt: str = "parquet", order: Sequence[str] = ()) -> None:
+    """Result tables as Parquet, CSV with header, or JSON; with ``order``, files in order and rows in order within."""
+    if order:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
     writer = df.write.mode("overwrite")
     if fmt == "csv":
         writer.option("header", True).csv(path)
