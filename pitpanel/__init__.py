@@ -1,7 +1,7 @@
 """Point-in-time panel analytics as user-level PySpark operators.
 
-Every operator takes and returns a lazy ``DataFrame`` (or ``Column``); column
-names are parameters.  See ``README.md`` for the map from task to module.
+Operators take and return a ``DataFrame`` (or ``Column``), lazy unless the docstring says
+eager (placebo, power, unbalanced effects, guards); column names are parameters.  See ``README.md`` for the map from task to module.
 """
 
 import sys

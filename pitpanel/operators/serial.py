@@ -28,6 +28,8 @@ def _ordinal(df: DataFrame, name: str) -> Column:
         return F.unix_date(F.col(name)).cast("double")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+    if isinstance(kind, T.StringType):  # the first six bytes keep the order of the texts
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(name, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
     return F.col(name).cast("double")
 
 
@@ -55,20 +57,15 @@ def lag_products(df: DataFrame, *, value: Column | str, order: Sequence[str], gr
     group, order = list(group), list(order)
     x = F.col(value) if isinstance(value, str) else value
     rows = df.select(*group, *order, x.cast("double").alias("_x")).filter(F.col("_x").isNotNull())
-    first = _ordinal(rows, order[0])
-    size = (
-        rows.groupBy(*group)
-        .agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("lo"), F.max(first).alias("hi"))
-        .agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .first()
-    )
-    largest = size["n"] or 0
+    largest = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if largest <= rows_per_task:
         centred = rows.withColumn("_mean", F.avg("_x").over(Window.partitionBy(*group)))
         centred = centred.withColumn("_c", F.col("_x") - F.col("_mean"))
         return _lag_sums(centred, group, group, order, max_lag)
 
     # Position in a large group = rows in earlier chunks + row number in its chunk.
+    first = _ordinal(rows, order[0])
+    size = rows.agg(F.min(first).alias("lo"), F.max(first).alias("hi")).first()
     chunks = 4 * math.ceil(largest / rows_per_task)
     width = max(size["hi"] - size["lo"], 1e-9)
     chunk = F.least(F.floor((first - F.lit(size["lo"])) / F.lit(width) * chunks), F.lit(chunks - 1))

@@ -81,3 +81,11 @@ def test_diebold_mariano_degenerate(spark):
     few = df.filter("t < 9").withColumn("b", F.lit(0.0))
     row = serial.diebold_mariano(few, error_a="a", error_b="b", order=["t"]).first()
     assert row["statistic"] is None and row["p_value"] is None and row["n"] == 9
+
+
+def test_text_order_gives_the_same_sums_whole_and_in_blocks(spark, frame):
+    df = spark.createDataFrame(frame).withColumn("name", F.format_string("%06d", F.col("t").cast("int")))
+    want = {r["g"]: r["lag_products"] for r in serial.lag_products(df, value="x", order=["t"], group=["g"], max_lag=3).collect()}
+    for rows_per_task in (10_000, 200):
+        out = serial.lag_products(df, value="x", order=["name"], group=["g"], max_lag=3, rows_per_task=rows_per_task).collect()
+        assert all(np.allclose(r["lag_products"], want[r["g"]]) for r in out) and len(out) == len(want)
