@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,3 +57,32 @@ def append_columns(df: DataFrame, inputs: list[str], schema: str,
             yield pa.RecordBatch.from_arrays(columns, names=arrow.names)
 
     return df.select(*kept, *extra).mapInArrow(run, out)
+
+
+#: Bits of the filter that ``perhaps_listed`` brings to the tasks: 1 MB, whatever the tables.
+FILTER_BITS = 1 << 23
+
+
+def perhaps_listed(listed: DataFrame) -> Callable[[str], Column]:
+    """A test whether a bigint column may be in the one column of ``listed``: true for all that are, for few that are not.
+
+    A bitmap of hashes of fixed size, so that a join of a few rows with a wide table need not
+    shuffle the wide one whole. Eager in the bitmap.
+    """
+    import numpy as np
+
+    spot = F.pmod(F.xxhash64(listed.columns[0]), F.lit(FILTER_BITS)) + 1
+    rows = (listed.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("part"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits")).collect())
+    bits = np.zeros(FILTER_BITS, bool)
+    for row in rows:
+        part = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little")
+        bits[(row["part"] - 1) * len(part):row["part"] * len(part)] = part
+    table_ = listed.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def found(spots: pd.Series) -> pd.Series:
+        at = spots.to_numpy()
+        return pd.Series((table_.value[at >> 3] >> (7 - (at & 7))) & 1 == 1)
+
+    test = F.pandas_udf(found, "boolean")
+    return lambda key: test(F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from pitpanel.session import cut_lineage
 
 #: Rows, and the sum of ``n``, that a block holds at most, about.
 BLOCK_ROWS, BLOCK_SIZE = 1500, 4_000_000
+#: Nodes of one key that are compared pair by pair; beyond, they are tied to one of them and joined as a family.
+PAIRS = 64
 
 
 def relabel(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -78,18 +81,88 @@ def family_links(members: DataFrame, join: Callable[[DataFrame], DataFrame]) ->
     return relabel(members, join(rows))
 
 
-def families(meets: DataFrame, key: str, salt: str, node: str) -> DataFrame:
-    """(node, family) of all nodes that share a ``key`` with another, directly or through others.
+class Runs:
+    """Rows sorted by (key, salt), batch after batch, to pairs of nodes that share both.
 
-    Per key and salt only the smallest and the largest node are aggregated; the other nodes are
-    tied to the smallest, and the smallest ones of a salted key to the least of them. Salts other
-    than 0 are for keys with very many nodes, which so reach many tasks. ``meets`` is computed
-    and shuffled once: the aggregate and the join use the same partitioning. Eager.
+    Up to PAIRS nodes of one run give every pair whose sizes are within ``percent`` of each
+    other; a longer run gives ties of all nodes to its first, and holds nothing else in memory.
     """
-    dealt = meets.repartition(key, salt)
-    groups = dealt.groupBy(key, salt).agg(F.min(node).alias("lo"), F.max(node).alias("hi"))
-    ties = dealt.join(groups.filter("lo < hi"), [key, salt]).filter(F.col(node) != F.col("lo")).select(node, "lo")
-    salted = groups.filter(F.col(salt) != 0).select(key, F.col("lo").alias(node))
-    least = salted.groupBy(key).agg(F.min(node).alias("lo"))
-    ties = cut_lineage(ties.unionByName(salted.join(least, key).filter(F.col(node) != F.col("lo")).select(node, "lo")).distinct())
-    return connected(ties, node, "lo").select(F.col("node").alias(node), F.col("root").alias("family"))
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.rest = [np.zeros(0, np.int64) for _ in range(4)]
+        self.long: tuple[int, int, int] | None = None  # key, salt and first node of a long run that goes on
+
+    def fits(self, n, m):
+        return 100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)
+
+    def feed(self, rows: list[np.ndarray], last: bool) -> list[np.ndarray]:
+        """(kind, a, b): kind 0 pairs, 1 ties, 2 the first node (b) of a salted key (a)."""
+        key, salt, node, n = (np.concatenate([old, new]) for old, new in zip(self.rest, rows, strict=True))
+        out: list[tuple[int, np.ndarray, np.ndarray]] = []
+        if self.long and len(key):
+            same = (key == self.long[0]) & (salt == self.long[1])
+            out.append((1, np.full(int(same.sum()), self.long[2]), node[same]))
+            if not same.all():
+                self.long = None
+            key, salt, node, n = (x[~same] for x in (key, salt, node, n))
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])) if len(key) else key
+        ends = np.append(starts[1:], len(key)) if len(key) else starts
+        keep = len(key)
+        if len(starts) and not last:
+            if ends[-1] - starts[-1] > PAIRS:
+                self.long = (int(key[starts[-1]]), int(salt[starts[-1]]), int(node[starts[-1]]))
+            else:
+                keep, starts, ends = int(starts[-1]), starts[:-1], ends[:-1]
+        self.rest = [x[keep:] for x in (key, salt, node, n)]
+        heads = starts[salt[starts] != 0] if len(starts) else starts
+        out.append((2, key[heads], node[heads]))
+        size = ends - starts
+        two = starts[size == 2]
+        two = two[(node[two] != node[two + 1]) & self.fits(n[two], n[two + 1])]
+        out.append((0, node[two], node[two + 1]))
+        for a, b in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
+            nodes, first = np.unique(node[a:b], return_index=True)
+            if len(nodes) > PAIRS:
+                out.append((1, np.full(len(nodes), node[a]), nodes))
+            else:
+                i, j = np.triu_indices(len(nodes), 1)
+                sizes = n[a:b][first]
+                near = self.fits(sizes[i], sizes[j])
+                out.append((0, nodes[i[near]], nodes[j[near]]))
+        kind = np.concatenate([np.full(len(a), k, np.int64) for k, a, _ in out])
+        x, y = np.concatenate([a for _, a, _ in out]), np.concatenate([b for _, _, b in out])
+        swap = (kind != 2) & (x > y)
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        return list(np.unique(np.stack([kind, x, y]), axis=1)) if len(kind) else [kind, x, y]
+
+
+def meeting_pairs(meets: DataFrame, percent: int) -> DataFrame:
+    """(kind, a, b) from ``meets`` (key, salt, node, n): nodes that share a key; kind 0: of sizes within ``percent``,
+    kind 1: tied through a key with many nodes.
+
+    One shuffle by key and salt, then a run over sorted rows. Salts other than 0 are for keys
+    with very many nodes, which so reach many tasks; the first nodes of such a key's salts are
+    tied to each other. Eager.
+    """
+    def run(batches):
+        import pyarrow as pa
+
+        runs = Runs(percent)
+        for batch in batches:
+            found = runs.feed([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)], False)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["kind", "a", "b"])
+        found = runs.feed([np.zeros(0, np.int64) for _ in range(4)], True)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["kind", "a", "b"])
+
+    dealt = meets.select("key", "salt", "node", "n").repartition("key", "salt").sortWithinPartitions("key", "salt")
+    found = cut_lineage(dealt.mapInArrow(run, "kind bigint, a bigint, b bigint").distinct())
+    heads = found.filter("kind = 2")
+    least = heads.groupBy("a").agg(F.min("b").alias("least"))
+    ties = heads.join(least, "a").select(F.lit(1).cast("bigint").alias("kind"), F.col("least").alias("a"), "b")
+    return found.filter("kind < 2").unionByName(ties).filter("a != b")
+
+
+def families(pairs: DataFrame, node: str) -> DataFrame:
+    """(node, family) of all nodes of ``pairs`` (a, b), directly or through others. Eager."""
+    return connected(pairs, "a", "b").select(F.col("node").alias(node), F.col("root").alias("family"))

@@ -4,8 +4,8 @@ Lines are normalised (lower case, digits to 0, only letters and digits, single s
 normalised lines are one node. A node's SimHash has 160 bits over its words, in four blocks of
 40: two lines that differ in fewer bits than there are blocks share one, and closer ones are the
 more likely to. Nodes that share a block, directly or through others, form a family; within
-families (cut into blocks of rows if they are large, see ``families``) pairs are verified by edit
-similarity of at least ``similarity``, and linked lines form groups. Of each group the first
+families (cut into blocks of rows if they are large, see ``families``) pairs that share a block are
+verified by edit similarity of at least ``similarity``, and linked lines form groups. Of each group the first
 occurrence stays, by document id, content hash and line number; all others are removed.
 
 A block of 40 bits keeps chance meetings rare up to some 10^11 different lines; ``block_bytes``
@@ -25,22 +25,23 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.llm.common import append_columns
-from pitpanel.llm.families import families, family_links
+from pitpanel.llm.common import append_columns, perhaps_listed
+from pitpanel.llm.families import families, family_links, meeting_pairs
 from pitpanel.session import cut_lineage
 
 BLOCKS, BLOCK_BYTES = 4, 5
-NO_WORD, DIGITS = re.compile(r"[\W_]+"), re.compile(r"\d+")
-#: Pairs of a family whose SimHashes differ in a larger part of the bits are not verified.
-FAR = 0.3
+WORD, DIGITS = re.compile(r"[^\W_]+"), re.compile(r"\d+")
 #: Beyond so many edits, runs of characters are counted first.
 LONG_LIMIT, GRAM = 20, 8
 #: Lines of one batch with equal block from which on the block is dealt over SALTS parts.
 SALT_FROM, SALTS = 32, 64
+#: Words whose hashes a task remembers.
+REMEMBERED = 400_000
 
 
 def normalise(line: str) -> str:
-    return DIGITS.sub("0", NO_WORD.sub(" ", line.lower()).strip())
+    words = " ".join(WORD.findall(line.lower()))
+    return DIGITS.sub("0", words) if DIGITS.search(words) else words
 
 
 def line_digest(line: str) -> bytes:
@@ -49,26 +50,37 @@ def line_digest(line: str) -> bytes:
     return xxh128_digest(line.encode("utf-8"))
 
 
-def simhashes(lines: list[str], size: int) -> np.ndarray:
+class WordHashes(dict):
+    """Hashes of words, remembered; every word has one of ``size`` bytes."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size = size
+
+    def __missing__(self, word: str) -> bytes:
+        from hashlib import blake2b
+
+        from xxhash import xxh32_digest, xxh128_digest
+
+        data = word.encode("utf-8")
+        found = (xxh128_digest(data) + xxh32_digest(data))[:self.size] if self.size <= 20 else blake2b(data, digest_size=self.size).digest()
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = found
+        return found
+
+
+def simhashes(lines: list[str], size: int, known: WordHashes | None = None) -> np.ndarray:
     """(lines, size) bytes; bit k is set if most of the line's words have it in their hash."""
-    from hashlib import blake2b
-
-    from xxhash import xxh32_digest, xxh128_digest
-
-    if size <= 20:
-        def of(word):
-            return (xxh128_digest(word) + xxh32_digest(word))[:size]
-    else:
-        def of(word):
-            return blake2b(word, digest_size=size).digest()
-    out = np.zeros((len(lines), size), np.uint8)
-    for at in range(0, len(lines), 512):
-        words = [line.encode("utf-8").split(b" ") for line in lines[at:at + 512]]
-        counts = np.array([len(w) for w in words])
-        bits = np.unpackbits(np.frombuffer(b"".join(of(x) for w in words for x in w), np.uint8).reshape(-1, size), axis=1)
-        sums = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(counts)[:-1]]), axis=0, dtype=np.int32)
-        out[at:at + 512] = np.packbits(2 * sums > counts[:, None], axis=1)
-    return out
+    known = WordHashes(size) if known is None else known
+    most = np.zeros((len(lines), 8 * size), bool)
+    for k, line in enumerate(lines):
+        words = line.split(" ")
+        bits = np.unpackbits(np.frombuffer(b"".join([known[word] for word in words]), np.uint8).reshape(-1, size), axis=1)
+        # Bytes count up to 255 words, in half the time.
+        sums = bits.sum(axis=0, dtype=np.uint8 if len(words) < 256 else np.int32)
+        most[k] = 2 * sums.astype(np.int32) > len(words)
+    return np.packbits(most, axis=1)
 
 
 def block_keys(hashes: np.ndarray, blocks: int) -> np.ndarray:
@@ -126,29 +138,24 @@ def alike(a: str, b: str, percent: int) -> bool:
     return edit_within(a, b, limit)
 
 
-def group_links(nodes: list[str], labels: list[str], lines: list[str], percent: int, size: int) -> list[tuple[str, str]]:
-    """(label, label) of lines of a block that are alike."""
+def group_links(nodes: list[str], labels: list[str], lines: list[str], percent: int, blocks: int,
+                block_bytes: int) -> list[tuple[str, str]]:
+    """(label, label) of lines of a cell that share a SimHash block and are alike."""
     order = sorted(range(len(nodes)), key=lambda k: (len(lines[k]), lines[k]))
     lines = [lines[k] for k in order]
     distinct, label = np.unique(np.array([labels[k] for k in order]), return_inverse=True)
     lengths, out = np.array([len(x) for x in lines]), []
-
-    def compare(i, j):
-        if label[i] != label[j] and alike(lines[i], lines[j], percent):
-            out.append((str(distinct[label[i]]), str(distinct[label[j]])))
-            label[label == max(label[i], label[j])] = min(label[i], label[j])
-
-    for k in range(len(lines) - 1):
-        compare(k, k + 1)
-    if label.any():
-        maps = simhashes(lines, size)
-        for i in range(len(lines)):
-            near = np.arange(i + 1, int(np.searchsorted(lengths, lengths[i] * 100 // percent, side="right")))
-            near = near[label[near] != label[i]]
-            if len(near):
-                apart = np.bitwise_count(maps[near] ^ maps[i]).sum(axis=1, dtype=np.int64)
-                for j in near[apart <= FAR * 8 * size].tolist():
-                    compare(i, j)
+    keys = block_keys(simhashes(lines, blocks * block_bytes), blocks)
+    for i in range(len(lines) - 1):
+        if not label.any():
+            break
+        near = np.arange(i + 1, int(np.searchsorted(lengths, lengths[i] * 100 // percent, side="right")))
+        near = near[label[near] != label[i]]
+        near = near[(keys[near] == keys[i]).any(axis=1)]
+        for j in near.tolist():
+            if label[i] != label[j] and alike(lines[i], lines[j], percent):
+                out.append((str(distinct[label[i]]), str(distinct[label[j]])))
+                label[label == max(label[i], label[j])] = min(label[i], label[j])
     return out
 
 
@@ -179,11 +186,11 @@ def occurrences(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def postings(docs: DataFrame, text_col: str, blocks: int, block_bytes: int) -> DataFrame:
-    """(key, la): the blocks of every normalised line, once for each task that has it."""
+    """(key, salt, node, n): the blocks of every normalised line, once for each task that has it."""
     def run(batches):
         import pyarrow as pa
 
-        seen: set[int] = set()
+        seen, known = set(), WordHashes(blocks * block_bytes)
         for batch in batches:
             lines: dict[int, str] = {}
             for text in batch.column(0).to_pylist():
@@ -195,27 +202,30 @@ def postings(docs: DataFrame, text_col: str, blocks: int, block_bytes: int) -> D
                             seen.add(a)
                             lines[a] = line
             if lines:
-                keys = block_keys(simhashes(list(lines.values()), blocks * block_bytes), blocks).ravel()
+                keys = block_keys(simhashes(list(lines.values()), blocks * block_bytes, known), blocks).ravel()
                 nodes = np.repeat(np.array(list(lines)), blocks)
+                sizes = np.repeat(np.array([len(x) for x in lines.values()], np.int32), blocks)
                 # A key that many lines of one batch have gets salts, as it may have very many in all;
                 # one of the lines also goes without, to meet lines of other batches.
                 _, first, which, times = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
                 salt = np.where(times[which] >= SALT_FROM, 1 + nodes % SALTS, 0).astype(np.int32)
                 also = first[times >= SALT_FROM]
-                keys, nodes = np.concatenate([keys, keys[also]]), np.concatenate([nodes, nodes[also]])
+                keys, nodes, sizes = (np.concatenate([x, x[also]]) for x in (keys, nodes, sizes))
                 salt = np.concatenate([salt, np.zeros(len(also), np.int32)])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(salt), pa.array(nodes)], names=["key", "salt", "la"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(salt), pa.array(nodes), pa.array(sizes)],
+                                                 names=["key", "salt", "node", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "key bigint, salt int, la bigint")
+    return docs.select(text_col).mapInArrow(run, "key bigint, salt int, node bigint, n int")
 
 
-def joined_lines(docs: DataFrame, rows: DataFrame, text_col: str, percent: int, size: int) -> DataFrame:
+def joined_lines(docs: DataFrame, rows: DataFrame, text_col: str, percent: int, blocks: int, block_bytes: int) -> DataFrame:
     """(a, b) labels of alike lines within each cell of ``rows`` (cell, node, label, row_id, row_key, no)."""
     wanted = rows.groupBy(F.col("row_id").alias("want_id"), F.col("row_key").alias("want_key")).agg(
         F.collect_list(F.struct("no", "cell", "node", "label")).alias("wanted"))
-    texts = (docs.select("row_id", "row_key", text_col)
-             .join(wanted, F.col("row_id").eqNullSafe(F.col("want_id")) & (F.col("row_key") == F.col("want_key")))
-             .select(text_col, "wanted"))
+    wanted = cut_lineage(wanted)
+    near = docs.select("row_id", "row_key", text_col).filter(perhaps_listed(wanted.select("want_key"))("row_key"))
+    same_row = F.col("row_id").eqNullSafe(F.col("want_id")) & (F.col("row_key") == F.col("want_key"))
+    texts = near.join(wanted, same_row).select(text_col, "wanted")
 
     def lines(batches):
         import pyarrow as pa
@@ -233,7 +243,7 @@ def joined_lines(docs: DataFrame, rows: DataFrame, text_col: str, percent: int,
         import pyarrow as pa
 
         found = {node: (label, line) for _, node, label, line in zip(*(c.to_pylist() for c in group.columns), strict=True)}
-        links = group_links(list(found), [v[0] for v in found.values()], [v[1] for v in found.values()], percent, size)
+        links = group_links(list(found), [v[0] for v in found.values()], [v[1] for v in found.values()], percent, blocks, block_bytes)
         return pa.table({"a": pa.array([a for a, _ in links], pa.string()), "b": pa.array([b for _, b in links], pa.string())})
 
     return texts.mapInArrow(lines, "cell string, node string, label string, line string").groupBy("cell").applyInArrow(
@@ -248,9 +258,9 @@ def remove_lines(docs: DataFrame, *, similarity: int = 90, blocks: int = BLOCKS,
     place = F.struct("row_id", "row_key", "no")
     nodes = cut_lineage(found.groupBy("la", "lb").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"),
                                                       F.max("n").alias("n")))
-    members = nodes.join(families(postings(docs, text_col, blocks, block_bytes), "key", "salt", "la"), "la").select(
+    members = nodes.join(families(meeting_pairs(postings(docs, text_col, blocks, block_bytes), similarity), "la"), "la").select(
         "family", F.concat(F.hex("la"), F.lit("."), F.hex("lb")).alias("node"), "la", "lb", "n", "first.*")
-    groups = family_links(cut_lineage(members), lambda rows: joined_lines(keyed, rows, text_col, similarity, blocks * block_bytes))
+    groups = family_links(cut_lineage(members), lambda rows: joined_lines(keyed, rows, text_col, similarity, blocks, block_bytes))
     first = groups.groupBy("label").agg(F.min(place).alias("group_first"))
     groups = groups.join(first, "label").select("la", "lb", "group_first")
     stays = F.coalesce("group_first", "first")
@@ -258,8 +268,12 @@ def remove_lines(docs: DataFrame, *, similarity: int = 90, blocks: int = BLOCKS,
                 .filter((F.col("times") > 1) | (F.col("stays") != F.col("first"))).select("la", "lb", "stays"))
     gone = (found.join(repeated, ["la", "lb"]).filter(~F.col("stays").eqNullSafe(place))
             .groupBy(F.col("row_id").alias("gone_id"), F.col("row_key").alias("gone_key")).agg(F.collect_set("no").alias("gone")))
-    marked = keyed.join(gone, F.col("row_id").eqNullSafe(F.col("gone_id")) & (F.col("row_key") == F.col("gone_key")), "left").drop(
-        "row_id", "row_key", "gone_id", "gone_key")
+    gone = cut_lineage(gone)
+    touched = perhaps_listed(gone.select("gone_key"))("row_key")
+    marked = keyed.filter(touched).join(
+        gone, F.col("row_id").eqNullSafe(F.col("gone_id")) & (F.col("row_key") == F.col("gone_key")), "left")
+    whole = keyed.filter(~touched).withColumn("gone", F.lit(None).cast("array<int>"))
+    marked = marked.drop("gone_id", "gone_key").unionByName(whole).drop("row_id", "row_key")
 
     def start():
         def step(columns):

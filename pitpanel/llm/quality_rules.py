@@ -41,7 +41,7 @@ class Limits:
     min_words: int = 50
     max_repeat_percent: int = 50
     #: Mean log ratio that a document needs.
-    min_ratio: float = -0.15
+    min_ratio: float = -0.13
     max_trusted: int = 20_000
     n_buckets: int = 1 << 16
     smoothing: float = 0.5

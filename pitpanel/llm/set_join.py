@@ -2,8 +2,10 @@
 
 A document's set holds the hashes of its distinct 5-word shingles. Linked sets are similar, so
 they share a shingle among the first n - ceil(0.75 n) + 1 of either in any fixed order; the
-order takes shingles that many documents have last. Sets that share such a shingle, directly or
-through others, form a *family*; no link leaves a family, and most sets are in none.
+order takes shingles that many documents have last. Pairs of sets that share such a shingle and
+whose sizes and bitmaps allow a link, taken together, make *families*; no link leaves a family,
+and most sets are in none. (A shingle with more than ``families.PAIRS`` sets makes all of them one
+family, without pairs.)
 
 Within a family a signature tree is built: leaves are sets ordered by size, and every node
 above holds the OR of the token bitmaps below it, the range of set sizes and the largest number
@@ -12,11 +14,9 @@ from the roots; a pair of nodes is dropped if their size ranges are too far apar
 they share plus the doubled tokens cannot make the overlap that a link needs, or if all sets
 below both are known to be in one component. Pairs of sets that remain are compared exactly.
 
-Large families are cut into blocks. First every block is joined with itself, then blocks of
-what these runs left as representatives, level by level, then, if a family still has several
-components, all pairs of blocks that can hold different components. So a family of near copies
-costs about as much as its size, and every pair of sets that could link two components is
-compared. Exact copies share one set throughout.
+Large families are cut into blocks (see ``families``). So a family of near copies costs about as
+much as its size, and every pair of sets that could link two components is compared. Exact
+copies share one set throughout.
 
 Defined results: a null text, or one without words, has an empty set, is linked with nothing
 and is its own component; a text of fewer words than a shingle is one shingle; a row without
@@ -32,16 +32,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.llm.common import map_rows
-from pitpanel.llm.components import connected
+from pitpanel.llm.common import perhaps_listed
+from pitpanel.llm.families import families, family_links, meeting_pairs
 from pitpanel.session import cut_lineage
 
 PRIME, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-BITS, FANOUT = 2048, 8
-#: Sets and shingles in a block at most, about.
-BLOCK_SETS, BLOCK_SHINGLES = 1500, 4_000_000
+#: Bits of the bitmaps that travel, and of those in a tree; sets below a node of the tree.
+BITS, TREE_BITS, FANOUT = 2048, 8192, 8
 #: Shingles whose frequency changes the order; a longer list would only save time.
-FREQUENT = 100_000
+FREQUENT = 300_000
+SALT_SETS = 500
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -81,13 +81,39 @@ def signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
+def bitmap(found: np.ndarray, size: int = BITS) -> np.ndarray:
+    """``size`` bits; one is set for every shingle, by its hash."""
+    bits = np.zeros(size, bool)
+    bits[(found & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits)
+
+
+def possible(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose sizes and bitmaps allow a link; ``signatures``: (sa, n, bits)."""
+    both = (pairs.join(signatures.select(F.col("sa").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a")), "a")
+            .join(signatures.select(F.col("sa").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b")), "b"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            na, nb = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, BITS // 64) for k in (4, 5))
+            slack = np.minimum(na - np.bitwise_count(x).sum(axis=1, dtype=np.int64), nb - np.bitwise_count(y).sum(axis=1, dtype=np.int64))
+            overlap = slack + np.bitwise_count(x & y).sum(axis=1, dtype=np.int64)
+            keep = (100 + percent) * np.minimum(overlap, np.minimum(na, nb)) >= percent * (na + nb)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return both.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(run, "a bigint, b bigint")
+
+
 def describe(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """A row (id, sa, sb, n) for each document, and a row (hash, times) for each shingle that
-    several documents of a task have."""
+    """A row (id, sa, sb, n, bits) for each document, bits being its token bitmap, and a row
+    (hash, times) for each shingle that several documents of a task have."""
     def run(batches):
         import pyarrow as pa
 
-        names = ["id", "sa", "sb", "n", "hash", "times"]
+        names = ["id", "sa", "sb", "n", "bits", "hash", "times"]
         many: list[np.ndarray] = []
         for batch in batches:
             found = [shingles(text, size) for text in batch.column(1).to_pylist()]
@@ -96,25 +122,30 @@ def describe(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
             null = pa.nulls(len(found), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([a for a, _ in sums], pa.int64()),
                                               pa.array([b for _, b in sums], pa.int64()),
-                                              pa.array([len(f) for f in found], pa.int64()), null, null], names=names)
+                                              pa.array([len(f) for f in found], pa.int64()),
+                                              pa.array([bitmap(f).tobytes() for f in found], pa.binary()), null, null], names=names)
         if many:
             hashes, times = np.unique(np.concatenate(many), return_counts=True)
             hashes, times = signed(hashes[times > 1]), times[times > 1]
             null = pa.nulls(len(hashes), pa.int64())
-            yield pa.RecordBatch.from_arrays([null, null, null, null, pa.array(hashes), pa.array(times)], names=names)
+            yield pa.RecordBatch.from_arrays([null, null, null, null, pa.nulls(len(hashes), pa.binary()), pa.array(hashes), pa.array(times)], names=names)
 
     return docs.select(F.col(id_col).cast("bigint").alias("id"), text_col).mapInArrow(
-        run, "id bigint, sa bigint, sb bigint, n bigint, hash bigint, times bigint")
+        run, "id bigint, sa bigint, sb bigint, n bigint, bits binary, hash bigint, times bigint")
 
 
 def postings(docs: DataFrame, frequent, size: int, percent: int, text_col: str) -> DataFrame:
-    """(hash, sa): the prefix shingles of every set, once for each task that has the set."""
+    """(key, salt, node, n): the prefix shingles of every set, once for each task that has the set.
+
+    A frequent shingle gets a salt from 1 on, so that about SALT_SETS sets share hash and salt.
+    """
     def run(batches):
         import pyarrow as pa
 
         seen: set[tuple[int, int]] = set()
+        known, times = frequent.value
         for batch in batches:
-            hashes, sets = [], []
+            hashes, sets, sizes = [], [], []
             for text in batch.column(0).to_pylist():
                 found = shingles(text, size)
                 key = digest(found)
@@ -122,24 +153,27 @@ def postings(docs: DataFrame, frequent, size: int, percent: int, text_col: str)
                     seen.add(key)
                     hashes.append(prefix(found, frequent.value, percent))
                     sets.append(np.full(len(hashes[-1]), key[0], np.int64))
+                    sizes.append(np.full(len(hashes[-1]), len(found), np.int32))
             if hashes:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(hashes))), pa.array(np.concatenate(sets))],
-                                                 names=["hash", "sa"])
+                hash_, set_ = np.concatenate(hashes), np.concatenate(sets)
+                salt = np.zeros(len(hash_), np.int32)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, hash_), len(known) - 1)
+                    parts = np.where(known[at] == hash_, times[at] // SALT_SETS, 0)
+                    salt = np.where(parts > 0, 1 + set_ % np.maximum(parts, 1), 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(hash_)), pa.array(salt), pa.array(set_),
+                                                  pa.array(np.concatenate(sizes))], names=["key", "salt", "node", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "hash bigint, sa bigint")
+    return docs.select(text_col).mapInArrow(run, "key bigint, salt int, node bigint, n int")
 
 
 class Tree:
     """Signature tree over sets ordered by size; level 0 has the sets themselves."""
 
     def __init__(self, sets: list[np.ndarray]):
-        n = len(sets)
-        bits = np.zeros((n, BITS), bool)
-        for k, s in enumerate(sets):
-            bits[k, (s & np.uint64(BITS - 1)).astype(np.int64)] = True
         sizes = np.array([len(s) for s in sets], np.int64)
-        maps = np.packbits(bits, axis=1).view(np.uint64)
-        self.levels = [(maps, sizes, sizes, sizes - bits.sum(axis=1))]
+        maps = np.stack([bitmap(s, TREE_BITS) for s in sets]).view(np.uint64)
+        self.levels = [(maps, sizes, sizes, sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64))]
         while len(self.levels[-1][0]) > 1:
             maps, low, high, slack = self.levels[-1]
             cut = np.arange(0, len(maps), FANOUT)
@@ -216,10 +250,9 @@ def block_links(nodes: list[int], labels: list[int], sets: list[np.ndarray], per
     return out
 
 
-def joined_blocks(docs: DataFrame, rows: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b) pairs of labels joined inside the blocks of ``rows`` (cell, node, sa, sb, label)."""
-    texts = docs.select(F.col(id_col).cast("bigint").alias("node"), text_col).join(rows, "node").select(
-        "cell", "node", "sa", "sb", "label", text_col)
+def joined_blocks(texts: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b) pairs of labels joined inside the blocks of ``rows`` (cell, node, sa, sb, label); ``texts``: (node, text)."""
+    texts = texts.join(rows, "node").select("cell", "node", "sa", "sb", "label", "text")
 
     def run(group):
         import pyarrow as pa
@@ -237,60 +270,6 @@ def joined_blocks(docs: DataFrame, rows: DataFrame, size: int, percent: int, id_
     return texts.groupBy("cell").applyInArrow(run, "a bigint, b bigint")
 
 
-def relabel(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``members`` with each label replaced by the smallest label linked with it."""
-    roots = connected(links, "a", "b").select(F.col("node").alias("label"), "root")
-    return cut_lineage(members.join(roots, "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root"))
-
-
-def with_cells(members: DataFrame, by: list[str], share: str = "n") -> DataFrame:
-    """``members`` cut into blocks by hash within each group: adds ``blocks`` and ``cell``."""
-    sizes = members.groupBy(*by).agg(F.greatest(
-        F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum(share) / BLOCK_SHINGLES), F.lit(1)).cast("bigint").alias("blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    return members.join(sizes, by).withColumn("cell", F.concat_ws("/", *by, block))
-
-
-def family_links(docs: DataFrame, members: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """``members`` (family, node, sa, sb, n) with the smallest node of the component as ``label``."""
-    members = members.withColumn("label", F.col("node"))
-    first = cut_lineage(with_cells(members, ["family"]))
-    members = relabel(first.drop("blocks", "cell"), joined_blocks(docs, first, size, percent, id_col, text_col))
-    wide = first.filter("blocks > 1").select("family").distinct()
-    if first.filter("blocks > 1").isEmpty():
-        return members
-    wide = cut_lineage(wide)
-    left, before = members.join(wide, "family"), -1
-    while True:  # representatives: the smallest node of each component, block by block
-        heads = left.filter(F.col("node") == F.col("label"))
-        cells = cut_lineage(with_cells(heads, ["family"]))
-        n = cells.count()
-        if n == before:
-            break
-        before = n
-        links = cut_lineage(joined_blocks(docs, cells, size, percent, id_col, text_col))
-        members = relabel(members, links)
-        left = members.join(wide, "family")
-        if cells.filter("blocks > 1").isEmpty():
-            break
-    parts = left.groupBy("family").agg(F.count_distinct("label").alias("parts")).filter("parts > 1").select("family")
-    rest = cut_lineage(left.join(parts, "family"))
-    if rest.isEmpty():
-        return members
-    # Blocks of one component alone, where it fills them, and of several components; all pairs that can differ.
-    kind = rest.groupBy("family", "label").agg(F.count(F.lit(1)).alias("m"))
-    rest = rest.join(kind, ["family", "label"]).withColumn("pure", F.when(F.col("m") > BLOCK_SETS, F.col("label")).otherwise(F.lit(None)))
-    rest = cut_lineage(with_cells(rest.withColumn("pure", F.coalesce("pure", F.lit(-1).cast("bigint"))), ["family", "pure"]))
-    cells = rest.select("family", "pure", "cell").distinct()
-    other = cells.select("family", F.col("pure").alias("pure_b"), F.col("cell").alias("cell_b"))
-    pairs = cut_lineage(cells.join(other, "family").filter(
-        (F.col("cell") <= F.col("cell_b")) & ((F.col("pure") == -1) | (F.col("pure") != F.col("pure_b")))))
-    meet = F.concat_ws("|", "cell", "cell_b").alias("meet")
-    routes = pairs.select("cell", meet).unionByName(pairs.select(F.col("cell_b").alias("cell"), meet)).distinct()
-    rows = rest.join(routes, "cell").select(F.col("meet").alias("cell"), "node", "sa", "sb", "label")
-    return relabel(members, joined_blocks(docs, rows, size, percent, id_col, text_col))
-
-
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every document. Eager: writes its steps to the shared folder."""
@@ -302,12 +281,14 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, id_col
     order = np.argsort(hashes)
     frequent = docs.sparkSession.sparkContext.broadcast((hashes[order], common["times"].to_numpy(np.int64)[order]))
     posted = postings(docs, frequent, size, percent, text_col)
-    buckets = posted.groupBy("hash").agg(F.min("sa").alias("lo"), F.max("sa").alias("hi")).filter("lo < hi")
-    meets = posted.join(buckets, "hash").filter("sa != lo").select("sa", "lo").distinct()
-    families = connected(meets, "sa", "lo").select(F.col("node").alias("sa"), F.col("root").alias("family"))
     nodes = rows.filter("n > 0").groupBy("sa", "sb").agg(F.min("id").alias("node"), F.max("n").alias("n")).filter("node is not null")
-    members = cut_lineage(nodes.join(families, "sa"))
-    labels = family_links(docs, members, size, percent, id_col, text_col)
+    met = cut_lineage(meeting_pairs(posted, percent))
+    signatures = rows.groupBy("sa").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
+    pairs = met.filter("kind = 1").select("a", "b").unionByName(possible(met.filter("kind = 0"), signatures, percent))
+    members = cut_lineage(nodes.join(families(pairs, "sa"), "sa"))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).alias("text"))
+    texts = cut_lineage(texts.filter(perhaps_listed(members.select("node"))("node")).join(members.select("node"), "node", "left_semi"))
+    labels = family_links(members, lambda blocks: joined_blocks(texts, blocks, size, percent))
     component = (nodes.join(labels.select("node", "label"), "node", "left")
                  .select("sa", "sb", F.coalesce("label", "node").alias("component_id")))
     return rows.join(component, ["sa", "sb"], "left").select(
