@@ -252,7 +252,7 @@ def block_links(nodes: list[int], labels: list[int], sets: list[np.ndarray], per
 
 def joined_blocks(texts: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b) pairs of labels joined inside the blocks of ``rows`` (cell, node, sa, sb, label); ``texts``: (node, text)."""
-    texts = texts.join(rows, "node").select("cell", "node", "sa", "sb", "label", "text")
+    texts = texts.filter(perhaps_listed(rows.select("node"))("node")).join(rows, "node").select("cell", "node", "sa", "sb", "label", "text")
 
     def run(group):
         import pyarrow as pa
