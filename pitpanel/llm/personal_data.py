@@ -224,23 +224,26 @@ class Field:
 def fit(docs: DataFrame, *, text_col: str = "text", max_sample: int = 2000, max_sample_chars: int = 20_000,
         steps: int = 200, rate: float = 0.1, ridge: float = 0.01) -> Field:
     """Node and chain potentials from base matches in a bounded sample of texts with mentions. Eager."""
-    texts = (docs.select(text_col).filter(F.col(text_col).rlike("@|[0-9]{2}") & (F.length(text_col) <= max_sample_chars))
-             .orderBy(F.xxhash64(text_col), text_col).limit(max_sample))
+    texts = docs.select(text_col, F.xxhash64(text_col).alias("_hash")).filter(
+        F.col(text_col).rlike("@|[0-9]{2}") & (F.length(text_col) <= max_sample_chars))
+    chosen = texts.select("_hash").distinct().orderBy("_hash").limit(max_sample)  # hashes only; a bounded list
+    texts = texts.join(F.broadcast(chosen), "_hash").dropDuplicates(["_hash"])
 
     def start():
         def step(columns):
             rows, labels = [], []
-            for text in columns[0]:
+            for text in columns[1]:
                 found = mentions(text, base_spans(text))
                 rows.append(np.array([features(text, m) for m in found], np.float32).tobytes())
                 labels.append(bytes(m.label for m in found))
-            return [rows, labels]
+            return [columns[0], rows, labels]
 
         return step
 
     n = len(KINDS) + 1
     x, y, pairs = [np.zeros((0, FEATURES))], [], np.ones((n, n))
-    for row in map_rows(texts, [text_col], "x binary, labels binary", start).collect():
+    rows = map_rows(texts, ["_hash", text_col], "hash bigint, x binary, labels binary", start).collect()
+    for row in sorted(rows, key=lambda row: row["hash"]):
         labels = list(row["labels"])
         x.append(np.frombuffer(row["x"], np.float32).reshape(-1, FEATURES).astype(float))
         y += labels
