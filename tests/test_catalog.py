@@ -29,6 +29,7 @@ def test_entry_points(spark):
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(entry.oracle_sql()) >= 0.9 * len(entry.queries()) - 1
+    assert set(QUERIES) <= set(entry.queries())
+    assert len(set(entry.oracle_sql()) & set(QUERIES)) >= 0.9 * len(QUERIES) - 1
     df = entry.entry(spark)
     assert df.columns == ["grouping", "day_type", "unit", "model", "n", "mae", "rmse", "bias", "mape_pct"]

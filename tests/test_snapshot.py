@@ -37,7 +37,7 @@ def test_vintages_are_separate_and_provenance_is_complete(spark, tmp_path):
     run(spark, root, [2], vintage="v2")
     assert values(sn.read_snapshot(spark, root, "d", "v1")) == [1] and values(sn.read_snapshot(spark, root, "d", "v2")) == [2]
     row = sn.latest_provenance(spark, root, "d", "v2")
-    assert (row["rows"], row["request_count"], len(row["source_urls"]), row["params"]) == (1, 25, 20, {"a": "1"})
+    assert (row["rows"], row["request_count"], len(row["source_urls"]), row["params"]) == (1, 25, 25, {"a": "1"})
     assert sn.latest_provenance(spark, root, "other", "v1") is None
     with pytest.raises(LookupError):
         sn.read_snapshot(spark, root, "other", "v1")
