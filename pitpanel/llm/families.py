@@ -97,7 +97,7 @@ class Runs:
         return 100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)
 
     def feed(self, rows: list[np.ndarray], last: bool) -> list[np.ndarray]:
-        """(kind, a, b): kind 0 pairs, 1 ties, 2 the first node (b) of a salted key (a)."""
+        """(kind, a, b): kind 0 pairs, 1 ties; of a salted key (a) 2 a node (b) of a short run, 3 the first node of a long one."""
         key, salt, node, n = (np.concatenate([old, new]) for old, new in zip(self.rest, rows, strict=True))
         out: list[tuple[int, np.ndarray, np.ndarray]] = []
         if self.long and len(key):
@@ -115,24 +115,29 @@ class Runs:
             else:
                 keep, starts, ends = int(starts[-1]), starts[:-1], ends[:-1]
         self.rest = [x[keep:] for x in (key, salt, node, n)]
-        heads = starts[salt[starts] != 0] if len(starts) else starts
-        out.append((2, key[heads], node[heads]))
         size = ends - starts
         two = starts[size == 2]
         two = two[(node[two] != node[two + 1]) & self.fits(n[two], n[two + 1])]
         out.append((0, node[two], node[two + 1]))
+        tied = np.zeros(len(key), bool)
         for a, b in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
             nodes, first = np.unique(node[a:b], return_index=True)
-            if len(nodes) > PAIRS:
+            if len(nodes) > PAIRS or self.long and b == len(key):  # the rest of a long run is tied to this node too
                 out.append((1, np.full(len(nodes), node[a]), nodes))
+                tied[a:b] = True
+                if salt[a]:
+                    out.append((3, key[a:a + 1], node[a:a + 1]))
             else:
                 i, j = np.triu_indices(len(nodes), 1)
                 sizes = n[a:b][first]
                 near = self.fits(sizes[i], sizes[j])
                 out.append((0, nodes[i[near]], nodes[j[near]]))
+        done = ends[-1] if len(ends) else 0
+        short = np.flatnonzero((salt[:done] != 0) & ~tied[:done])
+        out.append((2, key[short], node[short]))
         kind = np.concatenate([np.full(len(a), k, np.int64) for k, a, _ in out])
         x, y = np.concatenate([a for _, a, _ in out]), np.concatenate([b for _, _, b in out])
-        swap = (kind != 2) & (x > y)
+        swap = (kind < 2) & (x > y)
         x, y = np.where(swap, y, x), np.where(swap, x, y)
         return list(np.unique(np.stack([kind, x, y]), axis=1)) if len(kind) else [kind, x, y]
 
@@ -142,8 +147,9 @@ def meeting_pairs(meets: DataFrame, percent: int) -> DataFrame:
     kind 1: tied through a key with many nodes.
 
     One shuffle by key and salt, then a run over sorted rows. Salts other than 0 are for keys
-    with very many nodes, which so reach many tasks; the first nodes of such a key's salts are
-    tied to each other. Eager.
+    with very many nodes, which so reach many tasks. Over its salts, such a key counts again:
+    with a long run or more than PAIRS nodes in all, every node of its short runs and the first
+    of each long one are tied to each other, else they give pairs as well. Eager.
     """
     def run(batches):
         import pyarrow as pa
@@ -157,10 +163,14 @@ def meeting_pairs(meets: DataFrame, percent: int) -> DataFrame:
 
     dealt = meets.select("key", "salt", "node", "n").repartition("key", "salt").sortWithinPartitions("key", "salt")
     found = cut_lineage(dealt.mapInArrow(run, "kind bigint, a bigint, b bigint").distinct())
-    heads = found.filter("kind = 2")
-    least = heads.groupBy("a").agg(F.min("b").alias("least"))
-    ties = heads.join(least, "a").select(F.lit(1).cast("bigint").alias("kind"), F.col("least").alias("a"), "b")
-    return found.filter("kind < 2").unionByName(ties).filter("a != b")
+    salted = found.filter("kind >= 2")
+    keys = salted.groupBy("a").agg(F.min("b").alias("least"), (F.max("kind") == 3).alias("long"), F.count_distinct("b").alias("nodes"))
+    salted = cut_lineage(salted.join(keys, "a").withColumn("tied", F.col("long") | (F.col("nodes") > PAIRS)))
+    ties = salted.filter("tied").select(F.lit(1).cast("bigint").alias("kind"), F.col("least").alias("a"), "b")
+    few = salted.filter("not tied").select("a", "b")
+    across = few.join(few.select("a", F.col("b").alias("c")), "a").filter("b < c").select(
+        F.lit(0).cast("bigint").alias("kind"), F.col("b").alias("a"), F.col("c").alias("b"))
+    return found.filter("kind < 2").unionByName(ties).unionByName(across).distinct().filter("a != b")
 
 
 def families(pairs: DataFrame, node: str) -> DataFrame:

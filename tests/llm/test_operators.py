@@ -286,6 +286,18 @@ def test_runs_give_all_pairs_over_batch_borders():
     assert got == want
 
 
+def test_salted_key_links_nodes_of_different_salts(spark):
+    # Key 5 has few nodes in each of its salts, key 6 one long run and short ones: no two of a key may stay apart.
+    rows = [(5, 1, 10, 8), (5, 1, 11, 8), (5, 2, 12, 8), (5, 2, 13, 8)]
+    rows += [(6, 1, 100 + k, 8) for k in range(families.PAIRS + 5)] + [(6, 2, 300, 8), (6, 2, 301, 90), (6, 3, 302, 8)]
+    rows += [(7, 1, 400, 8), (7, 1, 401, 90), (7, 2, 402, 8)] + [(7, 3, 410 + k, 8) for k in range(families.PAIRS)]
+    met = families.meeting_pairs(spark.createDataFrame(rows, "key bigint, salt int, node bigint, n int"), 75)
+    pairs = {(r.a, r.b) for r in met.collect()}
+    assert {(11, 13), (11, 12), (10, 13)} <= pairs
+    family = {r.node: r.family for r in families.families(met, "node").collect()}
+    assert {family[r[2]] for r in rows if r[0] == 6} == {100} and {family[r[2]] for r in rows if r[0] == 7} == {400}
+
+
 def test_set_join_of_nothing(nothing):
     assert set_join.near_duplicates(nothing).count() == 0
 
