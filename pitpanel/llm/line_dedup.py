@@ -1,15 +1,17 @@
 """Line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, groups.
 
 Lines are normalised (lower case, digits to 0, only letters and digits, single spaces); equal
-normalised lines are one node. A node's SimHash has 160 bits over its words, in four blocks of
-40: two lines that differ in fewer bits than there are blocks share one, and closer ones are the
-more likely to. Nodes that share a block, directly or through others, form a family; within
+normalised lines are one node. A node's SimHash has 160 bits over its words, in ten blocks of
+16: two lines that differ in fewer bits than there are blocks share one, and most lines with one
+word replaced do. Of nodes that share a block, pairs are dropped whose lengths and character counts
+need more edits than ``similarity`` allows, and the rest are verified; a block with very many pairs
+left gives ties instead. Nodes so connected, directly or through others, form a family; within
 families (cut into blocks of rows if they are large, see ``families``) pairs that share a block are
 verified by edit similarity of at least ``similarity``, and linked lines form groups. Of each group the first
 occurrence stays, by document id, content hash and line number; all others are removed.
 
-A block of 40 bits keeps chance meetings rare up to some 10^11 different lines; ``block_bytes``
-widens it. What a wider block costs is recall on short lines with an edit.
+Chance meetings grow with the square of the different lines over 2^16; ``block_bytes`` widens a
+block. What a wider block costs is recall on lines with an edit.
 
 Defined results: a null text stays null with 0 lines; lines without a letter or digit are never
 removed; null ids count as the smallest; rows with equal id and text are one document, so they
@@ -29,12 +31,12 @@ from pitpanel.llm.common import append_columns, perhaps_listed
 from pitpanel.llm.families import families, family_links, meeting_pairs
 from pitpanel.session import cut_lineage
 
-BLOCKS, BLOCK_BYTES = 4, 5
+BLOCKS, BLOCK_BYTES = 10, 2
+#: Characters are counted by code in so many classes.
+COUNTS = 32
 WORD, DIGITS = re.compile(r"[^\W_]+"), re.compile(r"\d+")
 #: Beyond so many edits, runs of characters are counted first.
 LONG_LIMIT, GRAM = 20, 8
-#: Lines of one batch with equal block from which on the block is dealt over SALTS parts.
-SALT_FROM, SALTS = 32, 64
 #: Words whose hashes a task remembers.
 REMEMBERED = 400_000
 
@@ -159,6 +161,12 @@ def group_links(nodes: list[str], labels: list[str], lines: list[str], percent:
     return out
 
 
+def character_counts(line: str) -> bytes:
+    """Characters by class, up to 255 each; characters beyond ASCII share the classes."""
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.minimum(np.bincount(codes % COUNTS, minlength=COUNTS), 255).astype(np.uint8).tobytes()
+
+
 def occurrences(docs: DataFrame, text_col: str) -> DataFrame:
     """(row_id, row_key, no, la, lb, n): every line that has a letter or digit."""
     def run(batches):
@@ -186,7 +194,7 @@ def occurrences(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def postings(docs: DataFrame, text_col: str, blocks: int, block_bytes: int) -> DataFrame:
-    """(key, salt, node, n): the blocks of every normalised line, once for each task that has it."""
+    """(key, salt, node, n, marks): the blocks of every normalised line, once for each task that has it; no salts."""
     def run(batches):
         import pyarrow as pa
 
@@ -205,23 +213,18 @@ def postings(docs: DataFrame, text_col: str, blocks: int, block_bytes: int) -> D
                 keys = block_keys(simhashes(list(lines.values()), blocks * block_bytes, known), blocks).ravel()
                 nodes = np.repeat(np.array(list(lines)), blocks)
                 sizes = np.repeat(np.array([len(x) for x in lines.values()], np.int32), blocks)
-                # A key that many lines of one batch have gets salts, as it may have very many in all;
-                # one of the lines also goes without, to meet lines of other batches.
-                _, first, which, times = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-                salt = np.where(times[which] >= SALT_FROM, 1 + nodes % SALTS, 0).astype(np.int32)
-                also = first[times >= SALT_FROM]
-                keys, nodes, sizes = (np.concatenate([x, x[also]]) for x in (keys, nodes, sizes))
-                salt = np.concatenate([salt, np.zeros(len(also), np.int32)])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(salt), pa.array(nodes), pa.array(sizes)],
-                                                 names=["key", "salt", "node", "n"])
+                marks = np.repeat(np.array([character_counts(x) for x in lines.values()], object), blocks)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys), pa.array(np.zeros(len(keys), np.int32)), pa.array(nodes), pa.array(sizes), pa.array(marks, pa.binary())],
+                    names=["key", "salt", "node", "n", "marks"])
 
-    return docs.select(text_col).mapInArrow(run, "key bigint, salt int, node bigint, n int")
+    return docs.select(text_col).mapInArrow(run, "key bigint, salt int, node bigint, n int, marks binary")
 
 
-def joined_lines(docs: DataFrame, rows: DataFrame, text_col: str, percent: int, blocks: int, block_bytes: int) -> DataFrame:
-    """(a, b) labels of alike lines within each cell of ``rows`` (cell, node, label, row_id, row_key, no)."""
+def with_lines(docs: DataFrame, rows: DataFrame, text_col: str, names: list[str]) -> DataFrame:
+    """The string columns ``names`` of ``rows`` (names, row_id, row_key, no) with the normalised line."""
     wanted = rows.groupBy(F.col("row_id").alias("want_id"), F.col("row_key").alias("want_key")).agg(
-        F.collect_list(F.struct("no", "cell", "node", "label")).alias("wanted"))
+        F.collect_list(F.struct("no", *names)).alias("wanted"))
     wanted = cut_lineage(wanted)
     near = docs.select("row_id", "row_key", text_col).filter(perhaps_listed(wanted.select("want_key"))("row_key"))
     same_row = F.col("row_id").eqNullSafe(F.col("want_id")) & (F.col("row_key") == F.col("want_key"))
@@ -231,14 +234,39 @@ def joined_lines(docs: DataFrame, rows: DataFrame, text_col: str, percent: int,
         import pyarrow as pa
 
         for batch in batches:
-            out = [[] for _ in range(4)]
+            out = [[] for _ in range(len(names) + 1)]
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 parts = text.split("\n")
                 for w in wanted:
-                    for values, value in zip(out, (w["cell"], w["node"], w["label"], normalise(parts[w["no"]])), strict=True):
+                    for values, value in zip(out, (*(w[x] for x in names), normalise(parts[w["no"]])), strict=True):
                         values.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.string()) for v in out], names=["cell", "node", "label", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.string()) for v in out], names=[*names, "line"])
 
+    return texts.mapInArrow(lines, ", ".join(f"{x} string" for x in [*names, "line"]))
+
+
+def verified(docs: DataFrame, met: DataFrame, nodes: DataFrame, text_col: str, percent: int) -> DataFrame:
+    """(a, b) of ``met`` (kind, a, b): the ties, and the pairs that are alike."""
+    pairs = met.filter("kind = 0").select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
+    used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    places = nodes.select(F.col("la").cast("string").alias("node"), "first.*").join(used, "node")
+    lines = cut_lineage(with_lines(docs, places, text_col, ["node"]).distinct())
+    both = (pairs.join(lines.select(F.col("node").alias("a"), F.col("line").alias("x")), "a")
+            .join(lines.select(F.col("node").alias("b"), F.col("line").alias("y")), "b"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = [alike(x, y, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    alike_pairs = both.select("a", "b", "x", "y").mapInArrow(run, "a string, b string")
+    return met.filter("kind = 1").select("a", "b").unionByName(alike_pairs.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")))
+
+
+def joined_lines(docs: DataFrame, rows: DataFrame, text_col: str, percent: int, blocks: int, block_bytes: int) -> DataFrame:
+    """(a, b) labels of alike lines within each cell of ``rows`` (cell, node, label, row_id, row_key, no)."""
     def run(group):
         import pyarrow as pa
 
@@ -246,8 +274,7 @@ def joined_lines(docs: DataFrame, rows: DataFrame, text_col: str, percent: int,
         links = group_links(list(found), [v[0] for v in found.values()], [v[1] for v in found.values()], percent, blocks, block_bytes)
         return pa.table({"a": pa.array([a for a, _ in links], pa.string()), "b": pa.array([b for _, b in links], pa.string())})
 
-    return texts.mapInArrow(lines, "cell string, node string, label string, line string").groupBy("cell").applyInArrow(
-        run, "a string, b string")
+    return with_lines(docs, rows, text_col, ["cell", "node", "label"]).groupBy("cell").applyInArrow(run, "a string, b string")
 
 
 def remove_lines(docs: DataFrame, *, similarity: int = 90, blocks: int = BLOCKS, block_bytes: int = BLOCK_BYTES,
@@ -258,7 +285,8 @@ def remove_lines(docs: DataFrame, *, similarity: int = 90, blocks: int = BLOCKS,
     place = F.struct("row_id", "row_key", "no")
     nodes = cut_lineage(found.groupBy("la", "lb").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"),
                                                       F.max("n").alias("n")))
-    members = nodes.join(families(meeting_pairs(postings(docs, text_col, blocks, block_bytes), similarity), "la"), "la").select(
+    met = cut_lineage(meeting_pairs(postings(docs, text_col, blocks, block_bytes), similarity, COUNTS))
+    members = nodes.join(families(verified(keyed, met, nodes, text_col, similarity), "la"), "la").select(
         "family", F.concat(F.hex("la"), F.lit("."), F.hex("lb")).alias("node"), "la", "lb", "n", "first.*")
     groups = family_links(cut_lineage(members), lambda rows: joined_lines(keyed, rows, text_col, similarity, blocks, block_bytes))
     first = groups.groupBy("label").agg(F.min(place).alias("group_first"))
