@@ -9,10 +9,11 @@ on all *mentions* of a text: base matches and anything else that has an ``@``, a
   so that the model learns what such mentions look like in general. Base matches are clamped;
 * chain potentials between neighbouring mentions (label pairs counted in the sample);
 * skip potentials, which favour equal labels, between distant mentions with the same text after
-  normalising, the same last digits or the same name before the ``@``. A group of k equal
-  mentions is linked as a chain of k - 1 edges, so edges grow with the text, not its square.
+  normalising, the same last digits or the same name before the ``@``. A group of equal
+  mentions shares a variable, with an edge to each, so edges grow with the text, not its square;
+  it is clamped to the commonest label of the group's base matches, if it has any.
 
-Loopy sum-product message passing gives each mention's label probabilities; a mention that
+Loopy sum-product message passing, until messages stay, gives each mention's label probabilities; a mention that
 overlaps no base match is added if a kind has at least ``threshold``. So a number that stands
 once with and once without its plus sign is found both times.
 
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,6 +48,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 NUMBER = re.compile(r"[+(]?[0-9]++(?:[\x20().-]{1,2}[0-9]++)*+")
 WRITTEN_AT = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9.-]{1,100}", re.I)
+WRITTEN_END = re.compile(r"at[\])]", re.I)
 NEAR_AT = 100
 #: Words that tell what follows (fixed values).
 CUES = (frozenset("mail email e-mail contact write".split()), frozenset("ip host server address node".split()),
@@ -53,6 +56,8 @@ CUES = (frozenset("mail email e-mail contact write".split()), frozenset("ip host
         frozenset("phone tel telephone call mobile fax cell".split()))
 LENGTHS = (7, 8, 9, 10, 11, 12, 13, 16, 17, 20)
 FEATURES = 13 + len(LENGTHS)
+#: Messages that change by less have settled.
+SETTLED = 1e-4
 
 
 def luhn(digits: str) -> bool:
@@ -114,7 +119,7 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[Mention]:
             while b > m.end() and text[b - 1] in ".,;:!?)]>\"'":
                 b -= 1
             loose.append((a, b))
-    if "at]" in text or "at)" in text:
+    if WRITTEN_END.search(text):
         loose += [m.span() for m in WRITTEN_AT.finditer(text)]
     if DIGIT.search(text):
         loose += [m.span() for m in NUMBER.finditer(text) if len(DIGIT.findall(m[0])) >= 7]
@@ -157,19 +162,17 @@ def skip_keys(text: str, m: Mention) -> list[str]:
     return [f"d{digits}", f"e{digits[-8:]}"]
 
 
-def skip_edges(text: str, found: list[Mention]) -> list[tuple[int, int]]:
-    last: dict[str, int] = {}
-    edges = set()
+def skip_groups(text: str, found: list[Mention]) -> list[tuple[int, ...]]:
+    """Numbers of the mentions that share a key, once where two keys give the same."""
+    groups: dict[str, list[int]] = {}
     for k, m in enumerate(found):
         for key in skip_keys(text, m):
-            if key in last and last[key] != k:
-                edges.add((last[key], k))
-            last[key] = k
-    return sorted(edges)
+            groups.setdefault(key, []).append(k)
+    return sorted({tuple(g) for g in groups.values() if len(g) > 1})
 
 
 def propagate(node: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int) -> np.ndarray:
-    """Label probabilities by loopy message passing; ``node`` and ``pair`` are log potentials."""
+    """Label probabilities by loopy message passing, of ``rounds`` at most; ``node`` and ``pair`` are log potentials."""
     if not len(edges):
         belief = node
     else:
@@ -184,7 +187,9 @@ def propagate(node: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int
             out = belief[a] - message[back]
             out = np.exp(out - out.max(axis=1, keepdims=True))
             new = np.log(np.einsum("ei,eij->ej", out, psi) + 1e-30)
-            message = 0.5 * message + 0.5 * (new - new.max(axis=1, keepdims=True))
+            old, message = message, 0.5 * message + 0.5 * (new - new.max(axis=1, keepdims=True))
+            if np.abs(message - old).max() < SETTLED:
+                break
         belief = node.copy()
         np.add.at(belief, b, message)
     p = np.exp(belief - belief.max(axis=1, keepdims=True))
@@ -197,7 +202,7 @@ class Field:
     chain: np.ndarray  # labels x labels, log
     agree: float = 2.5
     clamp: float = 12.0
-    rounds: int = 10
+    rounds: int = 500
     threshold: float = 0.5
 
     def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -212,7 +217,14 @@ class Field:
                 node[k] = 0.0
                 node[k, m.label] = self.clamp
         chain = [(k, k + 1) for k in range(len(found) - 1)]
-        skips = skip_edges(text, found)
+        groups = skip_groups(text, found)
+        shared = np.zeros((len(groups), node.shape[1]))
+        for k, group in enumerate(groups):
+            known = Counter(found[j].label for j in group if found[j].base)
+            if known:
+                shared[k, min(known, key=lambda label: (-known[label], label))] = self.clamp * len(group)  # no message is stronger
+        node = np.concatenate([node, shared])
+        skips = [(j, len(found) + k) for k, group in enumerate(groups) for j in group]
         pair = np.concatenate([np.repeat(self.chain[None], len(chain), 0),
                                np.repeat(self.agree * np.eye(len(KINDS) + 1)[None], len(skips), 0)])
         p = propagate(node, np.array(chain + skips).reshape(-1, 2), pair, self.rounds)

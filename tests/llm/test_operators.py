@@ -92,6 +92,18 @@ def test_repeated_mentions_get_the_label_of_a_base_match(spark, awkward, nothing
     assert personal_data.find_personal_data(nothing, personal_data.fit(nothing)).count() == 0
 
 
+@pytest.mark.parametrize("prior", [0.0, 0.5, 1.0])
+def test_all_repeats_in_a_long_text_get_the_label_of_a_base_match(prior):
+    weights = np.zeros((personal_data.FEATURES, len(personal_data.KINDS) + 1))
+    weights[0, 0] = prior
+    field = personal_data.Field(weights, np.zeros((5, 5)))
+    text = "Call +1 555 0100 200 now." + " Some words, then 1 555 0100 200 again." * 50 + " Mail a.b@x.org." + " Or a.b [AT] x.org, yes." * 50
+    base, spans = field.spans(text)
+    assert [(k, text[a:b]) for a, k, b in base] == [(3, "+1 555 0100 200"), (0, "a.b@x.org")]
+    assert collections.Counter((k, text[a:b]) for a, k, b in spans) == {
+        (3, "+1 555 0100 200"): 1, (3, "1 555 0100 200"): 50, (0, "a.b@x.org"): 1, (0, "a.b [AT] x.org"): 50}
+
+
 # 3 and 4: tokens
 
 def test_token_counts_of_pieces_add_up(spark, awkward, nothing):
