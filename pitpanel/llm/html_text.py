@@ -3,10 +3,12 @@
 The standard library's streaming parser turns a page into lines, one for each block of text.
 Every line has a ratio of text to tags; ratios are smoothed with a Gaussian over neighbouring
 lines, and lines at or above the standard deviation of the smoothed ratios form the content
-cluster. The element that holds most of the cluster (an article or main element, else the
-deepest element with most of the cluster's text) is the content region; its lines are the
-text, short ones too, except lines inside elements that mark themselves as something else:
-navigation, page header or footer, aside, form, advert, notice, comments, scripts, styles.
+cluster. The content region is the page's main and article elements, if they hold half of the
+cluster, else the deepest container of the whole cluster and of its h1 headings, never a block
+of text itself. The region's lines are the text, short ones and links too, except lines inside
+elements that mark themselves as something else: navigation, page header or footer, aside, form,
+advert, notice, comments, scripts, styles. Headings are never marked; in an article, only
+containers are that name a block which no article has as its part.
 
 Defined results: a null or empty page gives an empty text; a page without markup is one line;
 character references are decoded; white space inside a line becomes one space, lines are joined
@@ -36,31 +38,38 @@ MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense b
                   "notification pager pagination popup popover promo promoted promotion related rail share sharing sidebar sidebars "
                   "signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets alert comment comments "
                   "commentlist commenter discussion disqus replies reply responses form search".split())
+#: Marks that count inside an article; words of a block of related links; words that make a header a part of the text.
+INNER = frozenset("ad ads adv advert adverts advertisement advertising adsense breadcrumb breadcrumbs cookie cookies gdpr newsletter "
+                  "pagination pager popup popover promo promoted share sharing sidebar social sponsored subscribe signup comments "
+                  "commentlist disqus replies".split())
+RELATED = frozenset("related post posts article articles content links link stories story more read reading news block box list section".split())
+OWN_HEADER = frozenset("entry post article content story page title section".split())
+TEXT = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd pre blockquote".split())
 WHOLE = frozenset("html body main article".split())
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: Smoothing width in lines, and the share of the cluster's text that a region must hold.
-SIGMA, REGION_SHARE = 1.5, 0.8
+#: Smoothing width in lines.
+SIGMA = 1.5
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags before it, path of open element numbers, is side matter, region) for each block."""
+    """Collects (text, tags before it, numbers of open block elements, is side matter, is in main or article, is in h1) for each block."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool]] = []  # name, number, side matter
-        self.lines: list[tuple[str, int, tuple[int, ...], bool, tuple[str, int] | None, int]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], bool, bool, bool]] = []
         self.text: list[str] = []
-        self.tags = self.linked = self.count = self.links = 0
+        self.tags = self.count = 0
 
     def flush(self):
         text = " ".join("".join(self.text).split())
         if text:
             side = bool(self.stack) and self.stack[-1][2]
-            whole = [(name, number) for name, number, _ in self.stack if name in ("article", "main")]
-            region = next((r for r in whole if r[0] == "article"), whole[0] if whole else None)
-            self.lines.append((text, self.tags, tuple(n for _, n, _ in self.stack), side, region, self.linked))
+            names = {name for name, _, _ in self.stack}
+            path = tuple(n for name, n, _ in self.stack if name not in INLINE)
+            self.lines.append((text, self.tags, path, side, bool(names & {"article", "main"}), "h1" in names))
             self.tags = 0
-        self.text, self.linked = [], 0
+        self.text = []
 
     def side_matter(self, tag: str, attrs) -> bool:
         if tag in ASIDE:
@@ -69,11 +78,18 @@ class Lines(HTMLParser):
             return not any(name in ("article", "main") for name, _, _ in self.stack)
         if tag in WHOLE and tag != "article":
             return False
+        inside = any(name in ("article", "main") for name, _, _ in self.stack)
         for name, value in attrs:
             if name == "hidden" or (name == "role" and value in ROLES):
                 return True
             if name in ("class", "id") and value:
                 words = {w.lower() for w in NAME_PARTS.findall(value)}
+                if tag in TEXT and (tag[0] == "h" or inside):
+                    continue
+                if words & OWN_HEADER:
+                    words -= {"header"}
+                if inside and tag != "article":
+                    words = words & INNER if not ("related" in words and words <= RELATED) else words
                 if tag == "article":
                     words &= {"comment", "comments", "reply", "replies", "ad", "advert", "promo", "related"}
                 if words & MARKS:
@@ -96,7 +112,6 @@ class Lines(HTMLParser):
                     break
         side = bool(self.stack) and self.stack[-1][2] or self.side_matter(tag, attrs)
         self.count += 1
-        self.links += tag == "a"
         self.stack.append((tag, self.count, side))
 
     def handle_endtag(self, tag):
@@ -112,8 +127,6 @@ class Lines(HTMLParser):
 
     def handle_data(self, data):
         self.text.append(data)
-        if any(name == "a" for name, _, _ in self.stack[-4:]):
-            self.linked += len(data)
 
 
 def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
@@ -123,6 +136,11 @@ def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(values, kernel, "full")[reach:reach + len(values)] / weight
 
 
+def shared(a: tuple[int, ...], b: tuple[int, ...]) -> int:
+    """How many first elements are equal."""
+    return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -140,28 +158,16 @@ def main_text(html: str | None) -> str:
     if not own:
         return ""
     ratio = smooth(np.array([len(line[0]) / max(1, line[1]) for line in lines]), SIGMA)
-    content = [k for k in own if ratio[k] >= ratio.std()] or own
-    size = {k: len(lines[k][0]) for k in content}
-    total = sum(size.values())
-    regions: dict[tuple[str, int], int] = {}
-    for k in content:
-        if lines[k][4]:
-            regions[lines[k][4]] = regions.get(lines[k][4], 0) + size[k]
-    if regions and max(regions.values()) * 2 >= total:
-        best = max(regions.values())
-        return " ".join(lines[k][0] for k in own if regions.get(lines[k][4], 0) * 5 >= best)
-    region: tuple[int, ...] = ()
-    while True:
-        inside: dict[int, int] = {}
-        for k in content:
-            path = lines[k][2]
-            if path[:len(region)] == region and len(path) > len(region):
-                inside[path[len(region)]] = inside.get(path[len(region)], 0) + size[k]
-        if not inside or max(inside.values()) < REGION_SHARE * total:
-            break
-        region = (*region, max(inside, key=inside.get))
-    return " ".join(lines[k][0] for k in own
-                    if lines[k][2][:len(region)] == region and 2 * lines[k][5] <= len(lines[k][0]))
+    content = {k for k in own if ratio[k] >= ratio.std()} or set(own)
+    if 2 * sum(len(lines[k][0]) for k in content if lines[k][4]) >= sum(len(lines[k][0]) for k in content):
+        return " ".join(lines[k][0] for k in own if lines[k][4])
+    holders = {line[2][:n] for line in lines for n in range(len(line[2]))}
+    region = None
+    for k in own:
+        if k in content or lines[k][5]:
+            path = lines[k][2] if lines[k][2] in holders else lines[k][2][:-1]
+            region = path if region is None else region[:shared(region, path)]
+    return " ".join(lines[k][0] for k in own if lines[k][2][:len(region)] == region)
 
 
 def extract(pages: DataFrame, *, html_col: str = "html") -> DataFrame:

@@ -406,6 +406,23 @@ def test_main_text():
     assert html_text.main_text("<p>one<p>two <i>th</i>ree") == "one two three"
 
 
+LONG = "A sentence of ordinary length that says something about the matter at hand, and then goes on. "
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<body><h1>Title</h1><p>Lead.</p><p>{LONG * 20}</p><p>{LONG}</p></body>", f"Title Lead. {LONG * 20}{LONG}"),
+    (f"<body><div><h1>Title</h1><p>Lead.</p></div><div><p>{LONG * 5}</p><p>{LONG * 5}</p></div></body>", f"Title Lead. {LONG * 10}"),
+    (f"<body><div><p>{LONG}</p><p><a href='x'>A long line that is a link and part of it</a></p><p>{LONG}</p></div></body>",
+     f"{LONG}A long line that is a link and part of it {LONG}"),
+    (f"<body><article><p>{LONG * 9}</p></article><article><p>{LONG}</p></article></body>", LONG * 10),
+    (f"<body><main><h1>Title</h1><article><p>{LONG * 5}</p></article></main><div><p>Other.</p></div></body>", f"Title {LONG * 5}"),
+    (f"<article><div class='entry-header'><h1>Title</h1></div><p>{LONG}</p><h2 id='related-work'>Work</h2><p>{LONG}</p>"
+     f"<div class='share'>Share</div><div class='related-posts'><p>{LONG}</p></div></article>", f"Title {LONG}Work {LONG}"),
+])
+def test_main_text_keeps_the_whole_article(page, want):
+    assert html_text.main_text(page) == want.strip()
+
+
 @needs_tables
 def test_pages_give_their_article(spark):
     import html
