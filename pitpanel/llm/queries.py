@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitpanel.llm import (decontamination, html_text, line_dedup, packing, personal_data, quality_classifier, quality_rules, secrets,
-                          set_join, token_counts)
+from pitpanel.llm import (alignment, decontamination, html_text, language_id, line_dedup, packing, personal_data, quality_classifier,
+                          quality_rules, resampling, secrets, set_join, token_counts)
 from pitpanel.llm.common import table
 
 #: Tokenizer files by name in the public tokenizer folder; another folder is a parameter of the operators.
@@ -101,15 +101,58 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+w AS (SELECT 0 AS side, doc_id, row_number() OVER () AS k, coalesce(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+      UNION ALL
+      SELECT 1, NULL, 0, coalesce(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) FROM benchmark),
+f AS (SELECT side, k, word, count(*) AS n FROM (SELECT side, k, unnest(w) AS word FROM w) GROUP BY ALL),
+h AS (SELECT word, hex(encode(word)) AS x FROM (SELECT DISTINCT word FROM f)),
+b AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2),
+        lambda i: 16 * (instr('0123456789ABCDEF', x[2 * i + 1]) - 1) + instr('0123456789ABCDEF', x[2 * i + 2]) - 1)),
+        lambda c, v: xor(t[(xor(c, v) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket FROM h, crc),
+c AS (SELECT bucket, sum(CASE WHEN side = 0 THEN n ELSE 0 END) AS s, sum(CASE WHEN side = 1 THEN n ELSE 0 END) AS t
+      FROM f JOIN b USING (word) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * ((SELECT CAST(sum(s) AS DOUBLE) FROM c) + 10000)
+        / ((CAST(s AS DOUBLE) + 1) * ((SELECT CAST(sum(t) AS DOUBLE) FROM c) + 10000)))) AS BIGINT) AS gain FROM c),
+d AS (SELECT k, sum(n * gain) AS weight FROM f JOIN b USING (word) JOIN g USING (bucket) WHERE side = 0 GROUP BY k),
+u AS (SELECT doc_id, len(w) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, list_reduce(list_prepend(0, list_transform(range(8),
+        lambda i: instr('0123456789abcdef', sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[i + 1]) - 1)), lambda a, v: 16 * a + v) AS h
+      FROM w LEFT JOIN d USING (k) WHERE side = 0),
+z AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM u),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+        count(*) OVER (PARTITION BY n_features >= 20) AS enough FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * enough // 100 THEN place END AS rank FROM r
+"""
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = alignment.Files(tokenizer_file(BYTE_MODEL), tokenizer_file(PIECE_MODEL))
+    return alignment.alignments(table(spark, sf_dir, "documents"), files)
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs.filter(~language_id.in_fold("doc_id", 4, 2))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_winnowing_decontamination, op2_personal_data, op3_token_counts, op4_best_fit_packing, op5_quality_rules,
         op6_secret_scans, op7_signature_tree_join, op8_html_extraction, op9_quality_classifier,
-        op10_line_dedup,
+        op10_line_dedup, op11_importance_resampling, op12_tokenizer_alignment, op13_language_id,
     )
 }
 
-SQL: dict[str, str] = {"op1_winnowing_decontamination": OP1_SQL, "op7_signature_tree_join": OP7_SQL}
+SQL: dict[str, str] = {"op1_winnowing_decontamination": OP1_SQL, "op7_signature_tree_join": OP7_SQL,
+                       "op11_importance_resampling": OP11_SQL}
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
