@@ -34,55 +34,87 @@ def map_rows(df: DataFrame, columns: list[str], schema: str,
     return df.select(*columns).mapInArrow(run, out)
 
 
+def quoted(name: str) -> str:
+    """The column of just this name, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def append_columns(df: DataFrame, inputs: list[str], schema: str,
                    start: Callable[[], Callable[[list[list[Any]]], list[list[Any]]]]) -> DataFrame:
     """As ``map_rows``, but keeps every column of ``df``; one whose name ``schema`` takes again is replaced."""
-    from pyspark.sql.types import StructType
+    from pyspark.sql.types import StructField, StructType
 
     new = df.sparkSession.createDataFrame([], schema).schema
     names = {field.name for field in new}
     kept = [name for name in df.columns if name not in names]
-    extra = [name for name in inputs if name in names]
+    taken = [*kept, *(name for name in inputs if name in names)]
     out = StructType([df.schema[name] for name in kept] + list(new))
+    # Columns go by number, as their names may hold dots.
+    numbered = StructType([StructField(f"c{k}", field.dataType) for k, field in enumerate(out)])
+    places = [taken.index(name) for name in inputs]
 
     def run(batches: Iterator) -> Iterable:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, step = to_arrow_schema(out), start()
+        arrow, step = to_arrow_schema(numbered), start()
         for batch in batches:
-            found = step([batch.column(name).to_pylist() for name in inputs])
-            columns = [batch.column(name) for name in kept]
+            found = step([batch.column(k).to_pylist() for k in places])
+            columns = batch.columns[:len(kept)]
             columns += [pa.array(values, type=arrow.field(len(kept) + k).type) for k, values in enumerate(found)]
             yield pa.RecordBatch.from_arrays(columns, names=arrow.names)
 
-    return df.select(*kept, *extra).mapInArrow(run, out)
+    source = df.select(*[F.col(quoted(name)).alias(f"c{k}") for k, name in enumerate(taken)])
+    return source.mapInArrow(run, numbered).toDF(*out.names)
 
 
-#: Bits of the filter that ``perhaps_listed`` brings to the tasks: 1 MB, whatever the tables.
-FILTER_BITS = 1 << 23
+#: Bits of the filter that ``listed_bits`` brings to the tasks: eight for each key, within these bounds (16 MB at most).
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 
 
-def perhaps_listed(listed: DataFrame) -> Callable[[str], Column]:
-    """A test whether a bigint column may be in the one column of ``listed``: true for all that are, for few that are not.
+def listed_bits(listed: DataFrame) -> tuple[int, Any]:
+    """(number of bits, broadcast bitmap) of the bigint keys in the one column of ``listed``; bit k: a key that leaves k.
 
-    A bitmap of hashes of fixed size, so that a join of a few rows with a wide table need not
-    shuffle the wide one whole. Eager in the bitmap.
+    Its size follows the number of keys up to 16 MB; beyond, it lets more other keys through, and the
+    join that follows it drops them. Eager.
     """
     import numpy as np
 
-    spot = F.pmod(F.xxhash64(listed.columns[0]), F.lit(FILTER_BITS)) + 1
+    key = F.col(listed.columns[0])
+    n = listed.count()
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * n).bit_length()))
+    spot = F.pmod(key, F.lit(size)) + 1
     rows = (listed.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("part"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits")).collect())
-    bits = np.zeros(FILTER_BITS, bool)
+    bits = np.zeros(size, bool)
     for row in rows:
-        part = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little")
+        part = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little")[:size]
         bits[(row["part"] - 1) * len(part):row["part"] * len(part)] = part
-    table_ = listed.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    return size, listed.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+
 
-    def found(spots: pd.Series) -> pd.Series:
-        at = spots.to_numpy()
-        return pd.Series((table_.value[at >> 3] >> (7 - (at & 7))) & 1 == 1)
+def in_bits(keys, size: int, table_):
+    """Whether the numpy keys may be listed."""
+    at = keys & (size - 1)
+    return (table_[at >> 3] >> (at & 7).astype("uint8")) & 1 == 1
+
+
+def perhaps_listed(listed: DataFrame) -> Callable[[str], Column]:
+    """A test whether a bigint column may be in the one column of ``listed``: true for all that are, for few that are not.
+
+    So a join of a few rows with a wide table need not shuffle the wide one whole. Eager in the bitmap.
+    """
+    size, bits = listed_bits(listed)
+
+    def found(keys: pd.Series) -> pd.Series:
+        return pd.Series(in_bits(keys.to_numpy(), size, bits.value))
 
     test = F.pandas_udf(found, "boolean")
-    return lambda key: test(F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)))
+    return lambda key: test(F.coalesce(F.col(key), F.lit(0)))
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores put before it until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = "_" + name
+    return name

@@ -42,10 +42,12 @@ def with_cells(members: DataFrame, by: list[str]) -> DataFrame:
 def family_links(members: DataFrame, join: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``members`` (family, node, n, further columns) with the smallest node of the component as ``label``.
 
-    ``join`` gets rows with ``cell`` and ``label`` and gives the pairs (a, b) of labels that some
+    Members may have a ``label`` already: nodes known to be in one component. A node may be in several
+    families. ``join`` gets rows with ``cell`` and ``label`` and gives the pairs (a, b) of labels that some
     two rows of one cell link. Eager.
     """
-    members = members.withColumn("label", F.col("node"))
+    if "label" not in members.columns:
+        members = members.withColumn("label", F.col("node"))
     first = cut_lineage(with_cells(members, ["family"]))
     members = relabel(first.drop("blocks", "cell"), join(first))
     wide = first.filter("blocks > 1").select("family").distinct()

@@ -1,133 +1,104 @@
-"""Line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, groups.
+"""Line dedup: SimHash blocks of normalised lines, edit similarity, groups.
 
 Lines are normalised (lower case, digits to 0, only letters and digits, single spaces); equal
-normalised lines are one node. A node's SimHash has 160 bits over its words, in ten blocks of
-16: two lines that differ in fewer bits than there are blocks share one, and most lines with one
-word replaced do. Of nodes that share a block, pairs are dropped whose lengths and character counts
-need more edits than ``similarity`` allows, and the rest are verified; a block with very many pairs
-left gives ties instead. Nodes so connected, directly or through others, form a family; within
-families (cut into blocks of rows if they are large, see ``families``) pairs that share a block are
-verified by edit similarity of at least ``similarity``, and linked lines form groups. Of each group the first
-occurrence stays, by document id, content hash and line number; all others are removed.
-
-Chance meetings grow with the square of the different lines over 2^16; ``block_bytes`` widens a
-block. What a wider block costs is recall on lines with an edit.
+normalised lines are one node. A node has SimHash blocks (see ``line_keys``) of which an edit damages
+a few and leaves the others whole. One shuffle brings the nodes of a block together as (block,
+node, length); nodes that share a block and whose lengths allow it are pairs, and pairs are verified
+by edit similarity of at least ``similarity`` percent of the longer line. Linked lines form groups,
+directly or through others. Of each group the first occurrence stays, by document id, content
+hash and line number; all others are removed.
+
+A block that more than PAIRS_AT nodes share gives no pairs: its nodes go, with their lines, to
+one task or, in blocks of rows, to several (see ``families``), where only lines of different groups are
+compared, first by counts of their characters. All of them are, so nothing is lost; a block so
+frequent that a task sees it in one of 500 of its postings goes there without passing
+through one task first.
+
+What a pair of lines must have in common to be found is a block, not merely its similarity: with
+one word or letter replaced, added or lost all pairs of 3 to 80 words do in the tests, and with every
+twelfth word replaced as well; two damaged words in a line of 5 or 6 words often leave none.
 
 Defined results: a null text stays null with 0 lines; lines without a letter or digit are never
 removed; null ids count as the smallest; rows with equal id and text are one document, so they
-lose the same lines; other columns are kept, those named like a result are replaced.
+lose the same lines; other columns are kept whatever their names, those named like a result are
+replaced.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.llm.common import append_columns, perhaps_listed
-from pitpanel.llm.families import families, family_links, meeting_pairs
+from pitpanel.llm.common import append_columns, free_name, in_bits, listed_bits, perhaps_listed, quoted
+from pitpanel.llm.components import connected
+from pitpanel.llm.families import family_links
+from pitpanel.llm.line_keys import block_keys, normal_lines
 from pitpanel.session import cut_lineage
 
-BLOCKS, BLOCK_BYTES = 10, 2
+#: Nodes of one block that are paired; beyond, they go to ``hot_links``.
+PAIRS_AT = 16
 #: Characters are counted by code in so many classes.
 COUNTS = 32
-WORD, DIGITS = re.compile(r"[^\W_]+"), re.compile(r"\d+")
 #: Beyond so many edits, runs of characters are counted first.
 LONG_LIMIT, GRAM = 20, 8
-#: Words whose hashes a task remembers.
-REMEMBERED = 400_000
+#: Bytes of lines whose blocks are made at once; lines that a task remembers.
+BATCH_BYTES, REMEMBERED = 1 << 21, 2_000_000
+#: A block in one of so many postings of a task is frequent there; one of so many of all postings is frequent for good.
+TASK_SHARE, SHARE = 500, 5000
 
 
-def normalise(line: str) -> str:
-    words = " ".join(WORD.findall(line.lower()))
-    return DIGITS.sub("0", words) if DIGITS.search(words) else words
-
-
-def line_digest(line: str) -> bytes:
+def line_digest(line: bytes) -> bytes:
     from xxhash import xxh128_digest
 
-    return xxh128_digest(line.encode("utf-8"))
-
-
-class WordHashes(dict):
-    """Hashes of words, remembered; every word has one of ``size`` bytes."""
-
-    def __init__(self, size: int):
-        super().__init__()
-        self.size = size
-
-    def __missing__(self, word: str) -> bytes:
-        from hashlib import blake2b
-
-        from xxhash import xxh32_digest, xxh128_digest
-
-        data = word.encode("utf-8")
-        found = (xxh128_digest(data) + xxh32_digest(data))[:self.size] if self.size <= 20 else blake2b(data, digest_size=self.size).digest()
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = found
-        return found
-
-
-def simhashes(lines: list[str], size: int, known: WordHashes | None = None) -> np.ndarray:
-    """(lines, size) bytes; bit k is set if most of the line's words have it in their hash."""
-    known = WordHashes(size) if known is None else known
-    most = np.zeros((len(lines), 8 * size), bool)
-    for k, line in enumerate(lines):
-        words = line.split(" ")
-        bits = np.unpackbits(np.frombuffer(b"".join([known[word] for word in words]), np.uint8).reshape(-1, size), axis=1)
-        # Bytes count up to 255 words, in half the time.
-        sums = bits.sum(axis=0, dtype=np.uint8 if len(words) < 256 else np.int32)
-        most[k] = 2 * sums.astype(np.int32) > len(words)
-    return np.packbits(most, axis=1)
-
-
-def block_keys(hashes: np.ndarray, blocks: int) -> np.ndarray:
-    """(lines, blocks) integers that hold the block's number and its bits."""
-    size = hashes.shape[1] // blocks
-    parts = hashes.reshape(len(hashes), blocks, size).astype(np.int64)
-    keys = np.zeros((len(hashes), blocks), np.int64)
-    for k in range(size):  # wider blocks than 7 bytes wrap around, which mixes them
-        keys = (keys << 8) ^ parts[:, :, k] ^ ((keys >> 55) & 0xFF)
-    return keys ^ (np.arange(blocks, dtype=np.int64) << 56)
+    return xxh128_digest(line)
 
 
 def edit_within(a: str, b: str, limit: int) -> bool:
-    """Whether the edit distance is at most ``limit``: furthest places by diagonal, edit by edit."""
+    """Whether the edit distance is at most ``limit``: by bit vectors, column by column, after equal ends are cut off."""
     if abs(len(a) - len(b)) > limit:
         return False
-
-    def slide(i: int, j: int) -> int:
-        begin, step = i, 16
-        while True:
-            x, y = a[i:i + step], b[j:j + step]
-            if x == y and len(x) == step:
-                i, j, step = i + step, j + step, min(step * 2, 4096)
-                continue
-            for p, q in zip(x, y, strict=False):
-                if p != q:
-                    break
-                i += 1
-            return i - begin
-
-    goal, far = len(a) - len(b), {0: slide(0, 0)}
-    if goal == 0 and far[0] >= len(a):
-        return True
-    for edits in range(1, limit + 1):
-        new: dict[int, int] = {}
-        for d in range(-edits, edits + 1):
-            i = max(far.get(d, -2) + 1, far.get(d - 1, -2) + 1, far.get(d + 1, -1))
-            i = min(i, len(a), len(b) + d)
-            if i < 0 or i - d < 0:
-                continue
-            new[d] = i + slide(i, i - d)
-        far = new
-        if far.get(goal, -1) >= len(a):
-            return True
-    return False
+    if len(a) > len(b):
+        a, b = b, a
+    low, step = 0, len(a)
+    while step:  # the common beginning, by halving steps
+        if a[low:low + step] == b[low:low + step]:
+            low += step
+            step = min(step, len(a) - low)
+        else:
+            step >>= 1
+    a, b = a[low:], b[low:]
+    low, step = 0, len(a)
+    while step:
+        if a[len(a) - low - step:len(a) - low] == b[len(b) - low - step:len(b) - low]:
+            low += step
+            step = min(step, len(a) - low)
+        else:
+            step >>= 1
+    a, b = a[:len(a) - low], b[:len(b) - low]
+    if not a or limit >= len(b):
+        return len(b) <= limit
+    places: dict[str, int] = {}
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << k
+    full, last, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down = full, 0  # rows where the distance goes up or down by one
+    for left, c in zip(range(len(b) - 1, -1, -1), b, strict=True):
+        same = places.get(c, 0)
+        cross = (((same & up) + up) ^ up) | same
+        right, back = down | (full & ~(cross | up)), up & cross
+        if right & last:
+            score += 1
+        elif back & last:
+            score -= 1
+        if score - left > limit:
+            return False
+        right, back, same = (right << 1) | 1, back << 1, same | down
+        up = (back | ~(same | right)) & full
+        down = right & same & full
+    return score <= limit
 
 
 def alike(a: str, b: str, percent: int) -> bool:
@@ -140,117 +111,196 @@ def alike(a: str, b: str, percent: int) -> bool:
     return edit_within(a, b, limit)
 
 
-def group_links(nodes: list[str], labels: list[str], lines: list[str], percent: int, blocks: int,
-                block_bytes: int) -> list[tuple[str, str]]:
-    """(label, label) of lines of a cell that share a SimHash block and are alike."""
-    order = sorted(range(len(nodes)), key=lambda k: (len(lines[k]), lines[k]))
+def character_counts(line: str) -> bytes:
+    """Characters by class, up to 255 each; characters beyond ASCII share the classes."""
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.minimum(np.bincount(codes % COUNTS, minlength=COUNTS), 255).astype(np.uint8).tobytes()
+
+
+def group_links(labels: list[int], lines: list[str], percent: int) -> list[tuple[int, int]]:
+    """(label, label) of lines of a cell that are alike; lines whose labels are joined by then are not compared."""
+    order = sorted(range(len(lines)), key=lambda k: (len(lines[k]), lines[k]))
     lines = [lines[k] for k in order]
-    distinct, label = np.unique(np.array([labels[k] for k in order]), return_inverse=True)
+    distinct, label = np.unique(np.array([labels[k] for k in order], np.int64), return_inverse=True)
     lengths, out = np.array([len(x) for x in lines]), []
-    keys = block_keys(simhashes(lines, blocks * block_bytes), blocks)
+    counts = np.frombuffer(b"".join(map(character_counts, lines)), np.uint8).reshape(-1, COUNTS).astype(np.int16)
+    limits = (100 - percent) * lengths // 100
     for i in range(len(lines) - 1):
         if not label.any():
             break
         near = np.arange(i + 1, int(np.searchsorted(lengths, lengths[i] * 100 // percent, side="right")))
         near = near[label[near] != label[i]]
-        near = near[(keys[near] == keys[i]).any(axis=1)]
+        if len(near):  # an edit changes two counts by 1, or one and the length
+            apart = np.abs(counts[near] - counts[i]).sum(axis=1, dtype=np.int64)
+            near = near[apart <= 2 * limits[near] - (lengths[near] - lengths[i])]
         for j in near.tolist():
             if label[i] != label[j] and alike(lines[i], lines[j], percent):
-                out.append((str(distinct[label[i]]), str(distinct[label[j]])))
+                out.append((int(distinct[label[i]]), int(distinct[label[j]])))
                 label[label == max(label[i], label[j])] = min(label[i], label[j])
     return out
 
 
-def character_counts(line: str) -> bytes:
-    """Characters by class, up to 255 each; characters beyond ASCII share the classes."""
-    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.minimum(np.bincount(codes % COUNTS, minlength=COUNTS), 255).astype(np.uint8).tobytes()
+def byte_batches(lines: list[bytes]):
+    """Numbers of the first and one past the last line of batches of about BATCH_BYTES bytes."""
+    at, size = 0, 0
+    for k, line in enumerate(lines):
+        size += len(line)
+        if size >= BATCH_BYTES:
+            yield at, k + 1
+            at, size = k + 1, 0
+    if at < len(lines):
+        yield at, len(lines)
 
 
-def occurrences(docs: DataFrame, text_col: str) -> DataFrame:
-    """(row_id, row_key, no, la, lb, n): every line that has a letter or digit."""
+def occurrences(base: DataFrame, least: int) -> DataFrame:
+    """(row_id, row_key, no, la, lb, n, blocks) of every line that has a letter or digit, its blocks once a task,
+    and rows (frequent, times) of the blocks that a task has very often."""
+    kind = base.schema["row_id"].dataType.simpleString()
+    out = base.sparkSession.createDataFrame(
+        [], f"row_id {kind}, row_key bigint, no int, la bigint, lb bigint, n bigint, blocks array<bigint>, frequent bigint, times bigint").schema
+
     def run(batches):
         import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
 
+        arrow, seen, posted = to_arrow_schema(out), set(), Counter()
+        total = 0
         for batch in batches:
-            out = [[] for _ in range(4)]
-            digests = []
-            for doc, key, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                for no, line in enumerate((text or "").split("\n")):
-                    line = normalise(line)
+            rows, numbers, lines = [], [], []
+            for k, text in enumerate(batch.column(2).to_pylist()):
+                for no, line in enumerate(normal_lines(text or "")):
                     if line:
-                        digests.append(line_digest(line))
-                        for values, value in zip(out, (doc, key, no, len(line)), strict=True):
-                            values.append(value)
-            pairs = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], batch.column(0).type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()),
-                 pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(out[3], pa.int64())],
-                names=["row_id", "row_key", "no", "la", "lb", "n"])
-
-    kind = docs.schema["row_id"].dataType.simpleString()
-    return docs.select("row_id", "row_key", text_col).mapInArrow(
-        run, f"row_id {kind}, row_key bigint, no int, la bigint, lb bigint, n bigint")
-
-
-def postings(docs: DataFrame, text_col: str, blocks: int, block_bytes: int) -> DataFrame:
-    """(key, salt, node, n, marks): the blocks of every normalised line, once for each task that has it; no salts."""
+                        rows.append(k)
+                        numbers.append(no)
+                        lines.append(line)
+            digests = np.frombuffer(b"".join(map(line_digest, lines)), np.int64).reshape(-1, 2)
+            new = []
+            for k, a in enumerate(digests[:, 0].tolist()):
+                if a not in seen:
+                    seen.add(a)
+                    new.append(k)
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+            mine = [lines[k] for k in new]
+            for low, high in byte_batches(mine):
+                row, key = block_keys(mine[low:high], least)
+                found[0].append(np.array(new[low:high])[row])
+                found[1].append(key)
+            row, key = (np.concatenate(f) for f in found)
+            order = np.argsort(row, kind="stable")
+            sizes = np.bincount(row, minlength=len(lines))
+            total += len(key)
+            keys, times = np.unique(key, return_counts=True)
+            often = times > max(1, len(key) // (4 * TASK_SHARE))
+            posted.update(dict(zip(keys[often].tolist(), times[often].tolist(), strict=True)))
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            is_new = np.zeros(len(lines), bool)
+            is_new[new] = True
+            blocks = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(~is_new, False)), pa.array(key[order]))
+            take = pa.array(rows, pa.int64())
+            columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(numbers, pa.int32()), pa.array(digests[:, 0]),
+                       pa.array(digests[:, 1]), pa.array([len(x) if x.isascii() else len(x.decode("utf-8")) for x in lines], pa.int64()), blocks,
+                       pa.nulls(len(lines), pa.int64()), pa.nulls(len(lines), pa.int64())]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+        heavy = {key: n for key, n in posted.items() if n * TASK_SHARE >= total and n > PAIRS_AT}
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(heavy), f.type) for f in list(arrow)[:7]), pa.array(list(heavy), pa.int64()),
+                                          pa.array(list(heavy.values()), pa.int64())], schema=arrow)
+
+    return base.mapInArrow(run, out)
+
+
+class Runs:
+    """Rows sorted by block, batch after batch, to pairs of nodes that share one, or to all nodes of a block that many share."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.rest = [np.zeros(0, np.int64) for _ in range(3)]
+        self.long: int | None = None  # the block of a long run that goes on
+
+    def feed(self, rows: list[np.ndarray], last: bool) -> list[np.ndarray]:
+        """(kind, a, b, n): kind 0 a pair of nodes, 1 a block (a) and a node (b) of n characters."""
+        key, node, n = (np.concatenate([old, new]) for old, new in zip(self.rest, rows, strict=True))
+        out = []
+        if self.long is not None and len(key):
+            same = key == self.long
+            out.append((1, key[same], node[same], n[same]))
+            if not same.all():
+                self.long = None
+            key, node, n = key[~same], node[~same], n[~same]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else key
+        ends = np.append(starts[1:], len(key)) if len(key) else starts
+        keep = len(key)
+        if len(starts) and not last:
+            a = int(starts[-1])
+            if len(np.unique(node[a:])) > PAIRS_AT:
+                self.long = int(key[a])
+            else:
+                keep, starts, ends = a, starts[:-1], ends[:-1]
+        self.rest = [x[keep:] for x in (key, node, n)]
+        for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+            nodes, first = np.unique(node[a:b], return_index=True)
+            sizes = n[a:b][first]
+            if len(nodes) > PAIRS_AT:
+                out.append((1, np.full(len(nodes), key[a]), nodes, sizes))
+            elif len(nodes) > 1:
+                i, j = np.triu_indices(len(nodes), 1)
+                near = 100 * np.minimum(sizes[i], sizes[j]) >= self.percent * np.maximum(sizes[i], sizes[j])
+                out.append((0, nodes[i[near]], nodes[j[near]], sizes[i[near]]))
+        if not out:
+            return [np.zeros(0, np.int64)] * 4
+        return [np.concatenate([np.full(len(a), k, np.int64) for k, a, _, _ in out]), *(np.concatenate([o[k] for o in out]) for k in (1, 2, 3))]
+
+
+def shared_blocks(found: DataFrame, percent: int) -> DataFrame:
+    """(kind, a, b, n) as ``Runs`` gives them, stored. Eager."""
+    often = found.filter("frequent is not null").groupBy("frequent").agg(F.sum("times").alias("times"))
+    total = found.agg(F.sum(F.size("blocks").cast("bigint"))).first()[0] or 0
+    often = cut_lineage(often.filter(F.col("times") * SHARE >= total).select(F.col("frequent").alias("key")))  # at most SHARE rows
+    posted = found.filter("blocks is not null").select(F.explode("blocks").alias("key"), F.col("la").alias("node"), "n")
+    kind = "kind bigint, a bigint, b bigint, n bigint"
+
     def run(batches):
         import pyarrow as pa
 
-        seen, known = set(), WordHashes(blocks * block_bytes)
+        runs, names = Runs(percent), ["kind", "a", "b", "n"]
         for batch in batches:
-            lines: dict[int, str] = {}
-            for text in batch.column(0).to_pylist():
-                for line in (text or "").split("\n"):
-                    line = normalise(line)
-                    if line:
-                        a = int.from_bytes(line_digest(line)[:8], "little", signed=True)
-                        if a not in seen:
-                            seen.add(a)
-                            lines[a] = line
-            if lines:
-                keys = block_keys(simhashes(list(lines.values()), blocks * block_bytes, known), blocks).ravel()
-                nodes = np.repeat(np.array(list(lines)), blocks)
-                sizes = np.repeat(np.array([len(x) for x in lines.values()], np.int32), blocks)
-                marks = np.repeat(np.array([character_counts(x) for x in lines.values()], object), blocks)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), pa.array(np.zeros(len(keys), np.int32)), pa.array(nodes), pa.array(sizes), pa.array(marks, pa.binary())],
-                    names=["key", "salt", "node", "n", "marks"])
-
-    return docs.select(text_col).mapInArrow(run, "key bigint, salt int, node bigint, n int, marks binary")
-
-
-def with_lines(docs: DataFrame, rows: DataFrame, text_col: str, names: list[str]) -> DataFrame:
-    """The string columns ``names`` of ``rows`` (names, row_id, row_key, no) with the normalised line."""
-    wanted = rows.groupBy(F.col("row_id").alias("want_id"), F.col("row_key").alias("want_key")).agg(
-        F.collect_list(F.struct("no", *names)).alias("wanted"))
-    wanted = cut_lineage(wanted)
-    near = docs.select("row_id", "row_key", text_col).filter(perhaps_listed(wanted.select("want_key"))("row_key"))
-    same_row = F.col("row_id").eqNullSafe(F.col("want_id")) & (F.col("row_key") == F.col("want_key"))
-    texts = near.join(wanted, same_row).select(text_col, "wanted")
-
-    def lines(batches):
+            rows = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in runs.feed(rows, False)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in runs.feed([np.zeros(0, np.int64)] * 3, True)], names=names)
+
+    dealt = posted.join(F.broadcast(often), "key", "left_anti").repartition("key").sortWithinPartitions("key")
+    hot = posted.join(F.broadcast(often), "key").select(F.lit(1).cast("bigint").alias("kind"), F.col("key").alias("a"), F.col("node").alias("b"), "n")
+    met = dealt.mapInArrow(run, kind).unionByName(hot)
+    return cut_lineage(met.groupBy("kind", "a", "b").agg(F.max("n").alias("n")))
+
+
+def wanted_lines(base: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, line) of the ``nodes``, stored. Eager."""
+    size, bits = listed_bits(nodes)
+
+    def run(batches):
         import pyarrow as pa
 
+        seen = set()
         for batch in batches:
-            out = [[] for _ in range(len(names) + 1)]
-            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts = text.split("\n")
-                for w in wanted:
-                    for values, value in zip(out, (*(w[x] for x in names), normalise(parts[w["no"]])), strict=True):
-                        values.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.string()) for v in out], names=[*names, "line"])
-
-    return texts.mapInArrow(lines, ", ".join(f"{x} string" for x in [*names, "line"]))
-
-
-def verified(docs: DataFrame, met: DataFrame, nodes: DataFrame, text_col: str, percent: int) -> DataFrame:
-    """(a, b) of ``met`` (kind, a, b): the ties, and the pairs that are alike."""
-    pairs = met.filter("kind = 0").select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
-    used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    places = nodes.select(F.col("la").cast("string").alias("node"), "first.*").join(used, "node")
-    lines = cut_lineage(with_lines(docs, places, text_col, ["node"]).distinct())
+            lines = [line for text in batch.column(0).to_pylist() for line in normal_lines(text or "") if line]
+            digests = np.frombuffer(b"".join(map(line_digest, lines)), np.int64).reshape(-1, 2)[:, 0]
+            new = []
+            for k in np.flatnonzero(in_bits(digests, size, bits.value)).tolist():
+                if int(digests[k]) not in seen:
+                    seen.add(int(digests[k]))
+                    new.append(k)
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(digests[new]), pa.array([lines[k].decode("utf-8") for k in new], pa.string())], names=["node", "line"])
+
+    lines = base.select("text").mapInArrow(run, "node bigint, line string")
+    return cut_lineage(lines.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("line").alias("line")))
+
+
+def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of ``pairs`` (a, b) that are alike."""
     both = (pairs.join(lines.select(F.col("node").alias("a"), F.col("line").alias("x")), "a")
             .join(lines.select(F.col("node").alias("b"), F.col("line").alias("y")), "b"))
 
@@ -261,47 +311,60 @@ def verified(docs: DataFrame, met: DataFrame, nodes: DataFrame, text_col: str, p
             keep = [alike(x, y, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    alike_pairs = both.select("a", "b", "x", "y").mapInArrow(run, "a string, b string")
-    return met.filter("kind = 1").select("a", "b").unionByName(alike_pairs.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")))
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def joined_lines(docs: DataFrame, rows: DataFrame, text_col: str, percent: int, blocks: int, block_bytes: int) -> DataFrame:
-    """(a, b) labels of alike lines within each cell of ``rows`` (cell, node, label, row_id, row_key, no)."""
+def hot_links(members: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each node of ``members`` (family, node, n, label) and the label it has in the end. Eager."""
     def run(group):
         import pyarrow as pa
 
-        found = {node: (label, line) for _, node, label, line in zip(*(c.to_pylist() for c in group.columns), strict=True)}
-        links = group_links(list(found), [v[0] for v in found.values()], [v[1] for v in found.values()], percent, blocks, block_bytes)
-        return pa.table({"a": pa.array([a for a, _ in links], pa.string()), "b": pa.array([b for _, b in links], pa.string())})
+        links = group_links(group.column("label").to_pylist(), group.column("line").to_pylist(), percent)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    def join(rows: DataFrame) -> DataFrame:
+        return rows.select("cell", "node", "label").join(lines, "node").groupBy("cell").applyInArrow(run, "a bigint, b bigint")
+
+    return family_links(members, join).select(F.col("node").alias("a"), F.col("label").alias("b"))
+
 
-    return with_lines(docs, rows, text_col, ["cell", "node", "label"]).groupBy("cell").applyInArrow(run, "a string, b string")
+def line_groups(base: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """(la, label) of the lines that are alike to another, label being the same within a group. Eager."""
+    met = shared_blocks(found, percent)
+    pairs, hot = met.filter("kind = 0").select("a", "b"), met.filter("kind = 1").select(F.col("a").alias("family"), F.col("b").alias("node"), "n")
+    nodes = cut_lineage(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+                        .unionByName(hot.select("node")).distinct())
+    lines = wanted_lines(base, nodes)
+    links = cut_lineage(verified(pairs, lines, percent))
+    if not hot.isEmpty():
+        label = connected(links, "a", "b").withColumnRenamed("root", "label")
+        members = cut_lineage(hot.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        links = links.unionByName(hot_links(members, lines, percent)).unionByName(members.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    return connected(links, "a", "b").select(F.col("node").alias("la"), F.col("root").alias("label"))
 
 
-def remove_lines(docs: DataFrame, *, similarity: int = 90, blocks: int = BLOCKS, block_bytes: int = BLOCK_BYTES,
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_lines(docs: DataFrame, *, similarity: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated lines taken out of the text, and n_lines, n_removed. Eager: writes its steps."""
-    keyed = docs.withColumn("row_id", F.col(id_col)).withColumn("row_key", F.xxhash64(text_col))
-    found = cut_lineage(occurrences(keyed, text_col))
+    key = F.xxhash64(text_col)
+    base = docs.select(F.col(id_col).alias("row_id"), key.alias("row_key"), F.col(text_col).alias("text"))
+    found = cut_lineage(occurrences(base, -(-100 // (100 - similarity))))
+    lines = found.filter("no is not null")
     place = F.struct("row_id", "row_key", "no")
-    nodes = cut_lineage(found.groupBy("la", "lb").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"),
-                                                      F.max("n").alias("n")))
-    met = cut_lineage(meeting_pairs(postings(docs, text_col, blocks, block_bytes), similarity, COUNTS))
-    members = nodes.join(families(verified(keyed, met, nodes, text_col, similarity), "la"), "la").select(
-        "family", F.concat(F.hex("la"), F.lit("."), F.hex("lb")).alias("node"), "la", "lb", "n", "first.*")
-    groups = family_links(cut_lineage(members), lambda rows: joined_lines(keyed, rows, text_col, similarity, blocks, block_bytes))
-    first = groups.groupBy("label").agg(F.min(place).alias("group_first"))
+    nodes = cut_lineage(lines.groupBy("la", "lb").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")))
+    groups = nodes.join(line_groups(base, found, similarity), "la").select("la", "lb", "label", "first")
+    first = groups.groupBy("label").agg(F.min("first").alias("group_first"))
     groups = groups.join(first, "label").select("la", "lb", "group_first")
-    stays = F.coalesce("group_first", "first")
-    repeated = (nodes.join(groups, ["la", "lb"], "left").withColumn("stays", stays)
+    repeated = (nodes.join(groups, ["la", "lb"], "left").withColumn("stays", F.coalesce("group_first", "first"))
                 .filter((F.col("times") > 1) | (F.col("stays") != F.col("first"))).select("la", "lb", "stays"))
-    gone = (found.join(repeated, ["la", "lb"]).filter(~F.col("stays").eqNullSafe(place))
-            .groupBy(F.col("row_id").alias("gone_id"), F.col("row_key").alias("gone_key")).agg(F.collect_set("no").alias("gone")))
-    gone = cut_lineage(gone)
-    touched = perhaps_listed(gone.select("gone_key"))("row_key")
-    marked = keyed.filter(touched).join(
-        gone, F.col("row_id").eqNullSafe(F.col("gone_id")) & (F.col("row_key") == F.col("gone_key")), "left")
-    whole = keyed.filter(~touched).withColumn("gone", F.lit(None).cast("array<int>"))
-    marked = marked.drop("gone_id", "gone_key").unionByName(whole).drop("row_id", "row_key")
+    gone = cut_lineage(lines.join(repeated, ["la", "lb"]).filter(~F.col("stays").eqNullSafe(place))
+                       .groupBy("row_id", "row_key").agg(F.collect_set("no").alias("gone")))
+    names = {name: free_name(docs.columns, name) for name in ("row_id", "row_key", "gone")}
+    touched = docs.withColumn(names["row_key"], key)
+    listed = perhaps_listed(gone.select("row_key"))(names["row_key"])
+    gone = gone.select(*[F.col(c).alias(f"{names[c]}") for c in ("row_id", "row_key", "gone")])
+    same = F.col(id_col).eqNullSafe(F.col(names["row_id"])) & touched[names["row_key"]].eqNullSafe(gone[names["row_key"]])
+    marked = touched.filter(listed).join(gone, same, "left").select(*[touched[quoted(c)] for c in docs.columns], names["gone"])
+    whole = touched.filter(~listed).select(*map(quoted, docs.columns), F.lit(None).cast("array<int>").alias(names["gone"]))
 
     def start():
         def step(columns):
@@ -317,5 +380,5 @@ def remove_lines(docs: DataFrame, *, similarity: int = 90, blocks: int = BLOCKS,
         return step
 
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", text_col)]
-    return append_columns(marked, [text_col, "gone"], f"`{text_col}` string, n_lines bigint, n_removed bigint", start).select(
-        *kept, text_col, "n_lines", "n_removed")
+    return append_columns(marked.unionByName(whole), [text_col, names["gone"]], f"{quoted(text_col)} string, n_lines bigint, n_removed bigint", start).select(
+        *map(quoted, [*kept, text_col]), "n_lines", "n_removed")

@@ -11,7 +11,7 @@ import zlib
 import numpy as np
 import pytest
 
-from pitpanel.llm import automaton, decontamination, families, html_text, line_dedup, packing, personal_data, quality_classifier
+from pitpanel.llm import automaton, decontamination, families, html_text, line_dedup, line_keys, packing, personal_data, quality_classifier
 from pitpanel.llm import quality_rules, secrets, set_join, token_counts
 from pitpanel.llm.queries import BYTE_MODEL, PIECE_MODEL, tokenizer_file
 
@@ -345,48 +345,11 @@ def test_line_dedup_keeps_the_first_of_each_group(spark, awkward, nothing):
     assert line_dedup.remove_lines(nothing).count() == 0
 
 
-def test_line_dedup_finds_lines_with_a_replaced_word(spark):
-    # Brute force: every second line is within 90 % of the line before it, and of no other.
-    rng, lines = random.Random(10), []
-    for k in range(150):
-        line = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range((12, 20, 40)[k % 3])]
-        other = list(line)
-        other[rng.randrange(len(line))] = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
-        lines += [" ".join(line), " ".join(other)]
-    pairs = [(k, j) for k in range(300) for j in range(k) if line_dedup.alike(lines[k], lines[j], 90)]
-    assert pairs == [(k, k - 1) for k in range(1, 300, 2)]
-    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
-    gone = {r.doc_id for r in line_dedup.remove_lines(docs).collect() if r.n_removed}
-    shared = {k for k, j in pairs if np.equal(*line_dedup.block_keys(line_dedup.simhashes([lines[k], lines[j]], 20), 10)).any()}
-    assert gone == shared and len(gone) >= 0.8 * len(pairs)
-
-
-@pytest.mark.parametrize("dense", [0, 16])
-def test_runs_with_counts_connect_all_lines_within_the_edits(monkeypatch, dense):
-    monkeypatch.setattr(families, "DENSE", dense)
-    monkeypatch.setattr(families, "PIECE", 50)
-    rng = random.Random(5)
-    base = ["".join(rng.choice("abc def") for _ in range(40)) for _ in range(6)]
-    lines = [b[:k] + rng.choice("xyz") * rng.randint(0, 3) + b[k + rng.randint(0, 2):] for b in base for k in rng.choices(range(40), k=15)]
-    key = np.sort(np.array([rng.randint(0, 3) for _ in lines]))
-    marks = np.stack([np.frombuffer(line_dedup.character_counts(x), np.uint8) for x in lines])
-    rows = [key, np.zeros(len(key), int), np.arange(len(key)), np.array([len(x) for x in lines]), marks]
-    runs, found = families.Runs(90, line_dedup.COUNTS), []
-    for at in range(0, len(key), 7):
-        found.append(np.stack(runs.feed([x[at:at + 7] for x in rows], False)))
-    found.append(np.stack(runs.feed([x[:0] for x in rows], True)))
-    root = list(range(len(lines)))
-    for _, a, b in np.concatenate(found, axis=1).T.tolist():
-        root = [root[a] if x == root[b] else x for x in root]
-    want = [(a, b) for a in range(len(lines)) for b in range(a) if key[a] == key[b] and line_dedup.alike(lines[a], lines[b], 90)]
-    assert want and all(root[a] == root[b] for a, b in want)
-
-
 @needs_tables
 def test_no_normalised_line_stays_twice(spark):
     docs = documents(spark)
-    before = {line_dedup.normalise(x) for r in docs.collect() for x in r.text.split("\n")} - {""}
-    kept = collections.Counter(line_dedup.normalise(x) for r in line_dedup.remove_lines(docs).collect() for x in r.text.split("\n"))
+    before = {line_keys.normalise(x) for r in docs.collect() for x in r.text.split("\n")} - {""}
+    kept = collections.Counter(line_keys.normalise(x) for r in line_dedup.remove_lines(docs).collect() for x in r.text.split("\n"))
     kept.pop("", None)
     assert set(kept) <= before and set(kept.values()) == {1} and len(kept) > 0.95 * len(before)
 
