@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,11 +18,6 @@ from pitpanel.session import cut_lineage
 
 #: Rows, and the sum of ``n``, that a block holds at most, about.
 BLOCK_ROWS, BLOCK_SIZE = 1500, 4_000_000
-#: Nodes of one key that are compared pair by pair; beyond, they are tied to one of them and joined as a family.
-PAIRS = 64
-#: With counts: nodes of one key that are compared, in one piece, and passing pairs of a node beyond which a key gives ties.
-HELD, PIECE, DENSE = 20_000, 1_000_000, 16
-
 
 def relabel(members: DataFrame, links: DataFrame) -> DataFrame:
     """``members`` with each label replaced by the smallest label linked with it."""
@@ -85,152 +79,6 @@ def family_links(members: DataFrame, join: Callable[[DataFrame], DataFrame]) ->
     return relabel(members, join(rows))
 
 
-class Runs:
-    """Rows sorted by (key, salt), batch after batch, to pairs of nodes that share both.
-
-    Up to PAIRS nodes of one run give every pair whose sizes are within ``percent`` of each
-    other; a longer run gives ties of all nodes to its first, and holds nothing else in memory.
-
-    With ``counts``, rows have so many character counts as well, which bound the edits between
-    two lines of ``n`` characters. Up to HELD nodes of one run then give every pair that can be
-    within ``percent``, or ties that connect the same nodes if such pairs are many.
-    """
-
-    def __init__(self, percent: int, counts: int = 0):
-        self.percent, self.most = percent, HELD if counts else PAIRS
-        self.rest = [np.zeros(0, np.int64) for _ in range(4)] + [np.zeros((0, counts), np.uint8)] * bool(counts)
-        self.long: tuple[int, int, int] | None = None  # key, salt and first node of a long run that goes on
-
-    def fits(self, n, m):
-        return 100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)
-
-    def editable(self, n, marks, i, j):
-        """Whether lines i and j, j the longer, can be within the edits: one changes two counts by 1, or one and the length."""
-        apart = np.abs(marks[i].astype(np.int16) - marks[j]).sum(axis=1, dtype=np.int64)
-        return apart <= 2 * ((100 - self.percent) * n[j] // 100) - (n[j] - n[i])
-
-    def compared(self, run, node, n, marks) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """Pairs and ties of rows numbered by ``run``."""
-        order = np.lexsort((node, n, run))
-        order = order[np.concatenate([[True], (run[order][1:] != run[order][:-1]) | (node[order][1:] != node[order][:-1])])]
-        run, node, n, marks = run[order], node[order], n[order], marks[order]
-        place = run << 32 | n
-        ends = np.searchsorted(place, run << 32 | np.minimum(100 * n // self.percent, 0xFFFFFFFF), side="right")
-        wide = ends - np.arange(len(n)) - 1
-        nodes, passed, ties = np.bincount(run), np.zeros(run[-1] + 1, np.int64), np.zeros(run[-1] + 1, bool)
-        if not wide.any():
-            return []
-        pairs, cuts = [], np.searchsorted(np.cumsum(wide), np.arange(0, wide.sum(), PIECE), side="left")
-        for a, b in zip(cuts, [*cuts[1:], len(n)], strict=True):
-            i = np.arange(a, b)
-            i = i[~ties[run[i]]]
-            i = np.repeat(i, wide[i])
-            j = i + 1 + np.arange(len(i)) - np.searchsorted(i, i)
-            near = self.editable(n, marks, i, j)
-            pairs.append((i[near], j[near]))
-            passed += np.bincount(run[i[near]], minlength=len(passed))
-            ties |= passed > DENSE * nodes
-        i, j = (np.concatenate([p[k] for p in pairs]) for k in range(2))
-        keep = ~ties[run[i]]
-        out = [(0, node[i[keep]], node[j[keep]])]
-        for a in np.searchsorted(run, np.flatnonzero(ties)):
-            label = np.arange(nodes[run[a]])
-            for i in range(len(label)):
-                j = np.arange(a + i + 1, ends[a + i])
-                j = j[label[j - a] != label[i]]
-                j = j[self.editable(n, marks, np.full(len(j), a + i), j)]
-                if len(j):
-                    joined = np.zeros(len(label), bool)
-                    joined[label[j - a]] = True
-                    out.append((1, np.full(len(j), node[a + i]), node[j]))
-                    label[joined[label]] = label[i]
-        return out
-
-    def feed(self, rows: list[np.ndarray], last: bool) -> list[np.ndarray]:
-        """(kind, a, b): kind 0 pairs, 1 ties; of a salted key (a) 2 a node (b) of a short run, 3 the first node of a long one."""
-        key, salt, node, n, *marks = (np.concatenate([old, new]) for old, new in zip(self.rest, rows, strict=True))
-        out: list[tuple[int, np.ndarray, np.ndarray]] = []
-        if self.long and len(key):
-            same = (key == self.long[0]) & (salt == self.long[1])
-            out.append((1, np.full(int(same.sum()), self.long[2]), node[same]))
-            if not same.all():
-                self.long = None
-            key, salt, node, n, *marks = (x[~same] for x in (key, salt, node, n, *marks))
-        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])) if len(key) else key
-        ends = np.append(starts[1:], len(key)) if len(key) else starts
-        keep = len(key)
-        if len(starts) and not last:
-            if ends[-1] - starts[-1] > self.most:
-                self.long = (int(key[starts[-1]]), int(salt[starts[-1]]), int(node[starts[-1]]))
-            else:
-                keep, starts, ends = int(starts[-1]), starts[:-1], ends[:-1]
-        self.rest = [x[keep:] for x in (key, salt, node, n, *marks)]
-        size, done = ends - starts, ends[-1] if len(ends) else 0
-        if marks:
-            several = np.flatnonzero((size > 1) & (size <= HELD))
-            rows = np.concatenate([np.arange(starts[k], ends[k]) for k in several]) if len(several) else several
-            if len(rows):
-                out += self.compared(np.repeat(np.arange(len(several)), size[several]), node[rows], n[rows], marks[0][rows])
-            starts, ends, size = (x[size > HELD] for x in (starts, ends, size))
-        two = starts[size == 2]
-        two = two[(node[two] != node[two + 1]) & self.fits(n[two], n[two + 1])]
-        out.append((0, node[two], node[two + 1]))
-        tied = np.zeros(len(key), bool)
-        for a, b in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
-            nodes, first = np.unique(node[a:b], return_index=True)
-            if marks or len(nodes) > PAIRS or self.long and b == len(key):  # the rest of a long run is tied to this node too
-                out.append((1, np.full(len(nodes), node[a]), nodes))
-                tied[a:b] = True
-                if salt[a]:
-                    out.append((3, key[a:a + 1], node[a:a + 1]))
-            else:
-                i, j = np.triu_indices(len(nodes), 1)
-                sizes = n[a:b][first]
-                near = self.fits(sizes[i], sizes[j])
-                out.append((0, nodes[i[near]], nodes[j[near]]))
-        short = np.flatnonzero((salt[:done] != 0) & ~tied[:done])
-        out.append((2, key[short], node[short]))
-        kind = np.concatenate([np.full(len(a), k, np.int64) for k, a, _ in out])
-        x, y = np.concatenate([a for _, a, _ in out]), np.concatenate([b for _, _, b in out])
-        swap = (kind < 2) & (x > y)
-        x, y = np.where(swap, y, x), np.where(swap, x, y)
-        return list(np.unique(np.stack([kind, x, y]), axis=1)) if len(kind) else [kind, x, y]
-
-
-def meeting_pairs(meets: DataFrame, percent: int, counts: int = 0) -> DataFrame:
-    """(kind, a, b) from ``meets`` (key, salt, node, n, and ``marks`` if there are ``counts``): nodes that share a key; kind 0: of sizes within ``percent``,
-    kind 1: tied through a key with many nodes.
-
-    One shuffle by key and salt, then a run over sorted rows. Salts other than 0 are for keys
-    with very many nodes, which so reach many tasks. Over its salts, such a key counts again:
-    with a long run or more than PAIRS nodes in all, every node of its short runs and the first
-    of each long one are tied to each other, else they give pairs as well. Eager.
-    """
-    def run(batches):
-        import pyarrow as pa
-
-        runs, none = Runs(percent, counts), [np.zeros(0, np.int64) for _ in range(4)] + [np.zeros((0, counts), np.uint8)] * bool(counts)
-        for batch in batches:
-            rows = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)]
-            if counts:
-                rows.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, counts))
-            found = runs.feed(rows, False)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["kind", "a", "b"])
-        found = runs.feed(none, True)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["kind", "a", "b"])
-
-    dealt = meets.select("key", "salt", "node", "n", *["marks"] * bool(counts)).repartition("key", "salt").sortWithinPartitions("key", "salt")
-    found = cut_lineage(dealt.mapInArrow(run, "kind bigint, a bigint, b bigint").distinct())
-    salted = found.filter("kind >= 2")
-    keys = salted.groupBy("a").agg(F.min("b").alias("least"), (F.max("kind") == 3).alias("long"), F.count_distinct("b").alias("nodes"))
-    salted = cut_lineage(salted.join(keys, "a").withColumn("tied", F.col("long") | (F.col("nodes") > PAIRS)))
-    ties = salted.filter("tied").select(F.lit(1).cast("bigint").alias("kind"), F.col("least").alias("a"), "b")
-    few = salted.filter("not tied").select("a", "b")
-    across = few.join(few.select("a", F.col("b").alias("c")), "a").filter("b < c").select(
-        F.lit(0).cast("bigint").alias("kind"), F.col("b").alias("a"), F.col("c").alias("b"))
-    return found.filter("kind < 2").unionByName(ties).unionByName(across).distinct().filter("a != b")
-
-
 def families(pairs: DataFrame, node: str) -> DataFrame:
     """(node, family) of all nodes of ``pairs`` (a, b), directly or through others. Eager."""
     return connected(pairs, "a", "b").select(F.col("node").alias(node), F.col("root").alias("family"))

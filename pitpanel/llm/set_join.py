@@ -2,26 +2,32 @@
 
 A document's set holds the hashes of its distinct 5-word shingles. Linked sets are similar, so
 they share a shingle among the first n - ceil(0.75 n) + 1 of either in any fixed order; the
-order takes shingles that many documents have last. Pairs of sets that share such a shingle and
-whose sizes and bitmaps allow a link, taken together, make *families*; no link leaves a family,
-and most sets are in none. (A shingle with more than ``families.PAIRS`` sets makes all of them one
-family, without pairs.)
-
-Within a family a signature tree is built: leaves are sets ordered by size, and every node
-above holds the OR of the token bitmaps below it, the range of set sizes and the largest number
-of tokens that fall on an occupied bit. Two trees, or a tree and itself, are traversed together
-from the roots; a pair of nodes is dropped if their size ranges are too far apart, if the bits
-they share plus the doubled tokens cannot make the overlap that a link needs, or if all sets
-below both are known to be in one component. Pairs of sets that remain are compared exactly.
-
-Large families are cut into blocks (see ``families``). So a family of near copies costs about as
-much as its size, and every pair of sets that could link two components is compared. Exact
-copies share one set throughout.
+order takes shingles that many documents have last. One shuffle brings the sets that have a shingle in
+these prefixes together as (shingle, set, size, place in the order). Up to PAIRS_AT sets give all
+pairs whose sizes and places leave room for the overlap that a link needs. The sets of a shingle
+that more sets share go on with their bitmaps alone, as *crowds* (shingles with a set in common are
+one crowd), and signature trees say which of them may be linked.
+
+A signature tree's leaves are sets ordered by size, and every node above holds the OR of the token
+bitmaps below it, the range of set sizes and the largest number of tokens that fall on an occupied
+bit. A crowd is cut into bands of size, as sets of one band are linked within it or with the next
+one, and large bands into blocks that meet pairwise; for each a tree is traversed together with
+itself from the root. A pair of nodes is dropped if their size ranges are too far apart, if the bits
+they share plus the doubled tokens cannot make the overlap that a link needs, or if all sets below
+both are known to hang together. What is left ties sets that may be linked, directly or through
+others: *families*, which no link leaves. Most sets are in none.
+
+Only the texts of families are fetched, once, and their sets are compared exactly, again by a tree
+with larger bitmaps; large families are cut into blocks (see ``families``). Sets of one known component
+are not compared, so a family of near copies costs about as much as its size, and every pair of sets
+that could link two components is compared. Exact copies share one set throughout. Sets are
+told apart by 128 bits of their digest; ids are only labels.
 
 Defined results: a null text, or one without words, has an empty set, is linked with nothing
 and is its own component; a text of fewer words than a shingle is one shingle; a row without
 id gets the component of the rows with the same set, else null, and links nothing itself;
-repeated rows stay, a row each; ids must be integers; columns other than the two are not read.
+repeated rows stay, a row each; rows with one id and different texts are judged by their texts;
+ids must be integers; columns other than the two are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitpanel.llm.common import perhaps_listed
-from pitpanel.llm.families import families, family_links, meeting_pairs
+from pitpanel.llm.components import connected
+from pitpanel.llm.families import families, family_links
 from pitpanel.session import cut_lineage
 
 PRIME, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -41,7 +48,10 @@ PRIME, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 BITS, TREE_BITS, FANOUT = 2048, 8192, 8
 #: Shingles whose frequency changes the order; a longer list would only save time.
 FREQUENT = 300_000
-SALT_SETS = 500
+#: Sets of one shingle that are paired; sets of a salt of a shingle that the list says has more.
+PAIRS_AT, SALT_SETS = 64, 500
+#: Sets of a crowd's band that one tree holds; shingles whose counts a task holds.
+CELL_SETS, HELD_SHINGLES = 2000, 4_000_000
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -115,29 +125,36 @@ def describe(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
 
         names = ["id", "sa", "sb", "n", "bits", "hash", "times"]
         many: list[np.ndarray] = []
+
+        def repeated():
+            hashes, times = np.unique(np.concatenate(many), return_counts=True)
+            many.clear()
+            hashes, times = signed(hashes[times > 1]), times[times > 1]
+            null = pa.nulls(len(hashes), pa.int64())
+            return pa.RecordBatch.from_arrays([null, null, null, null, pa.nulls(len(hashes), pa.binary()), pa.array(hashes), pa.array(times)], names=names)
+
         for batch in batches:
             found = [shingles(text, size) for text in batch.column(1).to_pylist()]
             sums = [digest(f) for f in found]
-            many += found
             null = pa.nulls(len(found), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([a for a, _ in sums], pa.int64()),
                                               pa.array([b for _, b in sums], pa.int64()),
                                               pa.array([len(f) for f in found], pa.int64()),
                                               pa.array([bitmap(f).tobytes() for f in found], pa.binary()), null, null], names=names)
+            many += found
+            if sum(map(len, many)) > HELD_SHINGLES:
+                yield repeated()
         if many:
-            hashes, times = np.unique(np.concatenate(many), return_counts=True)
-            hashes, times = signed(hashes[times > 1]), times[times > 1]
-            null = pa.nulls(len(hashes), pa.int64())
-            yield pa.RecordBatch.from_arrays([null, null, null, null, pa.nulls(len(hashes), pa.binary()), pa.array(hashes), pa.array(times)], names=names)
+            yield repeated()
 
     return docs.select(F.col(id_col).cast("bigint").alias("id"), text_col).mapInArrow(
         run, "id bigint, sa bigint, sb bigint, n bigint, bits binary, hash bigint, times bigint")
 
 
 def postings(docs: DataFrame, frequent, size: int, percent: int, text_col: str) -> DataFrame:
-    """(key, salt, node, n): the prefix shingles of every set, once for each task that has the set.
+    """(key, salt, node, n, place): the prefix shingles of every set, once for each task that has the set.
 
-    A frequent shingle gets a salt from 1 on, so that about SALT_SETS sets share hash and salt.
+    A shingle that is frequent by the list gets a salt from 1 on, so that about SALT_SETS sets share hash and salt.
     """
     def run(batches):
         import pyarrow as pa
@@ -145,7 +162,7 @@ def postings(docs: DataFrame, frequent, size: int, percent: int, text_col: str)
         seen: set[tuple[int, int]] = set()
         known, times = frequent.value
         for batch in batches:
-            hashes, sets, sizes = [], [], []
+            hashes, sets, sizes, at_place = [], [], [], []
             for text in batch.column(0).to_pylist():
                 found = shingles(text, size)
                 key = digest(found)
@@ -154,6 +171,7 @@ def postings(docs: DataFrame, frequent, size: int, percent: int, text_col: str)
                     hashes.append(prefix(found, frequent.value, percent))
                     sets.append(np.full(len(hashes[-1]), key[0], np.int64))
                     sizes.append(np.full(len(hashes[-1]), len(found), np.int32))
+                    at_place.append(np.arange(len(hashes[-1]), dtype=np.int32))
             if hashes:
                 hash_, set_ = np.concatenate(hashes), np.concatenate(sets)
                 salt = np.zeros(len(hash_), np.int32)
@@ -161,18 +179,77 @@ def postings(docs: DataFrame, frequent, size: int, percent: int, text_col: str)
                     at = np.minimum(np.searchsorted(known, hash_), len(known) - 1)
                     parts = np.where(known[at] == hash_, times[at] // SALT_SETS, 0)
                     salt = np.where(parts > 0, 1 + set_ % np.maximum(parts, 1), 0).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(hash_)), pa.array(salt), pa.array(set_),
-                                                  pa.array(np.concatenate(sizes))], names=["key", "salt", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(hash_)), pa.array(salt), pa.array(set_), pa.array(np.concatenate(sizes)),
+                                                  pa.array(np.concatenate(at_place))], names=["key", "salt", "node", "n", "place"])
+
+    return docs.select(text_col).mapInArrow(run, "key bigint, salt int, node bigint, n int, place int")
+
+
+class Runs:
+    """Rows sorted by key, batch after batch, to pairs of nodes that share one, or to all nodes of a key that many share."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.rest = [np.zeros(0, np.int64) for _ in range(4)]
+        self.long: int | None = None  # the key of a long run that goes on
+
+    def room(self, n, m, i, j):
+        """Whether sets of n and m shingles whose first common one has places i and j in them can overlap enough."""
+        overlap = 1 + np.minimum(n - i - 1, m - j - 1)
+        return (100 + self.percent) * np.minimum(overlap, np.minimum(n, m)) >= self.percent * (n + m)
+
+    def feed(self, rows: list[np.ndarray], last: bool) -> list[np.ndarray]:
+        """(kind, a, b): kind 0 a pair of nodes, 1 a key (a) and a node (b); salted rows are of kind 1 always."""
+        key, salt, *rest = rows
+        out = [(1, key[salt != 0], rest[0][salt != 0])]
+        key, node, n, place = (np.concatenate([old, new[salt == 0]]) for old, new in zip(self.rest, [key, *rest], strict=True))
+        if self.long is not None and len(key):
+            same = key == self.long
+            out.append((1, key[same], node[same]))
+            if not same.all():
+                self.long = None
+            key, node, n, place = (x[~same] for x in (key, node, n, place))
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else key
+        ends = np.append(starts[1:], len(key)) if len(key) else starts
+        keep = len(key)
+        if len(starts) and not last:
+            a = int(starts[-1])
+            if len(np.unique(node[a:])) > PAIRS_AT:
+                self.long = int(key[a])
+            else:
+                keep, starts, ends = a, starts[:-1], ends[:-1]
+        self.rest = [x[keep:] for x in (key, node, n, place)]
+        for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+            nodes, first = np.unique(node[a:b], return_index=True)
+            if len(nodes) > PAIRS_AT:
+                out.append((1, np.full(len(nodes), key[a]), nodes))
+            elif len(nodes) > 1:
+                i, j = np.triu_indices(len(nodes), 1)
+                x, y = a + first[i], a + first[j]
+                near = self.room(n[x], n[y], place[x], place[y])
+                out.append((0, nodes[i[near]], nodes[j[near]]))
+        return [np.concatenate([np.full(len(a), k, np.int64) for k, a, _ in out]), *(np.concatenate([o[k] for o in out]) for k in (1, 2))]
+
+
+def shared_shingles(posted: DataFrame, percent: int) -> DataFrame:
+    """(kind, a, b) as ``Runs`` gives them, stored. Eager."""
+    def run(batches):
+        import pyarrow as pa
 
-    return docs.select(text_col).mapInArrow(run, "key bigint, salt int, node bigint, n int")
+        runs, names = Runs(percent), ["kind", "a", "b"]
+        for batch in batches:
+            rows = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in runs.feed(rows, False)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in runs.feed([np.zeros(0, np.int64)] * 5, True)], names=names)
+
+    dealt = posted.repartition("key", "salt").sortWithinPartitions("key")
+    return cut_lineage(dealt.mapInArrow(run, "kind bigint, a bigint, b bigint").distinct())
 
 
 class Tree:
-    """Signature tree over sets ordered by size; level 0 has the sets themselves."""
+    """Signature tree over sets ordered by size, of their ``sizes`` and bitmaps (rows of 64-bit words); level 0 has the sets themselves."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        sizes = np.array([len(s) for s in sets], np.int64)
-        maps = np.stack([bitmap(s, TREE_BITS) for s in sets]).view(np.uint64)
+    def __init__(self, sizes: np.ndarray, maps: np.ndarray):
         self.levels = [(maps, sizes, sizes, sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64))]
         while len(self.levels[-1][0]) > 1:
             maps, low, high, slack = self.levels[-1]
@@ -224,40 +301,88 @@ class Tree:
             yield from below(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))
 
 
+def possible_links(sizes: np.ndarray, maps: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of sets that may be linked, by size and bitmap; of those that hang together anyway, only some."""
+    order = np.argsort(sizes, kind="stable")
+    root = list(range(len(sizes)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    out = []
+    for x, y in Tree(sizes[order], maps[order]).pairs(lambda: np.array([find(k) for k in range(len(root))]), percent):
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
+            a, b = find(i), find(j)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((int(order[i]), int(order[j])))
+    return out
+
+
+def crowd_pairs(hot: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """(a, b) sets of the crowds in ``hot`` (key, node) that may be linked. Eager.
+
+    In a crowd, bands are powers of 100 / ``percent`` in size: linked sets are in one or in neighbouring bands.
+    """
+    first = hot.groupBy("key").agg(F.min("node").alias("first"))
+    crowds = connected(hot.join(first, "key").select("first", "node"), "first", "node")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("bigint")
+    rows = crowds.join(signatures.withColumnRenamed("sa", "node"), "node").select("root", "node", "n", "bits", band.alias("own"))
+    rows = rows.withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    parts = rows.groupBy("root", "band").agg(F.ceil(F.count(F.lit(1)) / CELL_SETS).alias("parts"))
+    rows = rows.join(parts, ["root", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    cell = F.concat_ws("/", "root", "band", F.least("part", "other"), F.greatest("part", "other"))
+
+    def run(group):
+        import pyarrow as pa
+
+        nodes = group.column("node").to_numpy()
+        maps = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        found = np.array(possible_links(group.column("n").to_numpy(), maps, percent), np.int64).reshape(-1, 2)
+        return pa.table({"a": nodes[found[:, 0]], "b": nodes[found[:, 1]]})
+
+    return rows.select(cell.alias("cell"), "node", "n", "bits").groupBy("cell").applyInArrow(run, "a bigint, b bigint")
+
+
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def block_links(nodes: list[int], labels: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def block_links(nodes: list[str], labels: list[str], sets: list[np.ndarray], percent: int) -> list[tuple[str, str]]:
     """(label, label) that the sets of a block join."""
     order = sorted(range(len(nodes)), key=lambda k: (len(sets[k]), labels[k], nodes[k]))
     sets, names = [sets[k] for k in order], np.array([labels[k] for k in order])
     distinct, label = np.unique(names, return_inverse=True)
-    out: list[tuple[int, int]] = []
+    out: list[tuple[str, str]] = []
 
     def compare(x, y):
         for i, j in zip(x.tolist(), y.tolist(), strict=True):
             if label[i] != label[j] and linked(sets[i], sets[j], percent):
-                out.append((int(distinct[label[i]]), int(distinct[label[j]])))
+                out.append((str(distinct[label[i]]), str(distinct[label[j]])))
                 label[label == max(label[i], label[j])] = min(label[i], label[j])
 
     near = np.arange(len(sets) - 1)
     compare(near, near + 1)
     if label.any():
-        for x, y in Tree(sets).pairs(lambda: label, percent):
+        maps = np.stack([bitmap(s, TREE_BITS) for s in sets]).view(np.uint64)
+        for x, y in Tree(np.array([len(s) for s in sets], np.int64), maps).pairs(lambda: label, percent):
             compare(x, y)
     return out
 
 
 def joined_blocks(texts: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b) pairs of labels joined inside the blocks of ``rows`` (cell, node, sa, sb, label); ``texts``: (node, text)."""
-    texts = texts.filter(perhaps_listed(rows.select("node"))("node")).join(rows, "node").select("cell", "node", "sa", "sb", "label", "text")
+    """(a, b) pairs of labels joined inside the blocks of ``rows`` (cell, id, node, sa, sb, label); ``texts``: (id, text)."""
+    texts = texts.filter(perhaps_listed(rows.select("id"))("id")).join(rows, "id").select("cell", "node", "sa", "sb", "label", "text")
 
     def run(group):
         import pyarrow as pa
 
-        found: dict[int, tuple[int, np.ndarray]] = {}
+        found: dict[str, tuple[str, np.ndarray]] = {}
         columns = [group.column(k).to_pylist() for k in range(1, 6)]
         for node, sa, sb, label, text in zip(*columns, strict=True):
             if node not in found:
@@ -265,9 +390,9 @@ def joined_blocks(texts: DataFrame, rows: DataFrame, size: int, percent: int) ->
                 if digest(mine) == (sa, sb):  # another text may have the same id
                     found[node] = (label, mine)
         links = block_links(list(found), [v[0] for v in found.values()], [v[1] for v in found.values()], percent)
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+        return pa.table({"a": pa.array([a for a, _ in links], pa.string()), "b": pa.array([b for _, b in links], pa.string())})
 
-    return texts.groupBy("cell").applyInArrow(run, "a bigint, b bigint")
+    return texts.groupBy("cell").applyInArrow(run, "a string, b string")
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, id_col: str = "doc_id",
@@ -280,17 +405,21 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, id_col
     hashes = common["hash"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     frequent = docs.sparkSession.sparkContext.broadcast((hashes[order], common["times"].to_numpy(np.int64)[order]))
-    posted = postings(docs, frequent, size, percent, text_col)
-    nodes = rows.filter("n > 0").groupBy("sa", "sb").agg(F.min("id").alias("node"), F.max("n").alias("n")).filter("node is not null")
-    met = cut_lineage(meeting_pairs(posted, percent))
-    signatures = rows.groupBy("sa").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
-    pairs = met.filter("kind = 1").select("a", "b").unionByName(possible(met.filter("kind = 0"), signatures, percent))
-    members = cut_lineage(nodes.join(families(pairs, "sa"), "sa"))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).alias("text"))
-    texts = cut_lineage(texts.filter(perhaps_listed(members.select("node"))("node")).join(members.select("node"), "node", "left_semi"))
+    met = shared_shingles(postings(docs, frequent, size, percent, text_col), percent)
+    signatures = rows.filter("n > 0").groupBy("sa").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
+    pairs = possible(met.filter("kind = 0").select("a", "b"), signatures, percent)
+    hot = met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"))
+    if not hot.isEmpty():
+        pairs = pairs.unionByName(crowd_pairs(hot, signatures, percent))
+    nodes = rows.filter("n > 0").groupBy("sa", "sb").agg(F.min("id").alias("id"), F.max("n").alias("n")).filter("id is not null")
+    members = cut_lineage(nodes.join(families(pairs, "sa"), "sa").withColumn("node", F.concat(F.hex("sa"), F.lit("."), F.hex("sb"))))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    listed = members.select("id").distinct()
+    texts = cut_lineage(texts.filter(perhaps_listed(listed)("id")).join(listed, "id", "left_semi"))
     labels = family_links(members, lambda blocks: joined_blocks(texts, blocks, size, percent))
-    component = (nodes.join(labels.select("node", "label"), "node", "left")
-                 .select("sa", "sb", F.coalesce("label", "node").alias("component_id")))
-    return rows.join(component, ["sa", "sb"], "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    least = labels.groupBy("label").agg(F.min("id").alias("least"))
+    component = (nodes.join(labels.join(least, "label").select("sa", "sb", "least"), ["sa", "sb"], "left")
+                 .select("sa", "sb", F.coalesce("least", "id").alias("component_id")))
+    found = rows.filter("n > 0").join(component, ["sa", "sb"], "left").select("id", "n", "component_id")
+    return found.unionByName(rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

@@ -269,6 +269,9 @@ def test_set_join_equals_brute_force(spark, monkeypatch, small):
     if small:
         monkeypatch.setattr(families, "BLOCK_ROWS", 3)
         monkeypatch.setattr(set_join, "SALT_SETS", 2)
+        monkeypatch.setattr(set_join, "PAIRS_AT", 2)
+        monkeypatch.setattr(set_join, "CELL_SETS", 5)
+        monkeypatch.setattr(set_join, "HELD_SHINGLES", 100)
     rng = random.Random(7)
     base = [[f"w{rng.randint(0, 300)}" for _ in range(rng.randint(3, 60))] for _ in range(12)]
     texts = {1000: None, 1001: "", 1002: "a b", 1003: "A b", 1004: "a  b c"}
@@ -285,29 +288,56 @@ def test_set_join_equals_brute_force(spark, monkeypatch, small):
     assert all((r.n_shingles, r.component_id) == (want[r.doc_id] if r.doc_id is not None else want[3]) for r in out)
 
 
-def test_runs_give_all_pairs_over_batch_borders():
+def test_runs_give_all_pairs_or_all_nodes_over_batch_borders():
     rng = np.random.default_rng(8)
-    key = np.sort(rng.integers(0, 40, 300))
-    node, n = rng.integers(0, 200, 300), np.full(300, 10)
-    runs, found = families.Runs(75), []
-    for at in range(0, 300, 7):
-        found.append(np.stack(runs.feed([key[at:at + 7], np.zeros(7, int)[:len(key[at:at + 7])], node[at:at + 7], n[at:at + 7]], False)))
-    found.append(np.stack(runs.feed([np.zeros(0, np.int64)] * 4, True)))
-    got = {(a, b) for kind, a, b in np.concatenate(found, axis=1).T.tolist() if kind == 0}
-    want = {(min(a, b), max(a, b)) for k in range(40) for a in node[key == k] for b in node[key == k] if a != b}
-    assert got == want
-
-
-def test_salted_key_links_nodes_of_different_salts(spark):
-    # Key 5 has few nodes in each of its salts, key 6 one long run and short ones: no two of a key may stay apart.
-    rows = [(5, 1, 10, 8), (5, 1, 11, 8), (5, 2, 12, 8), (5, 2, 13, 8)]
-    rows += [(6, 1, 100 + k, 8) for k in range(families.PAIRS + 5)] + [(6, 2, 300, 8), (6, 2, 301, 90), (6, 3, 302, 8)]
-    rows += [(7, 1, 400, 8), (7, 1, 401, 90), (7, 2, 402, 8)] + [(7, 3, 410 + k, 8) for k in range(families.PAIRS)]
-    met = families.meeting_pairs(spark.createDataFrame(rows, "key bigint, salt int, node bigint, n int"), 75)
-    pairs = {(r.a, r.b) for r in met.collect()}
-    assert {(11, 13), (11, 12), (10, 13)} <= pairs
-    family = {r.node: r.family for r in families.families(met, "node").collect()}
-    assert {family[r[2]] for r in rows if r[0] == 6} == {100} and {family[r[2]] for r in rows if r[0] == 7} == {400}
+    key = np.sort(np.concatenate([rng.integers(0, 40, 300), np.full(150, 17)]))
+    node, n = rng.integers(0, 200, 450), np.full(450, 10)
+    salt, place = np.where(key == 23, 1 + node % 3, 0), np.zeros(450, int)
+    runs, found = set_join.Runs(75), []
+    for at in range(0, 450, 7):
+        found.append(np.stack(runs.feed([x[at:at + 7] for x in (key, salt, node, n, place)], False)))
+    found.append(np.stack(runs.feed([np.zeros(0, np.int64)] * 5, True)))
+    rows = np.concatenate(found, axis=1).T.tolist()
+    few = [k for k in range(40) if k not in (17, 23)]
+    assert {(a, b) for kind, a, b in rows if kind == 0} == {(min(a, b), max(a, b)) for k in few for a in node[key == k] for b in node[key == k] if a != b}
+    assert {(a, b) for kind, a, b in rows if kind == 1} == {(k, b) for k in (17, 23) for b in node[key == k]}
+
+
+def test_places_drop_no_pair_that_can_be_linked():
+    rng, percent = random.Random(18), 75
+    for _ in range(2000):
+        pool = rng.sample(range(60), rng.randint(8, 24))
+        a, b = (sorted(set(rng.sample(pool, rng.randint(6, len(pool) - 1))) | set(rng.sample(range(60, 70), rng.randint(0, 2)))) for _ in range(2))
+        both = set(a) & set(b)
+        if both and 100 * len(both) >= percent * len(set(a) | set(b)):
+            first = min(both)
+            i, j, n, m = a.index(first), b.index(first), len(a), len(b)
+            assert i < n - -(-percent * n // 100) + 1 and j < m - -(-percent * m // 100) + 1
+            assert set_join.Runs(percent).room(*map(np.array, (n, m, i, j)))
+
+
+def test_trees_tie_all_sets_that_may_be_linked():
+    rng = np.random.default_rng(9)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+        for _ in range(rng.integers(1, 6)):
+            found = base.copy()
+            found[rng.integers(0, 60, 4)] = rng.integers(0, 1 << 63, 4).astype(np.uint64)
+            sets.append(np.unique(found[:rng.integers(40, 61)]))
+    sizes, maps = np.array([len(s) for s in sets]), np.stack([set_join.bitmap(s) for s in sets]).view(np.uint64)
+    root = list(range(len(sets)))
+    for a, b in set_join.possible_links(sizes, maps, 75):
+        root = [root[a] if x == root[b] else x for x in root]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if set_join.linked(sets[a], sets[b], 75)]
+    assert len(links) > 20 and all(root[a] == root[b] for a, b in links) and len(set(root)) > 20
+
+
+def test_one_id_with_two_texts_is_judged_by_its_texts(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(30)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, "another text altogether it is"), (4, a)]
+    out = set_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == [(1, 26, 1), (1, 26, 1), (2, 27, 1), (3, 27, 1), (4, 1, 4), (4, 26, 1)]
 
 
 def test_set_join_of_nothing(nothing):
