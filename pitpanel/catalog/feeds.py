@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,49 +98,60 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
-def _run(stream: DataFrame) -> DataFrame:
-    """Drain an append stream into files on the shared checkpoint folder and read them."""
-    spark = stream.sparkSession
+def _run(spark: SparkSession, build: Callable[[str], DataFrame]) -> DataFrame:
+    """Drain an append stream into files on the shared checkpoint folder, end its feed, drain the rest, and read them.
+
+    ``build`` makes the stream from the folder of end-of-feed markers; both runs share one
+    checkpoint, as after a restart.
+    """
     root = f"{ensure_checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
-    query = (
-        stream.writeStream.format("parquet").outputMode("append").option("path", f"{root}/out")
-        .option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    live.open_feed(spark, f"{root}/ended", flag="ended")
+    for last in (False, True):
+        if last:
+            live.end_feed(spark, f"{root}/ended", flag="ended")
+        stream = build(f"{root}/ended")
+        query = (
+            stream.writeStream.format("parquet").outputMode("append").option("path", f"{root}/out")
+            .option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
 def stream_gate(spark: SparkSession, sf: str) -> DataFrame:
-    """Live gate over the event file: equal to the batch gate on every closed day."""
-    pubs = _event_stream(spark, sf).select(
-        "event_id", F.col("user_id").alias("unit"), "ts", "value",
-        (F.col("ts") + F.expr("interval 16 hours")).cast("date").alias("day"),
-    )
-    chosen = live.live_gate(pubs, day="day", unit="unit", published="ts", value="value", tie_break="event_id",
-                            gate=Gate.LAST_BEFORE_DAY, horizon="2 days")
-    return shape(_run(chosen), day="date", unit="int", value="double:4", ts="stamp")
+    """Live gate over the event file: equal to the batch gate on every day once the feed has ended."""
+    def build(markers: str) -> DataFrame:
+        pubs = _event_stream(spark, sf).select(
+            "event_id", F.col("user_id").alias("unit"), "ts", "value",
+            (F.col("ts") + F.expr("interval 16 hours")).cast("date").alias("day"),
+        )
+        return live.live_gate(live.with_markers(pubs, markers, flag="ended"), day="day", unit="unit", published="ts", value="value",
+                              tie_break="event_id", gate=Gate.LAST_BEFORE_DAY, horizon="2 days", ended="ended")
+
+    return shape(_run(spark, build), day="date", unit="int", value="double:4", ts="stamp")
 
 
 STREAM_GATE_SQL = f"""
 WITH {PUBLICATIONS_SQL}, ok AS (SELECT * FROM pub WHERE CAST(ts AS DATE) < day)
 SELECT {day('day')} AS day, {i('unit')} AS unit, {r('value')} AS value, {stamp('ts')} AS ts
-FROM ok WHERE day <= (SELECT max(day) - 2 FROM ok)
-QUALIFY row_number() OVER (PARTITION BY day, unit ORDER BY ts DESC, event_id DESC) = 1
+FROM ok QUALIFY row_number() OVER (PARTITION BY day, unit ORDER BY ts DESC, event_id DESC) = 1
 """
 
 
 def stream_business_day(spark: SparkSession, sf: str) -> DataFrame:
-    totals = live.live_business_days(
-        _event_stream(spark, sf), time="ts", keys=["event_type"],
-        aggregates=[F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")], start_hour=5, lateness="1 hour",
-    )
-    return shape(_run(totals), business_day="date", event_type="text", n="int", total="double:4")
+    """Live business-day totals over the event file: equal to the batch totals once the feed has ended."""
+    def build(markers: str) -> DataFrame:
+        return live.live_business_days(
+            live.with_markers(_event_stream(spark, sf), markers, flag="ended"), time="ts", keys=["event_type"],
+            aggregates=[F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")], start_hour=5, lateness="1 hour", ended="ended",
+        )
+
+    return shape(_run(spark, build), business_day="date", event_type="text", n="int", total="double:4")
 
 
 STREAM_DAY_SQL = f"""
 WITH b AS (SELECT CAST(ts - INTERVAL 5 HOUR AS DATE) AS d, event_type, value FROM events)
-SELECT {day('d')} AS business_day, event_type, {i('count(*)')} AS n, {r('sum(value)')} AS total FROM b
-WHERE CAST(d AS TIMESTAMP) + INTERVAL 29 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2
+SELECT {day('d')} AS business_day, event_type, {i('count(*)')} AS n, {r('sum(value)')} AS total FROM b GROUP BY 1, 2
 """
 
 

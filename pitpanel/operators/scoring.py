@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.operators.serial import DEFAULT_MAX_LAG, effective_sample_size
+from pitpanel.operators.serial import DEFAULT_MAX_LAG, effective_n, lag_products_of
 
 _SUMS = ("sum_abs", "sum_sq", "sum_err", "sum_ape")
 
@@ -41,67 +41,13 @@ def error_cells(df: DataFrame, *, actual: str, forecasts: Mapping[str, str], gro
             F.sum(F.abs(e) / nonzero).alias(f"sum_ape_{i}"),
         ]
     wide = complete.groupBy(*groups).agg(*aggregates)
-    models = F.array(*[
-        F.struct(F.lit(label).alias("model"), *[F.col(f"{s}_{i}").alias(s) for s in _SUMS])
-        for i, label in enumerate(forecasts)
-    ])
-    return wide.select(*groups, "n", "n_nonzero", F.inline(models))
-
-
-def metric_columns() -> dict[str, Column]:
-    """Metrics from (possibly rolled-up) sums; an empty group gives n = 0 and NULLs."""
-    n = F.sum("n")
-    return {
-        "n": F.coalesce(n, F.lit(0)),
-        "mae": F.try_divide(F.sum("sum_abs"), n),
-        "rmse": F.sqrt(F.try_divide(F.sum("sum_sq"), n)),
-        "bias": F.try_divide(F.sum("sum_err"), n),
-        "mape_pct": F.try_divide(F.sum("sum_ape") * 100.0, F.sum("n_nonzero")),
-    }
-
-
-def score(df: DataFrame, *, actual: str, forecasts: Mapping[str, str],
-          groupings: Sequence[Sequence[str]] = ((),)) -> DataFrame:
-    """Every break-down of one scored table in one pass.
-
-    ``grouping`` names the break-down of a row ("all" for none), so a NULL group
-    value is told from a subtotal.
-    """
-    groups = list(dict.fromkeys(g for s in groupings for g in s))
-    cells = error_cells(df, actual=actual, forecasts=forecasts, groups=groups)
-    metrics = [expr.alias(name) for name, expr in metric_columns().items()]
-    if not groups:
-        return cells.groupBy("model").agg(*metrics).select(F.lit("all").alias("grouping"), "model", *metric_columns())
-    text = cells.withColumns({g: F.col(g).cast("string") for g in groups})
-    sets = [[*s, "model"] for s in groupings]
-    kept = [F.when(F.grouping(g) == 0, F.lit(g)) for g in groups]
-    label = F.coalesce(F.nullif(F.concat_ws(",", *kept), F.lit("")), F.lit("all"))
-    rolled = text.groupingSets(sets, *groups, "model").agg(label.alias("grouping"), *metrics)
-    return rolled.select("grouping", *groups, "model", *metric_columns())
-
-
-def score_with_effective_n(df: DataFrame, *, actual: str, forecasts: Mapping[str, str],
-                           groupings: Sequence[Sequence[str]] = ((),), order: Sequence[str],
-                           series: Sequence[str] = (), max_lag: int = DEFAULT_MAX_LAG) -> DataFrame:
-    """Scores plus the effective sample size of each error series.
-
-    ``order`` orders rows within a break-down group, whose lags then run across the
-    units inside it.  Name the units in ``series`` to take lags inside each unit
-    and add up the units' effective sizes instead.
-    """
-    scores = score(df, actual=actual, forecasts=forecasts, groupings=groupings)
-    complete = df.dropna(subset=[actual, *forecasts.values()])
-    models = F.array(*[
-        F.struct(F.lit(label).alias("model"), error(column, actual).alias("_error"))
-        for label, column in forecasts.items()
-    ])
+    errors = {label: error(column, actual) for label, column in forecasts.items()}
     groups = list(dict.fromkeys(g for s in groupings for g in s))
     parts = []
     for s in groupings:
         keys = [*s, *[c for c in series if c not in s]]
-        long = complete.select(*dict.fromkeys([*keys, *order]), F.inline(models))
-        sizes = effective_sample_size(long, value="_error", order=order, group=[*keys, "model"], max_lag=max_lag)
-        summed = sizes.groupBy(*s, "model").agg(F.sum("n_effective").alias("n_effective"))
+        sizes = effective_n(lag_products_of(complete, values=errors, order=order, group=keys, max_lag=max_lag))
+        summed = sizes.groupBy(*s, F.col("label").alias("model")).agg(F.sum("n_effective").alias("n_effective"))
         parts.append(summed.select(
             F.lit(",".join(g for g in groups if g in s) or "all").alias("_grouping"),
             *[(F.col(g).cast("string") if g in s else F.lit(None).cast("string")).alias(f"_{g}") for g in groups],

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from pitpanel.operators import pointintime as pit
 from pitpanel.streaming import live
 
-SCHEMA = "gas_day date, ldz string, generated_at timestamp_ntz, value double, id bigint"
+SCHEMA = "day date, unit string, at timestamp_ntz, value double, id bigint"
+NAMES = dict(day="day", unit="unit", published="at", value="value", tie_break="id")
 
 
 def land(spark, folder, rows):
@@ -19,40 +20,71 @@ def drain(stream, root, mode="append"):
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/out")
 
 
-def pub(day, stamp, value, key, unit="EA"):
-    return dt.date(2025, 1, day), unit, dt.datetime.fromisoformat(stamp), value, key
+def told(key, unit, days_before, hour, value, day=dt.date(2031, 3, 9)):
+    """A publication for ``day``, so many days before it."""
+    return day, unit, dt.datetime.combine(day - dt.timedelta(days=days_before), dt.time(hour, 40)), value, key
 
 
 def test_late_publication_never_changes_an_emitted_gate(spark, tmp_path):
-    source = tmp_path / "in"
-    land(spark, source, [pub(15, "2025-01-14 13:15", 16.1, 1), pub(15, "2025-01-14 16:15", 15.8, 2)])
+    source, later = tmp_path / "in", dt.date(2031, 3, 12)
+    land(spark, source, [told(71, "west", 2, 7, 4.5), told(72, "west", 1, 20, 6.25), told(73, "east", 1, 3, 1.0)])
 
     def gate():
         feed = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(source))
-        return live.live_gate(feed, day="gas_day", unit="ldz", published="generated_at", value="value", tie_break="id",
-                              horizon="1 day")
+        return live.live_gate(feed, **NAMES, horizon="1 day")
 
     assert drain(gate(), tmp_path / "q").count() == 0  # the gate is still open
-    land(spark, source, [pub(15, "2025-01-15 10:15", 99.0, 3), pub(18, "2025-01-17 13:15", 20.0, 4)])
+    land(spark, source, [told(74, "west", 0, 8, -3.0), told(75, "west", 1, 6, 8.0, later)])
     drain(gate(), tmp_path / "q")
-    land(spark, source, [pub(15, "2025-01-14 23:00", 50.0, 5), pub(19, "2025-01-18 13:15", 21.0, 6)])
-    out = drain(gate(), tmp_path / "q").filter("gas_day = date'2025-01-15'").collect()
-    assert [(r["value"], r["generated_at"]) for r in out] == [(15.8, dt.datetime(2025, 1, 14, 16, 15))]
+    land(spark, source, [told(76, "west", 1, 23, 77.0), told(77, "west", 1, 6, 9.0, later + dt.timedelta(days=1))])
+    out = drain(gate(), tmp_path / "q").filter("day = date'2031-03-09'").collect()
+    assert {(r["unit"], r["value"], r["at"].hour) for r in out} == {("west", 6.25, 20), ("east", 1.0, 3)} and len(out) == 2
+
+
+def feed_rows():
+    first = dt.date(2031, 6, 1)
+    return [[told(100 * k + 10 * h + j, unit, 1 + (h == 2), 4 + 7 * h, k - j + h / 8, first + dt.timedelta(days=k)) for h in range(3) for j, unit in enumerate("xyz")]
+            for k in range(9)]
 
 
-def test_stream_equals_batch_on_closed_days(spark, tmp_path):
+def test_stream_equals_batch_once_the_feed_has_ended(spark, tmp_path):
     source = tmp_path / "in"
-    for day in range(2, 12):
-        land(spark, source, [pub(day, f"2025-01-{day - 1:02d} {h:02d}:15", day + h / 100, day * 100 + h, u)
-                             for h in (9, 16) for u in ("EA", "SC")])
-    feed = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 3).parquet(str(source))
+    for rows in feed_rows():
+        land(spark, source, rows)
     for gate in (pit.Gate.LAST_BEFORE_DAY, pit.Gate.FIRST_BEFORE_DAY):
-        out = drain(live.live_gate(feed, day="gas_day", unit="ldz", published="generated_at", value="value", tie_break="id",
-                                   gate=gate, horizon="2 days"), tmp_path / gate.name)
-        batch = pit.select_at_gate(spark.read.schema(SCHEMA).parquet(str(source)), gate=gate, day="gas_day", unit="ldz",
-                                   published="generated_at", value="value", tie_break=["id"])
-        closed = batch.filter(F.col("gas_day") <= dt.date(2025, 1, 9))
-        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, closed.select(out.columns).collect()))
+        root, ended = tmp_path / gate.name, str(tmp_path / gate.name / "ended")
+
+        def stream():
+            feed = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 2).parquet(str(source))
+            return live.live_gate(live.with_markers(feed, ended, flag="over"), **NAMES, gate=gate, horizon="2 days", ended="over")
+
+        live.open_feed(spark, ended, flag="over")
+        before = sorted(map(tuple, drain(stream(), root).collect()))
+        batch = pit.select_at_gate(spark.read.schema(SCHEMA).parquet(str(source)), gate=gate, day="day", unit="unit",
+                                   published="at", value="value", tie_break=["id"])
+        want = sorted(map(tuple, batch.select("day", "unit", "value", "at").collect()))
+        assert 0 < len(before) < len(want) == 27 and set(before) < set(want)
+        assert sorted(map(tuple, drain(stream(), root).collect())) == before  # a restart emits nothing twice
+        live.end_feed(spark, ended, flag="over")
+        assert sorted(map(tuple, drain(stream(), root).collect())) == want
+        live.end_feed(spark, ended, flag="over")  # a second marker changes nothing
+        assert sorted(map(tuple, drain(stream(), root).collect())) == want
+
+
+def test_rows_after_the_end_of_a_feed_are_late(spark, tmp_path):
+    source, ended, root = tmp_path / "in", str(tmp_path / "ended"), tmp_path / "q"
+    land(spark, source, [told(1, "x", 1, 9, 2.0), told(2, "x", 1, 11, 3.0)])
+
+    def stream():
+        feed = spark.readStream.schema(SCHEMA).parquet(str(source))
+        return live.live_gate(live.with_markers(feed, ended, flag="over"), **NAMES, ended="over")
+
+    live.open_feed(spark, ended, flag="over")
+    drain(stream(), root)
+    live.end_feed(spark, ended, flag="over")
+    assert [r["value"] for r in drain(stream(), root).collect()] == [3.0]
+    land(spark, source, [told(3, "x", 1, 12, 50.0), told(4, "x", 1, 12, 60.0, dt.date(2031, 5, 1))])
+    assert [r["value"] for r in drain(stream(), root).collect()] == [3.0]
 
 
 def test_business_days_and_late_rows(spark, tmp_path):
