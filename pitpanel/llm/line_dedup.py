@@ -40,8 +40,8 @@ from pitpanel.session import cut_lineage
 
 #: Nodes of one block that are paired; beyond, they go to ``hot_links``.
 PAIRS_AT = 16
-#: Characters are counted by code in so many classes.
-COUNTS = 32
+#: Pairs of neighbouring characters are counted in so many classes.
+COUNTS = 128
 #: Beyond so many edits, runs of characters are counted first.
 LONG_LIMIT, GRAM = 20, 8
 #: Bytes of lines whose blocks are made at once; lines that a task remembers.
@@ -111,28 +111,35 @@ def alike(a: str, b: str, percent: int) -> bool:
     return edit_within(a, b, limit)
 
 
-def character_counts(line: str) -> bytes:
-    """Characters by class, up to 255 each; characters beyond ASCII share the classes."""
-    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.minimum(np.bincount(codes % COUNTS, minlength=COUNTS), 255).astype(np.uint8).tobytes()
+def pair_counts(lines: list[str]) -> np.ndarray:
+    """(lines, COUNTS) of pairs of neighbouring characters by class, up to 255 each; an edit changes four at most, by 1."""
+    data = [line.encode("utf-32-le", "surrogatepass") for line in lines]
+    codes = np.frombuffer(b"".join(data), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(lines)), [len(d) // 4 for d in data])
+    spot = ((codes[:-1] * np.uint64(0x9E3779B1) + codes[1:]) * np.uint64(0x85EBCA77) >> np.uint64(13)) % np.uint64(COUNTS)
+    inside = owner[1:] == owner[:-1]
+    place = owner[:-1][inside] * COUNTS + spot[inside].astype(np.int64)
+    return np.minimum(np.bincount(place, minlength=len(lines) * COUNTS), 255).astype(np.uint8).reshape(-1, COUNTS)
 
 
-def group_links(labels: list[int], lines: list[str], percent: int) -> list[tuple[int, int]]:
+def may_be_alike(x: np.ndarray, y: np.ndarray, longer: np.ndarray, percent: int) -> np.ndarray:
+    """Whether lines with the pair counts of the rows of x and y, the longer of so many characters, can be within the edits."""
+    apart = np.abs(x.astype(np.int16) - y).sum(axis=1, dtype=np.int64)
+    return apart <= 4 * ((100 - percent) * longer // 100)
+
+
+def group_links(labels: list[int], lines: list[str], counts: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """(label, label) of lines of a cell that are alike; lines whose labels are joined by then are not compared."""
     order = sorted(range(len(lines)), key=lambda k: (len(lines[k]), lines[k]))
-    lines = [lines[k] for k in order]
+    lines, counts = [lines[k] for k in order], counts[order]
     distinct, label = np.unique(np.array([labels[k] for k in order], np.int64), return_inverse=True)
     lengths, out = np.array([len(x) for x in lines]), []
-    counts = np.frombuffer(b"".join(map(character_counts, lines)), np.uint8).reshape(-1, COUNTS).astype(np.int16)
-    limits = (100 - percent) * lengths // 100
     for i in range(len(lines) - 1):
         if not label.any():
             break
         near = np.arange(i + 1, int(np.searchsorted(lengths, lengths[i] * 100 // percent, side="right")))
         near = near[label[near] != label[i]]
-        if len(near):  # an edit changes two counts by 1, or one and the length
-            apart = np.abs(counts[near] - counts[i]).sum(axis=1, dtype=np.int64)
-            near = near[apart <= 2 * limits[near] - (lengths[near] - lengths[i])]
+        near = near[may_be_alike(counts[near], counts[i], lengths[near], percent)]
         for j in near.tolist():
             if label[i] != label[j] and alike(lines[i], lines[j], percent):
                 out.append((int(distinct[label[i]]), int(distinct[label[j]])))
@@ -238,7 +245,10 @@ class Runs:
             else:
                 keep, starts, ends = a, starts[:-1], ends[:-1]
         self.rest = [x[keep:] for x in (key, node, n)]
-        for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+        two = starts[ends - starts == 2]
+        two = two[(node[two] != node[two + 1]) & (100 * np.minimum(n[two], n[two + 1]) >= self.percent * np.maximum(n[two], n[two + 1]))]
+        out.append((0, np.minimum(node[two], node[two + 1]), np.maximum(node[two], node[two + 1]), np.minimum(n[two], n[two + 1])))
+        for a, b in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
             nodes, first = np.unique(node[a:b], return_index=True)
             sizes = n[a:b][first]
             if len(nodes) > PAIRS_AT:
@@ -247,8 +257,6 @@ class Runs:
                 i, j = np.triu_indices(len(nodes), 1)
                 near = 100 * np.minimum(sizes[i], sizes[j]) >= self.percent * np.maximum(sizes[i], sizes[j])
                 out.append((0, nodes[i[near]], nodes[j[near]], sizes[i[near]]))
-        if not out:
-            return [np.zeros(0, np.int64)] * 4
         return [np.concatenate([np.full(len(a), k, np.int64) for k, a, _, _ in out]), *(np.concatenate([o[k] for o in out]) for k in (1, 2, 3))]
 
 
@@ -276,7 +284,7 @@ def shared_blocks(found: DataFrame, percent: int) -> DataFrame:
 
 
 def wanted_lines(base: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, line) of the ``nodes``, stored. Eager."""
+    """(node, line, n, counts) of the ``nodes``, stored. Eager."""
     size, bits = listed_bits(nodes)
 
     def run(batches):
@@ -293,16 +301,31 @@ def wanted_lines(base: DataFrame, nodes: DataFrame) -> DataFrame:
                     new.append(k)
             if len(seen) > REMEMBERED:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(digests[new]), pa.array([lines[k].decode("utf-8") for k in new], pa.string())], names=["node", "line"])
+            mine = [lines[k].decode("utf-8") for k in new]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(digests[new]), pa.array(mine, pa.string()), pa.array([len(x) for x in mine], pa.int64()),
+                 pa.array([row.tobytes() for row in pair_counts(mine)], pa.binary())], names=["node", "line", "n", "counts"])
 
-    lines = base.select("text").mapInArrow(run, "node bigint, line string")
-    return cut_lineage(lines.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("line").alias("line")))
+    lines = base.select("text").mapInArrow(run, "node bigint, line string, n bigint, counts binary")
+    return cut_lineage(lines.join(nodes, "node", "left_semi").groupBy("node").agg(
+        F.min("line").alias("line"), F.min("n").alias("n"), F.min("counts").alias("counts")))
 
 
 def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of ``pairs`` (a, b) that are alike."""
-    both = (pairs.join(lines.select(F.col("node").alias("a"), F.col("line").alias("x")), "a")
-            .join(lines.select(F.col("node").alias("b"), F.col("line").alias("y")), "b"))
+    """(a, b) of ``pairs`` (a, b) that are alike; only those whose counts allow it fetch their lines."""
+    def beside(rows: DataFrame, *columns: str) -> DataFrame:
+        for end in ("a", "b"):
+            rows = rows.join(lines.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]), end)
+        return rows.select("a", "b", *[f"{c}_{end}" for end in ("a", "b") for c in columns])
+
+    def near(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            n, x, m, y = (batch.column(k) for k in range(2, 6))
+            longer = np.maximum(n.to_numpy(), m.to_numpy())
+            counts = [np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, COUNTS) for c in (x, y)]
+            yield batch.select(["a", "b"]).filter(pa.array(may_be_alike(*counts, longer, percent)))
 
     def run(batches):
         import pyarrow as pa
@@ -311,7 +334,8 @@ def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
             keep = [alike(x, y, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    close = cut_lineage(beside(pairs, "n", "counts").mapInArrow(near, "a bigint, b bigint"))
+    return beside(close, "line").mapInArrow(run, "a bigint, b bigint")
 
 
 def hot_links(members: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
@@ -319,11 +343,12 @@ def hot_links(members: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     def run(group):
         import pyarrow as pa
 
-        links = group_links(group.column("label").to_pylist(), group.column("line").to_pylist(), percent)
+        counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint8).reshape(-1, COUNTS)
+        links = group_links(group.column("label").to_pylist(), group.column("line").to_pylist(), counts, percent)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     def join(rows: DataFrame) -> DataFrame:
-        return rows.select("cell", "node", "label").join(lines, "node").groupBy("cell").applyInArrow(run, "a bigint, b bigint")
+        return rows.select("cell", "node", "label").join(lines, "node").select("cell", "label", "line", "counts").groupBy("cell").applyInArrow(run, "a bigint, b bigint")
 
     return family_links(members, join).select(F.col("node").alias("a"), F.col("label").alias("b"))
 

@@ -84,6 +84,20 @@ def test_frequent_blocks_lose_no_link(spark, monkeypatch, often):
     assert left == {k for k in range(len(lines)) if want[k] == k}
 
 
+def test_counts_never_drop_alike_lines():
+    rng = random.Random(8)
+    for _ in range(400):
+        a = "".join(rng.choice("abc é日") for _ in range(rng.randint(1, 80)))
+        b = list(a)
+        for _ in range(rng.randint(0, 8)):
+            k = rng.randrange(len(b) + 1)
+            b[k:k + rng.randint(0, 1)] = rng.choice(["", "x", "é"])
+        b = "".join(b)
+        counts = line_dedup.pair_counts([a, b, ""])
+        may = line_dedup.may_be_alike(counts[:1], counts[1:2], np.array([max(len(a), len(b))]), 90)[0]
+        assert may or not line_dedup.alike(a, b, 90)
+
+
 def test_columns_of_any_name_stay(spark):
     rows = [(1, "one line of text here\nand another one", "k", 7, [1], 2), (2, "and another one\nown", "m", 8, None, 3), (None, None, None, None, None, None)]
     schema = "doc_id bigint, text string, row_id string, row_key bigint, gone array<int>, n_removed int, `a.b` string"
