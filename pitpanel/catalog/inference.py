@@ -30,6 +30,52 @@ DEMEAN_SQL = f"""WITH {WITHIN_SQL} SELECT {i('unit')} AS unit, {day('month')} AS
        {r('xw', 5)} AS x_within FROM wi"""
 
 
+SPARSE = 4
+
+
+def _sparse(panel: DataFrame, units: int) -> DataFrame:
+    """The panel in ``units`` groups of zones, of which most lack some months."""
+    number = F.month("month") + 12 * F.year("month")
+    return panel.filter((F.col("unit") * 5 + number) % SPARSE != 0).withColumn("unit", F.col("unit") % units)
+
+
+def demean_two_way_sparse(spark: SparkSession, sf: str) -> DataFrame:
+    """Means of both sets taken off a panel with gaps and repeated cells."""
+    out = fe.absorb(_sparse(zone_months(spark, sf), 3), ["y", "x"], unit="unit", period="month")
+    return shape(out, unit="int", month="date", y="double:3", y_within="double:5", x_within="double:5")
+
+
+#: With three groups of zones two dummies are left once months are taken off, so the normal equations are two by two.
+SPARSE_SQL = f"""
+WITH {ZONE_MONTHS_SQL},
+sp AS (SELECT unit % 3 AS unit, month, y, x FROM zm WHERE (unit * 5 + month(month) + 12 * year(month)) % {SPARSE} <> 0),
+w AS (SELECT unit, month, y, y - avg(y) OVER m AS yt, x - avg(x) OVER m AS xt,
+             (unit = 1)::INT - avg((unit = 1)::INT) OVER m AS a, (unit = 2)::INT - avg((unit = 2)::INT) OVER m AS b
+      FROM sp WINDOW m AS (PARTITION BY month)),
+s AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * yt) AS ay, sum(b * yt) AS byy, sum(a * xt) AS ax, sum(b * xt) AS bx FROM w),
+e AS (SELECT (bb * ay - ab * byy) / (aa * bb - ab * ab) AS ya, (aa * byy - ab * ay) / (aa * bb - ab * ab) AS yb,
+             (bb * ax - ab * bx) / (aa * bb - ab * ab) AS xa, (aa * bx - ab * ax) / (aa * bb - ab * ab) AS xb FROM s)
+SELECT {i('unit')} AS unit, {day('month')} AS month, {r('y', 3)} AS y, {r('yt - ya * a - yb * b', 5)} AS y_within,
+       {r('xt - xa * a - xb * b', 5)} AS x_within FROM w, e
+"""
+
+
+def panel_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Zones that share months, directly or through other zones, where odd zones have odd months only."""
+    number = F.month("month") + 12 * F.year("month")
+    split = zone_months(spark, sf).filter((F.col("unit") % 2 == number % 2) & ((F.col("unit") + number) % 3 != 0))
+    return shape(fe.panel_components(split, unit="unit", period="month"), unit="int", component="date")
+
+
+COMPONENTS_SQL = f"""
+WITH RECURSIVE {ZONE_MONTHS_SQL},
+c AS (SELECT DISTINCT unit, month FROM zm WHERE unit % 2 = (month(month) + 12 * year(month)) % 2 AND (unit + month(month) + 12 * year(month)) % 3 <> 0),
+g AS (SELECT DISTINCT a.unit AS u, b.unit AS v FROM c a JOIN c b USING (month)),
+t AS (SELECT u, v FROM g UNION SELECT t.u, g.v FROM t JOIN g ON g.u = t.v)
+SELECT {i('t.u')} AS unit, {day('min(month)')} AS component FROM t JOIN c ON c.unit = t.v GROUP BY t.u
+"""
+
+
 def _blocks(spark: SparkSession, sf: str, *, groups: int | None = None) -> DataFrame:
     within = fe.absorb(zone_months(spark, sf), ["y", "x"], unit="unit", period="month", balanced=True)
     if groups:
@@ -166,6 +212,8 @@ def power_curve(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = [
     Query("demean_two_way_balanced", demean_two_way_balanced, DEMEAN_SQL, "E8"),
+    Query("demean_two_way_sparse", demean_two_way_sparse, SPARSE_SQL, "E8"),
+    Query("panel_components", panel_components, COMPONENTS_SQL, "E8"),
     Query("two_way_fe_beta", two_way_fe_beta, BETA_SQL, "P1 P2"),
     Query("cluster_scores", cluster_scores, CLUSTER_SQL, "P2"),
     Query("sensitivity_one_effect", sensitivity_one_effect, SENSITIVITY_SQL, "P1"),

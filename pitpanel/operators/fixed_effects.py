@@ -21,7 +21,7 @@ from pitpanel.operators.guards import DataGuardError
 from pitpanel.session import cut_lineage
 
 TOLERANCE = 1e-10
-MAX_SWEEPS = 200
+MAX_STEPS = 500
 
 
 def absorb_balanced(df: DataFrame, columns: Sequence[str], *, unit: str, period: str, keys: Sequence[str] = (),
@@ -56,65 +56,92 @@ def is_balanced(df: DataFrame, *, unit: str, period: str, single: bool = False)
     return row["lo"] == row["hi"] and row["cells"] == row["units"] * row["periods"]
 
 
-def absorb_sweeps(df: DataFrame, columns: Sequence[str], *, unit: str, period: str, keys: Sequence[str] = (),
-                  suffix: str = "_within", tolerance: float = TOLERANCE, max_sweeps: int = MAX_SWEEPS) -> DataFrame:
-    """Unbalanced panels: alternate unit and period means until nothing moves.
+def absorb_unbalanced(df: DataFrame, columns: Sequence[str], *, unit: str, period: str, keys: Sequence[str] = (),
+                      suffix: str = "_within", tolerance: float = TOLERANCE, max_steps: int = MAX_STEPS) -> DataFrame:
+    """Unbalanced panels: the effects solve the normal equations, by conjugate gradients on the effect tables.
 
-    Iterates the two effect tables against the (unit, period) counts; the values
-    themselves are read twice, for the first means and for the final subtraction.
-    Each sweep's effects are stored, so the plan stays one sweep deep.
+    Unit effects are eliminated, so the unknowns are the period effects; a step multiplies them by the
+    (unit, period) counts once in each direction, all columns and keys together.  The values are read
+    for the cell sums and for the final subtraction only.  A step's tables are stored, so plans stay
+    one step deep.  Steps end when the residual's norm is ``tolerance`` of the first one.
     """
-    keys = list(keys)
+    keys, names = list(keys), range(len(columns))
     by_unit, by_period = [*keys, unit], [*keys, period]
-    cells = cut_lineage(df.groupBy(*keys, unit, period).agg(F.count(F.lit(1)).cast("double").alias("_n")))
-
-    def base(by: list[str], side: str) -> DataFrame:
-        return df.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("_m"),
-                                   *[F.avg(c).alias(f"_{side}0_{c}") for c in columns])
+    cells = cut_lineage(df.groupBy(*keys, unit, period).agg(
+        F.count(F.lit(1)).cast("double").alias("_n"), *[F.sum(c).cast("double").alias(f"_s{k}") for k, c in enumerate(columns)]))
+    units = cut_lineage(cells.groupBy(*by_unit).agg(F.sum("_n").alias("_mu"), *[(F.sum(f"_s{k}") / F.sum("_n")).alias(f"_u{k}") for k in names]))
+
+    def scalars(table: DataFrame, sums: dict[str, Column]) -> DataFrame:
+        return table.groupBy(*keys).agg(*[F.sum(x).alias(name) for name, x in sums.items()])
+
+    def beside(table: DataFrame, numbers: DataFrame) -> DataFrame:
+        """``table`` with its key's numbers, of which there are a few."""
+        if keys:
+            return table.join(cut_lineage(numbers), keys)
+        row = numbers.first()
+        return table.withColumns({c: F.lit(row[c]).cast("double") for c in numbers.columns})
+
+    gap = cells.join(units, by_unit).groupBy(*by_period).agg(
+        F.sum("_n").alias("_m"), *[F.sum(F.col(f"_s{k}") - F.col("_n") * F.col(f"_u{k}")).alias(f"_r{k}") for k in names])
+    state = cut_lineage(gap.select(*by_period, "_m", *[F.lit(0.0).alias(f"_x{k}") for k in names], *[F.col(f"_r{k}") for k in names],
+                                   *[(F.col(f"_r{k}") / F.col("_m")).alias(f"_d{k}") for k in names]))
+    norms = {f"_rz{k}": F.col(f"_r{k}") * F.col(f"_r{k}") / F.col("_m") for k in names}
+    first = cut_lineage(scalars(state, norms).select(*keys, *[F.col(f"_rz{k}").alias(f"_first{k}") for k in names]))
+    for step in range(max_steps + 1):
+        now = scalars(state, norms)
+        both = now.join(first, keys) if keys else now.select(*now.columns, *[first.select(c).scalar().alias(c) for c in first.columns])
+        left = both.agg(F.max(F.greatest(F.lit(0.0), *[F.coalesce(F.try_divide(F.col(f"_rz{k}"), F.col(f"_first{k}")), F.lit(0.0)) for k in names]))).first()[0]
+        if (left or 0.0) <= tolerance**2:
+            break
+        if step == max_steps:
+            raise DataGuardError(f"effects still {left**0.5:.3g} off after {max_steps} steps (tolerance {tolerance:.3g})")
+        pulled = cells.join(state.select(*by_period, *[f"_d{k}" for k in names]), by_period).groupBy(*by_unit).agg(
+            *[(F.sum(F.col("_n") * F.col(f"_d{k}")) / F.sum("_n")).alias(f"_t{k}") for k in names])
+        back = cells.join(pulled, by_unit).groupBy(*by_period).agg(*[F.sum(F.col("_n") * F.col(f"_t{k}")).alias(f"_t{k}") for k in names])
+        state = cut_lineage(state.join(back, by_period).select(
+            *state.columns, *[(F.col("_m") * F.col(f"_d{k}") - F.col(f"_t{k}")).alias(f"_q{k}") for k in names]))
+        state = beside(state, scalars(state, {**norms, **{f"_dq{k}": F.col(f"_d{k}") * F.col(f"_q{k}") for k in names}}))
+        size = {k: F.coalesce(F.try_divide(F.col(f"_rz{k}"), F.col(f"_dq{k}")), F.lit(0.0)) for k in names}
+        state = state.select(*by_period, "_m", *[F.col(f"_rz{k}").alias(f"_old{k}") for k in names], *[f"_d{k}" for k in names],
+                             *[(F.col(f"_x{k}") + size[k] * F.col(f"_d{k}")).alias(f"_x{k}") for k in names],
+                             *[(F.col(f"_r{k}") - size[k] * F.col(f"_q{k}")).alias(f"_r{k}") for k in names])
+        state = beside(state, scalars(state, norms))
+        turn = {k: F.coalesce(F.try_divide(F.col(f"_rz{k}"), F.col(f"_old{k}")), F.lit(0.0)) for k in names}
+        state = cut_lineage(state.select(*by_period, "_m", *[f"_x{k}" for k in names], *[f"_r{k}" for k in names],
+                                         *[(F.col(f"_r{k}") / F.col("_m") + turn[k] * F.col(f"_d{k}")).alias(f"_d{k}") for k in names]))
+    shift = cells.join(state, by_period).groupBy(*by_unit).agg(*[F.sum(F.col("_n") * F.col(f"_x{k}")).alias(f"_t{k}") for k in names])
+    effects = units.join(shift, by_unit).select(*by_unit, *[(F.col(f"_u{k}") - F.col(f"_t{k}") / F.col("_mu")).alias(f"_u{k}") for k in names])
+    return (df.join(effects, by_unit, "left").join(state.select(*by_period, *[f"_x{k}" for k in names]), by_period, "left")
+            .select(*df.columns, *[(F.col(c) - F.col(f"_u{k}") - F.col(f"_x{k}")).alias(c + suffix) for k, c in enumerate(columns)]))
+
+
+def panel_components(df: DataFrame, *, unit: str, period: str) -> DataFrame:
+    """(unit, component): units that share periods, directly or through others; component is the smallest period reached.
+
+    Effects are comparable within a component only.  Smallest labels go from periods to units
+    and back until none changes; a round is two aggregates of the distinct cells.  Eager.
+    """
+    cells = cut_lineage(df.select(unit, period).dropna().distinct())
+    labels, before = cells.select(period, F.col(period).alias("component")).distinct(), None
+    while True:
+        units = cells.join(labels, period).groupBy(unit).agg(F.min("component").alias("component"))
+        labels = cut_lineage(cells.join(units, unit).groupBy(period).agg(F.min("component").alias("component")))
+        state = labels.agg(F.count_distinct("component"), F.bit_xor(F.xxhash64(period, "component"))).first()
+        if state == before:
+            return cut_lineage(cells.join(labels, period).groupBy(unit).agg(F.min("component").alias("component")))
+        before = state
 
-    unit_base, period_base = cut_lineage(base(by_unit, "u")), cut_lineage(base(by_period, "p"))
-    periods = period_base.select(*by_period, *[F.lit(0.0).alias(f"_p_{c}") for c in columns])
-    units = unit_base.select(*by_unit, *[F.lit(0.0).alias(f"_u_{c}") for c in columns])
 
-    def update(other: DataFrame, on: list[str], by: list[str], start: DataFrame, side: str, across: str,
-               old: DataFrame) -> DataFrame:
-        pulled = cells.join(other, on).groupBy(*by).agg(
-            *[F.sum(F.col("_n") * F.col(f"_{across}_{c}")).alias(f"_s_{c}") for c in columns]
-        )
-        previous = old.select(*by, *[F.col(f"_{side}_{c}").alias(f"_old_{c}") for c in columns])
-        joined = start.join(pulled, by).join(previous, by)
-        return cut_lineage(joined.select(
-            *by,
-            *[(F.col(f"_{side}0_{c}") - F.col(f"_s_{c}") / F.col("_m")).alias(f"_{side}_{c}") for c in columns],
-            *[F.col(f"_old_{c}") for c in columns],
-        ))
-
-    def moved() -> float:
-        """Largest change of any effect in this sweep; bounds the change of any residual by twice itself."""
-        changes = [
-            table.agg(F.max(F.greatest(F.lit(0.0), *[F.abs(F.col(f"_{side}_{c}") - F.col(f"_old_{c}")) for c in columns])))
-            for table, side in ((units, "u"), (periods, "p"))
-        ]
-        return 2.0 * max(row[0] or 0.0 for row in changes[0].union(changes[1]).collect())
-
-    for _ in range(max_sweeps):
-        units = update(periods, by_period, by_unit, unit_base, "u", "p", units)
-        periods = update(units.drop(*[f"_old_{c}" for c in columns]), by_unit, by_period, period_base, "p", "u", periods)
-        change = moved()
-        units = units.drop(*[f"_old_{c}" for c in columns])
-        periods = periods.drop(*[f"_old_{c}" for c in columns])
-        if change < tolerance:
-            break
-    else:
-        raise DataGuardError(f"effects still moved by {change:.3g} after {max_sweeps} sweeps (tolerance {tolerance:.3g})")
-    return df.join(units, by_unit, "left").join(periods, by_period, "left").select(*df.columns, *[
-        (F.col(c) - F.col(f"_u_{c}") - F.col(f"_p_{c}")).alias(c + suffix) for c in columns
-    ])
+def require_connected(df: DataFrame, *, unit: str, period: str) -> None:
+    """Refuse a panel whose units fall into groups without a common period: their effects cannot be told from the groups'."""
+    sizes = panel_components(df, unit=unit, period=period).groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy("component").limit(5).collect()
+    if len(sizes) > 1:
+        raise DataGuardError("units without common periods: " + ", ".join(f"{r['n']} units from {r['component']}" for r in sizes))
 
 
 def absorb(df: DataFrame, columns: Sequence[str], *, unit: str, period: str, keys: Sequence[str] = (),
            suffix: str = "_within", balanced: bool | None = None, unit_effects: bool = True,
-           period_effects: bool = True, tolerance: float = TOLERANCE, max_sweeps: int = MAX_SWEEPS) -> DataFrame:
+           period_effects: bool = True, tolerance: float = TOLERANCE, max_steps: int = MAX_STEPS) -> DataFrame:
     """Remove unit and period means.  One set alone still removes the overall mean; none removes nothing."""
     if not unit_effects and not period_effects:
         return df.withColumns({c + suffix: F.col(c) for c in columns})
@@ -128,8 +155,7 @@ def absorb(df: DataFrame, columns: Sequence[str], *, unit: str, period: str, key
         balanced = not keys and is_balanced(df, unit=unit, period=period)
     if balanced:
         return absorb_balanced(df, columns, unit=unit, period=period, keys=keys, suffix=suffix)
-    return absorb_sweeps(df, columns, unit=unit, period=period, keys=keys, suffix=suffix, tolerance=tolerance,
-                         max_sweeps=max_sweeps)
+    return absorb_unbalanced(df, columns, unit=unit, period=period, keys=keys, suffix=suffix, tolerance=tolerance, max_steps=max_steps)
 
 
 def cluster_blocks(within: DataFrame, *, outcome: str, regressors: Sequence[str], cluster: str,
@@ -342,9 +368,11 @@ def infer(blocks: DataFrame, names: Sequence[str], *, keys: Sequence[str] = (),
 def two_way_regression(df: DataFrame, *, outcome: str, regressors: Sequence[str], unit: str, period: str,
                        bootstrap_draws: int = 999, seed: int | None = draws.SEED, unit_effects: bool = True,
                        period_effects: bool = True, balanced: bool | None = None,
-                       small_sample_bootstrap: bool = False) -> DataFrame:
+                       small_sample_bootstrap: bool = False, connected: bool = False) -> DataFrame:
     """Two-way fixed effects regression clustered by unit, one row per regressor.
 
+    ``connected`` refuses a panel whose units fall into groups without a common period.
+
     The observed t has the small-sample correction and the bootstrap t has not, unless
     ``small_sample_bootstrap`` asks for both.
     """
@@ -352,6 +380,8 @@ def two_way_regression(df: DataFrame, *, outcome: str, regressors: Sequence[str]
     usable = df.dropna(subset=[outcome, *names, unit, period]).select(unit, period, outcome, *names)
     if usable.isEmpty():
         raise DataGuardError("no complete rows for the requested regression")
+    if connected:
+        require_connected(usable, unit=unit, period=period)
     within = absorb(usable, [outcome, *names], unit=unit, period=period, balanced=balanced,
                     unit_effects=unit_effects, period_effects=period_effects)
     # A few numbers per cluster are kept, so that fit and bootstrap do not read the panel again.
