@@ -44,12 +44,12 @@ from pitpanel.llm.families import families, family_links
 from pitpanel.session import cut_lineage
 
 PRIME, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-#: Bits of the bitmaps that travel, and of those in a tree; sets below a node of the tree.
-BITS, TREE_BITS, FANOUT = 2048, 8192, 8
+#: Least bits of a bitmap; sets below a node of a tree.
+LEAST_BITS, FANOUT = 1024, 8
 #: Shingles whose frequency changes the order; a longer list would only save time.
 FREQUENT = 300_000
-#: Sets of one shingle that are paired; sets of a salt of a shingle that the list says has more.
-PAIRS_AT, SALT_SETS = 64, 500
+#: Sets of one shingle that are paired; sets of a shingle by the list beyond which its rows need not meet in one task.
+PAIRS_AT, HOT_SETS = 64, 1000
 #: Sets of a crowd's band that one tree holds; shingles whose counts a task holds.
 CELL_SETS, HELD_SHINGLES = 2000, 4_000_000
 
@@ -91,13 +91,29 @@ def signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
-def bitmap(found: np.ndarray, size: int = BITS) -> np.ndarray:
-    """``size`` bits; one is set for every shingle, by its hash."""
+def bitmap_bits(n: int, each: int) -> int:
+    """A power of two of at least ``each`` bits for every shingle."""
+    return max(LEAST_BITS, 1 << (each * n - 1).bit_length()) if n else LEAST_BITS
+
+
+def bitmap(found: np.ndarray, size: int | None = None) -> np.ndarray:
+    """``size`` bits (two or more a shingle by default); one is set for every shingle, by its hash."""
+    size = size or bitmap_bits(len(found), 2)
     bits = np.zeros(size, bool)
     bits[(found & np.uint64(size - 1)).astype(np.int64)] = True
     return np.packbits(bits)
 
 
+def folded(maps: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps of ``size`` bits, as rows of 64-bit words, from bitmaps of as many or more."""
+    lengths, out = np.array([len(m) for m in maps]), np.zeros((len(maps), size // 64), np.uint64)
+    for length in np.unique(lengths).tolist():
+        rows = np.flatnonzero(lengths == length)
+        words = np.frombuffer(b"".join(maps[k] for k in rows.tolist()), np.uint64)
+        out[rows] = np.bitwise_or.reduce(words.reshape(len(rows), 8 * length // size, size // 64), axis=1)
+    return out
+
+
 def possible(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     """The ``pairs`` (a, b) whose sizes and bitmaps allow a link; ``signatures``: (sa, n, bits)."""
     both = (pairs.join(signatures.select(F.col("sa").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a")), "a")
@@ -108,10 +124,15 @@ def possible(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame
 
         for batch in batches:
             na, nb = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, BITS // 64) for k in (4, 5))
-            slack = np.minimum(na - np.bitwise_count(x).sum(axis=1, dtype=np.int64), nb - np.bitwise_count(y).sum(axis=1, dtype=np.int64))
-            overlap = slack + np.bitwise_count(x & y).sum(axis=1, dtype=np.int64)
-            keep = (100 + percent) * np.minimum(overlap, np.minimum(na, nb)) >= percent * (na + nb)
+            maps = [batch.column(k).to_pylist() for k in (4, 5)]
+            size, keep = np.array([8 * min(len(x), len(y)) for x, y in zip(*maps, strict=True)], np.int64), np.zeros(len(na), bool)
+            for bits in np.unique(size).tolist():
+                rows = np.flatnonzero(size == bits)
+                x, y = (folded([m[k] for k in rows.tolist()], bits) for m in maps)
+                n, m = na[rows], nb[rows]
+                slack = np.minimum(n - np.bitwise_count(x).sum(axis=1, dtype=np.int64), m - np.bitwise_count(y).sum(axis=1, dtype=np.int64))
+                overlap = slack + np.bitwise_count(x & y).sum(axis=1, dtype=np.int64)
+                keep[rows] = (100 + percent) * np.minimum(overlap, np.minimum(n, m)) >= percent * (n + m)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return both.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(run, "a bigint, b bigint")
@@ -152,9 +173,10 @@ def describe(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
 
 
 def postings(docs: DataFrame, frequent, size: int, percent: int, text_col: str) -> DataFrame:
-    """(key, salt, node, n, place): the prefix shingles of every set, once for each task that has the set.
+    """(key, node, size_place): the prefix shingles of every set, once for each task that has the set.
 
-    A shingle that is frequent by the list gets a salt from 1 on, so that about SALT_SETS sets share hash and salt.
+    ``size_place`` holds the set's size and the shingle's place in its order, or -1 if by the list more
+    than HOT_SETS sets have the shingle.
     """
     def run(batches):
         import pyarrow as pa
@@ -162,7 +184,7 @@ def postings(docs: DataFrame, frequent, size: int, percent: int, text_col: str)
         seen: set[tuple[int, int]] = set()
         known, times = frequent.value
         for batch in batches:
-            hashes, sets, sizes, at_place = [], [], [], []
+            hashes, sets, packed = [], [], []
             for text in batch.column(0).to_pylist():
                 found = shingles(text, size)
                 key = digest(found)
@@ -170,19 +192,15 @@ def postings(docs: DataFrame, frequent, size: int, percent: int, text_col: str)
                     seen.add(key)
                     hashes.append(prefix(found, frequent.value, percent))
                     sets.append(np.full(len(hashes[-1]), key[0], np.int64))
-                    sizes.append(np.full(len(hashes[-1]), len(found), np.int32))
-                    at_place.append(np.arange(len(hashes[-1]), dtype=np.int32))
+                    packed.append((len(found) << 32) + np.arange(len(hashes[-1])))
             if hashes:
-                hash_, set_ = np.concatenate(hashes), np.concatenate(sets)
-                salt = np.zeros(len(hash_), np.int32)
+                hash_, packed_ = np.concatenate(hashes), np.concatenate(packed)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, hash_), len(known) - 1)
-                    parts = np.where(known[at] == hash_, times[at] // SALT_SETS, 0)
-                    salt = np.where(parts > 0, 1 + set_ % np.maximum(parts, 1), 0).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(hash_)), pa.array(salt), pa.array(set_), pa.array(np.concatenate(sizes)),
-                                                  pa.array(np.concatenate(at_place))], names=["key", "salt", "node", "n", "place"])
+                    packed_[(known[at] == hash_) & (times[at] > HOT_SETS)] = -1
+                yield pa.RecordBatch.from_arrays([pa.array(signed(hash_)), pa.array(np.concatenate(sets)), pa.array(packed_)], names=["key", "node", "size_place"])
 
-    return docs.select(text_col).mapInArrow(run, "key bigint, salt int, node bigint, n int, place int")
+    return docs.select(text_col).mapInArrow(run, "key bigint, node bigint, size_place bigint")
 
 
 class Runs:
@@ -199,10 +217,12 @@ class Runs:
         return (100 + self.percent) * np.minimum(overlap, np.minimum(n, m)) >= self.percent * (n + m)
 
     def feed(self, rows: list[np.ndarray], last: bool) -> list[np.ndarray]:
-        """(kind, a, b): kind 0 a pair of nodes, 1 a key (a) and a node (b); salted rows are of kind 1 always."""
-        key, salt, *rest = rows
-        out = [(1, key[salt != 0], rest[0][salt != 0])]
-        key, node, n, place = (np.concatenate([old, new[salt == 0]]) for old, new in zip(self.rest, [key, *rest], strict=True))
+        """(kind, a, b): kind 0 a pair of nodes, 1 a key (a) and a node (b); rows marked -1 are of kind 1 always."""
+        key, node, packed = rows
+        hot = packed < 0
+        out = [(1, key[hot], node[hot])]
+        rows = [key[~hot], node[~hot], packed[~hot] >> 32, packed[~hot] & 0xFFFFFFFF]
+        key, node, n, place = (np.concatenate([old, new]) for old, new in zip(self.rest, rows, strict=True))
         if self.long is not None and len(key):
             same = key == self.long
             out.append((1, key[same], node[same]))
@@ -219,7 +239,10 @@ class Runs:
             else:
                 keep, starts, ends = a, starts[:-1], ends[:-1]
         self.rest = [x[keep:] for x in (key, node, n, place)]
-        for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+        two = starts[ends - starts == 2]
+        two = two[(node[two] != node[two + 1]) & self.room(n[two], n[two + 1], place[two], place[two + 1])]
+        out.append((0, np.minimum(node[two], node[two + 1]), np.maximum(node[two], node[two + 1])))
+        for a, b in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
             nodes, first = np.unique(node[a:b], return_index=True)
             if len(nodes) > PAIRS_AT:
                 out.append((1, np.full(len(nodes), key[a]), nodes))
@@ -238,11 +261,11 @@ def shared_shingles(posted: DataFrame, percent: int) -> DataFrame:
 
         runs, names = Runs(percent), ["kind", "a", "b"]
         for batch in batches:
-            rows = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]
+            rows = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in runs.feed(rows, False)], names=names)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in runs.feed([np.zeros(0, np.int64)] * 5, True)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in runs.feed([np.zeros(0, np.int64)] * 3, True)], names=names)
 
-    dealt = posted.repartition("key", "salt").sortWithinPartitions("key")
+    dealt = posted.repartition(F.when(F.col("size_place") < 0, F.col("node")).otherwise(F.col("key"))).sortWithinPartitions("key")
     return cut_lineage(dealt.mapInArrow(run, "kind bigint, a bigint, b bigint").distinct())
 
 
@@ -341,7 +364,8 @@ def crowd_pairs(hot: DataFrame, signatures: DataFrame, percent: int) -> DataFram
         import pyarrow as pa
 
         nodes = group.column("node").to_numpy()
-        maps = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        bits = group.column("bits").to_pylist()
+        maps = folded(bits, 8 * min(map(len, bits)))
         found = np.array(possible_links(group.column("n").to_numpy(), maps, percent), np.int64).reshape(-1, 2)
         return pa.table({"a": nodes[found[:, 0]], "b": nodes[found[:, 1]]})
 
@@ -369,7 +393,8 @@ def block_links(nodes: list[str], labels: list[str], sets: list[np.ndarray], per
     near = np.arange(len(sets) - 1)
     compare(near, near + 1)
     if label.any():
-        maps = np.stack([bitmap(s, TREE_BITS) for s in sets]).view(np.uint64)
+        size = bitmap_bits(len(sets[-1]), 8)
+        maps = np.stack([bitmap(s, size) for s in sets]).view(np.uint64)
         for x, y in Tree(np.array([len(s) for s in sets], np.int64), maps).pairs(lambda: label, percent):
             compare(x, y)
     return out
@@ -395,16 +420,30 @@ def joined_blocks(texts: DataFrame, rows: DataFrame, size: int, percent: int) ->
     return texts.groupBy("cell").applyInArrow(run, "a string, b string")
 
 
+def frequent_shingles(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, times) of the most repeated shingles, FREQUENT at most: the least eighth of a power of two that leaves so few. Eager."""
+    times = cut_lineage(described.filter("times is not null").groupBy("hash").agg(F.sum("times").alias("times")))
+    level = F.floor(F.log2("times") * 8)
+    total, least = 0, None
+    for row in sorted(times.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["level"]):
+        total += row["n"]
+        if total > FREQUENT:
+            break
+        least = row["level"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    common = times.filter(level >= least).toPandas()
+    hashes = common["hash"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], common["times"].to_numpy(np.int64)[order]
+
+
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every document. Eager: writes its steps to the shared folder."""
     described = cut_lineage(describe(docs, size, id_col, text_col))
     rows = described.filter("n is not null")
-    common = (described.filter("times is not null").groupBy("hash").agg(F.sum("times").alias("times"))
-              .orderBy(F.desc("times"), "hash").limit(FREQUENT).toPandas())
-    hashes = common["hash"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    frequent = docs.sparkSession.sparkContext.broadcast((hashes[order], common["times"].to_numpy(np.int64)[order]))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(described))
     met = shared_shingles(postings(docs, frequent, size, percent, text_col), percent)
     signatures = rows.filter("n > 0").groupBy("sa").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
     pairs = possible(met.filter("kind = 0").select("a", "b"), signatures, percent)

@@ -268,7 +268,7 @@ def brute_components(texts):
 def test_set_join_equals_brute_force(spark, monkeypatch, small):
     if small:
         monkeypatch.setattr(families, "BLOCK_ROWS", 3)
-        monkeypatch.setattr(set_join, "SALT_SETS", 2)
+        monkeypatch.setattr(set_join, "HOT_SETS", 4)
         monkeypatch.setattr(set_join, "PAIRS_AT", 2)
         monkeypatch.setattr(set_join, "CELL_SETS", 5)
         monkeypatch.setattr(set_join, "HELD_SHINGLES", 100)
@@ -292,11 +292,11 @@ def test_runs_give_all_pairs_or_all_nodes_over_batch_borders():
     rng = np.random.default_rng(8)
     key = np.sort(np.concatenate([rng.integers(0, 40, 300), np.full(150, 17)]))
     node, n = rng.integers(0, 200, 450), np.full(450, 10)
-    salt, place = np.where(key == 23, 1 + node % 3, 0), np.zeros(450, int)
+    packed = np.where(key == 23, -1, n << 32)
     runs, found = set_join.Runs(75), []
     for at in range(0, 450, 7):
-        found.append(np.stack(runs.feed([x[at:at + 7] for x in (key, salt, node, n, place)], False)))
-    found.append(np.stack(runs.feed([np.zeros(0, np.int64)] * 5, True)))
+        found.append(np.stack(runs.feed([x[at:at + 7] for x in (key, node, packed)], False)))
+    found.append(np.stack(runs.feed([np.zeros(0, np.int64)] * 3, True)))
     rows = np.concatenate(found, axis=1).T.tolist()
     few = [k for k in range(40) if k not in (17, 23)]
     assert {(a, b) for kind, a, b in rows if kind == 0} == {(min(a, b), max(a, b)) for k in few for a in node[key == k] for b in node[key == k] if a != b}
@@ -325,7 +325,7 @@ def test_trees_tie_all_sets_that_may_be_linked():
             found = base.copy()
             found[rng.integers(0, 60, 4)] = rng.integers(0, 1 << 63, 4).astype(np.uint64)
             sets.append(np.unique(found[:rng.integers(40, 61)]))
-    sizes, maps = np.array([len(s) for s in sets]), np.stack([set_join.bitmap(s) for s in sets]).view(np.uint64)
+    sizes, maps = np.array([len(s) for s in sets]), set_join.folded([set_join.bitmap(s, 2048 << len(s) % 3).tobytes() for s in sets], 2048)
     root = list(range(len(sets)))
     for a, b in set_join.possible_links(sizes, maps, 75):
         root = [root[a] if x == root[b] else x for x in root]
