@@ -131,7 +131,7 @@ def latest_event_as_of(spark: SparkSession, sf: str) -> DataFrame:
 
 
 LATEST_EVENT_SQL = f"""
-WITH k AS (SELECT *, CASE WHEN event_type = 'view' THEN 'C:' || event_id ELSE 'U:' || user_id END AS entity_key
+WITH k AS (SELECT *, CASE WHEN event_type = 'view' THEN 'record ' || event_id ELSE 'entity ' || user_id END AS entity_key
            FROM events WHERE ts <= TIMESTAMP '{AS_OF} 00:00:00')
 SELECT entity_key, {stamp('ts')} AS ts, {i('event_id')} AS event_id, event_type, {r('value')} AS value
 FROM k QUALIFY row_number() OVER (PARTITION BY entity_key ORDER BY ts DESC, event_id DESC) = 1

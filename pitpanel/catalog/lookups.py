@@ -10,6 +10,7 @@ from pitpanel.functions import parsing
 from pitpanel.operators import features as feat
 from pitpanel.operators import guards
 from pitpanel.operators import lookup as lk
+from pitpanel.session import cut_lineage
 
 
 def part_key(column: str):
@@ -108,13 +109,16 @@ def panel_join_left_chain(spark: SparkSession, sf: str) -> DataFrame:
     supplier = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation"))
     lines = table(spark, sf, "lineitem").join(supplier, "l_suppkey").withColumn("month", F.trunc("l_shipdate", "month"))
     keys = ["nation", "month"]
-    # Two scans feed all five sides: conditional sums instead of a scan per measure.
-    base = orders.groupBy(*keys).agg(F.sum("o_totalprice").alias("total"))
-    settled = orders.filter(F.col("o_orderstatus") == "F").groupBy(*keys).agg(F.sum("o_totalprice").alias("settled"))
-    urgent = orders.filter(F.col("o_orderpriority") == "1-URGENT").groupBy(*keys).agg(F.max("o_totalprice").alias("urgent_max"))
-    shipped = lines.groupBy(*keys).agg(F.sum("l_quantity").alias("shipped"))
-    returned = lines.filter(F.col("l_returnflag") == "R").groupBy(*keys).agg(F.sum("l_quantity").alias("returned"))
-    panel = base
+    # Two scans feed all five sides: conditional sums, whose few cells are stored.
+    price = F.col("o_totalprice")
+    cells = cut_lineage(orders.groupBy(*keys).agg(
+        F.sum(price).alias("total"), F.sum(F.when(F.col("o_orderstatus") == "F", price)).alias("settled"),
+        F.max(F.when(F.col("o_orderpriority") == "1-URGENT", price)).alias("urgent_max")))
+    line_cells = cut_lineage(lines.groupBy(*keys).agg(
+        F.sum("l_quantity").alias("shipped"), F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))).alias("returned")))
+    base = panel = cells.select(*keys, "total")
+    settled, urgent = (cells.select(*keys, c).dropna() for c in ("settled", "urgent_max"))
+    shipped, returned = (line_cells.select(*keys, c).dropna() for c in ("shipped", "returned"))
     for side in (settled, urgent, shipped, returned):
         panel = panel.join(side, keys, "left")
     overall = base.groupBy("month").agg(F.sum("total").alias("overall"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pitpanel.functions import parsing
 from pitpanel.operators.guards import DataGuardError, require_columns, require_units
 
+#: Names of the feature columns, as results carry them (fixed values).
 STOCK_FEATURES = (
     "mean_sap",
     "share_solid_wall",

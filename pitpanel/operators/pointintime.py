@@ -88,8 +88,8 @@ def first_per_key(df: DataFrame, keys: Sequence[str], *, order: Sequence[str],
 def entity_key(entity: str, record: str) -> Column:
     """Entity id when present, else the record's own id, in separate name spaces."""
     trimmed = F.regexp_replace(F.col(entity), r"^\s+|\s+$", "")
-    return F.when(trimmed != "", F.concat(F.lit("U:"), trimmed)).otherwise(
-        F.concat(F.lit("C:"), F.col(record))
+    return F.when(trimmed != "", F.concat(F.lit("entity "), trimmed)).otherwise(
+        F.concat(F.lit("record "), F.col(record))
     )
 
 

@@ -65,7 +65,7 @@ def test_latest_as_of_ignores_later_records_and_falls_back_to_the_record_id(spar
     ], "cert string, uprn string, lodged string, v string").withColumn("lodged", F.col("lodged").cast("date"))
     out = pit.latest_as_of(df, key=pit.entity_key("uprn", "cert"), recorded="lodged", record="cert", as_of="2023-11-30",
                            keep=["lodged", "v"])
-    assert {r["entity_key"]: r["v"] for r in out.collect()} == {"U:7": "f", "C:4": "d", "C:5": "e"}
+    assert {r["entity_key"]: r["v"] for r in out.collect()} == {"entity 7": "f", "record 4": "d", "record 5": "e"}
 
 
 def test_exact_lag_leaves_gaps(spark):

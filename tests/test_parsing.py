@@ -37,7 +37,7 @@ def test_area_range_is_open(spark, area, want):
 
 
 @pytest.mark.parametrize("raw, key, coarse", [
-    ("SM1 4PY", "SM14PY", "SM1"), (" m1\t1aa ", "M11AA", "M1"), ("EC1A 1BB", "EC1A1BB", "EC1A"), ("ABC", "ABC", None),
+    ("qz7 3kd", "QZ73KD", "QZ7"), ("\tX4  8uu\n", "X48UU", "X4"), ("yy20 5rt", "YY205RT", "YY20"), ("w2k", "W2K", None),
 ])
 def test_keys(spark, raw, key, coarse):
     assert one(spark, raw, parsing.normalise_key("v")) == key

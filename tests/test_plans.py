@@ -113,7 +113,7 @@ def test_zone_day_comparison(zone_panel):
 
 
 def test_register_to_test(spark, zone_panel):
-    rows = dwelling_rows("SM1 4PY", 60, 50) + dwelling_rows("M1 1AA", 61, 60, 3) + dwelling_rows("LP1 0AA", 65, 70, 4) + dwelling_rows("AB1 1AA", 2, 10)
+    rows = dwelling_rows("QZ7 3KD", 60, 50) + dwelling_rows("X4 8UU", 61, 60, 3) + dwelling_rows("WD3 6GH", 65, 70, 4) + dwelling_rows("YY20 5RT", 2, 10)
     schema = "postcode string, current_energy_efficiency string, total_floor_area string, construction_age_band string, walls_description string, walls_energy_eff string, mains_gas_flag string"
     certs = spark.createDataFrame(rows, schema).withColumns({
         "certificate_number": F.monotonically_increasing_id().cast("string"), "uprn": F.lit(None).cast("string"),
@@ -121,7 +121,7 @@ def test_register_to_test(spark, zone_panel):
         "mainheat_description": F.lit("boiler"), "property_type": F.lit("House"), "built_form": F.lit("x"), "tenure": F.lit("y"),
         "total_floor_area": (F.length("postcode") * 10 + F.col("current_energy_efficiency").cast("int")).cast("string"),
     })
-    lookup = spark.createDataFrame([("SM14PY", "SM1", "A", True), ("M11AA", "M1", "B", True), ("LP10AA", "LP1", "C", True), ("AB11AA", "AB1", "S", True)],
+    lookup = spark.createDataFrame([("QZ73KD", "QZ7", "A", True), ("X48UU", "X4", "B", True), ("WD36GH", "WD3", "C", True), ("YY205RT", "YY20", "S", True)],
                                    "postcode string, outcode string, ldz string, is_nts boolean")
     expected = spark.createDataFrame([(z,) for z in "ABCS"], "ldz string")
     features, levels = rt.zone_features(certs, lookup, as_of=dt.date(2023, 11, 30), expected=expected, min_dwellings=50)

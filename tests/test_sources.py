@@ -52,18 +52,19 @@ def record(day, unit, stamp, value, item="Demand Forecast, LDZ ({})"):
 
 
 def test_publication_series(spark, tmp_path):
-    rows = [record("15/01/2025", u, s, v) for u in ("EA", "SC") for s, v in
-            (("14/01/2025 13:15:00", "16.1"), ("14/01/2025 16:15:00", "15.8"), ("15/01/2025 10:15:00", "14.9"))]
+    # Two runs before the day and one on it; the latest is the outturn, the one before it the last forecast.
+    told = [("27/02/2032 06:05:00", "2.25"), ("28/02/2032 23:59:59", "3.5"), ("29/02/2032 00:00:00", "7.75")]
+    rows = [record("29/02/2032", u, s, v) for u in ("EA", "SC") for s, v in told]
     root = str(tmp_path)
     for name in ("demand_forecast", "demand_actual_d_plus_1", "cwv_forecast_d_minus_1", "cwv_actual"):
         write(tmp_path / f"series={name}" / "part.json", json.dumps(rows))
     codes = ["EA", "SC"]
     out = publications.read_forecast(spark, root, codes).collect()
-    assert {(r["ldz"], r["ng_forecast_mscm"]) for r in out} == {("EA", 15.8), ("SC", 15.8)}
+    assert {(r["ldz"], r["ng_forecast_mscm"]) for r in out} == {("EA", 3.5), ("SC", 3.5)}
     first = publications.read_forecast(spark, root, codes, gate=Gate.FIRST_BEFORE_DAY).collect()
-    assert {r["ng_forecast_mscm"] for r in first} == {16.1}
+    assert {r["ng_forecast_mscm"] for r in first} == {2.25}
     actual = publications.read_actuals(spark, root, codes).collect()
-    assert {r["demand_mscm"] for r in actual} == {14.9} and actual[0]["unit"] == "mscm"
+    assert {r["demand_mscm"] for r in actual} == {7.75} and actual[0]["unit"] == "mscm"
     assert publications.read_weather_index(spark, root, codes).columns == ["gas_day", "ldz", "cwv_forecast", "cwv_published_at"]
     assert "cwv_actual_realised" in publications.read_weather_index(spark, root, codes, kind="actual").columns
     with pytest.raises(ValueError):
@@ -145,11 +146,11 @@ def test_population_points(spark):
 
 def test_zone_lookup(spark, tmp_path):
     head = "Outcode,Incode,LDZ,Exit Zone\n"
-    sheets = {"g1": write(tmp_path / "1.csv", head + "SM1,4PY,ea,E1\nSM1,4PY,SC,E2\nA,1,EA,E1\nM1, 1AA ,,E1\n"),
-              "g2": write(tmp_path / "2.csv", head + "AB1,1AA,SC,S1\nLP1,0AA,LC,X\n")}
+    sheets = {"g1": write(tmp_path / "1.csv", head + "QZ7,3KD,ea,west 3\nQZ7,3KD,SC,east 1\nB,9,EA,west 3\nX4, 8UU ,,west 3\n"),
+              "g2": write(tmp_path / "2.csv", head + "YY20,5RT,SC,north\nWD3,6GH,LC,other\n")}
     out = reference.zone_lookup(spark, sheets, codes=["EA", "SC"], other_codes=["LC"])
     assert {(r["postcode"], r["outcode"], r["ldz"], r["gdn"], r["is_nts"]) for r in out.collect()} == {
-        ("SM14PY", "SM1", "EA", "g1", True), ("AB11AA", "AB1", "SC", "g2", True), ("LP10AA", "LP1", "LC", "g2", False)}
+        ("QZ73KD", "QZ7", "EA", "g1", True), ("YY205RT", "YY20", "SC", "g2", True), ("WD36GH", "WD3", "LC", "g2", False)}
     with pytest.raises(DataGuardError, match="absent \\['NW'\\]"):
         reference.zone_lookup(spark, sheets, codes=["EA", "SC", "NW"], other_codes=["LC"])
 
@@ -168,7 +169,7 @@ def test_register_extract_resumes_prunes_and_dedupes(spark, tmp_path):
             {"certificate_number": "c1", "uprn": "7", "lodgement_date": "2022-05-01", "walls_description": "Solid, \nbrick", "postcode": "SM1 4PY"},
             {"certificate_number": "c2", "lodgement_date": "bad"}, {"certificate_number": "c3", "lodgement_date": "2022-01-01"}])),
         2023: write(tmp_path / "2023.csv", register_csv([
-            {"certificate_number": "c4", "uprn": "7", "lodgement_date": "2023-06-01", "postcode": "M1 1AA"},
+            {"certificate_number": "c4", "uprn": "7", "lodgement_date": "2023-06-01", "postcode": "X4 8UU"},
             {"certificate_number": "c5", "uprn": "7", "lodgement_date": "2023-12-24"}])),
         2024: str(tmp_path / "never-opened.csv"),
     }
@@ -180,7 +181,7 @@ def test_register_extract_resumes_prunes_and_dedupes(spark, tmp_path):
     assert slim.count() == 3
     assert register.read_slim(spark, target, as_of=dt.date(2022, 12, 31)).filter(F.col("uprn") == "7").count() == 1
     out = {r["addr_key"]: r for r in register.dwellings(slim, as_of=as_of).collect()}
-    assert set(out) == {"U:7", "C:c3"} and out["U:7"]["postcode"] == "M1 1AA"
+    assert set(out) == {"entity 7", "record c3"} and out["entity 7"]["postcode"] == "X4 8UU"
     plan = slim._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(cert_year" in plan
 

@@ -41,18 +41,19 @@ def points(spark, rows):
 
 
 def test_cells_weights_and_centre(spark):
-    four = points(spark, [(51.5, -0.1, 3000.0), (51.6, -0.2, 3000.0), (55.9, -3.2, 1000.0), (55.95, -3.25, 1000.0)])
-    weights = sorted(r["weight"] for r in spatial.grid_weights(four, coverage=1.0).collect())
-    assert weights == [0.25, 0.75]
-    one = spatial.grid_weights(points(spark, [(51.0, -0.4, 3000.0), (51.0, -0.2, 1000.0)]), coverage=1.0).collect()
-    assert len(one) == 1 and one[0]["longitude"] == pytest.approx(-0.35) and one[0]["point_id"] == "c+68-01"
+    # Cells are 0.75 by 1.5 degrees from 0: 60.1 and 60.7 north fall into one, 59.9 into the one below.
+    five = points(spark, [(60.1, 10.6, 50.0), (60.7, 11.9, 10.0), (59.9, 10.6, 20.0), (45.1, 7.6, 15.0), (45.7, 8.9, 5.0)])
+    weights = sorted(r["weight"] for r in spatial.grid_weights(five, coverage=1.0).collect())
+    assert weights == [0.2, 0.2, 0.6]
+    one = spatial.grid_weights(points(spark, [(-33.9, 151.0, 7.0), (-33.8, 150.2, 1.0)]), coverage=1.0).collect()
+    assert len(one) == 1 and one[0]["longitude"] == pytest.approx(150.9) and one[0]["latitude"] == pytest.approx(-33.8875)
 
 
 def test_coverage_keeps_the_crossing_cell(spark):
-    df = points(spark, [(50.0, 0.0, 9000.0), (53.0, 0.0, 900.0), (56.0, 0.0, 1.0), (59.0, 0.0, 0.0)])
-    kept = spatial.grid_weights(df, coverage=0.9).collect()
+    df = points(spark, [(40.2, 20.1, 640.0), (44.2, 20.1, 320.0), (48.2, 20.1, 40.0), (62.2, 20.1, 0.0)])
+    kept = spatial.grid_weights(df, coverage=0.63).collect()
     assert len(kept) == 1 and kept[0]["weight"] == 1.0
-    kept = spatial.grid_weights(df, coverage=0.95).collect()
+    kept = spatial.grid_weights(df, coverage=0.65).collect()
     assert len(kept) == 2 and sum(r["weight"] for r in kept) == pytest.approx(1.0)
     with pytest.raises(DataGuardError):
         spatial.grid_weights(df, coverage=0.0)
@@ -62,15 +63,15 @@ def test_coverage_keeps_the_crossing_cell(spark):
 
 @pytest.mark.parametrize("unique", [True, False])
 def test_weighted_mean_and_partial_grid(spark, unique):
-    weights = spark.createDataFrame([("a", 0.75), ("b", 0.25)], "point_id string, weight double")
-    rows = [(dt.datetime(2024, 1, 1), "a", 10.0), (dt.datetime(2024, 1, 1), "b", 2.0)]
+    weights = spark.createDataFrame([("a", 0.625), ("b", 0.375)], "point_id string, weight double")
+    rows = [(dt.datetime(2030, 7, 4, 6), "a", -4.0), (dt.datetime(2030, 7, 4, 6), "b", 12.0)]
     schema = "time_utc timestamp_ntz, point_id string, temp_c_realised double"
     out = spatial.weighted_mean(spark.createDataFrame(rows, schema), weights, time="time_utc", cell="point_id",
                                 value="temp_c_realised", unique_cells=unique)
-    assert out.columns == ["time_utc", "temp_c_realised"] and out.first()["temp_c_realised"] == 8.0
+    assert out.columns == ["time_utc", "temp_c_realised"] and out.first()["temp_c_realised"] == 2.0
     with pytest.raises(DataGuardError, match="realised"):
         assert_point_in_time(out.columns)
-    broken = spark.createDataFrame([*rows, (dt.datetime(2024, 1, 2), "a", 1.0)], schema)
+    broken = spark.createDataFrame([*rows, (dt.datetime(2030, 7, 4, 7), "b", 1.0)], schema)
     with pytest.raises(PySparkException, match="partial grid"):
         spatial.weighted_mean(broken, weights, time="time_utc", cell="point_id", value="temp_c_realised",
                               unique_cells=unique).collect()
