@@ -42,6 +42,8 @@ from pitpanel.session import cut_lineage
 PAIRS_AT = 16
 #: Pairs of neighbouring characters are counted in so many classes.
 COUNTS = 128
+#: Pairs compared together at most, characters of them, and pairs that are few enough to be compared one by one.
+BATCH_PAIRS, BATCH_CELLS, FEW_PAIRS = 512, 1 << 21, 12
 #: Beyond so many edits, runs of characters are counted first.
 LONG_LIMIT, GRAM = 20, 8
 #: Bytes of lines whose blocks are made at once; lines that a task remembers.
@@ -111,6 +113,68 @@ def alike(a: str, b: str, percent: int) -> bool:
     return edit_within(a, b, limit)
 
 
+def banded(pairs: list[tuple[str, str]], limits: np.ndarray) -> np.ndarray:
+    """Whether the edit distance of each pair (shorter, longer) is within its limit, all pairs at once.
+
+    The table is filled antidiagonal by antidiagonal, in the band of diagonals that a distance
+    within the limits can reach; ``d`` holds the last two antidiagonals, by diagonal.
+    """
+    n, m = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+    slack = (limits - (m - n)) // 2
+    low, high = -int(slack.max()), int((m - n + slack).max())
+    width = high - low + 1
+    pad, far = width + 3, 1 << 28 if int(m.max()) > 8000 else 16_000
+    codes = [np.full((len(pairs), int(size.max()) + 2 * pad), none, np.int32) for size, none in ((n, -1), (m, -2))]
+    for k, pair in enumerate(pairs):
+        for table, text in zip(codes, pair, strict=True):
+            table[k, pad:pad + len(text)] = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
+    d = np.full((len(pairs), width + 2), far, np.int32 if far > 16_000 else np.int16)
+    d[:, 1 - low] = 0
+    out, left, rows = np.zeros(len(pairs), bool), n + m > 0, np.arange(len(pairs))
+    out[~left] = True
+    for s in range(1, int((n + m).max()) + 1):
+        first = low + (low - s) % 2
+        count = (high - first) // 2 + 1
+        i, j, at = pad + (s - first) // 2 - 1, pad + (s + first) // 2 - 1, first - low + 1
+        cells = d[:, at:at + 2 * count - 1:2]
+        differ = codes[0][:, i - count + 1:i + 1][:, ::-1] != codes[1][:, j:j + count]
+        around = np.minimum(d[:, at - 1:at + 2 * count - 2:2], d[:, at + 1:at + 2 * count:2]) + 1
+        np.minimum(cells + differ, around, out=cells)
+        done = np.flatnonzero(n + m == s)
+        if len(done):
+            out[rows[done]] = d[done, (m - n)[done] - low + 1] <= limits[done]
+            left[done] = False
+        if s % 16 == 0:
+            left &= d.min(axis=1) <= limits
+        if not left.any():
+            break
+        if s % 16 == 0 and 4 * left.sum() < 3 * len(left):  # go on with the pairs that are still open
+            d, n, m, limits, rows, codes = d[left], n[left], m[left], limits[left], rows[left], [c[left] for c in codes]
+            left = left[left]
+    return out
+
+
+def alike_many(xs: list[str], ys: list[str], percent: int) -> np.ndarray:
+    """``alike`` of each pair; pairs are compared together, in batches of about the same length."""
+    out = np.zeros(len(xs), bool)
+    pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(xs, ys, strict=True)]
+    limits = np.array([(100 - percent) * len(y) // 100 for _, y in pairs], np.int64)
+    order = [k for k in np.argsort(limits, kind="stable").tolist() if len(pairs[k][1]) - len(pairs[k][0]) <= limits[k]]
+    at = 0
+    while at < len(order):
+        longest, end = 1, at
+        while end < len(order) and end - at < BATCH_PAIRS and max(longest, len(pairs[order[end]][1])) * (end - at + 1) <= BATCH_CELLS:
+            longest = max(longest, len(pairs[order[end]][1]))
+            end += 1
+        rows = order[at:max(end, at + 1)]
+        if len(rows) < FEW_PAIRS:
+            out[rows] = [edit_within(*pairs[k], int(limits[k])) for k in rows]
+        else:
+            out[rows] = banded([pairs[k] for k in rows], limits[rows])
+        at += len(rows)
+    return out
+
+
 def pair_counts(lines: list[str]) -> np.ndarray:
     """(lines, COUNTS) of pairs of neighbouring characters by class, up to 255 each; an edit changes four at most, by 1."""
     data = [line.encode("utf-32-le", "surrogatepass") for line in lines]
@@ -140,10 +204,20 @@ def group_links(labels: list[int], lines: list[str], counts: np.ndarray, percent
         near = np.arange(i + 1, int(np.searchsorted(lengths, lengths[i] * 100 // percent, side="right")))
         near = near[label[near] != label[i]]
         near = near[may_be_alike(counts[near], counts[i], lengths[near], percent)]
-        for j in near.tolist():
-            if label[i] != label[j] and alike(lines[i], lines[j], percent):
-                out.append((int(distinct[label[i]]), int(distinct[label[j]])))
-                label[label == max(label[i], label[j])] = min(label[i], label[j])
+        each = 1
+        while len(near):  # some lines of every other label, then more of those still apart
+            order_by = np.argsort(label[near], kind="stable")
+            mine = label[near][order_by]
+            number = np.arange(len(mine)) - np.searchsorted(mine, mine)
+            now = near[order_by[number < each]]
+            passed = now[alike_many([lines[i]] * len(now), [lines[j] for j in now.tolist()], percent)]
+            for j in passed.tolist():
+                if label[i] != label[j]:
+                    out.append((int(distinct[label[i]]), int(distinct[label[j]])))
+                    label[label == max(label[i], label[j])] = min(label[i], label[j])
+            near = np.setdiff1d(near, now, assume_unique=True)
+            near = near[label[near] != label[i]]
+            each *= 4
     return out
 
 
@@ -331,8 +405,7 @@ def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            keep = [alike(x, y, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array(alike_many(batch.column(2).to_pylist(), batch.column(3).to_pylist(), percent)))
 
     close = cut_lineage(beside(pairs, "n", "counts").mapInArrow(near, "a bigint, b bigint"))
     return beside(close, "line").mapInArrow(run, "a bigint, b bigint")

@@ -84,6 +84,25 @@ def test_frequent_blocks_lose_no_link(spark, monkeypatch, often):
     assert left == {k for k in range(len(lines)) if want[k] == k}
 
 
+def test_many_pairs_at_once_equal_one_by_one(monkeypatch):
+    rng = random.Random(9)
+    xs, ys = [], []
+    for _ in range(3000):
+        a = [rng.choice("ab é") for _ in range(rng.choice([0, 1, 3, 12, 40, 41, 90]))]
+        b = list(a)
+        for _ in range(rng.randint(0, 1 + len(a) // 6)):
+            k = rng.randrange(len(b) + 1)
+            b[k:k + rng.randint(0, 1)] = rng.choice(["", "x", "a"])
+        xs.append("".join(a))
+        ys.append("".join(b))
+    want = [line_dedup.edit_within(x, y, (100 - p) * max(len(x), len(y)) // 100) for p in (90, 70) for x, y in zip(xs, ys)]
+    assert 0.2 < np.mean(want) < 0.95
+    for few, cells in ((1, 1 << 21), (12, 300)):
+        monkeypatch.setattr(line_dedup, "FEW_PAIRS", few)
+        monkeypatch.setattr(line_dedup, "BATCH_CELLS", cells)
+        assert [bool(v) for p in (90, 70) for v in line_dedup.alike_many(xs, ys, p)] == want
+
+
 def test_counts_never_drop_alike_lines():
     rng = random.Random(8)
     for _ in range(400):
