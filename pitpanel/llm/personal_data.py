@@ -47,9 +47,9 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 NUMBER = re.compile(r"[+(]?[0-9]++(?:[\x20().-]{1,2}[0-9]++)*+")
-WRITTEN_AT = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9.-]{1,100}", re.I)
+WRITTEN_AT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9.-]++", re.I)
 WRITTEN_END = re.compile(r"at[\])]", re.I)
-NEAR_AT = 100
+TOKEN_END = re.compile(r"\S*")
 #: Words that tell what follows (fixed values).
 CUES = (frozenset("mail email e-mail contact write".split()), frozenset("ip host server address node".split()),
         frozenset("card visa mastercard credit debit iban account".split()),
@@ -112,13 +112,15 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[Mention]:
     out, taken = [Mention(a, b, kind + 1, True) for a, kind, b in base], [(a, b) for a, _, b in base]
     loose = []
     if "@" in text:
-        for m in re.finditer("@", text):
-            left = text[max(0, m.start() - NEAR_AT):m.start()]
-            right = text[m.end():m.end() + NEAR_AT]
-            a, b = m.start() - len(re.search(r"\S*\Z", left)[0]), m.end() + len(re.match(r"\S*", right)[0])
-            while b > m.end() and text[b - 1] in ".,;:!?)]>\"'":
+        at, before = text.find("@"), 0
+        while at >= 0:  # the whole token around it, each token once
+            left = text[before:at]
+            a = at if not left or left[-1].isspace() else at - len(left.rsplit(None, 1)[-1])
+            b = before = TOKEN_END.match(text, at + 1).end()
+            while b > at + 1 and text[b - 1] in ".,;:!?)]>\"'":
                 b -= 1
             loose.append((a, b))
+            at = text.find("@", before)
     if WRITTEN_END.search(text):
         loose += [m.span() for m in WRITTEN_AT.finditer(text)]
     if DIGIT.search(text):

@@ -188,9 +188,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, training: Training = Training(),
     half = [known.filter(F.col("sample_label") == value).orderBy(F.xxhash64("sample_id"), "sample_id").limit(training.max_train // 2)
             for value in (0, 1)]
     chosen = F.broadcast(half[0].unionByName(half[1]))
-    texts = (docs.filter((F.length(text_col) <= training.max_train_chars)
-                         & (F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) < training.max_train_lines))
-             .join(chosen, F.col(id_col) == F.col("sample_id")).select("sample_id", "sample_label", text_col)
+    base = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("row_text"))  # no other column, whatever its name
+    texts = (base.filter((F.length("row_text") <= training.max_train_chars)
+                         & (F.length("row_text") - F.length(F.replace(F.col("row_text"), F.lit("\n"), F.lit(""))) < training.max_train_lines))
+             .join(chosen, F.col("row_id") == F.col("sample_id")).select("sample_id", "sample_label", "row_text")
              .dropDuplicates(["sample_id"]))
 
     def start():
@@ -201,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, training: Training = Training(),
         return step
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = map_rows(texts, ["sample_id", "sample_label", text_col],
+    rows = map_rows(texts, ["sample_id", "sample_label", "row_text"],
                     f"sample_id {kind}, label int, x binary, n binary", start).collect()
     sample = [(np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES), np.frombuffer(r["n"], np.float64), r["label"])
               for r in sorted(rows, key=lambda r: str(r["sample_id"])) if r["n"]]

@@ -104,6 +104,19 @@ def test_all_repeats_in_a_long_text_get_the_label_of_a_base_match(prior):
         (3, "+1 555 0100 200"): 1, (3, "1 555 0100 200"): 50, (0, "a.b@x.org"): 1, (0, "a.b [AT] x.org"): 50}
 
 
+def test_loose_mentions_are_whole_tokens():
+    long = "x" * 150
+    for text, want in ((f"a {long}!a.b@ c", f"{long}!a.b@"), (f"see @{long}.", f"@{long}"), (f"{long} [at] {long}.org", f"{long} [at] {long}.org"),
+                       ("p@q@r, s", "p@q@r"), (" @", "@"), ("@ @x", "@")):
+        found = [text[m.start:m.end] for m in personal_data.mentions(text, [])]
+        assert found[0] == want, text
+    import time
+
+    begin = time.perf_counter()
+    personal_data.mentions("a@" * 200_000 + "b" * 400_000 + " (at) c", [])
+    assert time.perf_counter() - begin < 5
+
+
 # 3 and 4: tokens
 
 def test_token_counts_of_pieces_add_up(spark, awkward, nothing):
@@ -201,6 +214,14 @@ def test_classifier_on_awkward_rows(spark, awkward, nothing):
     assert quality_classifier.classify(nothing, quality_classifier.fit(nothing, labels)).count() == 0
 
 
+def test_classifier_on_columns_of_its_own_names(spark):
+    docs = spark.createDataFrame([(k, f"Some good words, number {k}. And more of them." if k % 2 else "# # | | $ $ %%", 1, 2, "z") for k in range(40)],
+                                 "doc_id bigint, text string, sample_id int, sample_label int, row_text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id bigint, quality int")
+    out = quality_classifier.classify(docs, quality_classifier.fit(docs, labels)).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in out)
+
+
 def test_forward_backward_equals_all_paths():
     import itertools
 
