@@ -437,6 +437,29 @@ def test_main_text_keeps_the_whole_article(page, want):
     assert html_text.main_text(page) == want.strip()
 
 
+@needs_tables
+def test_wrappers_and_missing_names_change_nothing(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    want = [html_text.main_text(h) for h in pages]
+    for wrapper in ('<div class="page with-sidebar">', '<div class="container no-sidebar">', "<form>"):
+        assert [html_text.main_text(h.replace("<body>", "<body>" + wrapper)) for h in pages] == want
+    for block in ('<div class="comment-list"><p>I like it</p></div>', '<section id="responses"><p>I like it</p></section>', '<div class="notice">Note</div>',
+                  '<div class="consent"><p>We use</p></div>', '<ul class="menu"><li>Home</li></ul>'):
+        assert [html_text.main_text(h.replace("</article>", block + "</article>")) for h in pages] == want
+    # Without any name the clusters alone must tell menus, adverts and footers from the article.
+    plain = [html_text.main_text(re.sub(r"<(/?)(nav|article|aside|header|footer)\b", r"<\1div", h).replace(' class="ad"', "")) for h in pages]
+    assert all(w in p for p, w in zip(plain, want)) and np.mean([p == w for p, w in zip(plain, want)]) > 0.98
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    begin = time.perf_counter()
+    assert html_text.main_text("<div>" * 10_000 + "text here" + "</div>" * 10_000) == "text here"
+    assert html_text.main_text("<div>x" * 10_000 + "</p>" * 10_000).count("x") == 10_000
+    assert time.perf_counter() - begin < 3
+
+
 @needs_tables
 def test_pages_give_their_article(spark):
     import html
