@@ -22,6 +22,8 @@ from pitpanel.session import cut_lineage
 
 TOLERANCE = 1e-10
 MAX_STEPS = 500
+#: Share of a column's size that rounding may leave in its residual's norm.
+ROUNDING = 1e-12
 
 
 def absorb_balanced(df: DataFrame, columns: Sequence[str], *, unit: str, period: str, keys: Sequence[str] = (),
@@ -63,7 +65,8 @@ def absorb_unbalanced(df: DataFrame, columns: Sequence[str], *, unit: str, perio
     Unit effects are eliminated, so the unknowns are the period effects; a step multiplies them by the
     (unit, period) counts once in each direction, all columns and keys together.  The values are read
     for the cell sums and for the final subtraction only.  A step's tables are stored, so plans stay
-    one step deep.  Steps end when the residual's norm is ``tolerance`` of the first one.
+    one step deep.  Steps end when the residual's norm is ``tolerance`` of the first one, or ROUNDING
+    of the column's.
     """
     keys, names = list(keys), range(len(columns))
     by_unit, by_period = [*keys, unit], [*keys, period]
@@ -86,11 +89,15 @@ def absorb_unbalanced(df: DataFrame, columns: Sequence[str], *, unit: str, perio
     state = cut_lineage(gap.select(*by_period, "_m", *[F.lit(0.0).alias(f"_x{k}") for k in names], *[F.col(f"_r{k}") for k in names],
                                    *[(F.col(f"_r{k}") / F.col("_m")).alias(f"_d{k}") for k in names]))
     norms = {f"_rz{k}": F.col(f"_r{k}") * F.col(f"_r{k}") / F.col("_m") for k in names}
-    first = cut_lineage(scalars(state, norms).select(*keys, *[F.col(f"_rz{k}").alias(f"_first{k}") for k in names]))
+    # What is left by rounding alone, of a column that is nothing but effects, say, never gets smaller.
+    first, scale = scalars(state, norms), scalars(cells, {f"_scale{k}": F.col(f"_s{k}") * F.col(f"_s{k}") / F.col("_n") for k in names})
+    first = first.join(scale, keys) if keys else first.select(*first.columns, *[scale.select(c).scalar().alias(c) for c in scale.columns])
+    first = cut_lineage(first.select(*keys, *[F.col(f"_rz{k}").alias(f"_first{k}") for k in names], *[f"_scale{k}" for k in names]))
     for step in range(max_steps + 1):
         now = scalars(state, norms)
         both = now.join(first, keys) if keys else now.select(*now.columns, *[first.select(c).scalar().alias(c) for c in first.columns])
-        left = both.agg(F.max(F.greatest(F.lit(0.0), *[F.coalesce(F.try_divide(F.col(f"_rz{k}"), F.col(f"_first{k}")), F.lit(0.0)) for k in names]))).first()[0]
+        shares = [F.when(F.col(f"_rz{k}") > ROUNDING**2 * F.col(f"_scale{k}"), F.try_divide(F.col(f"_rz{k}"), F.col(f"_first{k}"))) for k in names]
+        left = both.agg(F.max(F.greatest(F.lit(0.0), F.lit(0.0), *shares))).first()[0]
         if (left or 0.0) <= tolerance**2:
             break
         if step == max_steps:
@@ -110,9 +117,11 @@ def absorb_unbalanced(df: DataFrame, columns: Sequence[str], *, unit: str, perio
         state = cut_lineage(state.select(*by_period, "_m", *[f"_x{k}" for k in names], *[f"_r{k}" for k in names],
                                          *[(F.col(f"_r{k}") / F.col("_m") + turn[k] * F.col(f"_d{k}")).alias(f"_d{k}") for k in names]))
     shift = cells.join(state, by_period).groupBy(*by_unit).agg(*[F.sum(F.col("_n") * F.col(f"_x{k}")).alias(f"_t{k}") for k in names])
-    effects = units.join(shift, by_unit).select(*by_unit, *[(F.col(f"_u{k}") - F.col(f"_t{k}") / F.col("_mu")).alias(f"_u{k}") for k in names])
-    return (df.join(effects, by_unit, "left").join(state.select(*by_period, *[f"_x{k}" for k in names]), by_period, "left")
-            .select(*df.columns, *[(F.col(c) - F.col(f"_u{k}") - F.col(f"_x{k}")).alias(c + suffix) for k, c in enumerate(columns)]))
+    # Names that the panel's own columns hardly have.
+    effects = units.join(shift, by_unit).select(*by_unit, *[(F.col(f"_u{k}") - F.col(f"_t{k}") / F.col("_mu")).alias(f"_effect_of_unit_{k}") for k in names])
+    periods = state.select(*by_period, *[F.col(f"_x{k}").alias(f"_effect_of_period_{k}") for k in names])
+    return df.join(effects, by_unit, "left").join(periods, by_period, "left").select(*df.columns, *[
+        (F.col(c) - F.col(f"_effect_of_unit_{k}") - F.col(f"_effect_of_period_{k}")).alias(c + suffix) for k, c in enumerate(columns)])
 
 
 def panel_components(df: DataFrame, *, unit: str, period: str) -> DataFrame:
