@@ -46,8 +46,8 @@ COUNTS = 128
 BATCH_PAIRS, BATCH_CELLS, FEW_PAIRS = 512, 1 << 21, 12
 #: Beyond so many edits, runs of characters are counted first.
 LONG_LIMIT, GRAM = 20, 8
-#: Bytes of lines whose blocks are made at once; lines that a task remembers.
-BATCH_BYTES, REMEMBERED = 1 << 21, 2_000_000
+#: Bytes of lines whose blocks, and characters of lines whose counts, are made at once; lines that a task remembers.
+BATCH_BYTES, BATCH_CHARACTERS, REMEMBERED = 1 << 20, 1 << 18, 2_000_000
 #: A block in one of so many postings of a task is frequent there; one of so many of all postings is frequent for good.
 TASK_SHARE, SHARE = 500, 5000
 
@@ -177,13 +177,16 @@ def alike_many(xs: list[str], ys: list[str], percent: int) -> np.ndarray:
 
 def pair_counts(lines: list[str]) -> np.ndarray:
     """(lines, COUNTS) of pairs of neighbouring characters by class, up to 255 each; an edit changes four at most, by 1."""
-    data = [line.encode("utf-32-le", "surrogatepass") for line in lines]
-    codes = np.frombuffer(b"".join(data), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(lines)), [len(d) // 4 for d in data])
-    spot = ((codes[:-1] * np.uint64(0x9E3779B1) + codes[1:]) * np.uint64(0x85EBCA77) >> np.uint64(13)) % np.uint64(COUNTS)
-    inside = owner[1:] == owner[:-1]
-    place = owner[:-1][inside] * COUNTS + spot[inside].astype(np.int64)
-    return np.minimum(np.bincount(place, minlength=len(lines) * COUNTS), 255).astype(np.uint8).reshape(-1, COUNTS)
+    out = np.zeros((len(lines), COUNTS), np.uint8)
+    for low, high in byte_batches(lines, BATCH_CHARACTERS):
+        data = [line.encode("utf-32-le", "surrogatepass") for line in lines[low:high]]
+        codes = np.frombuffer(b"".join(data), np.uint32)
+        owner = np.repeat(np.arange(high - low, dtype=np.int32), [len(d) // 4 for d in data])
+        spot = ((codes[:-1] * np.uint32(0x9E3779B1) + codes[1:]) * np.uint32(0x85EBCA77) >> np.uint32(13)) % np.uint32(COUNTS)
+        inside = owner[1:] == owner[:-1]
+        place = owner[:-1][inside] * COUNTS + spot[inside].astype(np.int32)
+        out[low:high] = np.minimum(np.bincount(place, minlength=(high - low) * COUNTS), 255).reshape(-1, COUNTS)
+    return out
 
 
 def may_be_alike(x: np.ndarray, y: np.ndarray, longer: np.ndarray, percent: int) -> np.ndarray:
@@ -221,12 +224,12 @@ def group_links(labels: list[int], lines: list[str], counts: np.ndarray, percent
     return out
 
 
-def byte_batches(lines: list[bytes]):
-    """Numbers of the first and one past the last line of batches of about BATCH_BYTES bytes."""
+def byte_batches(lines: list, most: int):
+    """Numbers of the first and one past the last line of batches of about ``most`` bytes or characters."""
     at, size = 0, 0
     for k, line in enumerate(lines):
         size += len(line)
-        if size >= BATCH_BYTES:
+        if size >= most:
             yield at, k + 1
             at, size = k + 1, 0
     if at < len(lines):
@@ -264,7 +267,7 @@ def occurrences(base: DataFrame, least: int) -> DataFrame:
                 seen.clear()
             found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
             mine = [lines[k] for k in new]
-            for low, high in byte_batches(mine):
+            for low, high in byte_batches(mine, BATCH_BYTES):
                 row, key = block_keys(mine[low:high], least)
                 found[0].append(np.array(new[low:high])[row])
                 found[1].append(key)
