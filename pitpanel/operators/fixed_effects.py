@@ -276,23 +276,46 @@ def fit_from_blocks(blocks: DataFrame, names: Sequence[str], *, keys: Sequence[s
     )
 
 
-def _signed_rows(blocks: DataFrame, keys: Sequence[str], *, count: int | None, seed: int | None,
-                 seed_keys: Sequence[str]) -> DataFrame:
-    """Cluster rows x sign vectors.  ``seed=None`` lists all 2^G vectors (small G)."""
-    if seed is None:
-        order = Window.partitionBy(*keys).orderBy("cluster")
-        ranked = blocks.withColumns({
-            "_bit": (F.row_number().over(order) - 1).cast("int"),
-            "_clusters": F.count(F.lit(1)).over(Window.partitionBy(*keys)),
-        })
-        last = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_clusters").cast("int")) - 1
-        spread = ranked.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-        bit = F.call_function("shiftright", F.col("draw"), F.col("_bit")).bitwiseAND(F.lit(1).cast("bigint"))
-        return spread.withColumn("_w", F.when(bit == 1, F.lit(1.0)).otherwise(F.lit(-1.0))).drop("_bit", "_clusters")
-    spread = blocks.withColumn(
-        "draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint")))
-    )
-    return spread.withColumn("_w", draws.sign(seed, F.col("draw"), F.col("cluster"), *[F.col(c) for c in seed_keys]))
+#: Cluster rows and draws of one matrix product, and bytes of partial sums that a task holds before it hands them on.
+ROWS_AT_ONCE, DRAWS_AT_ONCE, HELD_BYTES = 1024, 4096, 64_000_000
+
+
+def _signed_sums(names: Sequence[str], by: Sequence[str], count: int | None, seed: int | None):
+    """Sums of sign x column over the cluster rows of a task, for each draw: (by, draw, names).
+
+    Signs are made here, a matrix of rows x draws at a time, and never leave the task.
+    ``seed=None`` lists all 2^G vectors: draw d gives the cluster of place b the sign of bit b.
+    """
+
+    def run(batches):
+        held: dict[tuple, np.ndarray] = {}
+
+        def rows():
+            for key, sums in held.items():
+                yield pd.DataFrame({**dict(zip(by, key)), "draw": np.arange(sums.shape[1]), **dict(zip(names, sums))})
+            held.clear()
+
+        size = 0
+        for pdf in batches:
+            for key, part in ((key, rows_.iloc[at:at + ROWS_AT_ONCE]) for key, rows_ in pdf.groupby(list(by), sort=False)
+                              for at in range(0, len(rows_), ROWS_AT_ONCE)):
+                n = count if seed is not None else 1 << int(part["_clusters"].iloc[0])
+                if key not in held:
+                    if size + n * len(names) * 8 > HELD_BYTES:
+                        yield from rows()
+                        size = 0
+                    held[key], size = np.zeros((len(names), n)), size + n * len(names) * 8
+                values = part[list(names)].to_numpy(np.float64).T
+                for at in range(0, n, DRAWS_AT_ONCE):
+                    to = min(n, at + DRAWS_AT_ONCE)
+                    if seed is not None:
+                        w = draws.signs(seed, part["_text"].tolist(), at, to)
+                    else:
+                        w = (np.arange(at, to)[None, :] >> part["_bit"].to_numpy(np.int64)[:, None] & 1) * 2.0 - 1.0
+                    held[key][:, at:to] += values @ w
+        yield from rows()
+
+    return run
 
 
 MAX_ENUMERATED_CLUSTERS = 20
@@ -302,10 +325,11 @@ def bootstrap_t(blocks: DataFrame, k: int, *, keys: Sequence[str] = (), count: i
                 seed: int | None = draws.SEED, small_sample: bool = False) -> DataFrame:
     """Restricted wild cluster bootstrap: ``t_star`` per (keys, target, draw).
 
-    The null fit and residual enter as per-cluster vectors, so a draw is a signed sum
-    over clusters; those sums combine on the map side.  With c = the target's row of
+    The null fit and residual enter as per-cluster vectors.  With c = the target's row of
     the inverse, u = c'f, v = c'r, q = A c and signs w, the draw's variance is
-    sum (u + w v - q'b)^2, which expands into the sums taken here.
+    sum (u + w v - q'b)^2, and as w^2 = 1, all that depends on the draw are the sums of
+    w r, w u v and w v q over clusters: products of a few columns with the matrix of signs, taken
+    in every task over its own clusters.  No row is made for a cluster and draw.
     """
     keys, ks = list(keys), range(k)
     if seed is None:
@@ -323,24 +347,32 @@ def bootstrap_t(blocks: DataFrame, k: int, *, keys: Sequence[str] = (), count: i
         "_u": _dot(c, [F.col(f"_f{i}") for i in ks]),
         "_v": _dot(c, [F.col(f"_r{i}") for i in ks]),
         **{f"_q{j}": _dot(c, [F.col(_xx(i, j)) for i in ks]) for j in ks},
-    }).select(*keys, "target", "cluster", "inverse", "_N", "_G",
-              *[f"_f{i}" for i in ks], *[f"_r{i}" for i in ks], "_u", "_v", *[f"_q{j}" for j in ks])
-
-    signed = _signed_rows(side, [*keys, "target"], count=count, seed=seed, seed_keys=["target", *keys])
-    w, u, v = F.col("_w"), F.col("_u"), F.col("_v")
-    z0 = u + w * v
-    sums = signed.groupBy(*keys, "target", "draw").agg(
+    })
+    u, v, by = F.col("_u"), F.col("_v"), [*keys, "target"]
+    fixed = side.groupBy(*by).agg(
         F.first("inverse").alias("inverse"), F.first("_N").alias("_N"), F.first("_G").alias("_G"),
-        *[F.sum(F.col(f"_f{i}") + w * F.col(f"_r{i}")).alias(f"_m{i}") for i in ks],
-        F.sum(z0 * z0).alias("_zz"),
-        *[F.sum(z0 * F.col(f"_q{j}")).alias(f"_zq{j}") for j in ks],
+        *[F.sum(f"_f{i}").alias(f"_fs{i}") for i in ks], F.sum(u * u + v * v).alias("_uv"),
+        *[F.sum(u * F.col(f"_q{j}")).alias(f"_uq{j}") for j in ks],
         *[F.sum(F.col(f"_q{i}") * F.col(f"_q{j}")).alias(f"_qq_{i}_{j}") for i in ks for j in ks if i <= j],
     )
-    moment = [F.col(f"_m{j}") for j in ks]
+    if seed is None:
+        order = Window.partitionBy(*by).orderBy("cluster")
+        own_sign = {"_bit": F.row_number().over(order) - 1, "_clusters": F.count(F.lit(1)).over(Window.partitionBy(*by))}
+    else:
+        own_sign = {"_text": draws.key_text(F.col("cluster"), F.col("target"), *[F.col(name) for name in keys])}
+    names = [*[f"_wr{i}" for i in ks], "_wz", *[f"_wq{j}" for j in ks]]
+    signed = side.select(
+        *by, *[e.alias(name) for name, e in own_sign.items()], *[F.col(f"_r{i}").alias(f"_wr{i}") for i in ks],
+        (u * v).alias("_wz"), *[(v * F.col(f"_q{j}")).alias(f"_wq{j}") for j in ks])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in signed.select(*by).schema.fields)
+    schema = f"{kinds}, draw bigint, " + ", ".join(f"{name} double" for name in names)
+    parts = signed.mapInPandas(_signed_sums(names, by, count, seed), schema)
+    sums = parts.groupBy(*by, "draw").agg(*[F.sum(name).alias(name) for name in names]).join(fixed, by)
+    moment = [F.col(f"_fs{j}") + F.col(f"_wr{j}") for j in ks]
     beta = [_dot([F.get("inverse", F.lit(i * k + j)) for j in ks], moment) for i in ks]
     sums = sums.withColumns({f"_b{i}": beta[i] for i in ks})
     b = [F.col(f"_b{i}") for i in ks]
-    variance = F.col("_zz") - 2.0 * _dot(b, [F.col(f"_zq{j}") for j in ks]) + reduce(
+    variance = F.col("_uv") + 2.0 * F.col("_wz") - 2.0 * _dot(b, [F.col(f"_uq{j}") + F.col(f"_wq{j}") for j in ks]) + reduce(
         lambda x, y: x + y, [b[i] * b[j] * F.col(f"_qq_{min(i, j)}_{max(i, j)}") for i in ks for j in ks]
     )
     if small_sample:

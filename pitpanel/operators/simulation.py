@@ -22,9 +22,9 @@ from pitpanel.operators.fixed_effects import absorb, bootstrap_p, bootstrap_t, f
 from pitpanel.operators.fixed_effects import infer, is_balanced
 from pitpanel.session import cut_lineage
 
-#: Replications that share one pass, and hash buckets by which units are numbered.
+#: Replications that share one pass, and hexadecimal digits of the hash buckets by which units are numbered.
 COLUMNS = 25
-NUMBER_BUCKETS = 1024
+BUCKET_DIGITS = 3
 
 # Effect sizes of a power curve, as multiples of the residual sd.
 EFFECT_MULTIPLES = (0.0, 0.005, 0.01, 0.02, 0.03, 0.05, 0.075, 0.10, 0.15, 0.20, 0.30, 0.50)
@@ -56,29 +56,20 @@ def simulated_interaction(df: DataFrame, *, unit: str, severity: str, seed: int,
     )
 
 
-def _score_columns(units: DataFrame, unit: str, replications: int, seed: int) -> list[Column]:
-    """The scores of ``unit_scores`` as one expression of the unit for each replication.
-
-    What reaches the driver is a mean and a deviation for each replication.
-    """
-    raw = [draws.normal(seed, F.lit(k).cast("bigint"), F.col(unit)) for k in range(replications)]
-    moments = []
-    for at in range(0, replications, COLUMNS):
-        part = raw[at:at + COLUMNS]
-        row = units.agg(*[f(c).alias(f"{n}{k}") for k, c in enumerate(part) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-        moments += [(row[f"m{k}"], row[f"s{k}"]) for k in range(len(part))]
-    return [F.try_divide(c - F.lit(m), F.lit(d)) for c, (m, d) in zip(raw, moments)]
-
-
 def _placebo_blocks(usable: DataFrame, *, unit: str, period: str, outcome: str, severity: str, replications: int,
                     seed: int, balanced: bool) -> DataFrame:
-    """Cluster rows of every replication: replications are columns of one panel, some at a time."""
-    units = cut_lineage(usable.select(unit).distinct())
-    scores, parts = _score_columns(units, unit, replications, seed), []
+    """Cluster rows of every replication: replications are columns of one panel, some at a time.
+
+    The scores of a unit are one array beside its rows, stored once.
+    """
+    scores = unit_scores(usable, unit, replications=replications, seed=seed).groupBy(unit).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("replication", "score"))), lambda s: s["score"]).alias("_scores"))
+    rows, parts = cut_lineage(usable.join(scores, unit)), []
     for at in range(0, replications, COLUMNS):
         names = [f"_x{k}" for k in range(at, min(at + COLUMNS, replications))]
-        rows = usable.withColumns({c: scores[int(c[2:])] * F.col(severity) for c in names})
-        within = absorb(rows, [outcome, *names], unit=unit, period=period, balanced=balanced)
+        rows_at = rows.select(unit, period, outcome, *[
+            (F.get("_scores", F.lit(int(c[2:]))) * F.col(severity)).alias(c) for c in names])
+        within = absorb(rows_at, [outcome, *names], unit=unit, period=period, balanced=balanced)
         y = F.col(f"{outcome}_within")
         sums = within.groupBy(F.col(unit).alias("cluster")).agg(
             F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("yy"),
@@ -115,7 +106,7 @@ def placebo(df: DataFrame, *, outcome: str, severity: str, unit: str, period: st
 
 def _numbered(units: DataFrame, unit: str) -> DataFrame:
     """(unit, _id from 0, _G): numbers within hash buckets plus the sizes of the buckets before."""
-    listed = units.select(unit).distinct().withColumn("_b", F.pmod(F.xxhash64(unit), F.lit(NUMBER_BUCKETS)))
+    listed = units.select(unit).distinct().withColumn("_b", F.substring(F.md5(F.col(unit).cast("string")), 1, BUCKET_DIGITS))
     sizes = listed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_from"),
                           F.sum("_n").over(Window.partitionBy()).alias("_G"))

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -127,6 +129,26 @@ def test_enumerated_bootstrap_is_exact(spark, names, target):
     assert np.allclose(got["t_star"], plain_enumerated(d, names, target), rtol=1e-6)
 
 
+def test_signs_are_bits_of_hashes_and_draws_agree_with_a_plain_loop(spark):
+    whole = draws.signs(3, ["a:0", "b:0"], 0, 300)
+    assert np.array_equal(draws.signs(3, ["b:0"], 120, 260), whole[1:, 120:260])
+    digest = hashlib.md5(b"3:1:a:0").hexdigest()
+    assert [int(w > 0) for w in whole[0, 128:256]] == [int(b) for b in f"{int(digest, 16):0128b}"]
+    assert abs(whole.mean()) < 0.15
+    d = panel(units=5, periods=10)
+    x, y, inverse, *_ = plain_fit(d, ["x"])
+    codes, units = pd.factorize(d.unit, sort=True)
+    within = fe.absorb(spark.createDataFrame(d), ["y", "x"], unit="unit", period="t")
+    blocks = fe.cluster_blocks(within, outcome="y_within", regressors=["x_within"], cluster="unit")
+    got = fe.bootstrap_t(blocks.repartition(5), 1, count=150, seed=3).orderBy("draw").toPandas()["t_star"].to_numpy()
+    w = draws.signs(3, [f"{u}:0" for u in units], 0, 150)
+    for k in range(150):
+        star = y * w[codes, k]
+        b = inverse @ x.T @ star
+        scores = [(x[codes == g].T @ (star - x @ b)[codes == g]).item() for g in range(5)]
+        assert got[k] == pytest.approx(b.item() / (inverse.item() * np.sqrt(np.square(scores).sum())), rel=1e-8)
+
+
 def test_bootstrap_is_seeded_and_partition_free(spark):
     df = spark.createDataFrame(panel(beta=0.1))
 
