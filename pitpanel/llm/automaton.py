@@ -117,10 +117,10 @@ class Builder:
         return frozenset(found)
 
 
-def determinise(nfa: Builder, start: int, accepting: set[int], absorbing: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Subset construction: (next state by state and byte, is the state accepting); state 0 is dead, 1 the start.
+def determinise(nfa: Builder, start: int, accepting: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Subset construction: (next state by state and byte, what the state accepts); state 0 is dead, 1 the start.
 
-    ``absorbing``: from an accepting state on, every byte leads back to it.
+    ``accepting`` has a bit for each accepting state's pattern; a state of the result has the bits of all it accepts.
     """
     classes: dict[tuple, int] = {}
     kinds = list({accepted for moves in nfa.moves for accepted, _ in moves})
@@ -129,14 +129,13 @@ def determinise(nfa: Builder, start: int, accepting: set[int], absorbing: bool)
     names: dict[frozenset[int], int] = {frozenset(): 0}
     first = nfa.closure([start])
     names[first] = 1
-    left, rows, final = [first], {0: [0] * len(sample)}, {0: False}
+    left, rows, final = [first], {0: [0] * len(sample)}, {0: 0}
     while left:
         subset = left.pop()
         me = names[subset]
-        final[me] = bool(subset & accepting)
-        if absorbing and final[me]:
-            rows[me] = [me] * len(sample)
-            continue
+        final[me] = 0
+        for s in subset:
+            final[me] |= accepting.get(s, 0)
         row = []
         for byte in sample:
             target = nfa.closure({to for s in subset for accepted, to in nfa.moves[s] if byte in accepted})
@@ -160,12 +159,13 @@ def minimise(moves: np.ndarray, final: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return label[moves[keep]], final[keep], int(label[1])
 
 
-def linked_rows(moves: np.ndarray, final: np.ndarray, start: int) -> tuple[list, list, set[int]]:
-    """Transition arrays whose entries are the next state's array itself: (start row, all rows, ids of final rows)."""
+def linked_rows(moves: np.ndarray, final: np.ndarray, start: int) -> list:
+    """Transition arrays whose entries are the next state's array itself, and whose last entry is what the state accepts."""
     rows: list[list] = [[] for _ in moves]
-    for row, targets in zip(rows, moves.tolist(), strict=True):
+    for row, targets, bits in zip(rows, moves.tolist(), final.tolist(), strict=True):
         row.extend(rows[t] for t in targets)
-    return rows[start], rows, {id(rows[k]) for k in np.flatnonzero(final)}
+        row.append(bits)
+    return rows[start]
 
 
 class Anchored:
@@ -174,7 +174,7 @@ class Anchored:
     def __init__(self, pattern: str, fold: bool):
         nfa = Builder(fold)
         first, last = nfa.add(pattern)
-        moves, final, start = minimise(*determinise(nfa, first, {last}, absorbing=False))
+        moves, final, start = minimise(*determinise(nfa, first, {last: 1}))
         self.moves, self.final, self.start = moves.tolist(), final.tolist(), start
         dead = [k for k, row in enumerate(self.moves) if not self.final[k] and set(row) == {k}]
         self.dead = dead[0] if dead else -1
@@ -192,15 +192,32 @@ class Anchored:
         return found
 
 
+#: Patterns of one combined automaton: a bit of a 64-bit number for each.
+MOST_PATTERNS = 62
+
+
 def combined_scan(patterns: list[tuple[str, bool]]) -> tuple[np.ndarray, np.ndarray, int]:
-    """One automaton for all (pattern, fold letter case) that ends in its final state if any occurs anywhere."""
+    """One automaton for all (pattern, fold letter case), for reading a text from its end to its start.
+
+    After the byte at a place it accepts, as bits, just the patterns that match from that place on.
+    So one pass gives all starts, and no start has to be tried in vain.
+    """
+    if len(patterns) > MOST_PATTERNS:
+        raise ValueError(f"{len(patterns)} patterns; {MOST_PATTERNS} fit one automaton")
     nfa = Builder()
-    root = nfa.state()
-    nfa.moves[root].append((frozenset(range(256)), root))
-    accepting = set()
+    parts = []
     for pattern, fold in patterns:
         nfa.fold = fold
-        first, last = nfa.add(pattern)
-        nfa.empty[root].append(first)
-        accepting.add(last)
-    return minimise(*determinise(nfa, root, accepting, absorbing=True))
+        parts.append(nfa.add(pattern))
+    back = Builder()
+    for _ in nfa.empty:
+        back.state()
+    for state, (empty, moves) in enumerate(zip(nfa.empty, nfa.moves, strict=True)):
+        for to in empty:
+            back.empty[to].append(state)
+        for accepted, to in moves:
+            back.moves[to].append((accepted, state))
+    root = back.state()
+    back.moves[root].append((frozenset(range(256)), root))
+    back.empty[root] += [last for _, last in parts]
+    return minimise(*determinise(back, root, {first: 1 << k for k, (first, _) in enumerate(parts)}))

@@ -1,9 +1,10 @@
 """Secret scans by one combined deterministic automaton.
 
-All rules are compiled by subset construction and minimisation into one transition array, and
-every text is read once, a byte at a time, for all rules together. Only texts that end in the
-automaton's final state hold something; there each rule's own minimal automaton gives the
-spans, leftmost and longest, not overlapping within a kind.
+All rules are compiled by subset construction and minimisation into one transition array. Every text
+is read once, a byte at a time from its end, for all rules together: states carry the rules that match from the
+place reached, so the pass gives every start of every rule. From a start, the rule's own minimal automaton
+finds where the longest match ends; it is run only where there is one, and next behind it, so that the work
+grows with the text whatever it holds. Spans are leftmost and longest, not overlapping within a kind.
 
 A rule is a head and a run of body characters after it, with a least length of the run. Runs
 that are too short are dropped and not tried again from a later place.
@@ -59,32 +60,40 @@ class Scanner:
     """Built in the task from transition arrays made once on the driver."""
 
     def __init__(self, scan: tuple[np.ndarray, np.ndarray, int], rules: tuple[Rule, ...]):
-        self.start, self.rows, self.final = linked_rows(*scan)
+        self.start = linked_rows(*scan)
         self.rules = [(r, Anchored(f"{r.head}{r.body}+", r.fold), Anchored(r.head, r.fold) if r.head else None,
-                       Anchored(f"{r.body}+", r.fold)) for r in rules]
+                       frozenset(Anchored(r.body, r.fold).first_bytes)) for r in rules]
 
-    def holds(self, data: bytes) -> bool:
-        row = self.start
-        for byte in data:
+    def starts(self, data: bytes) -> list[tuple[int, int]]:
+        """(place counted from the end, bits of the rules that match from there on), last place first."""
+        row, found = self.start, []
+        for behind, byte in enumerate(reversed(data), 1):
             row = row[byte]
-        return id(row) in self.final
+            if row[256]:
+                found.append((behind, row[256]))
+        return found
+
+    def holds(self, data: bytes) -> bool:
+        return bool(self.starts(data))
 
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, rule number, end) in bytes."""
-        found = []
-        for number, (rule, whole, head, body) in enumerate(self.rules):
-            at, starts = 0, set(whole.first_bytes)
-            while at < len(data):
-                ends = whole.ends(data, at) if data[at] in starts else []
-                if not ends:
-                    at += 1
+        found, free = [], [0] * len(self.rules)
+        for behind, bits in reversed(self.starts(data)):
+            at = len(data) - behind
+            while bits:
+                number = (bits & -bits).bit_length() - 1
+                bits &= bits - 1
+                if at < free[number]:
                     continue
-                end = ends[-1]
-                begins = [at] if head is None else head.ends(data, at)
-                run = max((end - b for b in begins if b < end and (body.ends(data, b) or [0])[-1] >= end), default=0)
-                if run >= rule.least:
+                rule, whole, head, body = self.rules[number]
+                free[number] = end = whole.ends(data, at)[-1]
+                run = end  # where the unbroken body characters before the end begin
+                while run > at and data[run - 1] in body:
+                    run -= 1
+                begin = at if head is None else min((b for b in head.ends(data, at) if run <= b < end), default=end)
+                if end - begin >= rule.least:
                     found.append((at, number, end))
-                at = end
         return sorted(found)
 
 
@@ -114,7 +123,7 @@ def find_secrets(docs: DataFrame, *, rules: tuple[Rule, ...] = BASE_RULES + MORE
             counts, hashes, all_spans = [[] for _ in range(n_base)], [], []
             for text in texts:
                 data = (text or "").encode("utf-8")
-                spans = code_points(data, scanner.spans(data)) if scanner.holds(data) else []
+                spans = code_points(data, scanner.spans(data))
                 base = [s for s in spans if s[1] < n_base]
                 for k, values in enumerate(counts):
                     values.append(sum(s[1] == k for s in base))

@@ -6,6 +6,7 @@ import json
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -258,6 +259,31 @@ def test_automaton_equals_regular_expressions():
         assert got == sorted((m.start(), k, m.end()) for k, (p, ok) in enumerate(plain) for m in p.finditer(text) if ok(m)), text
 
 
+def test_all_kinds_of_secrets_agree_with_plain_expressions():
+    rules = secrets.BASE_RULES + secrets.MORE_RULES
+    scanner = secrets.Scanner(automaton.combined_scan([(secrets.scanned(r), r.fold) for r in rules]), rules)
+    plain = {"forge": (r"gh[pousr]_([A-Za-z0-9]+)", 36), "chat": (r"xox[abprs]-([A-Za-z0-9-]+)", 10), "cloud": (r"AIza([A-Za-z0-9_-]+)", 35),
+             "jwt": (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.([A-Za-z0-9_-]+)", 10),
+             "pem": (r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY(-+)", 5), "access": (r"AKIA([A-Z0-9]+)", 16), "hex": (r"([0-9a-f]+)", 24)}
+    parts = ["ghp_", "gho_", "xoxb-", "xoxz-", "AIza", "eyJ", ".", ".eyJ", "-----BEGIN ", "RSA ", "PRIVATE KEY", "-----", "A" * 17, "a1B2c3D4e5",
+             "0123456789abcdef" * 2, "AKIA", " ", "_", "é", "x" * 36]
+    pick = random.Random(5)
+    for _ in range(3000):
+        text = "".join(pick.choice(parts) for _ in range(pick.randint(1, 12)))
+        got = {(rules[k].kind, a, b) for a, k, b in secrets.code_points(text.encode(), scanner.spans(text.encode()))}
+        want = {(kind, *m.span()) for kind, (e, least) in plain.items() for m in re.finditer(e, text) if len(m[1]) >= least}
+        assert {s for s in got if s[0] != "assign"} == want, text
+
+
+@pytest.mark.parametrize("unit", ["eyJ", "eyJa.", "password ", "-----BEGIN A ", "AKIAghp_xoxb-", "token=", "-", "api_key: '"])
+def test_secrets_take_time_in_proportion_to_the_text(unit):
+    rules = secrets.BASE_RULES + secrets.MORE_RULES
+    scanner = secrets.Scanner(automaton.combined_scan([(secrets.scanned(r), r.fold) for r in rules]), rules)
+    begin = time.process_time()
+    scanner.spans(unit.encode() * (1_000_000 // len(unit)))
+    assert time.process_time() - begin < 10
+
+
 def test_secrets_on_awkward_rows(awkward, nothing):
     out = secrets.find_secrets(awkward).collect()
     assert len(out) == awkward.count() and all(r.spans == "" and r.n_assign == 0 for r in out)
