@@ -5,8 +5,8 @@ the buckets of the raw corpus and of the trusted documents; the two smoothed mul
 a log ratio for each bucket. A document's ratio is the mean over its n-grams, so length does
 not matter, and every document is compared with the same fixed threshold.
 
-The trusted target is a bounded sample of documents that carry a trust label (at most
-``max_trusted`` ids, lowest hash of the id first); the raw counts cover all documents. What
+The trusted target is every document that carries a trust label, found by a join on the id whose
+way the planner picks by measured size; the raw counts cover all documents. What
 comes to the driver is the table of log ratios: ``n_buckets`` numbers, whatever the corpus.
 
 Base rules: too few words, or too many words inside repeated windows of three.
@@ -42,7 +42,6 @@ class Limits:
     max_repeat_percent: int = 50
     #: Mean log ratio that a document needs.
     min_ratio: float = -0.13
-    max_trusted: int = 20_000
     n_buckets: int = 1 << 16
     smoothing: float = 0.5
 
@@ -93,10 +92,12 @@ def repeated_lines(text: str) -> int:
 def log_ratios(docs: DataFrame, trusted: DataFrame, limits: Limits, id_col: str = "doc_id",
                text_col: str = "text") -> np.ndarray:
     """Log ratio of each bucket between trusted and raw text; ``trusted`` has the ids. Eager."""
-    ids = (trusted.select(F.col(id_col).alias("trusted_id")).filter(F.col("trusted_id").isNotNull()).distinct()
-           .orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(limits.max_trusted))
-    flagged = docs.select(id_col, text_col).join(F.broadcast(ids), F.col(id_col) == F.col("trusted_id"), "left").select(
-        text_col, F.col("trusted_id").isNotNull().alias("trusted"))
+    ids = trusted.select(F.col(id_col).alias("trusted_id")).filter(F.col("trusted_id").isNotNull()).distinct()
+    named = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    # Rows without id can't be trusted; in the join they would be one key.
+    flagged = (named.filter("_id IS NOT NULL").join(ids, F.col("_id") == F.col("trusted_id"), "left")
+               .select("_text", F.col("trusted_id").isNotNull().alias("trusted"))
+               .unionByName(named.filter("_id IS NULL").select("_text", F.lit(False).alias("trusted"))))
     n = limits.n_buckets
 
     def run(batches):

@@ -184,6 +184,44 @@ def test_base_rules_by_hand():
     assert quality_rules.repeated_lines("x\n\nx\n \nX\nx") == 2
 
 
+def test_quality_rules_equal_a_plain_count(spark, awkward):
+    """Base columns, bucket counts over all rows, ratios and verdicts, without the operator's code."""
+    docs = awkward.select("doc_id", "text").unionByName(documents(spark).select("doc_id", "text"))
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    trusted = {k for k, _ in rows if k is not None and k % 3 == 0}
+    size, full = 1 << 10, (1 << 64) - 1
+    first, second, mix = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
+
+    def grams(text):
+        h = [zlib.crc32(w.encode()) + 1 for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+        codes = [x * first for x in h] + [((x * first & full) ^ (y * second & full)) * mix for x, y in zip(h, h[1:])]
+        return [((c & full) * mix & full) >> 54 for c in codes]
+
+    raw, good = collections.Counter(), collections.Counter()
+    for k, text in rows:
+        raw.update(grams(text))
+        if k in trusted:
+            good.update(grams(text))
+    p, q = sum(good.values()) + 0.5 * size, sum(raw.values()) + 0.5 * size
+    want = []
+    for k, text in rows:
+        words, lines = re.findall(r"[^\x20\x09-\x0D]+", text), [x for x in text.split("\n") if x.strip(" \t\n\v\f\r")]
+        windows = collections.Counter(zip(words, words[1:], words[2:]))
+        again = {at + j for at in range(len(words) - 2) if windows[tuple(words[at:at + 3])] > 1 for j in range(3)}
+        ratios = [np.log((good[b] + 0.5) / p / ((raw[b] + 0.5) / q)) for b in grams(text)]
+        failed = len(words) < 50 or 100 * len(again) > 50 * len(words)
+        want.append((-1 if k is None else k, len(words), sum(len(w) for w in words), sum(c in "#*$%&|<>" for c in text),
+                     sum(x in lines[:at] for at, x in enumerate(lines)), len(again), failed, float(np.mean(ratios)) if ratios else 0.0))
+    limits = quality_rules.Limits(n_buckets=size)
+    labels = spark.createDataFrame([(k,) for k in sorted(trusted) * 2] + [(None,)], "doc_id bigint")
+    got = quality_rules.apply_rules(docs, labels, limits=limits).collect()
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio")
+    plain = sorted((-1 if r["doc_id"] is None else r["doc_id"], *[r[n] for n in names]) for r in got)
+    for ours, theirs in zip(plain, sorted(want), strict=True):
+        assert ours[:7] == theirs[:7] and ours[7] == pytest.approx(theirs[7], abs=2e-6)
+    assert all(r["kept"] == (not r["base_failed"] and r["ratio"] >= limits.min_ratio) for r in got)
+
+
 def test_quality_rules_on_awkward_rows(spark, awkward, nothing):
     trusted = spark.createDataFrame([(5,), (None,)], "doc_id bigint")
     out = quality_rules.apply_rules(awkward, trusted).collect()
