@@ -5,8 +5,8 @@ the buckets of the raw corpus and of the trusted documents; the two smoothed mul
 a log ratio for each bucket. A document's ratio is the mean over its n-grams, so length does
 not matter, and every document is compared with the same fixed threshold.
 
-The trusted target is every document that carries a trust label, found by a join on the id whose
-way the planner picks by measured size; the raw counts cover all documents. What
+The trusted target is every document that carries a trust label; the raw counts cover all documents.
+A bitmap of the labelled ids keeps most other texts out of the join that finds the trusted ones. What
 comes to the driver is the table of log ratios: ``n_buckets`` numbers, whatever the corpus.
 
 Base rules: too few words, or too many words inside repeated windows of three.
@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.llm.common import append_columns, map_rows
+from pitpanel.llm.common import append_columns, map_rows, perhaps_listed
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -94,10 +94,12 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, limits: Limits, id_col: str
     """Log ratio of each bucket between trusted and raw text; ``trusted`` has the ids. Eager."""
     ids = trusted.select(F.col(id_col).alias("trusted_id")).filter(F.col("trusted_id").isNotNull()).distinct()
     named = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    # Rows without id can't be trusted; in the join they would be one key.
-    flagged = (named.filter("_id IS NOT NULL").join(ids, F.col("_id") == F.col("trusted_id"), "left")
+    perhaps = F.coalesce(perhaps_listed(ids.select(F.xxhash64("trusted_id")))("_key"), F.lit(False))
+    named = named.withColumn("_key", F.xxhash64("_id")).withColumn("_perhaps", perhaps & F.col("_id").isNotNull())
+    # Only rows that may be labelled are shuffled, the same way at every size.
+    flagged = (named.filter("_perhaps").join(ids.hint("merge"), F.col("_id") == F.col("trusted_id"), "left")
                .select("_text", F.col("trusted_id").isNotNull().alias("trusted"))
-               .unionByName(named.filter("_id IS NULL").select("_text", F.lit(False).alias("trusted"))))
+               .unionByName(named.filter("NOT _perhaps").select("_text", F.lit(False).alias("trusted"))))
     n = limits.n_buckets
 
     def run(batches):
