@@ -46,8 +46,12 @@ COUNTS = 128
 BATCH_PAIRS, BATCH_CELLS, FEW_PAIRS = 512, 1 << 21, 12
 #: Beyond so many edits, runs of characters are counted first.
 LONG_LIMIT, GRAM = 20, 8
-#: Bytes of lines whose blocks, and characters of lines whose counts, are made at once; lines that a task remembers.
-BATCH_BYTES, BATCH_CHARACTERS, REMEMBERED = 1 << 20, 1 << 18, 2_000_000
+#: Characters that two lines have in common after a difference, most characters of one difference, and characters of the runs in ``absent``.
+ANCHOR, SKIP, RUN = 6, 64, 5
+#: Beyond so many characters, lines must have runs in common and are compared one by one.
+LONG_LINE = 800
+#: Bytes of lines whose blocks, and characters of lines whose counts, are made at once; lines that a task remembers; texts split at once.
+BATCH_BYTES, BATCH_CHARACTERS, REMEMBERED, BATCH_TEXTS = 1 << 18, 1 << 18, 2_000_000, 500
 #: A block in one of so many postings of a task is frequent there; one of so many of all postings is frequent for good.
 TASK_SHARE, SHARE = 500, 5000
 
@@ -58,19 +62,26 @@ def line_digest(line: bytes) -> bytes:
     return xxh128_digest(line)
 
 
-def edit_within(a: str, b: str, limit: int) -> bool:
-    """Whether the edit distance is at most ``limit``: by bit vectors, column by column, after equal ends are cut off."""
-    if abs(len(a) - len(b)) > limit:
-        return False
-    if len(a) > len(b):
-        a, b = b, a
-    low, step = 0, len(a)
-    while step:  # the common beginning, by halving steps
-        if a[low:low + step] == b[low:low + step]:
-            low += step
-            step = min(step, len(a) - low)
+def common(a: str, b: str, i: int, j: int) -> int:
+    """Number of equal characters from a[i] and b[j] on."""
+    n, most, step = 0, min(len(a) - i, len(b) - j), 32
+    while n + step <= most and a[i + n:i + n + step] == b[j + n:j + n + step]:
+        n += step
+        step *= 2
+    step = min(step, most - n)
+    while step:
+        if n + step <= most and a[i + n:i + n + step] == b[j + n:j + n + step]:
+            n += step
         else:
             step >>= 1
+    return n
+
+
+def middles(a: str, b: str) -> tuple[str, str]:
+    """The shorter and the longer line without their common beginning and end."""
+    if len(a) > len(b):
+        a, b = b, a
+    low = common(a, b, 0, 0)
     a, b = a[low:], b[low:]
     low, step = 0, len(a)
     while step:
@@ -79,7 +90,54 @@ def edit_within(a: str, b: str, limit: int) -> bool:
             step = min(step, len(a) - low)
         else:
             step >>= 1
-    a, b = a[:len(a) - low], b[:len(b) - low]
+    return a[:len(a) - low], b[:len(b) - low]
+
+
+def few_differences(a: str, b: str, limit: int) -> bool:
+    """Whether the differences met on the way through both lines take ``limit`` edits at most; if not, fewer may still do.
+
+    After each difference the nearest place is sought where ANCHOR characters are equal again.
+    """
+    i = j = 0
+    while max(len(a) - i, len(b) - j) > limit:
+        best, at = min(limit, SKIP) + 1, None
+        for k in range(best):
+            piece = a[i + k:i + k + ANCHOR]
+            if k >= best or len(piece) < ANCHOR:
+                break
+            found = b.find(piece, j, j + best - 1 + ANCHOR)
+            if found >= 0 and max(k, found - j) < best:
+                best, at = max(k, found - j), (i + k, found)
+        if at is None:
+            return False
+        limit -= best
+        n = ANCHOR + common(a, b, at[0] + ANCHOR, at[1] + ANCHOR)
+        i, j = at[0] + n, at[1] + n
+    return limit >= 0
+
+
+def runs_of(line: str) -> np.ndarray:
+    """Hashes of all runs of RUN characters, once each, in order."""
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(codes) - RUN + 1
+    out = codes[:n] * np.uint32(0x9E3779B1)
+    for k in range(1, RUN):
+        out = (out ^ (out >> np.uint32(15)) ^ codes[k:n + k]) * np.uint32(0x85EBCA77)
+    return np.unique(out)
+
+
+def absent(x: np.ndarray, y: np.ndarray) -> int:
+    """How many of the hashes x are not among y; an edit changes RUN of them at most."""
+    if not len(y):
+        return len(x)
+    return len(x) - int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+
+
+def edit_within(a: str, b: str, limit: int) -> bool:
+    """Whether the edit distance is at most ``limit``: by bit vectors, column by column, after equal ends are cut off."""
+    if abs(len(a) - len(b)) > limit:
+        return False
+    a, b = middles(a, b)
     if not a or limit >= len(b):
         return len(b) <= limit
     places: dict[str, int] = {}
@@ -124,42 +182,64 @@ def banded(pairs: list[tuple[str, str]], limits: np.ndarray) -> np.ndarray:
     low, high = -int(slack.max()), int((m - n + slack).max())
     width = high - low + 1
     pad, far = width + 3, 1 << 28 if int(m.max()) > 8000 else 16_000
-    codes = [np.full((len(pairs), int(size.max()) + 2 * pad), none, np.int32) for size, none in ((n, -1), (m, -2))]
+    codes = [np.full((int(size.max()) + 2 * pad, len(pairs)), none, np.int32) for size, none in ((n, -1), (m, -2))]
     for k, pair in enumerate(pairs):
         for table, text in zip(codes, pair, strict=True):
-            table[k, pad:pad + len(text)] = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
-    d = np.full((len(pairs), width + 2), far, np.int32 if far > 16_000 else np.int16)
-    d[:, 1 - low] = 0
+            table[pad:pad + len(text), k] = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
+    if max(int(c.max()) for c in codes) < 1 << 15:
+        codes = [c.astype(np.int16) for c in codes]
+    d = np.full((width + 2, len(pairs)), far, np.int32 if far > 16_000 else np.int16)
+    d[1 - low] = 0
     out, left, rows = np.zeros(len(pairs), bool), n + m > 0, np.arange(len(pairs))
     out[~left] = True
     for s in range(1, int((n + m).max()) + 1):
         first = low + (low - s) % 2
         count = (high - first) // 2 + 1
         i, j, at = pad + (s - first) // 2 - 1, pad + (s + first) // 2 - 1, first - low + 1
-        cells = d[:, at:at + 2 * count - 1:2]
-        differ = codes[0][:, i - count + 1:i + 1][:, ::-1] != codes[1][:, j:j + count]
-        around = np.minimum(d[:, at - 1:at + 2 * count - 2:2], d[:, at + 1:at + 2 * count:2]) + 1
-        np.minimum(cells + differ, around, out=cells)
+        cells = d[at:at + 2 * count - 1:2]
+        cells += codes[0][i - count + 1:i + 1][::-1] != codes[1][j:j + count]
+        around = np.minimum(d[at - 1:at + 2 * count - 2:2], d[at + 1:at + 2 * count:2])
+        around += 1
+        np.minimum(cells, around, out=cells)
         done = np.flatnonzero(n + m == s)
         if len(done):
-            out[rows[done]] = d[done, (m - n)[done] - low + 1] <= limits[done]
+            out[rows[done]] = d[(m - n)[done] - low + 1, done] <= limits[done]
             left[done] = False
         if s % 16 == 0:
-            left &= d.min(axis=1) <= limits
+            left &= d.min(axis=0) <= limits
         if not left.any():
             break
         if s % 16 == 0 and 4 * left.sum() < 3 * len(left):  # go on with the pairs that are still open
-            d, n, m, limits, rows, codes = d[left], n[left], m[left], limits[left], rows[left], [c[left] for c in codes]
-            left = left[left]
+            d, n, m, limits, rows = d[:, left], n[left], m[left], limits[left], rows[left]
+            codes, left = [c[:, left] for c in codes], left[left]
     return out
 
 
-def alike_many(xs: list[str], ys: list[str], percent: int) -> np.ndarray:
-    """``alike`` of each pair; pairs are compared together, in batches of about the same length."""
-    out = np.zeros(len(xs), bool)
-    pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(xs, ys, strict=True)]
-    limits = np.array([(100 - percent) * len(y) // 100 for _, y in pairs], np.int64)
-    order = [k for k in np.argsort(limits, kind="stable").tolist() if len(pairs[k][1]) - len(pairs[k][0]) <= limits[k]]
+def alike_many(xs: list[str], ys: list[str], percent: int, known: dict[str, np.ndarray] | None = None) -> np.ndarray:
+    """``alike`` of each pair. Most are settled by the differences met on the way or, with many edits, by runs of
+    characters that must be common; the others are compared together, in batches of about the same length.
+
+    ``known`` keeps the runs of lines that are compared again.
+    """
+    out, known = np.zeros(len(xs), bool), {} if known is None else known
+    pairs, limits, order = [], np.array([(100 - percent) * max(len(x), len(y)) // 100 for x, y in zip(xs, ys, strict=True)], np.int64), []
+    for k, (x, y, limit) in enumerate(zip(xs, ys, limits.tolist(), strict=True)):
+        pairs.append(("", ""))
+        if abs(len(x) - len(y)) > limit:
+            continue
+        a, b = middles(x, y)
+        if len(b) <= limit or few_differences(a, b, limit):
+            out[k] = True
+            continue
+        if len(b) > LONG_LINE:
+            for line in (x, y):
+                if line not in known:
+                    known[line] = runs_of(line)
+            if max(absent(known[x], known[y]), absent(known[y], known[x])) > RUN * limit:
+                continue
+        pairs[k] = (a, b)
+        order.append(k)
+    order.sort(key=lambda k: len(pairs[k][1]))
     at = 0
     while at < len(order):
         longest, end = 1, at
@@ -167,7 +247,7 @@ def alike_many(xs: list[str], ys: list[str], percent: int) -> np.ndarray:
             longest = max(longest, len(pairs[order[end]][1]))
             end += 1
         rows = order[at:max(end, at + 1)]
-        if len(rows) < FEW_PAIRS:
+        if len(rows) < FEW_PAIRS or longest > LONG_LINE:
             out[rows] = [edit_within(*pairs[k], int(limits[k])) for k in rows]
         else:
             out[rows] = banded([pairs[k] for k in rows], limits[rows])
@@ -200,7 +280,7 @@ def group_links(labels: list[int], lines: list[str], counts: np.ndarray, percent
     order = sorted(range(len(lines)), key=lambda k: (len(lines[k]), lines[k]))
     lines, counts = [lines[k] for k in order], counts[order]
     distinct, label = np.unique(np.array([labels[k] for k in order], np.int64), return_inverse=True)
-    lengths, out = np.array([len(x) for x in lines]), []
+    lengths, known, out = np.array([len(x) for x in lines]), {}, []
     for i in range(len(lines) - 1):
         if not label.any():
             break
@@ -213,7 +293,7 @@ def group_links(labels: list[int], lines: list[str], counts: np.ndarray, percent
             mine = label[near][order_by]
             number = np.arange(len(mine)) - np.searchsorted(mine, mine)
             now = near[order_by[number < each]]
-            passed = now[alike_many([lines[i]] * len(now), [lines[j] for j in now.tolist()], percent)]
+            passed = now[alike_many([lines[i]] * len(now), [lines[j] for j in now.tolist()], percent, known)]
             for j in passed.tolist():
                 if label[i] != label[j]:
                     out.append((int(distinct[label[i]]), int(distinct[label[j]])))
@@ -237,11 +317,11 @@ def byte_batches(lines: list, most: int):
 
 
 def occurrences(base: DataFrame, least: int) -> DataFrame:
-    """(row_id, row_key, no, la, lb, n, blocks) of every line that has a letter or digit, its blocks once a task,
+    """(row_id, row_key, no, la, lb, n, line, blocks) of every line that has a letter or digit, itself and its blocks once a task,
     and rows (frequent, times) of the blocks that a task has very often."""
     kind = base.schema["row_id"].dataType.simpleString()
     out = base.sparkSession.createDataFrame(
-        [], f"row_id {kind}, row_key bigint, no int, la bigint, lb bigint, n bigint, blocks array<bigint>, frequent bigint, times bigint").schema
+        [], f"row_id {kind}, row_key bigint, no int, la bigint, lb bigint, n bigint, line string, blocks array<bigint>, frequent bigint, times bigint").schema
 
     def run(batches):
         import pyarrow as pa
@@ -249,7 +329,7 @@ def occurrences(base: DataFrame, least: int) -> DataFrame:
 
         arrow, seen, posted = to_arrow_schema(out), set(), Counter()
         total = 0
-        for batch in batches:
+        for batch in (b.slice(k, BATCH_TEXTS) for b in batches for k in range(0, b.num_rows, BATCH_TEXTS)):
             rows, numbers, lines = [], [], []
             for k, text in enumerate(batch.column(2).to_pylist()):
                 for no, line in enumerate(normal_lines(text or "")):
@@ -282,13 +362,17 @@ def occurrences(base: DataFrame, least: int) -> DataFrame:
             is_new = np.zeros(len(lines), bool)
             is_new[new] = True
             blocks = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(~is_new, False)), pa.array(key[order]))
+            once: list = [None] * len(lines)
+            for k in new:
+                once[k] = lines[k]
             take = pa.array(rows, pa.int64())
             columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(numbers, pa.int32()), pa.array(digests[:, 0]),
-                       pa.array(digests[:, 1]), pa.array([len(x) if x.isascii() else len(x.decode("utf-8")) for x in lines], pa.int64()), blocks,
+                       pa.array(digests[:, 1]), pa.array([len(x) if x.isascii() else len(x.decode("utf-8")) for x in lines], pa.int64()),
+                       pa.array(once, pa.binary()).cast(pa.string()), blocks,
                        pa.nulls(len(lines), pa.int64()), pa.nulls(len(lines), pa.int64())]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
         heavy = {key: n for key, n in posted.items() if n * TASK_SHARE >= total and n > PAIRS_AT}
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(heavy), f.type) for f in list(arrow)[:7]), pa.array(list(heavy), pa.int64()),
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(heavy), f.type) for f in list(arrow)[:8]), pa.array(list(heavy), pa.int64()),
                                           pa.array(list(heavy.values()), pa.int64())], schema=arrow)
 
     return base.mapInArrow(run, out)
@@ -360,30 +444,19 @@ def shared_blocks(found: DataFrame, percent: int) -> DataFrame:
     return cut_lineage(met.groupBy("kind", "a", "b").agg(F.max("n").alias("n")))
 
 
-def wanted_lines(base: DataFrame, nodes: DataFrame) -> DataFrame:
+def wanted_lines(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, line, n, counts) of the ``nodes``, stored. Eager."""
     size, bits = listed_bits(nodes)
 
     def run(batches):
         import pyarrow as pa
 
-        seen = set()
         for batch in batches:
-            lines = [line for text in batch.column(0).to_pylist() for line in normal_lines(text or "") if line]
-            digests = np.frombuffer(b"".join(map(line_digest, lines)), np.int64).reshape(-1, 2)[:, 0]
-            new = []
-            for k in np.flatnonzero(in_bits(digests, size, bits.value)).tolist():
-                if int(digests[k]) not in seen:
-                    seen.add(int(digests[k]))
-                    new.append(k)
-            if len(seen) > REMEMBERED:
-                seen.clear()
-            mine = [lines[k].decode("utf-8") for k in new]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(digests[new]), pa.array(mine, pa.string()), pa.array([len(x) for x in mine], pa.int64()),
-                 pa.array([row.tobytes() for row in pair_counts(mine)], pa.binary())], names=["node", "line", "n", "counts"])
+            batch = batch.filter(pa.array(in_bits(batch.column(0).to_numpy(), size, bits.value)))
+            counts = [row.tobytes() for row in pair_counts(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.binary())], names=["node", "line", "n", "counts"])
 
-    lines = base.select("text").mapInArrow(run, "node bigint, line string, n bigint, counts binary")
+    lines = found.filter("line is not null").select("la", "line", "n").mapInArrow(run, "node bigint, line string, n bigint, counts binary")
     return cut_lineage(lines.join(nodes, "node", "left_semi").groupBy("node").agg(
         F.min("line").alias("line"), F.min("n").alias("n"), F.min("counts").alias("counts")))
 
@@ -429,13 +502,13 @@ def hot_links(members: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     return family_links(members, join).select(F.col("node").alias("a"), F.col("label").alias("b"))
 
 
-def line_groups(base: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def line_groups(found: DataFrame, percent: int) -> DataFrame:
     """(la, label) of the lines that are alike to another, label being the same within a group. Eager."""
     met = shared_blocks(found, percent)
     pairs, hot = met.filter("kind = 0").select("a", "b"), met.filter("kind = 1").select(F.col("a").alias("family"), F.col("b").alias("node"), "n")
     nodes = cut_lineage(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
                         .unionByName(hot.select("node")).distinct())
-    lines = wanted_lines(base, nodes)
+    lines = wanted_lines(found, nodes)
     links = cut_lineage(verified(pairs, lines, percent))
     if not hot.isEmpty():
         label = connected(links, "a", "b").withColumnRenamed("root", "label")
@@ -452,7 +525,7 @@ def remove_lines(docs: DataFrame, *, similarity: int = 90, id_col: str = "doc_id
     lines = found.filter("no is not null")
     place = F.struct("row_id", "row_key", "no")
     nodes = cut_lineage(lines.groupBy("la", "lb").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")))
-    groups = nodes.join(line_groups(base, found, similarity), "la").select("la", "lb", "label", "first")
+    groups = nodes.join(line_groups(found, similarity), "la").select("la", "lb", "label", "first")
     first = groups.groupBy("label").agg(F.min("first").alias("group_first"))
     groups = groups.join(first, "label").select("la", "lb", "group_first")
     repeated = (nodes.join(groups, ["la", "lb"], "left").withColumn("stays", F.coalesce("group_first", "first"))

@@ -18,25 +18,37 @@ Lines in two of these classes have the blocks of both. Lines too short for any e
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 
 #: Least words of a line and words of a run, for long, middling and short lines.
 LONG_FROM, LONG_RUN, MIDDLE_FROM, MIDDLE_RUN, SHORT_FROM, SHORT_RUN = 18, 6, 12, 4, 6, 3
 DELETE_FROM, DELETE_TO, CHARACTERS = 4, 7, 5
-#: Characters that are neither letters, digits nor white space; ASCII bytes to lower case, digits to 0, others to spaces.
-MARKS, ZEROS, DIGITS = re.compile(r"(?:[^\w\s]|_)+"), re.compile(rb"00+"), re.compile(r"\d+")
+#: A letter or digit; runs of the digit 0; a digit; ASCII bytes to lower case, digits to 0, others to spaces; the same in UTF-8.
+LETTER, ZEROS, DIGIT = re.compile(r"[^\W_]"), re.compile(rb"00+"), re.compile(r"\d")
 ASCII = bytes(10 if b == 10 else b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b if 97 <= b <= 122 else 32 for b in range(256))
+UTF8 = ASCII[:128] + bytes(range(128, 256))
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+@lru_cache(1 << 16)
+def plain(c: str) -> str:
+    """A character beyond ASCII as normalised lines have it: itself, 0 for a digit, a space if no letter or digit."""
+    return "0" if DIGIT.match(c) else c if LETTER.match(c) else " "
+
+
 def normal_lines(text: str) -> list[bytes]:
     """Every line in lower case, runs of digits as 0, letters and digits only, single spaces; as UTF-8."""
     if text.isascii():
         data = text.encode("ascii").translate(ASCII)
-        return [b" ".join(line.split()) for line in (ZEROS.sub(b"0", data) if b"00" in data else data).split(b"\n")]
-    words = MARKS.sub(" ", text.lower())
-    return [" ".join(line.split()).encode("utf-8") for line in DIGITS.sub("0", words).split("\n")]
+    else:
+        text = text.lower()
+        for c in set(text):
+            if c > "\x7f" and plain(c) != c:
+                text = text.replace(c, plain(c))
+        data = text.encode("utf-8").translate(UTF8)
+    return [b" ".join(line.split()) for line in (ZEROS.sub(b"0", data) if b"00" in data else data).split(b"\n")]
 
 
 def normalise(line: str) -> str:
@@ -53,18 +65,30 @@ def mixed(h: np.ndarray) -> np.ndarray:
 BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * MIX)
 FACTOR = 0xD6E8FEB86659FD93
 INVERSE = pow(FACTOR, -1, 1 << 64)
+#: Bytes of a batch up to which the powers of the factors are kept.
+USUAL = 1 << 19
 
 
-def powers(factor: int, n: int) -> np.ndarray:
+@lru_cache(2)
+def many_powers(factor: int, n: int) -> np.ndarray:
     out = np.full(n, factor, np.uint64)
     out[:1] = 1
     return np.cumprod(out)
 
 
-def hashes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def powers(factor: int, n: int) -> np.ndarray:
+    """The first ``n`` powers; those of batches of the usual size are made once."""
+    return many_powers(factor, USUAL)[:n] if n <= USUAL else many_powers.__wrapped__(factor, n)
+
+
+def byte_sums(data: np.ndarray) -> np.ndarray:
+    """Running sums of the bytes' numbers by place, from which ``hashes_of`` takes the hash of any run of them."""
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTES[data] * powers(FACTOR, len(data)))])
+
+
+def hashes_of(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of the bytes from ``start`` to ``end``: differences of running sums, moved to place 0."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTES[data] * powers(FACTOR, len(data)))])
-    return mixed((sums[end] - sums[start]) * powers(INVERSE, len(data) + 1)[start] + (end - start).astype(np.uint64))
+    return mixed((sums[end] - sums[start]) * powers(INVERSE, len(sums))[start] + (end - start).astype(np.uint64))
 
 
 def majority(words: np.ndarray) -> np.ndarray:
@@ -111,7 +135,8 @@ def block_keys(lines: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray]:
     first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
     from_byte, to_byte = starts[first], ends[np.append(first[1:], len(ends)) - 1]
     characters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    h = hashes_of(data, starts, ends)
+    sums = byte_sums(data)
+    h = hashes_of(sums, starts, ends)
     n = np.diff(np.append(first, len(line)))
     n[characters[to_byte] - characters[from_byte] < max(least, 1)] = 0
     found = [word_runs(h, first, n, np.flatnonzero(n >= LONG_FROM), LONG_RUN, True),
@@ -126,5 +151,5 @@ def block_keys(lines: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray]:
     row, number = places((to_byte[rows] - from_byte[rows]) // CHARACTERS)
     row = rows[row]
     for side, at in enumerate((from_byte[row] + number * CHARACTERS, to_byte[row] - (number + 1) * CHARACTERS)):
-        found.append((row, keyed(hashes_of(data, at, at + CHARACTERS), (1 << 52) + (number << 1) + side)))
+        found.append((row, keyed(hashes_of(sums, at, at + CHARACTERS), (1 << 52) + (number << 1) + side)))
     return np.concatenate([r for r, _ in found]), np.concatenate([k for _, k in found]).view(np.int64)

@@ -162,3 +162,36 @@ def test_runs_give_the_same_at_any_batch_size():
         found.append(np.stack(runs.feed([x[:0] for x in rows], True)))
         got.add(frozenset(map(tuple, np.concatenate(found, axis=1).T.tolist())))
     assert len(got) == 1 and {row[0] for row in next(iter(got))} == {0, 1}
+
+
+def test_quick_ways_never_differ_from_the_edit_distance():
+    # Most alike lines need no table, and long lines of other words are dropped by their runs.
+    rng, quick, dropped = random.Random(12), 0, 0
+    for n in (20, 60, 200, 400):
+        for _ in range(12):
+            a = [word(rng) for _ in range(n)]
+            b = list(a)
+            for k in rng.sample(range(n), rng.randint(1, n // 8)):
+                b[k:k + rng.randint(0, 1)] = rng.choice([[], [word(rng)], [word(rng), word(rng)]])
+            a, b = " ".join(a), " ".join(b)
+            other = " ".join(word(rng) for _ in range(n))[:len(a)]
+            limit = max(len(a), len(b)) // 10
+            want = line_dedup.edit_within(a, b, limit)
+            found = line_dedup.few_differences(*line_dedup.middles(a, b), limit)
+            assert want or not found
+            runs = [line_dedup.runs_of(x) for x in (a, b, other)]
+            assert not want or max(line_dedup.absent(*runs[:2]), line_dedup.absent(*runs[1::-1])) <= line_dedup.RUN * limit
+            quick += want and found
+            dropped += line_dedup.absent(runs[0], runs[2]) > line_dedup.RUN * (max(len(a), len(other)) // 10)
+            assert line_dedup.alike_many([a, b, a], [b, a, other], 90).tolist() == [want, want, line_dedup.alike(a, other, 90)]
+    assert quick >= 10 and dropped >= 40
+    assert not line_dedup.few_differences("", "ab", 1) and line_dedup.few_differences("", "ab", 2)
+
+
+def test_blocks_are_the_same_in_batches_of_any_size(monkeypatch):
+    rng = random.Random(13)
+    lines = [" ".join(word(rng) for _ in range(rng.randint(1, 30))).encode() for _ in range(300)]
+    want = line_keys.block_keys(lines, 10)
+    monkeypatch.setattr(line_keys, "USUAL", 64)
+    got = line_keys.block_keys(lines, 10)
+    assert all(np.array_equal(x, y) for x, y in zip(want, got, strict=True))
