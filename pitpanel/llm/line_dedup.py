@@ -38,6 +38,8 @@ from pitpanel.llm.families import family_links
 from pitpanel.llm.line_keys import block_keys, normal_lines
 from pitpanel.session import cut_lineage
 
+#: Frequent blocks of a node that are known in the others; two lines that share one are compared in the smallest only.
+EARLIER = 256
 #: Nodes of one block that are paired; beyond, they go to ``hot_links``.
 PAIRS_AT = 16
 #: Pairs of neighbouring characters are counted in so many classes.
@@ -275,17 +277,28 @@ def may_be_alike(x: np.ndarray, y: np.ndarray, longer: np.ndarray, percent: int)
     return apart <= 4 * ((100 - percent) * longer // 100)
 
 
-def group_links(labels: list[int], lines: list[str], counts: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """(label, label) of lines of a cell that are alike; lines whose labels are joined by then are not compared."""
+def group_links(labels: list[int], lines: list[str], counts: np.ndarray, percent: int,
+                earlier: list[list[int]] | None = None) -> list[tuple[int, int]]:
+    """(label, label) of lines of a cell that are alike; lines whose labels are joined by then are not compared,
+    nor are lines that have one of their ``earlier`` blocks in common, as they meet there."""
     order = sorted(range(len(lines)), key=lambda k: (len(lines[k]), lines[k]))
     lines, counts = [lines[k] for k in order], counts[order]
     distinct, label = np.unique(np.array([labels[k] for k in order], np.int64), return_inverse=True)
     lengths, known, out = np.array([len(x) for x in lines]), {}, []
+    elsewhere: dict[int, list[int]] = {}
+    blocks = [earlier[k] for k in order] if earlier else [[]] * len(lines)
+    for k, mine in enumerate(blocks):
+        for block in mine:
+            elsewhere.setdefault(block, []).append(k)
+    meet = {block: np.array(rows) for block, rows in elsewhere.items() if len(rows) > 1}
     for i in range(len(lines) - 1):
         if not label.any():
             break
         near = np.arange(i + 1, int(np.searchsorted(lengths, lengths[i] * 100 // percent, side="right")))
         near = near[label[near] != label[i]]
+        for block in blocks[i] if len(near) else ():
+            if block in meet:
+                near = np.setdiff1d(near, meet[block], assume_unique=True)
         near = near[may_be_alike(counts[near], counts[i], lengths[near], percent)]
         each = 1
         while len(near):  # some lines of every other label, then more of those still apart
@@ -493,12 +506,14 @@ def hot_links(members: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
         import pyarrow as pa
 
         counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint8).reshape(-1, COUNTS)
-        links = group_links(group.column("label").to_pylist(), group.column("line").to_pylist(), counts, percent)
+        links = group_links(group.column("label").to_pylist(), group.column("line").to_pylist(), counts, percent, group.column("earlier").to_pylist())
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     def join(rows: DataFrame) -> DataFrame:
-        return rows.select("cell", "node", "label").join(lines, "node").select("cell", "label", "line", "counts").groupBy("cell").applyInArrow(run, "a bigint, b bigint")
+        return rows.select("cell", "node", "label", "earlier").join(lines, "node").select("cell", "label", "line", "counts", "earlier").groupBy("cell").applyInArrow(run, "a bigint, b bigint")
 
+    blocks = members.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("family")), 1, EARLIER).alias("earlier"))
+    members = cut_lineage(members.join(blocks, "node").withColumn("earlier", F.filter("earlier", lambda block: block < F.col("family"))))
     return family_links(members, join).select(F.col("node").alias("a"), F.col("label").alias("b"))
 
 

@@ -195,3 +195,11 @@ def test_blocks_are_the_same_in_batches_of_any_size(monkeypatch):
     monkeypatch.setattr(line_keys, "USUAL", 64)
     got = line_keys.block_keys(lines, 10)
     assert all(np.array_equal(x, y) for x, y in zip(want, got, strict=True))
+
+
+def test_lines_that_meet_in_an_earlier_block_are_not_compared_again():
+    lines = ["one line of text that two blocks share", "one line of text that two blocks sharf", "one line of text that two blocks shark"]
+    counts = line_dedup.pair_counts(lines)
+    assert len(line_dedup.group_links([1, 2, 3], lines, counts, 90)) == 2
+    assert line_dedup.group_links([1, 2, 3], lines, counts, 90, [[5], [5], []]) == [(1, 3), (2, 1)]
+    assert line_dedup.group_links([1, 2, 3], lines, counts, 90, [[5, 7], [6, 7], [5, 6]]) == []
