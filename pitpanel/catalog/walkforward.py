@@ -62,13 +62,15 @@ SELECT {i('o_orderkey')} AS o_orderkey, fold FROM orders LEFT JOIN folds ON o_or
 def shipments(spark: SparkSession, sf: str) -> DataFrame:
     """(supplier, day): shipped quantity, mean gross price and mean net price.
 
-    Folds, sums and predictions each read the panel, so it is stored once.
+    Folds, sums and predictions each read the panel, so it is stored once. A supplier's rows lie in one
+    file, so a task that reads them sends one row of sums for each of the supplier's folds.
     """
     return cut_lineage(_shipments(spark, sf))
 
 
 def _shipments(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").groupBy("l_suppkey", "l_shipdate").agg(
+    lines = table(spark, sf, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount")
+    return lines.repartition("l_suppkey").groupBy("l_suppkey", "l_shipdate").agg(
         F.sum("l_quantity").alias("qty"), (F.avg("l_extendedprice") / 10000).alias("price"),
         (F.avg(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 10000).alias("net_price"),
     )

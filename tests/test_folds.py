@@ -66,3 +66,19 @@ def test_bad_parameters(spark):
 def test_month_steps_clip_and_stay_clipped():
     step = fo.step_months(dt.datetime(2024, 1, 31), 1)
     assert step == dt.datetime(2024, 2, 29) and fo.step_months(step, 1) == dt.datetime(2024, 3, 29)
+
+
+def test_a_supplier_of_the_panel_lies_in_one_file(spark, tmp_path):
+    from pitpanel.catalog import walkforward
+
+    (spark.range(4000).selectExpr("id % 20 AS l_suppkey", "date_add(DATE '1996-01-01', CAST(id % 400 AS INT)) AS l_shipdate", "1.0D AS l_quantity",
+                                  "2.0D AS l_extendedprice", "0.1D AS l_discount").write.parquet(f"{tmp_path}/lineitem.parquet"))
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        panel = walkforward.shipments(spark, str(tmp_path))
+    finally:
+        spark.conf.set(name, before)
+    files = panel.select("l_suppkey", F.input_file_name().alias("file")).distinct().groupBy("l_suppkey").count().collect()
+    assert len(files) == 20 and {r["count"] for r in files} == {1}
