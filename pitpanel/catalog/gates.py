@@ -196,11 +196,7 @@ def vintage_diff(spark: SparkSession, sf: str) -> DataFrame:
     """Shipments per (part, supplier) as known at a date, and in the end."""
     lines = table(spark, sf, "lineitem")
 
-    def totals(known: DataFrame) -> DataFrame:
-        return known.groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("qty"))
-
-    out = pit.vintage_diff(totals(lines.filter(F.col("l_shipdate") <= "1998-06-30")), totals(lines),
-                           keys=["l_partkey", "l_suppkey"], values=["qty"])
+    out = pit.restated_totals(lines, F.col("l_shipdate") <= "1998-06-30", keys=["l_partkey", "l_suppkey"], totals={"qty": "l_quantity"})
     return shape(out, l_partkey="int", l_suppkey="int", qty_old="double:2", qty_new="double:2", change="text")
 
 

@@ -7,7 +7,7 @@ handful of rows through the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from enum import Enum
 
 from pyspark.sql import Column, DataFrame
@@ -151,6 +151,27 @@ def vintage_diff(old: DataFrame, new: DataFrame, *, keys: Sequence[str], values:
     return before.join(after, list(keys), "full_outer").withColumn("change", change).drop("_in_old", "_in_new")
 
 
+def restated_totals(df: DataFrame, known: Column, *, keys: Sequence[str], totals: Mapping[str, str]) -> DataFrame:
+    """``vintage_diff`` between sums over the rows ``known`` by then and over all rows, in one aggregate.
+
+    ``totals`` maps a name to the column summed. A null key equals no other, as in a join.
+    """
+    sums = [F.sum(F.when(known, F.col(c))).alias(f"{v}_old") for v, c in totals.items()]
+    sums += [F.sum(c).alias(f"{v}_new") for v, c in totals.items()]
+    out = df.groupBy(*keys).agg(F.coalesce(F.bool_or(known), F.lit(False)).alias("_in_old"), *sums)
+    same, joined = F.lit(True), F.lit(True)
+    for v in totals:
+        same = same & F.col(f"{v}_old").eqNullSafe(F.col(f"{v}_new"))
+    for key in keys:
+        joined = joined & F.col(key).isNotNull()
+    change = F.when(~F.col("_in_old"), F.array(F.lit("added")))
+    change = change.when(~joined, F.array(F.lit("removed"), F.lit("added"))).when(same, F.array(F.lit("same"))).otherwise(F.array(F.lit("changed")))
+    out = out.withColumn("_joined", joined).withColumn("change", F.explode(change))
+    side = [F.when(F.col("_joined") | (F.col("change") == kind), F.col(f"{v}_{end}")).alias(f"{v}_{end}")
+            for end, kind in (("old", "removed"), ("new", "added")) for v in totals]
+    return out.select(*keys, *side, "change")
+
+
 def revision_stats(df: DataFrame, *, first: str, final: str, tolerance: float = 1e-9) -> DataFrame:
     """Restatement between two vintages of the same rows, in one aggregate."""
     revision = F.col(final) - F.col(first)
