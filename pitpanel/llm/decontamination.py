@@ -23,8 +23,16 @@ from pyspark.sql import functions as F
 
 from pitpanel.session import cut_lineage
 
-#: ASCII digits and lower-case letters, and everything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+def without(others: str) -> str:
+    """Runs of characters that are not among ``others``, each listed by itself: Java then looks a character up
+    in one table, where it would try range after range."""
+    return "[^" + "".join(f"\\x{ord(c):02X}" for c in others) + "]+"
+
+
+#: ASCII digits and lower-case letters, and everything beyond ASCII; the same with upper-case letters.
+WORD = without("".join(c for c in map(chr, range(128)) if not (c.isdigit() or c.islower())))
+CASED_WORD = without("".join(c for c in map(chr, range(128)) if not c.isalnum()))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ["_key_a", "_key_b"]
 
@@ -135,7 +143,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, gr
     results = words.join(items, KEY, "left")
     new = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items")
     kept = [c for c in docs.columns if c not in new]
-    every_word = F.regexp_count(F.col(text_col), F.lit(WORD.replace(r"\x60", r"\x40\x5B-\x60")))
+    every_word = F.regexp_count(F.col(text_col), F.lit(CASED_WORD))
     n_words = F.coalesce(every_word, F.lit(0)).cast("bigint")
     listed = F.coalesce("_items", F.array().cast("array<string>"))
     n_hit = F.coalesce("_n_hit", F.lit(0).cast("bigint"))
