@@ -32,14 +32,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitpanel.llm import families
 from pitpanel.llm.common import append_columns, free_name, in_bits, listed_bits, perhaps_listed, quoted
 from pitpanel.llm.components import connected
-from pitpanel.llm.families import family_links
 from pitpanel.llm.line_keys import block_keys, normal_lines
 from pitpanel.session import cut_lineage
 
-#: Frequent blocks of a node that are known in the others; two lines that share one are compared in the smallest only.
-EARLIER = 256
+#: The smallest frequent blocks of a node, known in its others; two lines that share one are compared there only.
+EARLIER = 16
+#: Rows of a cell from which all are compared with one first, rows of cells, and pairs left, that are compared together, about.
+LEADER, CELL_ROWS, OPEN_PAIRS = 32, 4000, 200_000
 #: Nodes of one block that are paired; beyond, they go to ``hot_links``.
 PAIRS_AT = 16
 #: Pairs of neighbouring characters are counted in so many classes.
@@ -50,7 +52,7 @@ BATCH_PAIRS, BATCH_CELLS, FEW_PAIRS = 512, 1 << 21, 12
 LONG_LIMIT, GRAM = 20, 8
 #: Characters that two lines have in common after a difference, most characters of one difference, and characters of the runs in ``absent``.
 ANCHOR, SKIP, RUN = 6, 64, 5
-#: Beyond so many characters, lines must have runs in common and are compared one by one.
+#: Beyond so many characters, lines must have runs in common, and more of them make it worth comparing them together.
 LONG_LINE = 800
 #: Bytes of lines whose blocks, and characters of lines whose counts, are made at once; lines that a task remembers; texts split at once.
 BATCH_BYTES, BATCH_CHARACTERS, REMEMBERED, BATCH_TEXTS = 1 << 18, 1 << 18, 2_000_000, 500
@@ -249,7 +251,7 @@ def alike_many(xs: list[str], ys: list[str], percent: int, known: dict[str, np.n
             longest = max(longest, len(pairs[order[end]][1]))
             end += 1
         rows = order[at:max(end, at + 1)]
-        if len(rows) < FEW_PAIRS or longest > LONG_LINE:
+        if len(rows) < (FEW_PAIRS if longest <= LONG_LINE else 4 * FEW_PAIRS):
             out[rows] = [edit_within(*pairs[k], int(limits[k])) for k in rows]
         else:
             out[rows] = banded([pairs[k] for k in rows], limits[rows])
@@ -277,46 +279,114 @@ def may_be_alike(x: np.ndarray, y: np.ndarray, longer: np.ndarray, percent: int)
     return apart <= 4 * ((100 - percent) * longer // 100)
 
 
-def group_links(labels: list[int], lines: list[str], counts: np.ndarray, percent: int,
+class Labels:
+    """Labels of rows, joined as links are found."""
+
+    def __init__(self, labels: list[int]):
+        self.names, self.at = np.unique(np.array(labels, np.int64), return_inverse=True)
+        self.root = np.arange(len(self.names))
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        """The number of the smallest label that each row's is joined with."""
+        while not np.array_equal(up := self.root[self.root], self.root):
+            self.root = up
+        return self.root[self.at[rows]]
+
+    def top(self, row: int) -> int:
+        k = int(self.at[row])
+        while (up := int(self.root[k])) != k:
+            k = up
+        return k
+
+    def link(self, i: int, j: int) -> list[tuple[int, int]]:
+        """Join the labels of two rows; (label, label) unless they were joined."""
+        x, y = self.top(i), self.top(j)
+        if x == y:
+            return []
+        self.root[max(x, y)] = min(x, y)
+        return [(int(self.names[x]), int(self.names[y]))]
+
+
+def cells_links(cells: list[tuple[int, int]], labels: list[int], lines: list[str], counts: np.ndarray, percent: int,
                 earlier: list[list[int]] | None = None) -> list[tuple[int, int]]:
-    """(label, label) of lines of a cell that are alike; lines whose labels are joined by then are not compared,
-    nor are lines that have one of their ``earlier`` blocks in common, as they meet there."""
-    order = sorted(range(len(lines)), key=lambda k: (len(lines[k]), lines[k]))
-    lines, counts = [lines[k] for k in order], counts[order]
-    distinct, label = np.unique(np.array([labels[k] for k in order], np.int64), return_inverse=True)
-    lengths, known, out = np.array([len(x) for x in lines]), {}, []
-    elsewhere: dict[int, list[int]] = {}
-    blocks = [earlier[k] for k in order] if earlier else [[]] * len(lines)
-    for k, mine in enumerate(blocks):
-        for block in mine:
-            elsewhere.setdefault(block, []).append(k)
-    meet = {block: np.array(rows) for block, rows in elsewhere.items() if len(rows) > 1}
-    for i in range(len(lines) - 1):
-        if not label.any():
-            break
-        near = np.arange(i + 1, int(np.searchsorted(lengths, lengths[i] * 100 // percent, side="right")))
-        near = near[label[near] != label[i]]
-        for block in blocks[i] if len(near) else ():
-            if block in meet:
-                near = np.setdiff1d(near, meet[block], assume_unique=True)
-        near = near[may_be_alike(counts[near], counts[i], lengths[near], percent)]
-        each = 1
-        while len(near):  # some lines of every other label, then more of those still apart
-            order_by = np.argsort(label[near], kind="stable")
-            mine = label[near][order_by]
-            number = np.arange(len(mine)) - np.searchsorted(mine, mine)
-            now = near[order_by[number < each]]
-            passed = now[alike_many([lines[i]] * len(now), [lines[j] for j in now.tolist()], percent, known)]
-            for j in passed.tolist():
-                if label[i] != label[j]:
-                    out.append((int(distinct[label[i]]), int(distinct[label[j]])))
-                    label[label == max(label[i], label[j])] = min(label[i], label[j])
-            near = np.setdiff1d(near, now, assume_unique=True)
-            near = near[label[near] != label[i]]
-            each *= 4
+    """(label, label) of lines that are alike and in one of the ``cells`` (first row, one past the last).
+
+    Lines whose labels are joined by then are not compared, nor are lines of a cell that have one of their ``earlier``
+    blocks in common, as they meet there. The pairs of all cells are compared together, in rounds: in a large cell first
+    all lines with the one of middle length, then every line with one shorter line, with two more, and so on.
+    """
+    lengths, joined, known, out = np.array([len(x) for x in lines], np.int64), Labels(labels), {}, []
+
+    def settle(i: np.ndarray, j: np.ndarray) -> None:
+        passed = alike_many([lines[k] for k in i.tolist()], [lines[k] for k in j.tolist()], percent, known)
+        for x, y in zip(i[passed].tolist(), j[passed].tolist(), strict=True):
+            out.extend(joined.link(x, y))
+
+    def rounds(found: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        most = 1
+        while True:
+            apart = joined.of(i) != joined.of(j)
+            i, j = i[apart], j[apart]
+            if not len(i):
+                return
+            first = np.flatnonzero(np.append(True, j[1:] != j[:-1]))
+            now = np.arange(len(j)) - np.repeat(first, np.diff(np.append(first, len(j)))) < most
+            settle(i[now], j[now])
+            i, j, most = i[~now], j[~now], most * 2
+
+    orders, stars = [], []
+    for low, high in cells:
+        rows = np.array(sorted(range(low, high), key=lambda k: (len(lines[k]), lines[k])), np.int64)
+        orders.append(rows)
+        if len(rows) > LEADER:
+            middle = rows[len(rows) // 2]
+            near = rows[joined.at[rows] != joined.at[middle]]
+            longer, shorter = np.maximum(lengths[near], lengths[middle]), np.minimum(lengths[near], lengths[middle])
+            near = near[(100 * shorter >= percent * longer) & may_be_alike(counts[near], counts[middle], longer, percent)]
+            stars.append((np.full(len(near), middle), near))
+    for i, j in stars:
+        apart = joined.of(i) != joined.of(j)
+        settle(i[apart], j[apart])
+    found, size = [], 0
+    for rows in orders:
+        label = joined.of(rows)
+        if not (label != label[0]).any():
+            continue
+        meet: dict[int, list[int]] = {}
+        for k, row in enumerate(rows.tolist()) if earlier else ():
+            for block in earlier[row]:
+                meet.setdefault(block, []).append(k)
+        together = {block: np.array(places_) for block, places_ in meet.items() if len(places_) > 1}
+        sizes, many = lengths[rows], counts[rows]
+        least = np.searchsorted(sizes, -(-sizes * percent // 100))  # the shortest line that the lengths allow
+        for k in range(1, len(rows)):
+            near = label[least[k]:k] != label[k]
+            if not near.any():
+                continue
+            for block in earlier[rows[k]] if earlier else ():
+                if block in together:
+                    spots = together[block]
+                    near[spots[(spots >= least[k]) & (spots < k)] - least[k]] = False
+            near = np.flatnonzero(near) + least[k]
+            near = near[may_be_alike(many[near], many[k], sizes[k], percent)]
+            if len(near):
+                found.append((rows[near], np.full(len(near), rows[k])))
+                size += len(near)
+        if size > OPEN_PAIRS:
+            rounds(found)
+            found, size = [], 0
+    if found:
+        rounds(found)
     return out
 
 
+def group_links(labels: list[int], lines: list[str], counts: np.ndarray, percent: int,
+                earlier: list[list[int]] | None = None) -> list[tuple[int, int]]:
+    """``cells_links`` of the lines of one cell."""
+    return cells_links([(0, len(lines))], labels, lines, counts, percent, earlier)
+
+
 def byte_batches(lines: list, most: int):
     """Numbers of the first and one past the last line of batches of about ``most`` bytes or characters."""
     at, size = 0, 0
@@ -500,21 +570,63 @@ def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     return beside(close, "line").mapInArrow(run, "a bigint, b bigint")
 
 
-def hot_links(members: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each node of ``members`` (family, node, n, label) and the label it has in the end. Eager."""
-    def run(group):
+def in_cells(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): labels that two alike lines of one cell have, of ``rows`` (cell, family, label, line, counts, known)."""
+    def links(rows) -> tuple[list[int], list[int]]:
+        cell = rows.column("cell").combine_chunks().dictionary_encode().indices.to_numpy()
+        at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]])).tolist()
+        counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint8).reshape(-1, COUNTS)
+        earlier = [[block for block in known if block < family] for family, known in
+                   zip(rows.column("family").to_pylist(), rows.column("known").to_pylist(), strict=True)]
+        found = cells_links(list(zip(at[:-1], at[1:], strict=True)), rows.column("label").to_pylist(), rows.column("line").to_pylist(), counts, percent, earlier)
+        return [a for a, _ in found], [b for _, b in found]
+
+    def run(batches):
         import pyarrow as pa
 
-        counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint8).reshape(-1, COUNTS)
-        links = group_links(group.column("label").to_pylist(), group.column("line").to_pylist(), counts, percent, group.column("earlier").to_pylist())
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+        def made(rows):
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links(rows)], names=["a", "b"])
+
+        rest = None  # rows of cells of which more may follow
+        for batch in batches:
+            rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            cells = rest.column("cell")
+            if rest.num_rows < CELL_ROWS or cells[0] == cells[-1]:
+                continue
+            low, high, last = 0, rest.num_rows - 1, cells[-1]
+            while low < high:  # the first row of the last cell
+                middle = (low + high) // 2
+                low, high = (low, middle) if cells[middle] == last else (middle + 1, high)
+            yield made(rest.slice(0, low))
+            rest = rest.slice(low)
+        if rest is not None and rest.num_rows:
+            yield made(rest)
+
+    return (rows.select("cell", "family", "label", "line", "counts", "known").repartition("cell").sortWithinPartitions("cell")
+            .mapInArrow(run, "a bigint, b bigint"))
+
+
+def hot_links(hot: DataFrame, links: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of nodes that are linked, directly or through others, by lines that share a block of ``hot`` (family, node, n) or by ``links``. Eager."""
+    label = connected(links, "a", "b").withColumnRenamed("root", "label")
+    held = hot.groupBy("node").agg(F.array_sort(F.collect_set("family")).alias("families"))
+    held = cut_lineage(held.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")).join(lines, "node"))
+    known = F.slice("families", 1, EARLIER).alias("known")
+    rows = held.select(F.explode("families").alias("family"), "node", "label", "n", "line", "counts", known)
+    wide = cut_lineage(hot.groupBy("family").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("size")).filter(
+        (F.col("rows") > 2 * families.BLOCK_ROWS) | (F.col("size") > 2 * families.BLOCK_SIZE)).select("family"))
+    ends = held.select(F.col("node").alias("a"), F.col("label").alias("b")).filter("a <> b")
+    if wide.isEmpty():
+        return ends.unionByName(in_cells(rows.withColumn("cell", F.col("family").cast("string")), percent))
+    narrow = rows.join(wide, "family", "left_anti").withColumn("cell", F.col("family").cast("string"))
+    beside = held.select("node", "line", "counts", known)
 
     def join(rows: DataFrame) -> DataFrame:
-        return rows.select("cell", "node", "label", "earlier").join(lines, "node").select("cell", "label", "line", "counts", "earlier").groupBy("cell").applyInArrow(run, "a bigint, b bigint")
+        return in_cells(rows.select("cell", "family", "node", "label").join(beside, "node"), percent)
 
-    blocks = members.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("family")), 1, EARLIER).alias("earlier"))
-    members = cut_lineage(members.join(blocks, "node").withColumn("earlier", F.filter("earlier", lambda block: block < F.col("family"))))
-    return family_links(members, join).select(F.col("node").alias("a"), F.col("label").alias("b"))
+    members = cut_lineage(rows.select("family", "node", "label", "n").join(wide, "family", "left_semi"))
+    met = families.family_links(members, join).select(F.col("node").alias("a"), F.col("label").alias("b")).filter("a <> b")
+    return ends.unionByName(in_cells(narrow, percent)).unionByName(met)
 
 
 def line_groups(found: DataFrame, percent: int) -> DataFrame:
@@ -526,26 +638,33 @@ def line_groups(found: DataFrame, percent: int) -> DataFrame:
     lines = wanted_lines(found, nodes)
     links = cut_lineage(verified(pairs, lines, percent))
     if not hot.isEmpty():
-        label = connected(links, "a", "b").withColumnRenamed("root", "label")
-        members = cut_lineage(hot.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
-        links = links.unionByName(hot_links(members, lines, percent)).unionByName(members.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        links = cut_lineage(links.unionByName(hot_links(hot, links, lines, percent)))
     return connected(links, "a", "b").select(F.col("node").alias("la"), F.col("root").alias("label"))
 
 
+def repeated_lines(lines: DataFrame, groups: DataFrame) -> DataFrame:
+    """(row_id, row_key, no, group) of the ``lines`` that stand more than once or are in one of ``groups`` (la, label), stored.
+
+    ``group`` is the same for lines of one group, or for equal lines of none. Lines that stand once alone are not
+    carried on; what is read of them is counted by hash, and one shuffle finds the others. Eager.
+    """
+    equal = lines.groupBy("la", "lb").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("la", "lb", F.lit(None).cast("bigint").alias("label"))
+    wanted = equal.unionByName(groups.select("la", F.lit(None).cast("bigint").alias("lb"), "label"))
+    wanted = cut_lineage(wanted.groupBy("la").agg(F.max("label").alias("label"), F.collect_set("lb").alias("equal")))
+    rows = lines.select("row_id", "row_key", "no", "la", "lb").join(wanted, "la").filter(F.col("label").isNotNull() | F.array_contains("equal", F.col("lb")))
+    alone = F.col("label").isNull()
+    return cut_lineage(rows.select("row_id", "row_key", "no", F.struct(~alone, F.coalesce("label", "la"), F.when(alone, F.col("lb"))).alias("group")))
+
+
 def remove_lines(docs: DataFrame, *, similarity: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated lines taken out of the text, and n_lines, n_removed. Eager: writes its steps."""
     key = F.xxhash64(text_col)
     base = docs.select(F.col(id_col).alias("row_id"), key.alias("row_key"), F.col(text_col).alias("text"))
     found = cut_lineage(occurrences(base, -(-100 // (100 - similarity))))
-    lines = found.filter("no is not null")
+    hits = repeated_lines(found.filter("no is not null"), line_groups(found, similarity))
     place = F.struct("row_id", "row_key", "no")
-    nodes = cut_lineage(lines.groupBy("la", "lb").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")))
-    groups = nodes.join(line_groups(found, similarity), "la").select("la", "lb", "label", "first")
-    first = groups.groupBy("label").agg(F.min("first").alias("group_first"))
-    groups = groups.join(first, "label").select("la", "lb", "group_first")
-    repeated = (nodes.join(groups, ["la", "lb"], "left").withColumn("stays", F.coalesce("group_first", "first"))
-                .filter((F.col("times") > 1) | (F.col("stays") != F.col("first"))).select("la", "lb", "stays"))
-    gone = cut_lineage(lines.join(repeated, ["la", "lb"]).filter(~F.col("stays").eqNullSafe(place))
+    first = hits.groupBy("group").agg(F.min(place).alias("stays"))
+    gone = cut_lineage(hits.join(first, hits["group"].eqNullSafe(first["group"])).drop("group").filter(~F.col("stays").eqNullSafe(place))
                        .groupBy("row_id", "row_key").agg(F.collect_set("no").alias("gone")))
     names = {name: free_name(docs.columns, name) for name in ("row_id", "row_key", "gone")}
     touched = docs.withColumn(names["row_key"], key)

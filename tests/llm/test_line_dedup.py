@@ -203,3 +203,36 @@ def test_lines_that_meet_in_an_earlier_block_are_not_compared_again():
     assert len(line_dedup.group_links([1, 2, 3], lines, counts, 90)) == 2
     assert line_dedup.group_links([1, 2, 3], lines, counts, 90, [[5], [5], []]) == [(1, 3), (2, 1)]
     assert line_dedup.group_links([1, 2, 3], lines, counts, 90, [[5, 7], [6, 7], [5, 6]]) == []
+
+
+def test_cells_compared_together_give_the_groups_of_cells_alone(monkeypatch):
+    rng, lines, cells = random.Random(21), [], []
+    for _ in range(30):
+        start, rest = len(lines), [word(rng, 6) for _ in range(20)]
+        for _ in range(rng.choice([2, 9, 50])):
+            lines.append(" ".join(rest))
+            rest[rng.randrange(20)] = word(rng, 6)
+        cells.append((start, len(lines)))
+    want, calls, compare = [], [], line_dedup.alike_many
+    for low, high in cells:
+        want += [low + label for label in brute_groups(lines[low:high])]
+    monkeypatch.setattr(line_dedup, "alike_many", lambda xs, ys, *more: calls.append(len(xs)) or compare(xs, ys, *more))
+    counts = line_dedup.pair_counts(lines)
+    for most in (10**6, 50):
+        monkeypatch.setattr(line_dedup, "OPEN_PAIRS", most)
+        got = list(range(len(lines)))
+        for a, b in line_dedup.cells_links(cells, list(range(len(lines))), lines, counts, 90):
+            low, high = sorted((got[a], got[b]))
+            got = [low if x == high else x for x in got]
+        assert got == want
+        if most > 50:  # a few rounds for all cells, and far fewer pairs than there are
+            assert len(calls) < 50 and sum(calls) < sum((high - low) * (high - low - 1) // 2 for low, high in cells) // 2
+
+
+def test_lines_that_stand_once_alone_are_not_carried_on(spark):
+    lines = spark.createDataFrame([(1, 9, 0, 5, 6), (2, 9, 0, 5, 6), (2, 9, 1, 5, 7), (3, 9, 0, 8, 8), (4, 9, 0, 10, 1), (4, 9, 1, 11, 1)],
+                                  "row_id bigint, row_key bigint, no int, la bigint, lb bigint")
+    groups = spark.createDataFrame([(10, 10), (11, 10)], "la bigint, label bigint")
+    rows = line_dedup.repeated_lines(lines, groups).collect()
+    assert sorted((r.row_id, r.no) for r in rows) == [(1, 0), (2, 0), (4, 0), (4, 1)]
+    assert len({r.group for r in rows}) == 2
